@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.llm import fingerprint, langid
+from sitequarry.llm import fingerprint, langid, maintext, toxicity
 from sitequarry.llm.common import held_out, load
 
 
@@ -21,5 +21,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op6_language_id)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 4, 2)
+    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    model = toxicity.fit(docs.where(~out).join(labels, "doc_id"))
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(load(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
 ORACLES: dict[str, str] = {}
