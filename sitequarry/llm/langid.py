@@ -97,21 +97,24 @@ def fit(training: DataFrame, word_floor: float = 2e-5, gram_floor: float = 1e-4)
         out[size] = {}
         for g, shares in entries.items():
             logs = np.log(np.maximum(np.array(shares), low))
-            out[size][g] = (logs - np.logaddexp.reduce(logs)).astype(np.float32)
+            out[size][g] = tuple((logs - np.logaddexp.reduce(logs)).tolist())
     return {"langs": langs, "table": out}
 
 
-def word_scores(model: dict, word: str) -> np.ndarray:
+def word_scores(model: dict, word: str) -> tuple[float, ...]:
     """Log probability of each language given one word."""
     table = model["table"]
     if (known := table[0].get(word)) is not None:
         return known
     for n in ORDERS:
-        found = [v for g in _grams(word, n) if (v := table[n].get(g)) is not None]
+        own = table[n]
+        found = [own[g] for g in _grams(word, n) if g in own]
         if found:
-            mean = np.mean(found, axis=0)
-            return mean - np.logaddexp.reduce(mean)
-    return np.full(len(model["langs"]), -math.log(len(model["langs"])), np.float32)
+            mean = [sum(c) / len(found) for c in zip(*found, strict=True)]
+            top = max(mean)
+            shift = top + math.log(sum(math.exp(x - top) for x in mean))
+            return tuple(x - shift for x in mean)
+    return (-math.log(len(model["langs"])),) * len(model["langs"])
 
 
 class Scorer:
@@ -156,7 +159,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     place = kept.columns.index(text)
 
     def run(batches):
-        score = Scorer(shared.value)
+        model = shared.value
+        score = model["scorer"] = model.get("scorer") or Scorer(model)  # lives as long as the worker has the broadcast
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 piece = b.slice(at, 1024)
