@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.llm import fingerprint, langid, maintext, toxicity
+from sitequarry.llm import fingerprint, langid, maintext, minhash, toxicity
 from sitequarry.llm.common import held_out, load
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=2, threshold=0.8)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))
+                          WHEN len(ws) = 1 THEN [ws[1]] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
+          FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80 GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN both_ways b ON r.other = b.a),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, comp.component_id, s.doc_id = comp.component_id AS kept FROM s JOIN comp USING (doc_id)
+"""
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(load(spark, sf_dir, "documents"))
 
@@ -34,5 +54,5 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
+ORACLES: dict[str, str] = {"op1_near_duplicates": OP1_SQL}
