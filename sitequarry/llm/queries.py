@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.llm import fingerprint, langid, maintext, minhash, toxicity
+from sitequarry.llm import fingerprint, langid, maintext, minhash, private, toxicity
 from sitequarry.llm.common import held_out, load
 
 
@@ -29,6 +29,15 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, comp.component_id, s.d
 """
 
 
+#: In production a secret from the caller's vault; the registered query must give the same rows in each run.
+PRIVATE_KEY = "registered-query"
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.pseudonymised(docs, PRIVATE_KEY, counts=True)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(load(spark, sf_dir, "documents"))
 
@@ -54,5 +63,5 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pseudonyms, op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
 ORACLES: dict[str, str] = {"op1_near_duplicates": OP1_SQL}
