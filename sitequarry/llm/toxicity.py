@@ -43,31 +43,49 @@ def weight(count: int) -> float:
     return min(4.0, math.sqrt(count))
 
 
-class _Batch:
-    """Some of the sample, laid out for sums by text, word and bucket."""
-
-    def __init__(self, bags: list[Counter], labels: np.ndarray, vocabulary: dict[str, list[int]]):
-        words = sorted({w for b in bags for w in b if w in vocabulary})
+class Sample:
+    """Word counts of texts as rows (text, word, count), words as numbers."""
+
+    def __init__(self, doc: np.ndarray, word: np.ndarray, count: np.ndarray, words: list[str], labels: np.ndarray):
+        self.words, self.labels = words, labels.astype(np.float32)
+        self.doc, self.word = doc.astype(np.int32), word.astype(np.int32)
+        self.df = np.bincount(self.word, minlength=len(words))
+        self.rarity = rarities(self.df, len(labels))
+        w = np.minimum(4.0, np.sqrt(count)) * self.rarity[self.word]
+        self.share = (SCALE * w / (PAD + np.bincount(self.doc, w, len(labels)))[self.doc]).astype(np.float32)
+
+    @classmethod
+    def of(cls, bags: list[Counter], labels: list[int]) -> Sample:
+        words = sorted({w for b in bags for w in b})
         at = {w: i for i, w in enumerate(words)}
-        self.sizes = np.array([len(vocabulary[w]) for w in words])
-        self.inverse = (1 / self.sizes).astype(np.float32)[:, None]
-        self.used, self.flat = np.unique(np.concatenate([np.array(vocabulary[w]) for w in words]), return_inverse=True)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        rows = [(i, at[w], n) for i, b in enumerate(bags) for w, n in b.items()]
+        return cls(*np.array(rows, np.int64).reshape(-1, 3).T, words, np.array(labels))
+
+
+def rarities(df: np.ndarray, n: int, common: float = 0.005) -> np.ndarray:
+    """Weights under 1 for words in over that share of the texts, falling with the log of the share; all others weigh 1."""
+    return np.where(df > max(3, common * n), np.maximum(0.02, -np.log(np.maximum(df, 1) / max(n, 1)) / -math.log(common)), 1.0)
+
+
+class _Batch:
+    """Some texts of the sample, laid out for sums by text, word and bucket."""
+
+    def __init__(self, sample: Sample, rows: np.ndarray, number: np.ndarray, parts: list):
+        """rows: those of the sample; number: of each text its number in the batch or -1; parts: the buckets of each word, None for words that don't teach."""
+        words, self.word = np.unique(sample.word[rows], return_inverse=True)
+        sizes = np.array([len(parts[w]) for w in words])
+        self.inverse = (1 / sizes).astype(np.float32)[:, None]
+        self.used, flat = np.unique(np.concatenate([parts[w] for w in words]), return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         by_bucket = np.argsort(self.flat, kind="stable")
         self.bucket_starts = np.searchsorted(self.flat[by_bucket], np.arange(len(self.used)))
-        self.word_of = np.repeat(np.arange(len(words)), self.sizes)[by_bucket]
-        doc, word, share = [], [], []
-        for i, b in enumerate(bags):
-            total = PAD + sum(map(weight, b.values()))
-            for w, n in b.items():
-                if w in at:
-                    doc.append(i)
-                    word.append(at[w])
-                    share.append(SCALE * weight(n) / total)
-        self.doc, self.word, self.share = np.array(doc), np.array(word), np.array(share, np.float32)[:, None]
-        self.by_word = np.argsort(self.word, kind="stable")
+        self.word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[by_bucket]
+        self.doc, self.share = number[sample.doc[rows]], sample.share[rows][:, None]
+        self.by_word = np.argsort(self.word, kind="stable").astype(np.int32)
         self.word_starts = np.searchsorted(self.word[self.by_word], np.arange(len(words)))
         self.doc_ids, self.doc_starts = np.unique(self.doc, return_index=True)
+        labels = sample.labels[number >= 0]
         self.target = np.stack([1 - labels, labels], 1)
 
     def gradients(self, p: dict, decay: float) -> dict:
@@ -84,21 +102,28 @@ class _Batch:
         return {"u": texts.T @ d, "b": d.sum(0), "e": np.add.reduceat(d_words[self.word_of], self.bucket_starts) + decay * e}
 
 
-def train(bags: list[Counter], labels: list[int], dim: int = 4, epochs: int = 12, batches: int = 16, rate: float = 0.1, decay: float = 1e-6, seed: int = 7, least_docs: int = 2) -> dict:
-    """Adam over a fixed division of the sample.  Words in fewer than least_docs bags teach nothing themselves; their n-grams occur elsewhere.
+def train(sample: Sample, dim: int = 4, epochs: int = 16, batches: int = 16, rate: float = 0.2, decay: float = 1e-6, adapt: float = 0.25, seed: int = 7, least_docs: int = 2) -> dict:
+    """Momentum with partly adapted steps over a fixed division of the sample.
 
-    The model keeps one number for each bucket: its share of the difference of the two softmax inputs.
+    Words in fewer than least_docs texts teach nothing themselves; their n-grams occur elsewhere.  The model keeps one
+    number for each bucket: its share of the difference of the two softmax inputs.  A sample without either of the
+    two labels gives a model that answers the label it has, and not toxic if it is empty.
     """
-    y = np.array(labels, np.float32)
-    df = Counter(w for b in bags for w in b)
-    vocabulary = {w: subwords(w) for w, n in df.items() if n >= least_docs}
-    known = np.array([any(w in vocabulary for w in b) for b in bags], bool)
-    if not len(y) or y.min() == y.max() or not known.any():
-        return {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(4 if len(y) and y.min() == 1 else -4)}
+    y, n = sample.labels, len(sample.labels)
+    known = np.unique(sample.doc[sample.df[sample.word] >= least_docs])
+    if not n or y.min() == y.max() or not len(known):
+        return {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(4 if n and y.min() == 1 else -4), "rarity": {}}
+    parts = [np.array(subwords(w), np.int32) if k >= least_docs else None for w, k in zip(sample.words, sample.df, strict=True)]
     rng = np.random.default_rng(seed)
-    order = [i for i in rng.permutation(len(bags)) if known[i]]
+    order = rng.permutation(known)
     batches = max(1, min(batches, len(order) // 32))
-    made = [_Batch([bags[i] for i in own], y[own], vocabulary) for own in (order[k::batches] for k in range(batches))]
+    made = []
+    for k in range(batches):
+        number = np.full(n, -1, np.int32)
+        own = np.sort(order[k::batches])
+        number[own] = np.arange(len(own), dtype=np.int32)
+        made.append(_Batch(sample, np.flatnonzero((number[sample.doc] >= 0) & (sample.df[sample.word] >= least_docs)), number, parts))
+    del parts
     p = {"e": rng.normal(0, 0.02, (BUCKETS, dim)).astype(np.float32), "u": rng.normal(0, 0.5, (dim, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
@@ -112,10 +137,11 @@ def train(bags: list[Counter], labels: list[int], dim: int = 4, epochs: int = 12
             at = own.used if k == "e" else slice(None)
             m[k][at] += 0.1 * (g[k] - m[k][at])
             s[k][at] += 0.01 * (g[k] ** 2 - s[k][at])
-            p[k][at] -= now * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(s[k][at] / (1 - 0.99**step)) + 1e-8)
+            v = s[k][at] / (1 - 0.99**step)
+            p[k][at] -= now * (m[k][at] / (1 - 0.9**step)) / (v ** (adapt / 2) * v.mean() ** ((1 - adapt) / 2) + 1e-12)
         trained[own.used] = True
     out = np.where(trained, SCALE * (p["e"] @ (p["u"][:, 1] - p["u"][:, 0])), 0).astype(np.float32)
-    return {"bucket": out, "bias": float(p["b"][1] - p["b"][0])}
+    return {"bucket": out, "bias": float(p["b"][1] - p["b"][0]), "rarity": {sample.words[i]: float(sample.rarity[i]) for i in np.flatnonzero(sample.rarity < 1)}}
 
 
 #: What an average is multiplied by before the softmax: a text's few telling words weigh little in its average.
@@ -128,7 +154,7 @@ class Scorer(dict):
     """Word -> its share of the logit; remembers at most `most` words."""
 
     def __init__(self, model: dict, most: int = 300_000):
-        self.bucket, self.bias, self.most = model["bucket"], model["bias"], most
+        self.bucket, self.bias, self.rarity, self.most = model["bucket"], model["bias"], model["rarity"], most
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
@@ -138,12 +164,12 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> float:
         words = Counter(WORD.findall(text.lower())) if text else {}
-        weights = list(map(weight, words.values()))
+        weights = [weight(n) * self.rarity.get(w, 1.0) for w, n in words.items()]
         z = self.bias + sum(w * self[x] for x, w in zip(words, weights, strict=True)) / (PAD + sum(weights))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def fit(labelled: DataFrame, most_rows: int = 12_000) -> dict:
+def fit(labelled: DataFrame, most_rows: int = 8_000) -> dict:
     """A model from rows (doc_id, text, toxic); rows with a null label are left out, a null text is an empty one.
 
     The driver receives the word counts of about most_rows rows, chosen by a hash of doc_id.
@@ -151,7 +177,7 @@ def fit(labelled: DataFrame, most_rows: int = 12_000) -> dict:
     rows = labelled.where("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     n = rows.count()
     if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most_rows / n)).limit(2 * most_rows)
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(1_000_003 * most_rows / n))
 
     def bag(batches):
         for b in batches:
@@ -160,9 +186,14 @@ def fit(labelled: DataFrame, most_rows: int = 12_000) -> dict:
                 counts = [Counter(WORD.findall(t.lower())) for t in texts]
                 yield as_batch([ids, [list(c) for c in counts], [list(c.values()) for c in counts], labels], [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32()], ["doc_id", "words", "counts", "toxic"])
 
-    got = rows.mapInArrow(bag, "doc_id long, words array<string>, counts array<int>, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    bags = [Counter(dict(zip(w, c, strict=True))) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist(), strict=True)]
-    return train(bags, got["toxic"].to_pylist())
+    got = rows.mapInArrow(bag, "doc_id long, words array<string>, counts array<int>, toxic int").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    words = got["words"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+    sample = Sample(doc, coded.indices.to_numpy(), got["counts"].combine_chunks().flatten().to_numpy(), coded.dictionary.to_pylist(), got["toxic"].to_numpy())
+    del got, words, coded, doc
+    return train(sample)
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
