@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.llm import fingerprint, langid, maintext, minhash, private, toxicity
+from sitequarry.llm import decontaminate, fingerprint, langid, maintext, minhash, private, toxicity
 from sitequarry.llm.common import held_out, load
 
 
@@ -63,5 +63,9 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pseudonyms, op3_fingerprints, op5_toxicity, op6_language_id, op8_main_text)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pseudonyms, op3_fingerprints, op5_toxicity, op6_language_id, op7_decontamination, op8_main_text)}
 ORACLES: dict[str, str] = {"op1_near_duplicates": OP1_SQL}
