@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.llm import decontaminate, fingerprint, langid, maintext, minhash, mixing, private, toxicity, urlfilter
+from sitequarry.llm import decontaminate, fingerprint, langid, maintext, minhash, mixing, private, repeats, toxicity, urlfilter
 from sitequarry.llm.common import held_out, load
 
 
@@ -102,6 +102,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries made from the hosts of the table itself: it has none of its own.
 
@@ -150,5 +154,5 @@ SELECT p.page_id, p.url, CAST(p.t AS BIGINT) AS fetched_unix, CAST(coalesce(n_ac
 FROM p LEFT JOIN g USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pseudonyms, op3_fingerprints, op4_mixing, op5_toxicity, op6_language_id, op7_decontamination, op8_main_text, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pseudonyms, op3_fingerprints, op4_mixing, op5_toxicity, op6_language_id, op7_decontamination, op8_main_text, op9_repeats, op10_url_filters)}
 ORACLES: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_mixing": OP4_SQL, "op10_url_filters": OP10_SQL}
