@@ -6,10 +6,11 @@ sets; the verified links are joined to components.
 
 Pairs: within a band's bucket every set is first compared with the bucket's
 least and greatest member only.  Where a bucket then still holds sets of different
-components, each two of different components are compared as well, so a bucket
-never costs all its pairs unless its members really are unlike, and no link is
-lost that the bands have found.  At similarity 0.8, 32 bands of 4 minima miss a pair with
-probability (1 - 0.8**4)**32 = 5e-8.
+components, more is compared, so that no link is lost that the bands have found:
+in buckets of up to SMALL sets each two of different components; larger ones are joined to
+clusters, and each cluster is searched by differences from one centre (see _apart),
+so that a large group never costs all its pairs.  At similarity 0.8, 32 bands of 4
+minima miss a pair with probability (1 - 0.8**4)**32 = 5e-8.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitequarry.llm.bytescan import U, mix, shingle_sets, slices
@@ -27,6 +29,8 @@ from sitequarry.llm.components import components
 BANDS, ROWS = 32, 4
 #: A signature agreement lower by this much than the threshold rules a pair out: over six standard deviations of 128 minima at 0.8.
 MARGIN = 0.22
+#: Buckets of more sets than that are searched by differences.
+SMALL = 12
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +111,9 @@ def _alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> DataFrame:
-    """Those of the pairs that reach the threshold on their full sets."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, most_broadcast: int) -> DataFrame:
+    """(doc_id, shingles) of the documents wanted: their whole sets, sorted, 8 bytes a shingle."""
+    wanted = wanted.distinct()
     wanted = F.broadcast(wanted) if small_enough(wanted, most_broadcast) else wanted
 
     def sets(batches):
@@ -119,6 +122,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, m
                 found = shingle_sets(texts, words)
                 yield as_batch([batch.column(0).slice(at, len(found)), [s.tobytes() for s in found]], [pa.int64(), pa.binary()], ["doc_id", "shingles"])
 
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> DataFrame:
+    """Those of the pairs that reach the threshold on their full sets."""
+    pairs = stored(pairs, "pairs")
     def compare(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -133,10 +142,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, m
                 keep = pa.array(keep, pa.bool_())
                 yield as_batch([p.column(0).filter(keep), p.column(1).filter(keep)], [pa.int64(), pa.int64()], ["a", "b"])
 
-    full = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    full = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), words, most_broadcast)
     return pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets (band, doc_id, low): the links to the centres of their clusters, and the pairs that remain to be verified.
+
+    Let D(x) be the shingles that are in x or in the centre c, but not in both, and q = (1 - t) / (1 + t).  x and y are linked
+    if and only if |x D y| <= q (|x| + |y|), and |x D y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  If x isn't linked to c, so that
+    e = |D(x)| - q (|x| + |c|) > 0, it follows that D(x) and D(y) have more than (1 - q) / 2 |D(y)| and at least e / (1 + q)
+    shingles in common.  Two sets that have k elements in common share one among their first |set| - k + 1 in any order; with the
+    rarest first, few pairs do.  If both are linked to c, they are in one component anyway.
+
+    The centre is the set that is in most large buckets, which near copies of most others are.
+    """
+    q = (1 - threshold) / (1 + threshold)
+    placed = components(large.select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    counted = large.groupBy("doc_id").agg(F.count("*").alias("n")).join(placed, "doc_id")
+    centre = counted.groupBy("cluster").agg(F.max_by("doc_id", F.struct("n", (-F.col("doc_id")).alias("o"))).alias("centre"))
+    member = stored(placed.join(centre, "cluster"), "clusters")
+    full = _sets(docs, member.select("doc_id"), words, most_broadcast)
+    middle = member.select("cluster", "centre").distinct().join(full.toDF("centre", "c"), "centre").select("cluster", "centre", "c")
+    middle = F.broadcast(middle) if small_enough(middle, 1000) else middle
+
+    def differ(batches):
+        names = ["cluster", "centre", "doc_id", "element", "size", "excess", "linked"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                p = batch.slice(at, 64)
+                for cluster, c_id, doc_id, x, c in zip(*(p.column(i).to_pylist() for i in range(5)), strict=True):
+                    x, c = np.frombuffer(x, U), np.frombuffer(c, U)
+                    d = np.setxor1d(x, c, assume_unique=True)
+                    excess = len(d) - q * (len(x) + len(c))
+                    n = max(1, len(d))
+                    # A copy of the centre has no difference: one row with a null element carries it.
+                    yield as_batch([[cluster] * n, [c_id] * n, [doc_id] * n, d.view(np.int64) if len(d) else [None], [len(d)] * n, [excess] * n, [excess <= 1e-9] * n], types, names)
+
+    own = member.join(full, "doc_id").join(middle, ["cluster", "centre"]).select("cluster", "centre", "doc_id", "shingles", "c")
+    d = stored(own.mapInArrow(differ, "cluster long, centre long, doc_id long, element long, size long, excess double, linked boolean"), "differences")
+    central = d.where("linked and doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    df = d.where("element is not null").groupBy("cluster", "element").agg(F.count("*").alias("df"))
+    # A document has few differences; its own order needs no more than them.
+    ranked = d.where("element is not null").join(df, ["cluster", "element"]).withColumn("place", F.row_number().over(W.partitionBy("cluster", "doc_id").orderBy("df", "element"))).where("df > 1")
+    short = F.col("place") <= F.col("size") - F.floor((1 - q) / 2 * F.col("size") + 1e-9)
+    long_ = ~F.col("linked") & (F.col("place") <= F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("excess") / (1 + q) - 1e-9)) + 1)
+    ranked = stored(ranked.where(short | long_).select("cluster", "element", "doc_id", "linked", short.alias("short")), "prefixes")
+    x, y = (ranked.select("cluster", "element", F.col("doc_id").alias(k), F.col("linked").alias("linked_" + k), F.col("short").alias("short_" + k)) for k in "xy")
+    met = x.where("not linked_x").join(y.where("short_y"), ["cluster", "element"]).where("x <> y and (linked_y or (short_x and x < y))")
+    return central, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
     """Per document doc_id, n_shingles, component_id, kept.
 
@@ -157,16 +214,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mos
     ends = members.selectExpr("explode(array(struct(low as a, doc_id as b), struct(doc_id as a, high as b))) as p").select("p.*").where("a < b").distinct()
     links = stored(_verified(_alike(ends, reps, threshold), docs, words, threshold, most_broadcast), "links")
     found = components(links)
-    # Buckets that still hold sets of different components: each two of different components.
+    # Buckets that still hold sets of different components.
     placed = members.select("band", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min("doc_id").alias("low")).where("x < y").select("band", "n", "low")
     placed = stored(placed.join(open_, "band"), "open")
-    left, right = placed.toDF("band", "a", "ca"), placed.toDF("band", "b", "cb")
+    left, right = (placed.where(F.col("n") <= SMALL).select("band", F.col("doc_id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
     rest = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(ends, ["a", "b"], "left_anti")
-    more = stored(_verified(_alike(rest, reps, threshold), docs, words, threshold, most_broadcast), "links")
+    more = _verified(_alike(rest, reps, threshold), docs, words, threshold, most_broadcast)
+    large = placed.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        central, apart = _apart(large, docs, words, threshold, most_broadcast)
+        more = more.unionByName(central).unionByName(_verified(_alike(apart.join(ends, ["a", "b"], "left_anti"), reps, threshold), docs, words, threshold, most_broadcast))
+    more = stored(more, "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     label = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     joined = all_.drop("sig").join(label, ["h1", "h2", "n_shingles"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of least doc_id; columns and texts as they were.
+
+    Of rows with one doc_id one stays; rows with a null doc_id all stay.
+    """
+    gone = stored(near_duplicates(docs, words, threshold, most_broadcast).where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(F.broadcast(gone) if small_enough(gone, most_broadcast) else gone, "doc_id", "left_anti").select(docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    twice = stored(twice, "twice")
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
