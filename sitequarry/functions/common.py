@@ -29,3 +29,8 @@ def blank(value: Column) -> Column:
 
 def bounded(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression named within a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

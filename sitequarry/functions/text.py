@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitequarry.functions.common import any_of, bounded, half_up, half_up_int
+from sitequarry.functions.common import any_of, bounded, half_up, half_up_int, let
 
 # Words that say nothing about a page's subject.
 STOP_WORDS = (
@@ -52,8 +52,12 @@ def fingerprint(text: Column) -> Column:
 
 def shingles(word_list: Column, size: int = 5) -> Column:
     """Distinct runs of `size` words; a list of no more words makes one."""
-    n = F.size(word_list)
-    return F.array_distinct(F.when(n <= size, F.array(F.array_join(word_list, " "))).otherwise(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(word_list, i, size), " "))))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        return F.array_distinct(F.when(n <= size, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))))
+
+    return let(word_list, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,10 +110,13 @@ def keyword_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens that are not all stop words and, if n > 1, neither begin nor end with one."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n))
-    runs = F.filter(runs, lambda r: (F.size(r) == n) & ~F.array_contains(stop, F.element_at(r, 1)) & ~F.array_contains(stop, F.element_at(r, -1)))
-    return F.transform(runs, lambda r: F.array_join(r, " "))
+
+    def found(ts: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ts) - n + 1, F.lit(1))), lambda i: F.slice(ts, i, n))
+        runs = F.filter(runs, lambda r: (F.size(r) == n) & ~F.element_at(r, 1).isin(STOP_WORDS) & ~F.element_at(r, -1).isin(STOP_WORDS))
+        return F.transform(runs, lambda r: F.array_join(r, " "))
+
+    return let(tokens, found)
 
 
 def intent_scores(query: Column) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitequarry.functions.common import any_of
+from sitequarry.functions.common import any_of, let
 
 # Query parameters that only track, for cleaning (27 of them, and all that begin with utm_).
 TRACKING = [
@@ -162,24 +162,27 @@ def segments(url: Column) -> Column:
 
 def is_trap(url: Column, most: int = 2) -> Column:
     """At least four path segments, and one more than `most` times or a group of two or more at once repeated."""
-    s = segments(url)
-    n = F.size(s)
-    often = F.exists(F.array_distinct(s), lambda x: F.size(F.filter(s, lambda y: y == x)) > most)
-    sizes = F.sequence(F.lit(2), F.greatest(F.floor(n / 2).cast("int"), F.lit(2)))
-    twice = F.exists(
-        sizes,
-        lambda k: F.exists(F.sequence(F.lit(0), F.greatest(n - k * 2, F.lit(0))), lambda i: (i + k * 2 <= n) & (F.slice(s, i + 1, k) == F.slice(s, i + k + 1, k))),
-    )
-    return F.when(readable(url) & (n >= 4), often | twice).otherwise(False)
+
+    def repeats(s: Column) -> Column:
+        n = F.size(s)
+        often = F.exists(F.array_distinct(s), lambda x: F.size(F.filter(s, lambda y: y == x)) > most)
+        sizes = F.sequence(F.lit(2), F.greatest(F.floor(n / 2).cast("int"), F.lit(2)))
+        twice = F.exists(
+            sizes,
+            lambda k: F.exists(F.sequence(F.lit(0), F.greatest(n - k * 2, F.lit(0))), lambda i: (i + k * 2 <= n) & (F.slice(s, i + 1, k) == F.slice(s, i + k + 1, k))),
+        )
+        return (n >= 4) & (often | twice)
+
+    return F.when(readable(url), let(segments(url), repeats)).otherwise(False)
 
 
 def hygiene(url: Column) -> dict[str, Column]:
     """Column per finding."""
     ok = readable(url)
     p = path(url)
-    s = F.transform(segments(url), lambda x: F.lower(x))
+    low = F.transform(segments(url), lambda x: F.lower(x))
     params = F.filter(F.split(query(url), "&"), lambda x: x != "")
-    adjacent = F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: (i < F.size(s)) & (F.get(s, i) == F.get(s, i - 1)))
+    adjacent = let(low, lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: (i < F.size(s)) & (F.get(s, i) == F.get(s, i - 1))))
     return {
         "url_length": F.length(url).cast("long"),
         "over_length": ok & (F.length(url) > MAX_LENGTH),
