@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from sitequarry.llm.bytescan import U, mix, slices, stretches, windows
 from sitequarry.llm.common import as_batch, stored
 
-#: Phrases of one trigger that one row may hold.
-GROUP = 64
+#: Phrases of one trigger that one row may hold: about 6 MB.
+GROUP = 16_384
 #: Bytes of text whose hashes are held at once.
 SLICE = 1 << 19
 
@@ -138,13 +138,15 @@ def _cut(batches):
 
 def _suffixes(cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of phrases: the phrase, the start in it, and the hash of each string of LENGTH bytes."""
-    sizes = np.array([len(c) for c in cut], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    h = windows(np.frombuffer(b"".join(cut), np.uint8), LENGTH)
-    starts = np.arange(len(h))
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    inside = starts + LENGTH <= bounds[owner + 1]
-    return owner[inside], (starts - bounds[owner])[inside], h[inside]
+    out = []
+    for a, b in slices([len(c) for c in cut], SLICE):
+        bounds = np.concatenate([[0], np.cumsum(np.array([len(c) for c in cut[a:b]], np.int64))])
+        h = windows(np.frombuffer(b"".join(cut[a:b]), np.uint8), LENGTH)
+        starts = np.arange(len(h))
+        owner = np.searchsorted(bounds, starts, side="right") - 1
+        inside = starts + LENGTH <= bounds[owner + 1]
+        out.append(((owner + a)[inside], (starts - bounds[owner])[inside], h[inside]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
