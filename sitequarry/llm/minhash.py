@@ -149,48 +149,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, m
 def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
     """Of large buckets (band, doc_id, low): the links to the centres of their clusters, and the pairs that remain to be verified.
 
-    Let D(x) be the shingles that are in x or in the centre c, but not in both, and q = (1 - t) / (1 + t).  x and y are linked
-    if and only if |x D y| <= q (|x| + |y|), and |x D y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  If x isn't linked to c, so that
-    e = |D(x)| - q (|x| + |c|) > 0, it follows that D(x) and D(y) have more than (1 - q) / 2 |D(y)| and at least e / (1 + q)
-    shingles in common.  Two sets that have k elements in common share one among their first |set| - k + 1 in any order; with the
-    rarest first, few pairs do.  If both are linked to c, they are in one component anyway.
-
-    The centre is the set that is in most large buckets, which near copies of most others are.
+    Let A(x) be the shingles that x has and the centre c has not, R(x) those of c that x lacks, D(x) both together, and
+    q = (1 - t) / (1 + t).  x and y are linked if and only if |x D y| <= q (|x| + |y|), and |x D y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.
+    If x isn't linked to c, so that e = |D(x)| - q (|x| + |c|) > 0, it follows that D(x) and D(y) have more than
+    (1 - q) / 2 |D(y)| and at least e / (1 + q) shingles in common.  Two sets that have k elements in common have the first of
+    them, in any order, among their first |set| - k + 1.  Here A comes before R, and within them the rarest first.
+    If none of A is in common, x and y meet in what is left of c, at most in |x & c|, which is too little unless y is smaller than
+    c by g = |x| + |c| - (1 + t) / t |x & c| > 0 at least.  So pairs come from a common element of A or, for such y, of R.
+    If both are linked to c, they are in one component anyway.
+
+    A bucket's centre is its set that is in most large buckets: one that is like most others.  Buckets with the same centre are one
+    cluster, so a group of near copies is searched once, not once for each band.
     """
     q = (1 - threshold) / (1 + threshold)
-    placed = components(large.select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    counted = large.groupBy("doc_id").agg(F.count("*").alias("n")).join(placed, "doc_id")
-    centre = counted.groupBy("cluster").agg(F.max_by("doc_id", F.struct("n", (-F.col("doc_id")).alias("o"))).alias("centre"))
-    member = stored(placed.join(centre, "cluster"), "clusters")
+    counted = large.groupBy("doc_id").agg(F.count("*").alias("n"))
+    centre = large.select("band", "doc_id").join(counted, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("n", (-F.col("doc_id")).alias("o"))).alias("centre"))
+    member = stored(large.select("band", "doc_id").join(centre, "band").select("centre", "doc_id").distinct(), "clusters")
     full = _sets(docs, member.select("doc_id"), words, most_broadcast)
-    middle = member.select("cluster", "centre").distinct().join(full.toDF("centre", "c"), "centre").select("cluster", "centre", "c")
+    middle = member.select("centre").distinct().join(full.toDF("centre", "c"), "centre").select("centre", "c")
     middle = F.broadcast(middle) if small_enough(middle, 1000) else middle
 
     def differ(batches):
-        names = ["cluster", "centre", "doc_id", "element", "size", "excess", "linked"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        names = ["centre", "doc_id", "element", "added", "size", "excess", "gap", "smaller", "linked"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 p = batch.slice(at, 64)
-                for cluster, c_id, doc_id, x, c in zip(*(p.column(i).to_pylist() for i in range(5)), strict=True):
+                for c_id, doc_id, x, c in zip(*(p.column(i).to_pylist() for i in range(4)), strict=True):
                     x, c = np.frombuffer(x, U), np.frombuffer(c, U)
-                    d = np.setxor1d(x, c, assume_unique=True)
-                    excess = len(d) - q * (len(x) + len(c))
-                    n = max(1, len(d))
+                    more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                    d = len(more) + len(less)
+                    excess, gap = d - q * (len(x) + len(c)), len(x) + len(c) - (1 + threshold) / threshold * (len(x) - len(more))
+                    n = max(1, d)
                     # A copy of the centre has no difference: one row with a null element carries it.
-                    yield as_batch([[cluster] * n, [c_id] * n, [doc_id] * n, d.view(np.int64) if len(d) else [None], [len(d)] * n, [excess] * n, [excess <= 1e-9] * n], types, names)
+                    element, added = (np.concatenate([more, less]).view(np.int64), [True] * len(more) + [False] * len(less)) if d else ([None], [None])
+                    yield as_batch([[c_id] * n, [doc_id] * n, element, added, [d] * n, [excess] * n, [gap] * n, [len(c) - len(x)] * n, [excess <= 1e-9] * n], types, names)
 
-    own = member.join(full, "doc_id").join(middle, ["cluster", "centre"]).select("cluster", "centre", "doc_id", "shingles", "c")
-    d = stored(own.mapInArrow(differ, "cluster long, centre long, doc_id long, element long, size long, excess double, linked boolean"), "differences")
+    own = member.join(full, "doc_id").join(middle, "centre").select("centre", "doc_id", "shingles", "c")
+    d = stored(own.mapInArrow(differ, "centre long, doc_id long, element long, added boolean, size long, excess double, gap double, smaller long, linked boolean"), "differences")
     central = d.where("linked and doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    df = d.where("element is not null").groupBy("cluster", "element").agg(F.count("*").alias("df"))
+    df = d.where("element is not null").groupBy("centre", "element").agg(F.count("*").alias("df"))
     # A document has few differences; its own order needs no more than them.
-    ranked = d.where("element is not null").join(df, ["cluster", "element"]).withColumn("place", F.row_number().over(W.partitionBy("cluster", "doc_id").orderBy("df", "element"))).where("df > 1")
+    ranked = d.where("element is not null").join(df, ["centre", "element"]).withColumn("place", F.row_number().over(W.partitionBy("centre", "doc_id").orderBy(F.desc("added"), "df", "element"))).where("df > 1")
     short = F.col("place") <= F.col("size") - F.floor((1 - q) / 2 * F.col("size") + 1e-9)
     long_ = ~F.col("linked") & (F.col("place") <= F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("excess") / (1 + q) - 1e-9)) + 1)
-    ranked = stored(ranked.where(short | long_).select("cluster", "element", "doc_id", "linked", short.alias("short")), "prefixes")
-    x, y = (ranked.select("cluster", "element", F.col("doc_id").alias(k), F.col("linked").alias("linked_" + k), F.col("short").alias("short_" + k)) for k in "xy")
-    met = x.where("not linked_x").join(y.where("short_y"), ["cluster", "element"]).where("x <> y and (linked_y or (short_x and x < y))")
+    ranked = stored(ranked.where(short | long_).select("centre", "element", "added", "doc_id", "linked", "gap", "smaller", short.alias("short")), "prefixes")
+    x, y = (ranked.select("centre", "element", "added", *[F.col(n).alias(f"{n}_{k}") for n in ("doc_id", "linked", "gap", "smaller", "short")]) for k in "xy")
+    ordered = "doc_id_x <> doc_id_y and (linked_y or (short_x and doc_id_x < doc_id_y))"
+    same = ["centre", "element", "added"]
+    gained = x.where("added and not linked_x").join(y.where("added and short_y"), same).where(ordered)
+    fits = "smaller_y >= gap_x - 1e-9 and (linked_y or smaller_x >= gap_y - 1e-9)"
+    lost = x.where("not added and not linked_x").join(y.where("not added and short_y and smaller_y > 0"), same).where(f"{ordered} and {fits}")
+    met = gained.unionByName(lost).select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y"))
     return central, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
