@@ -1,0 +1,372 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sitequarry.llm import components, decontaminate, fingerprint, langid, maintext, minhash, mixing, private, repeats, toxicity, urlfilter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (3, "   \n\t ", "en", "s", 6),
+    (4, "one", "en", "s", 3),
+    (5, "one", "en", "s", 3),
+    (5, "one", "en", "s", 3),
+    (None, "one two three four five six seven", "en", None, 33),
+    (7, "Ünï çödé 漢字 🙂 text " * 3000, "fr", "s", 60000),
+    (8, "%%% 123 $$$", "en", "s", 11),
+]
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def text_of(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Random texts with exact copies, a chain of edits and a group of near copies around a text."""
+    rng = random.Random(3)
+    texts = [text_of(rng, rng.choice([3, 20, 60, 120])) for _ in range(60)]
+    base = text_of(rng, 100).split()
+    for _ in range(50):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + "x"
+        texts.append(" ".join(w))
+    texts += texts[:5] + ["", "solo", "solo"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+def sets(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(rows, k=2, t=0.8):
+    found = {i: sets(x, k) for i, x in rows}
+    parent = {i: i for i in found}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(found)
+    for a in ids:
+        for b in ids:
+            if a < b and found[a] and found[b] and len(found[a] & found[b]) * 100 >= 100 * t * len(found[a] | found[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("small", [0, 12])
+def test_near_duplicates_are_those_of_all_pairs(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)  # 0: all open buckets are searched by differences
+    docs = spark.createDataFrame(corpus, SCHEMA).withColumns({"sig": F.lit(1), "component": F.lit(2), "band": F.lit(3)})
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, words=2).collect()}
+    want = brute_components([(r[0], r[1]) for r in corpus])
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    assert {i: r.n_shingles for i, r in got.items()} == {r[0]: len(sets(r[1], 2)) for r in corpus}
+
+
+def test_near_duplicates_on_odd_rows(odd, empty):
+    rows = minhash.near_duplicates(odd, words=2).collect()
+    assert len(rows) == len(ODD)
+    by = {r.doc_id: r for r in rows}
+    assert by[1].n_shingles == by[2].n_shingles == by[3].n_shingles == 0
+    assert by[5].component_id == 4 and not by[5].kept and by[4].kept and by[1].kept
+    assert by[None].component_id is None and by[None].kept
+    assert minhash.near_duplicates(empty).count() == 0
+    kept = minhash.deduplicated(odd, words=2)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8]
+    assert minhash.deduplicated(empty).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 120)] + [(7, 7), (119, 118), (119, 118)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 120)}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    cards = ["4111111111111111", "378282246310005", "5500 0000 0000 0004"]
+    text = "on 2024-02-29, 31.12.1999 and 30/02/1999 from 10.1.2.3 call +1 (743) 555-3824, ssn 123-45-6789, DE89 3704 0044 0532 0130 00, mail A.b@Example.com " + " ".join(cards) + " bad 4111111111111112 Version 2.0."
+    docs = spark.createDataFrame([(1, text), (2, "again 10.1.2.3 and 4111111111111111"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in private.pseudonymised(docs, "k", counts=True).collect()}
+    new = got[1].text
+    assert got[3].text == new
+    assert "4111111111111112" in new and "Version 2.0." in new and "30/02/1999" in new
+    for gone in [*cards, "10.1.2.3", "743) 555-3824", "123-45-6789", "3704 0044", "A.b@", "2024-02-29", "31.12.1999"]:
+        assert gone not in new, gone
+    assert all(luhn(x) for x in re.findall(r"\b\d{15,16}\b|\b\d{4} \d{4} \d{4} \d{4}\b", new[new.index("mail") :]) if x != "4111111111111112")
+    assert re.search(r"on \d{4}-02-29, \d\d\.\d\d\.\d{4} and", new)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    ip = re.search(r"from (\d+\.\d+\.\d+\.\d+)", new)[1]
+    assert all(int(x) < 256 for x in ip.split(".")) and f"again {ip} and" in got[2].text
+    assert private.pseudonymised(docs, "other").where("doc_id = 1").head().text != new
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    rows = [(i, f"{i // 256}.{i % 256}.7.9") for i in range(0, 65536, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert private.pseudonymised(docs, "k").select("text").distinct().count() == len(rows)
+    days = spark.range(2000).select("id", F.date_format(F.date_add(F.lit("2001-03-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    moved = private.pseudonymised(days, "k")
+    assert moved.select("text").distinct().count() == 2000
+    assert moved.where(F.try_to_date("text", "yyyy-MM-dd").isNull()).count() == 0
+
+
+def test_pseudonyms_on_odd_rows(odd, empty):
+    got = private.pseudonymised(odd, "k")
+    assert got.columns == odd.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
+    assert private.pseudonymised(empty, "k").count() == 0
+
+
+def test_fingerprints(spark, odd, empty):
+    a, b = "first line. more\nsecond line.", "second line.\nfirst line. more\n\n"
+    v = fingerprint.Vectors()
+    assert fingerprint.encode(v.total(a)) == fingerprint.encode(v.total(b))
+    assert fingerprint.insert(fingerprint.encode(v.total("first line. more")), "second line.") == fingerprint.encode(v.total(a))
+    assert fingerprint.delete(fingerprint.encode(v.total(a)), "second line.") == fingerprint.encode(v.total("first line. more"))
+    assert fingerprint.likeness(v.total(a), v.total(a)) == 1.0
+    rows = sorted(((r[0], r[1] or "") for r in ODD if r[0] is not None), key=lambda r: (-r[0], r[1]))
+    order = [*rows, (None, ODD[6][1])]
+    got = {(r.doc_id, r.edited_sha256) for r in fingerprint.fingerprints(odd).collect()}
+    want = set()
+    for i, (doc_id, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        want.add((doc_id, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert got == want
+    assert fingerprint.fingerprints(empty).count() == 0
+    assert fingerprint.fingerprints(odd, parts=1).count() == len(ODD)
+
+
+def test_mixing_meets_weights_and_budget(spark, odd, empty):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(5, 40), "en", "big" if i % 10 else f"small{i % 3}", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit("clash"))
+    got = mixing.mixed(docs, target_entropy=0.8, most_passes=3.0)
+    used = {r.source: r.t for r in got.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    total = Counter()
+    for r in rows:
+        total[r[3]] += len(r[1].split())
+    weights = mixing.weights_at(total, mixing.exponent_for(total, 0.8, 3.0, sum(total.values())))
+    for s, w in weights.items():
+        assert abs(used[s] - w * sum(total.values())) < 0.1 * total[s], s
+    assert got.groupBy("doc_id", "pass").count().where("count > 1").count() == 0
+    assert mixing.mixed(docs, target_entropy=0.8, most_passes=3.0).exceptAll(got).count() == 0
+    assert mixing.mixed(empty).count() == 0
+    assert {r.doc_id for r in mixing.mixed(odd).collect()} <= {r[0] for r in ODD}
+    blank = spark.createDataFrame([(1, None, None, None, None)], SCHEMA)
+    assert mixing.mixed(blank).head()["pass"] == 0
+
+
+def test_exponent_keeps_the_limit_on_passes():
+    tokens = {"a": 1_000_000, "b": 1000}
+    e = mixing.exponent_for(tokens, 1.0, 4.0, sum(tokens.values()))
+    w = mixing.weights_at(tokens, e)
+    assert w["b"] * sum(tokens.values()) / 1000 <= 4.0 + 1e-6
+    assert mixing.exponent_for({"a": 5}, 1.0, 4.0, 5) == 1.0
+
+
+def test_toxicity_learns_and_shares_subwords(spark, odd, empty):
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        w = text_of(rng, 60).split()
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(5):
+                w[rng.randrange(60)] = rng.choice(["worthless", "moronic", "despicable"])
+        rows.append((i, " ".join(w), int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    scorer = toxicity.Scorer(model)
+    plain = text_of(rng, 60)
+    assert scorer.score(plain + " worthless moronic despicable worthless moronic") > 0.5 > scorer.score(plain)
+    assert scorer.score(plain + " w0rthless worthles moronics despicables worthlesss moronicc") > scorer.score(plain)
+    got = toxicity.predict(odd.withColumn("toxicity", F.lit(9)), model)
+    assert got.columns == [*odd.columns, "toxicity"] and got.count() == len(ODD)
+    assert all(0 <= r.toxicity <= 1 for r in got.collect())
+    untaught = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    assert toxicity.predict(odd, untaught).where("toxicity >= 0.3").count() == 0
+    assert toxicity.predict(empty, model).count() == 0
+
+
+def test_language_backoff(spark, odd, empty):
+    rows = [(i, x, lang) for i, (x, lang) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr")] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    score = langid.Scorer(model)
+    assert score("the garden")[0] == "en" and score("das haus")[0] == "de" and score("la maison")[0] == "fr"
+    assert score("gardening")[0] == "en" and score("jardins maisons")[0] == "fr"  # no word is known
+    got = {r.doc_id: r for r in langid.predict(odd.withColumn("lang_pred", F.lit(1)), model).collect()}
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {1, 2, 3, 8}
+    assert all(r.lang_score == 0 for r in got.values() if r.lang_pred == "und")
+    assert all(0 <= r.lang_score <= 1 for r in got.values())
+    assert langid.predict(empty, model).count() == 0
+    nothing = langid.fit(empty)
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def brute_leaks(docs, items, size=5, t=0.8):
+    norm = lambda x: [w for w in re.split(r"[^\w]+|_", (x or "").lower()) if w]
+    sh = lambda w: {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+    own = {i: norm(x) for i, x in items}
+    df = Counter(s for w in own.values() for s in sh(w))
+    out = {}
+    for d, text in docs:
+        w = norm(text)
+        for i, it in own.items():
+            if not it:
+                continue
+            for a in range(max(1, len(w) - len(it) + 1)):
+                x, y = sh(w[a : a + len(it)]), sh(it)
+                if not x:
+                    continue
+                sim = sum(1 / df[s] for s in x & y) / (sum(1 / df[s] for s in y) + len(x) - len(x & y))
+                if sim >= t - 1e-9:
+                    out[d, i] = max(out.get((d, i), 0), round(sim, 6))
+    return out
+
+
+def test_leaks_are_those_of_all_windows(spark, odd, empty):
+    rng = random.Random(5)
+    items = [(i, text_of(rng, n)) for i, n in enumerate([3, 8, 16, 30, 45, 60, 60])] + [(50, None), (51, ""), (52, "one two three four five six seven")]
+    docs = []
+    for i in range(60):
+        w = text_of(rng, 80).split()
+        if i % 3 == 0:
+            it = items[rng.randrange(7)][1].split()
+            if i % 2 and len(it) > 40:
+                it[20] = "changed"
+            if i % 4 == 1 and len(it) > 40:
+                it = it[2:]
+            a = rng.randrange(80)
+            w[a:a] = [x.upper() + "," for x in it]
+        docs.append((i, " ".join(w)))
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    want = brute_leaks(docs, items)
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    leaks = decontaminate.contaminated(odd, b).collect()
+    assert [(r.doc_id, r.item_id) for r in leaks] == [(None, 52)]
+    kept = decontaminate.clean(odd, b)
+    assert kept.columns == odd.columns and kept.count() == len(ODD)
+    assert decontaminate.contaminated(empty, b).count() == 0
+    assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
+
+
+def test_all_prints_within_the_radius_share_a_block(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        x = rng.getrandbits(60)
+        y = x
+        for bit in rng.sample(range(60), rng.randint(0, decontaminate.RADIUS)):
+            y ^= 1 << bit
+        rows.append((x, y))
+    df = spark.createDataFrame(rows, "x long, y long").select(F.size(F.array_intersect(decontaminate.blocks(F.col("x")), decontaminate.blocks(F.col("y")))).alias("n"))
+    assert df.where("n = 0").count() == 0
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=/>Menu, menu, menu, menu</a></ul></nav>
+    <div class="cookie-notice">We use cookies, as all do, for many, many reasons.</div><div id=main><div class="post"><h1>A &amp; B</h1><p>First,   one <b>bold<br>line</b>
+    with enough text to count, and commas.<p>Second &eacute;&#33; <script>var x = "</p>";</script>paragraph.</p><div class=share>tweet</div><ul><li>x<li>y</ul></div></div>
+    <aside>Aside, with, many, commas, and long text that must not win here.</aside><section class="comments"><p>Great post, I agree, really, with all of it.</p></section><footer>&copy; me</footer>"""
+    assert maintext.main_text(page) == "A & B\nFirst, one bold line with enough text to count, and commas.\nSecond é! paragraph.\nx\ny"
+    assert maintext.main_text(None) == maintext.main_text("") == maintext.main_text("<script>x</script>") == ""
+    assert maintext.main_text("just &lt;text") == "just <text"
+    assert maintext.main_text("<p>" + "<b>" * 5000 + "deep") == "deep"
+    assert maintext.main_text("<article><p>" + "long, text " * 30000 + "</p></article>") == ("long, text " * 30000).strip()
+
+
+def test_pages_on_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = maintext.extract(pages).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "a", 1), (1, "", 0), (2, "", 0), (2, "", 0)]
+    assert maintext.extract(pages.limit(0)).count() == 0
+
+
+def brute_repeats(docs, length):
+    count = Counter()
+    data = [(d, (t or "").encode()) for d, t in docs]
+    for _, b in data:
+        count.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((d or 0, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [1, 16384])
+def test_repeats_are_those_of_all_strings(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)  # 1: all strings of shared triggers are dealt out one by one
+    rng = random.Random(6)
+    passage, line = text_of(rng, 60), text_of(rng, 25)
+    docs = [(i, text_of(rng, 40) + (passage[rng.randrange(40) :] if i % 3 else line) + text_of(rng, 30)) for i in range(30)]
+    docs += [(30, "ab" * 400), (31, "x" * 199), (32, "x" * 200), (33, "x" * 201), (34, None), (35, ""), (36, docs[0][1]), (36, docs[0][1]), (None, docs[1][1] + "é" * 150)]
+    docs += [(37, line + line), (38, "ab" * 100 + "c" + "ab" * 100), (39, "abc" * 70), (40, passage[:199]), (41, passage[1:201])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"tag": F.lit(1), "trigger": F.lit(2)})
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect())
+    assert got == brute_repeats(docs, repeats.LENGTH)
+
+
+def test_repeats_on_odd_rows(odd, empty):
+    assert repeats.without_repeats(odd).count() == len(ODD)
+    assert repeats.without_repeats(empty).count() == 0
+
+
+def test_url_keys_and_as_of(spark):
+    captures = spark.createDataFrame(
+        [(1, "https://User@Ads.Example.com:443/a/b?x#y", 15), (2, "http://example.com/", 5), (3, "http://example.com/", 15), (3, "http://example.com/", 15), (4, None, 15), (5, "no url", 15), (6, "http://example.com/a/", None), (7, "http://other.org/ok/page", 100)],
+        "id int, url string, day int",
+    ).withColumns({"fetched_at": F.timestamp_seconds(F.col("day") * 86400), "key": F.lit("clash"), "verdict": F.lit("old")})
+    log = [
+        ("l", "example.com", "block", 10), ("l", "example.com", "remove", 20), ("l", "ads.example.com/a/", "allow", 12), ("m", "other.org", "block", 50), ("m", "other.org", "block", 50),
+        ("m", "other.org/ok/", "allow", 99), ("m", "other.org/ok/", "remove", 101), (None, "x", "block", 1), ("m", "x", None, 1),
+    ]
+    entries = spark.createDataFrame(log, "list string, pattern string, action string, day int").select("list", "pattern", "action", F.timestamp_seconds(F.col("day") * 86400).alias("since"))
+    got = sorted((r.id, r.n_active, r.verdict, r.blocked_by, r.allowed_by) for r in urlfilter.evaluated(captures, urlfilter.intervals(entries)).collect())
+    assert got == [
+        (1, 2, "allow", "example.com", "ads.example.com/a/"), (2, 0, "none", None, None), (3, 1, "block", "example.com", None), (3, 1, "block", "example.com", None),
+        (4, 0, "none", None, None), (5, 0, "none", None, None), (6, 0, "none", None, None), (7, 2, "allow", "other.org", "other.org/ok/"),
+    ]
+    assert urlfilter.evaluated(captures.limit(0), urlfilter.intervals(entries)).count() == 0
+    assert urlfilter.evaluated(captures, urlfilter.intervals(entries.limit(0))).where("verdict <> 'none'").count() == 0
