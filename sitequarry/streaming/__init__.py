@@ -1 +1 @@
-
+"""Running counts and deduplication over streams of pages and events."""
