@@ -193,10 +193,12 @@ def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most
     ranked = d.where("element is not null").join(df, ["centre", "element"]).withColumn("place", F.row_number().over(W.partitionBy("centre", "doc_id").orderBy(F.desc("added"), "df", "element"))).where("df > 1")
     short = F.col("place") <= F.col("size") - F.floor((1 - q) / 2 * F.col("size") + 1e-9)
     long_ = ~F.col("linked") & (F.col("place") <= F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("excess") / (1 + q) - 1e-9)) + 1)
-    ranked = stored(ranked.where(short | long_).select("centre", "element", "added", "doc_id", "n", "size", "linked", "gap", "smaller", short.alias("short")), "prefixes")
-    x, y = (ranked.select("centre", "element", "added", *[F.col(n).alias(f"{n}_{k}") for n in ("doc_id", "n", "size", "linked", "gap", "smaller", "short")]) for k in "xy")
+    ranked = stored(ranked.where(short | long_).select("centre", "element", "added", "doc_id", "n", "size", "place", "linked", "gap", "smaller", short.alias("short")), "prefixes")
+    x, y = (ranked.select("centre", "element", "added", *[F.col(n).alias(f"{n}_{k}") for n in ("doc_id", "n", "size", "place", "linked", "gap", "smaller", "short")]) for k in "xy")
     # Sizes alone rule out most: those of the sets, and those of the differences, of which no more than the smaller is in common.
-    sizes = f"least(n_x, n_y) >= {threshold} * greatest(n_x, n_y) - 1e-9 and abs(size_x - size_y) <= {q} * (n_x + n_y) + 1e-9"
+    # So does the place of the first common element: from there on, either set must hold as many as a link needs in common.
+    needed = f"((size_x + size_y - {q} * (n_x + n_y)) / 2 - 1e-9)"
+    sizes = f"least(n_x, n_y) >= {threshold} * greatest(n_x, n_y) - 1e-9 and size_x - place_x + 1 >= {needed} and size_y - place_y + 1 >= {needed}"
     ordered = f"doc_id_x <> doc_id_y and (linked_y or (short_x and doc_id_x < doc_id_y)) and {sizes}"
     same = ["centre", "element", "added"]
     gained = x.where("added and not linked_x").join(y.where("added and short_y"), same).where(ordered)
