@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as t
 from sitequarry.functions import url as u
-from sitequarry.functions.common import any_of, bounded, half_up, half_up_int
+from sitequarry.functions.common import any_of, bounded, half_up, half_up_int, let
 
 # What an error text says, and the class it stands for, in the order that they are tried.
 FAILURES = [
@@ -104,10 +104,11 @@ def link_opportunities(targets: DataFrame, sources: DataFrame, links: DataFrame,
     """
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\w\s'-]", " "), r"\s+"), lambda w: w != "")
     wanted = targets.select(F.lower("keyword").alias("keyword"), "target", F.col("equity").alias("te"), "n_incoming").where(F.size(F.split("keyword", " ")) <= most_words)
-    base = sources.select("source", F.col("equity").alias("se"), words.alias("w")).where("size(w) > 0")
-    each = base.select("source", "se", "w", F.posexplode("w").alias("i", "first"))
+    # Each word with those after it, so that rows stay short: no text is carried along.
+    runs = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.array_join(F.slice(w, i, most_words), " ")))
+    each = sources.select("source", F.col("equity").alias("se"), F.explode(runs).alias("run")).withColumn("first", F.substring_index("run", " ", 1))
     firsts = wanted.select(F.substring_index("keyword", " ", 1).alias("first"), "keyword", "target", "te", "n_incoming")
-    hit = each.join(firsts, "first").where(F.array_join(F.slice("w", F.col("i") + 1, F.size(F.split("keyword", " "))), " ") == F.col("keyword"))
+    hit = each.join(firsts, "first").where(F.concat("run", F.lit(" ")).startswith(F.concat("keyword", F.lit(" "))))
     found = hit.where("source <> target").groupBy("source", "target").agg(F.min("keyword").alias("keyword"), F.first("se").alias("se"), F.first("te").alias("te"), F.first("n_incoming").alias("n_incoming"))
     found = found.join(links.select("source", "target"), ["source", "target"], "left_anti")
     scored = found.withColumn("score", opportunity(F.col("se"), F.col("te"), F.col("n_incoming"))).where(F.col("score") >= least)

@@ -1,0 +1,204 @@
+"""Operators on literals, and every registered query against its SQL."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from sitequarry.functions import text as t
+from sitequarry.functions import url as u
+from sitequarry.operators import content, forecast, graph, html, logs, reports, robots, rules, similarity
+from sitequarry.operators import store as s
+from sitequarry.plans import registry
+from sitequarry.sources import readers
+from sitequarry.streaming import events
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="session")
+def duck():
+    c = duckdb.connect()
+    for name in TABLES:
+        c.execute(f"create view {name} as select * from read_parquet('{SMALL}/{name}.parquet')")
+    return c
+
+
+def rows_of(pdf):
+    columns = sorted(pdf.columns)
+    return columns, sorted(map(str, pdf[columns].itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_is_its_sql(spark, duck, name):
+    got = rows_of(registry.QUERIES[name](spark, SMALL).toPandas())
+    want = rows_of(duck.execute(registry.ORACLES[name]).df())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_query_runs(spark, name):
+    assert registry.QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("r")).head().r
+
+
+@pytest.mark.parametrize(
+    ("f", "value", "want"),
+    [
+        (u.clean, "https://MySite.com:443/Products/?utm_source=twitter&page=3&fbclid=123&category=shoes#pricing", "https://mysite.com/products?category=shoes&page=3"),
+        (u.clean, "http://example.com:80//blog//seo-guide/", "http://example.com/blog/seo-guide"),
+        (u.normalize, "https://X.com/a//?q=1#f", "https://x.com/a/"),
+        (u.normalize, " Not a url/ ", "not a url"),
+        (u.candidate, "https://Example.COM/A?b=2&UTM_SOURCE=x&a=1&gclid=zzz#frag", "https://example.com/A?b=2&a=1"),
+        (u.candidate, "https://example.com:8443/x?a=1&a=2", "https://example.com:8443/x?a=1&a=2"),
+        (u.candidate, "ftp://example.com/", None),
+        (u.candidate, "https://user:pw@example.com/", None),
+        (u.root_domain, "www.Sub.Example.com/path", "sub.example.com"),
+        (u.publisher, "https://team.medium.com/x", "medium.com"),
+        (u.is_trap, "https://x.com/shop/shoes/shop/shoes/shop/shoes", True),
+        (u.is_trap, "https://x.com/a/b/c/a/b/c", True),
+        (u.is_trap, "https://x.com/a/b/c/d", False),
+        (lambda c: t.syllables(c), "beautiful", 3),
+        (lambda c: t.syllables(c), "hello", 2),
+        (lambda c: t.syllables(c), "cat", 1),
+        (lambda c: t.intent(c)["primary"], "how to improve website speed", "informational"),
+        (lambda c: t.intent(c)["primary"], "best email finder tools 2026", "commercial"),
+        (lambda c: t.intent(c)["primary"], "buy cheap domain name", "transactional"),
+        (lambda c: t.intent(c)["primary"], "stripe login dashboard", "navigational"),
+        (lambda c: t.difficulty(c, t.intent(c)["primary"]) >= 75, "crm", True),
+        (lambda c: t.anchor_class(c, "Acme", ["best crm"]), "Click Here", "generic"),
+        (lambda c: t.anchor_class(c, "Acme", ["best crm"]), "best crm", "exact_match"),
+        (lambda c: t.anchor_class(c, "Acme", ["best crm software"]), "software list", "partial_match"),
+        (lambda c: t.anchor_class(c), "https://x.com", "naked_url"),
+        (lambda c: t.anchor_class(c), " ", "empty_image"),
+        (lambda c: t.fnv1a32(c), "abc", 440920331),
+        (lambda c: logs.bot(c), "Mozilla/5.0 (compatible; OAI-SearchBot/1.0)", "OAI-SearchBot"),
+        (lambda c: logs.bot(c), "curl/8", "Other bot"),
+        (lambda c: logs.bot(c), None, "Human"),
+        (lambda c: content.failure_class(c, F.lit(0)), "request timed out", "connection_timeout"),
+        (lambda c: content.failure_class(c, F.lit(200)), "", None),
+    ],
+)
+def test_functions(spark, f, value, want):
+    assert one(spark, value, f) == want
+
+
+def test_soft_404(spark):
+    d = spark.createDataFrame([(200, "404 - Page Not Found", "", "", 15), (200, "Survey 404, Ambli", "Survey", "long text", 900), (404, "404", "", "", 1)], "status int, title string, h1 string, body string, n int")
+    got = [r.s for r in d.select(t.soft404_score(F.col("status"), F.lit("https://x/"), F.col("title"), F.col("h1"), F.col("body"), F.col("n"), F.lit(None).cast("string")).alias("s")).collect()]
+    assert got[0] >= 45 > got[1] and got[2] == 0
+
+
+def test_log_lines(spark):
+    lines = [
+        '1.2.3.4 - - [10/Oct/2026:13:00:00 +0200] "GET /ok HTTP/1.1" 200 512 "-" "Mozilla/5.0 (compatible; Googlebot/2.1)"',
+        '1.2.3.4 - - [10/Oct/2026:13:00:01 +0000] "GET /dead?utm_source=x HTTP/1.1" 404 - "-" "Googlebot"',
+        '{"url": "/j", "status": 500, "userAgent": "GPTBot", "timestamp": 10}',
+        "{broken", "", "no log",
+    ]
+    log = logs.entries(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = {r.url: (r.bot, r.status, r.bytes) for r in log.collect()}
+    assert got == {"/ok": ("Googlebot", 200, 512), "/dead?utm_source=x": ("Googlebot", 404, 0), "/j": ("GPTBot", 500, 0)}
+    assert {r.kind: r.hits for r in logs.waste(log).collect()} == {"Bot hits to 404 dead URLs": 1, "Bot hits to 5xx error URLs": 1, "Bot hits to parameterised / ad-tagged URLs": 1}
+    known = spark.createDataFrame([("https://x/ok", 200, "/ok"), ("https://x/hidden", 200, "/hidden")], "url string, status int, path string")
+    assert [r.url for r in logs.never_crawled(known, log).collect()] == ["https://x/hidden"]
+
+
+def test_robots(spark):
+    text = "User-agent: *\nDisallow: /admin/\nDisallow: /api/\nAllow: /api/public/\n\nUser-agent: GPTBot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow: /private/"
+    found = robots.rules(spark.createDataFrame([(1, text)], "k int, x string"), "k", "x")
+    paths = spark.createDataFrame([(1, p) for p in ("/admin/a", "/api/public/x", "/api/x", "/private/p", "/")], "k int, path string")
+    allowed = lambda agent: {r.path for r in robots.verdicts(found, "k", paths, agent).where("allowed").collect()}
+    assert allowed("Other") == {"/api/public/x", "/private/p", "/"}
+    assert allowed("GPTBot") == set()
+    assert allowed("Googlebot") == {"/admin/a", "/api/public/x", "/api/x", "/"}
+
+
+def test_forecast_invariants():
+    import numpy as np
+
+    f, _ = forecast.model(np.array([42.0]), 5, 7)
+    assert list(f.p50) == [42.0] * 5
+    f, _ = forecast.model(np.arange(10.0, 26.0, 2.0), 7, 7)
+    assert (np.diff(f.p50) > 0).all() and (f.p10 <= f.p50).all() and (f.p50 <= f.p90).all()
+    assert (f.p90 - f.p10).iloc[-1] > (f.p90 - f.p10).iloc[0]
+    _, a = forecast.model(np.array([100, 102, 99, 101, 100, 98, 102, 101, 250, 100, 101, 99, 10, 98, 101, 100.0]), 3, 7)
+    assert {(r.i, r.kind, r.severity) for r in a.itertuples()} >= {(8, "spike", "critical"), (12, "drop", "critical")}
+    f, _ = forecast.model(np.array([50, 40, 30, 20, 10, 5, 2.0]), 10, 7, 0.0, 100.0)
+    assert f.min().min() >= 0 and f.p90.max() <= 100
+
+
+def test_graph(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "node long")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "source long, target long")
+    rank = {r.node: r.score for r in graph.pagerank(nodes, edges).collect()}
+    assert rank[0] == 100 and rank[4] == rank[3] < rank[1]
+    assert {r.node: r.level for r in graph.levels(nodes.where("node = 3"), edges).collect()} == {3: 0, 0: 1, 1: 2, 2: 3}
+    assert graph.pagerank(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_near_pairs_and_simhash(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    d = spark.createDataFrame([(1, base), (2, base.replace("w79", "x")), (3, " ".join(f"v{i}" for i in range(80))), (4, base.upper())], "k long, x string")
+    assert [(r.a, r.b) for r in similarity.near_pairs(d, "k", "x").collect()] == [(1, 2)]
+    assert similarity.exact_groups(d, "k", "x").head().n == 2
+    prints = d.select("k", similarity.simhash(F.col("x")).alias("print"))
+    assert (1, 4) in {(r.a, r.b) for r in similarity.simhash_pairs(prints).collect()}
+    assert prints.where("k = 3").head().print != prints.where("k = 1").head().print
+
+
+def test_rules_can_be_added(spark):
+    rules.register("x_even", "Even", "Notice", "Custom", lambda: F.col("page_id") % 2 == 0)
+    try:
+        pages = spark.createDataFrame([(1, "u"), (2, "v")], "page_id long, url string")
+        assert [r.url for r in rules.issues(pages, ["x_even"]).collect()] == ["v"]
+        assert "x_even" in rules.listed()
+    finally:
+        del rules.REGISTRY["x_even"]
+
+
+def test_pages_are_parsed():
+    page = '<html lang=en><head><title> A  b</title><meta name=description content=d><link rel=canonical href=/c><script type="application/ld+json">{"@graph":[{"@type":"FAQPage"}]}</script></head><body><h1>H</h1><img src=x><a href=/a></a><p id=i><p id=i>two words</body>'
+    r = html.read(page)
+    assert (r.title, r.h1, r.lang, r.description, r.canonical, r.types()) == ("A b", "H", "en", "d", "/c", ["FAQPage"])
+    assert r.n["img_no_alt"] == 1 and r.n["empty_anchor"] == 1 and r.ids["i"] == 2
+    assert html.read(None).title == ""
+
+
+def test_diff_and_delta(spark):
+    a = spark.createDataFrame([("x", 200), ("y", 200), ("z", None)], "k string, status int")
+    b = spark.createDataFrame([("y", 500), ("z", None), ("w", 200)], "k string, status int")
+    assert {(r.k, r.change) for r in reports.diff(a, b, "k", ["status"]).collect()} == {("x", "removed"), ("y", "changed"), ("w", "added")}
+
+
+def test_pages_of_results(spark):
+    d = spark.range(10).orderBy("id")
+    assert [r.id for r in s.page(d, 2, 3).collect()] == [3, 4, 5]
+    assert [r.id for r in s.page(d, 0, 0).collect()] == [0]
+
+
+def test_saving_again_replaces_one_crawl(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1), ("b", 2)], "url string, crawl_id int")
+    readers.save_crawl({"pages": d}, str(tmp_path))
+    readers.save_crawl({"pages": spark.createDataFrame([("c", 1)], "url string, crawl_id int")}, str(tmp_path))
+    assert {(r.url, r.crawl_id) for r in spark.read.parquet(f"{tmp_path}/pages").collect()} == {("c", 1), ("b", 2)}
+
+
+def test_streams_end_as_batches(spark, tmp_path):
+    schema = spark.read.parquet(f"{SMALL}/events.parquet").schema
+    stream = events.read(spark, SMALL, "events", schema)
+    got = events.drained(events.windows(stream, "event_type"), "w_test", "complete", str(tmp_path / "c"))
+    batch = events.windows(spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
+    assert got.select("event_type", "start", "n").exceptAll(batch.select("event_type", "start", "n")).count() == 0
+    assert got.count() == batch.count()
+    seen = events.drained(events.first_seen(events.read(spark, SMALL, "events", schema), "user_id"), "s_test", "append", str(tmp_path / "s"))
+    assert seen.groupBy("user_id").count().count() == spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
