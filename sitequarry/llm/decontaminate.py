@@ -88,6 +88,29 @@ def anchors(items: DataFrame, size: int, threshold: float) -> DataFrame:
     return chosen.select(F.col("b.word").alias("word"), F.col("b.at").alias("at"), "offset", "n", "shingle").distinct()
 
 
+def _cut(docs: DataFrame, looked_for: DataFrame) -> DataFrame:
+    """(doc_id, start, n, window) of the windows around anchors; looked_for is broadcast, so explode and join run in one pass and no word list is copied."""
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    # posexplode_outer: the plain one would have the words split twice, to filter empty ones first.
+    hit = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "word")).join(looked_for, "word")
+    from_ = F.col("pos") - F.col("at")
+    hit = hit.where((from_ >= 0) & (F.array_join(F.slice("words", F.greatest(from_, F.lit(0)) + 1, F.size(F.split("shingle", " "))), " ") == F.col("shingle")))
+    start = F.greatest(from_ - F.col("offset"), F.lit(0))
+    return hit.select("doc_id", start.alias("start"), "n", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
+
+
+def _cut_joined(docs: DataFrame, looked_for: DataFrame, size: int) -> DataFrame:
+    """The same where anchors are too many to broadcast: runs of up to `size` words are dealt by run, and windows are cut from the documents afterwards."""
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    whole = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.array_join(F.slice(w, i + 1, k), " ")).alias("runs")))
+    bound = F.get(F.transform(F.array("words"), whole), F.lit(0))
+    each = words.where("size(words) > 0").select("doc_id", F.explode(bound).alias("e")).select("doc_id", "e.pos", F.explode(F.array_distinct("e.runs")).alias("shingle"))
+    hit = each.join(looked_for, "shingle").select("doc_id", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"), "n").distinct()
+    by_doc = hit.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    both = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "words", F.explode("cuts").alias("c"))
+    return both.select("doc_id", "c.start", "c.n", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window")).groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, similarity, n_windows, first_word): the items that a document repeats and the best similarity.
 
@@ -98,14 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     items = stored(prepared_items(benchmark, size), "items")
     looked_for = stored(anchors(items, size, threshold), "anchors")
     small = small_enough(looked_for, most_broadcast)
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    # posexplode_outer: the plain one would have the words split twice, to filter empty ones first.
-    each = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "word"))
-    hit = each.join(F.broadcast(looked_for) if small else looked_for, "word")
-    from_ = F.col("pos") - F.col("at")
-    hit = hit.where((from_ >= 0) & (F.array_join(F.slice("words", F.greatest(from_, F.lit(0)) + 1, F.size(F.split("shingle", " "))), " ") == F.col("shingle")))
-    start = F.greatest(from_ - F.col("offset"), F.lit(0))
-    cut = hit.select("doc_id", start.alias("start"), "n", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
+    cut = _cut(docs, F.broadcast(looked_for)) if small else _cut_joined(docs, looked_for, size)
     indexed = cut.withColumn("print", simhash(F.col("window"))).select("*", F.explode(blocks(F.col("print"))).alias("b")).select("doc_id", "start", "n", "window", "print", "b.block", "b.value")
     index = items.select("item_id", "n", F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"))).alias("b")).select("item_id", "n", "item_print", "b.block", "b.value")
     near = indexed.join(F.broadcast(index) if small else index, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)

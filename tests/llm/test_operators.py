@@ -258,7 +258,8 @@ def brute_leaks(docs, items, size=5, t=0.8):
     return out
 
 
-def test_leaks_are_those_of_all_windows(spark, odd, empty):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_leaks_are_those_of_all_windows(spark, odd, empty, most):
     rng = random.Random(5)
     items = [(i, text_of(rng, n)) for i, n in enumerate([3, 8, 16, 30, 45, 60, 60])] + [(50, None), (51, ""), (52, "one two three four five six seven")]
     docs = []
@@ -274,11 +275,11 @@ def test_leaks_are_those_of_all_windows(spark, odd, empty):
             w[a:a] = [x.upper() + "," for x in it]
         docs.append((i, " ".join(w)))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_broadcast=most).collect()}
     want = brute_leaks(docs, items)
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    leaks = decontaminate.contaminated(odd, b).collect()
+    leaks = decontaminate.contaminated(odd, b, most_broadcast=most).collect()
     assert [(r.doc_id, r.item_id) for r in leaks] == [(None, 52)]
     kept = decontaminate.clean(odd, b)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
