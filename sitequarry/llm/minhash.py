@@ -170,8 +170,8 @@ def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most
     middle = F.broadcast(middle) if small_enough(middle, 1000) else middle
 
     def differ(batches):
-        names = ["centre", "doc_id", "element", "added", "n", "size", "excess", "gap", "smaller", "linked"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+        names = ["centre", "doc_id", "element", "added", "gained", "n", "size", "excess", "gap", "smaller", "linked"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 p = batch.slice(at, 64)
@@ -183,14 +183,16 @@ def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most
                     n = max(1, d)
                     # A copy of the centre has no difference: one row with a null element carries it.
                     element, added = (np.concatenate([more, less]).view(np.int64), [True] * len(more) + [False] * len(less)) if d else ([None], [None])
-                    yield as_batch([[c_id] * n, [doc_id] * n, element, added, [len(x)] * n, [d] * n, [excess] * n, [gap] * n, [len(c) - len(x)] * n, [excess <= 1e-9] * n], types, names)
+                    yield as_batch([[c_id] * n, [doc_id] * n, element, added, [len(more)] * n, [len(x)] * n, [d] * n, [excess] * n, [gap] * n, [len(c) - len(x)] * n, [excess <= 1e-9] * n], types, names)
 
     own = member.join(full, "doc_id").join(middle, "centre").select("centre", "doc_id", "shingles", "c")
-    d = stored(own.mapInArrow(differ, "centre long, doc_id long, element long, added boolean, n long, size long, excess double, gap double, smaller long, linked boolean"), "differences")
+    d = stored(own.mapInArrow(differ, "centre long, doc_id long, element long, added boolean, gained long, n long, size long, excess double, gap double, smaller long, linked boolean"), "differences")
     central = d.where("linked and doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    df = d.where("element is not null").groupBy("centre", "element").agg(F.count("*").alias("df"))
-    # A document has few differences; its own order needs no more than them.
-    ranked = d.where("element is not null").join(df, ["centre", "element"]).withColumn("place", F.row_number().over(W.partitionBy("centre", "doc_id").orderBy(F.desc("added"), "df", "element"))).where("df > 1")
+    # Only what several documents have in common can bring them together; what one alone has comes first in its order and is only counted.
+    df = d.where("element is not null").groupBy("centre", "element").agg(F.count("*").alias("df")).where("df > 1")
+    kind = W.partitionBy("centre", "doc_id", "added")  # of one document: it has few differences
+    before = F.when(F.col("added"), F.col("gained")).otherwise(F.col("size")) - F.count("*").over(kind)
+    ranked = d.join(df, ["centre", "element"]).withColumn("place", before + F.row_number().over(kind.orderBy("df", "element")))
     short = F.col("place") <= F.col("size") - F.floor((1 - q) / 2 * F.col("size") + 1e-9)
     long_ = ~F.col("linked") & (F.col("place") <= F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("excess") / (1 + q) - 1e-9)) + 1)
     ranked = stored(ranked.where(short | long_).select("centre", "element", "added", "doc_id", "n", "size", "place", "linked", "gap", "smaller", short.alias("short")), "prefixes")
