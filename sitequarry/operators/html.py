@@ -13,13 +13,17 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = set("script style noscript svg template".split())
 
 
+# Link texts that say nothing.
+GENERIC = {"click here", "read more", "learn more", "here", "more", "this page", "link", "continue reading", "details", "view more", "go here"}
+
+
 class Reader(HTMLParser):
     """Counts and texts of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title = self.h1 = self.description = self.canonical = self.robots = self.lang = ""
-        self.n = dict.fromkeys("title h1 h2 img img_no_alt img_no_size iframe form input_no_label link nofollow empty_anchor table list deprecated inline_event blocking tabindex button_no_name dom max_depth".split(), 0)
+        self.n = dict.fromkeys("title h1 h2 img img_no_alt img_no_size iframe form input_no_label link nofollow empty_anchor table list deprecated inline_event blocking tabindex dom max_depth twitter favicon charset refresh iframe_no_title legacy_img long_alt active_http passive_http form_http generic_anchor skip_link zoom_blocked doctype input link_img_no_text".split(), 0)
         self.levels: list[int] = []
         self.ld: list[str] = []
         self.text: list[str] = []
@@ -29,9 +33,21 @@ class Reader(HTMLParser):
         self._buffer: list[str] = []
         self._anchor: list[str] | None = None
 
+    def handle_decl(self, decl):
+        self.n["doctype"] += decl.lower().startswith("doctype")
+
+    def _resources(self, tag, a):
+        """What a tag loads or sends over plain HTTP."""
+        n = self.n
+        source = a.get("src") or ""
+        n["active_http"] += tag == "script" and source.startswith("http://") or tag == "link" and a.get("href", "").startswith("http://")
+        n["passive_http"] += tag in ("img", "video", "audio", "iframe") and source.startswith("http://")
+        n["form_http"] += tag == "form" and a.get("action", "").startswith("http://")
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         n = self.n
+        self._resources(tag, a)
         n["dom"] += 1
         if tag not in VOID:
             self._in.append(tag)
@@ -49,9 +65,13 @@ class Reader(HTMLParser):
             n["img"] += 1
             n["img_no_alt"] += "alt" not in a
             n["img_no_size"] += not (a.get("width") and a.get("height"))
+            n["long_alt"] += len(a.get("alt", "").split()) > 12
+            n["legacy_img"] += bool(re.search(r"\.(?:png|jpe?g|gif|bmp)(?:$|[?#])", a.get("src", ""), re.I))
+            n["link_img_no_text"] += self._anchor is not None and not a.get("alt")
         elif tag == "a" and "href" in a:
             n["link"] += 1
             n["nofollow"] += any(x in a.get("rel", "") for x in ("nofollow", "sponsored", "ugc"))
+            n["skip_link"] += n["link"] == 1 and a["href"].startswith("#")
             self._anchor = [a.get("aria-label", "")]
         elif tag == "meta":
             name = (a.get("name") or a.get("property") or "").lower()
@@ -61,18 +81,24 @@ class Reader(HTMLParser):
                 self.robots = a.get("content", "").lower()
             self.viewport += name == "viewport"
             self.og += name.startswith("og:")
+            n["twitter"] += name.startswith("twitter:")
+            n["charset"] += "charset" in a or "charset=" in a.get("content", "").lower()
+            n["refresh"] += a.get("http-equiv", "").lower() == "refresh"
+            n["zoom_blocked"] += name == "viewport" and bool(re.search(r"user-scalable\s*=\s*(?:no|0)|maximum-scale\s*=\s*1(?:\.0)?\b", a.get("content", "")))
         elif tag == "link":
             rel = a.get("rel", "").lower()
             if rel == "canonical":
                 self.canonical = a.get("href", "")
             self.hreflang += "hreflang" in a
+            n["favicon"] += "icon" in rel.split()
             n["blocking"] += rel == "stylesheet" and a.get("media", "all") in ("all", "")
         elif tag == "script":
             n["blocking"] += bool(a.get("src")) and "async" not in a and "defer" not in a and "head" in self._in
             if a.get("type") == "application/ld+json":
                 self.ld.append("")
-        elif tag in ("iframe", "form", "table"):
+        elif tag in ("iframe", "form", "table", "input"):
             n[tag] += 1
+            n["iframe_no_title"] += tag == "iframe" and not a.get("title")
         elif tag in ("ul", "ol"):
             n["list"] += 1
         elif tag in ("font", "center", "marquee", "blink", "strike", "big", "tt"):
@@ -89,7 +115,9 @@ class Reader(HTMLParser):
             if not getattr(self, tag):
                 setattr(self, tag, text)
         if tag == "a" and self._anchor is not None:
-            self.n["empty_anchor"] += not "".join(self._anchor).strip()
+            said = " ".join("".join(self._anchor).split()).lower()
+            self.n["empty_anchor"] += not said
+            self.n["generic_anchor"] += said in GENERIC
             self._anchor = None
 
     def handle_data(self, data):
@@ -144,9 +172,9 @@ def answer_score(r: Reader) -> int:
 
 
 COLUMNS = [
-    ("title", pa.string()), ("h1", pa.string()), ("lang", pa.string()), ("description", pa.string()), ("canonical", pa.string()), ("robots", pa.string()), ("types", pa.list_(pa.string())), ("levels", pa.list_(pa.int32())), ("counts", pa.map_(pa.string(), pa.int64())), ("duplicate_ids", pa.int64()), ("n_words", pa.int64()), ("aeo", pa.int64()),
+    ("title", pa.string()), ("h1", pa.string()), ("lang", pa.string()), ("description", pa.string()), ("canonical", pa.string()), ("robots", pa.string()), ("types", pa.list_(pa.string())), ("levels", pa.list_(pa.int32())), ("counts", pa.map_(pa.string(), pa.int64())), ("viewport", pa.int64()), ("og", pa.int64()), ("hreflang", pa.int64()), ("duplicate_ids", pa.int64()), ("n_words", pa.int64()), ("aeo", pa.int64()),
 ]
-SCHEMA = "page_id long, url string, title string, h1 string, lang string, description string, canonical string, robots string, types array<string>, levels array<int>, counts map<string,bigint>, duplicate_ids long, n_words long, aeo long"
+SCHEMA = "page_id long, url string, title string, h1 string, lang string, description string, canonical string, robots string, types array<string>, levels array<int>, counts map<string,bigint>, viewport long, og long, hreflang long, duplicate_ids long, n_words long, aeo long"
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -159,7 +187,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows = []
                 for html in piece.column(2).to_pylist():
                     r = read(html)
-                    rows.append((r.title, r.h1, r.lang, r.description, r.canonical, r.robots, r.types(), r.levels, list(r.n.items()), sum(v > 1 for v in r.ids.values()), len("".join(r.text).split()), answer_score(r)))
+                    rows.append((r.title, r.h1, r.lang, r.description, r.canonical, r.robots, r.types(), r.levels, [(k, int(v)) for k, v in r.n.items()], r.viewport, r.og, r.hreflang, sum(v > 1 for v in r.ids.values()), len("".join(r.text).split()), answer_score(r)))
                 cols = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), COLUMNS, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], ["page_id", "url", *[n for n, _ in COLUMNS]])
 

@@ -265,3 +265,22 @@ def st_job_retention(spark, sf_dir):
 def st_retry(spark, sf_dir):
     r = F.col("event_id") % 5
     return site.table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.least(F.lit(8000), (1000 * F.pow(F.lit(2), r)).cast("long")).alias("wait_ms"), (r < 2).alias("again"))
+
+
+ALWAYS = "canonical_missing favicon_missing hreflang_missing meta_desc_missing mobile_viewport_missing missing_security_headers no_cache_max_age no_cache_validators og_tags_incomplete schema_missing twitter_card_incomplete".split()
+
+
+@query(f"SELECT page_id, unnest([{', '.join(repr(x) for x in ALWAYS)}]) AS issue_id FROM pages UNION ALL SELECT page_id, 'no_compression' FROM pages WHERE length(html) > 5120")
+def audit_parsed(spark, sf_dir):
+    """Rules over parsed pages: here those that the given pages, which have neither headers nor metadata, all have; html_audit_issues has all."""
+    found = html_audit_issues(spark, sf_dir)
+    return found.where(F.col("issue_id").isin(*ALWAYS, "no_compression")).select("page_id", "issue_id")
+
+
+@query()
+def html_audit_issues(spark, sf_dir):
+    from sitequarry.operators import audit
+
+    raw = site.table(spark, sf_dir, "pages")
+    fetched = raw.select("page_id", F.length("html").cast("long").alias("html_chars"), F.lit(200).alias("status"), (F.col("page_id") * 53 % 1500).alias("ttfb_ms"), (F.col("page_id") * 131 % 3000).alias("response_ms"), F.create_map().cast("map<string,string>").alias("headers"))
+    return audit.issues(html.extract(raw).join(fetched, "page_id"))
