@@ -104,6 +104,18 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert minhash.deduplicated(empty).count() == 0
 
 
+def test_ways_without_broadcasts_give_the_same(spark, corpus):
+    docs = spark.createDataFrame(corpus[:70], SCHEMA)
+    a, b = (minhash.near_duplicates(docs, words=2, most_broadcast=n) for n in (0, 2_000_000))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    x, y = (minhash.deduplicated(docs, words=2, most_broadcast=n) for n in (0, 2_000_000))
+    assert x.exceptAll(y).count() == 0 and x.count() == y.count()
+    captures = spark.createDataFrame([(i, f"https://h{i % 5}.x.org/a/{i}", i) for i in range(40)], "id int, url string, d int").withColumn("fetched_at", F.timestamp_seconds("d"))
+    valid = urlfilter.intervals(spark.createDataFrame([("l", f"h{i}.x.org", "block", i * 5) for i in range(5)], "list string, pattern string, action string, s int").select("list", "pattern", "action", F.timestamp_seconds("s").alias("since")))
+    p, q = (urlfilter.evaluated(captures, valid, most_broadcast=n) for n in (0, 1000))
+    assert p.exceptAll(q).count() == 0 and p.count() == 40
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 120)] + [(7, 7), (119, 118), (119, 118)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
