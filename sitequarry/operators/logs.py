@@ -15,6 +15,7 @@ BOTS = [
     ("ClaudeBot", "ai-training", "claudebot/"), ("CCBot", "ai-training", "ccbot"), ("Bytespider", "ai-training", "bytespider"), ("ChatGPT-User", "user-fetcher", "chatgpt-user"), ("Claude-User", "user-fetcher", "claude-user/"),
     ("Perplexity-User", "user-fetcher", "perplexity-user"), ("MistralAI-User", "user-fetcher", "mistralai-user"), ("AhrefsBot", "seo-tool", "ahrefsbot"), ("SemrushBot", "seo-tool", "semrushbot"), ("MJ12bot", "seo-tool", "mj12bot"), ("DotBot", "seo-tool", "dotbot"),
 ]
+# What else a bot calls itself, and the common log format.
 OTHER = "(?i)bot|crawl|spider|slurp|mediapartners|adsbot|scanner|headless|python-requests|curl|wget"
 LINE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+HTTP/[\d.]+"\s+(\d{3})\s+(\S+)(?:\s+"([^"]*)"\s+"([^"]*)")?'
 
