@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def slices(binary, most: int = 1 << 20):
+def slices(binary, most: int = 1 << 18):
     """(first, last) row ranges of an Arrow binary or string column with about `most` bytes each: the arrays above take up to 100 times the bytes."""
     at = total = 0
     for i, n in enumerate(binary):
