@@ -215,12 +215,17 @@ def a_log_waste(spark, sf_dir):
 
 
 @query(f"WITH {LOG}, k AS (SELECT c_custkey, 'https://x/u/' || c_custkey AS url, '/u/' || c_custkey AS path FROM customer WHERE c_custkey < 100) SELECT url FROM k WHERE path NOT IN (SELECT string_split(url, '?')[1] FROM g WHERE bot <> 'Human')")
-def j_log_never_crawled(spark, sf_dir):
-    c = site.table(spark, sf_dir, "customer").where("c_custkey < 100")
+def j_log_never_crawled(spark, sf_dir, rows="c_custkey < 100"):
+    c = site.table(spark, sf_dir, "customer").where(rows)
     known = c.select(F.concat(F.lit("https://x/u/"), F.col("c_custkey").cast("string")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("/u/"), F.col("c_custkey").cast("string")).alias("path"))
     return logs.never_crawled(known, _log(spark, sf_dir)).select("url")
 
 
+@query()
+def j_log_never_crawled_whole(spark, sf_dir):
+    return j_log_never_crawled(spark, sf_dir, "true")
+
+
 TWO = f"{SITE}, b AS (SELECT norm, min(page_id) AS id, min(status) AS status, min(title) AS title FROM p WHERE page_id % 10 <> 0 GROUP BY 1), c AS (SELECT norm, min(page_id) AS id, min(CASE WHEN page_id % 7 = 0 THEN 500 ELSE status END) AS status, min(title) AS title FROM p WHERE page_id % 10 <> 1 GROUP BY 1)"
 
 
@@ -253,38 +258,62 @@ def j_prev_counts(spark, sf_dir):
 KW = "k AS (SELECT s_nationkey % 4 AS site, unnest(string_split(lower(p_type), ' ')) AS keyword, p_size % 3 = 0 AS in_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND (p_partkey + s_nationkey) % 5 < 2)"
 
 
-def _keywords(spark, sf_dir):
-    li = site.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey")
+#: The part of the join of lineitem, part and supplier that KW has.
+SOME = "l_linenumber = 1 AND (p_partkey + s_nationkey) % 5 < 2"
+
+
+def _keywords(spark, sf_dir, rows):
+    li = site.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
     part = site.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     sup = site.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = li.join(part, F.col("p_partkey") == F.col("l_partkey")).join(sup, F.col("s_suppkey") == F.col("l_suppkey")).where((F.col("p_partkey") + F.col("s_nationkey")) % 5 < 2)
+    rows = li.join(part, F.col("p_partkey") == F.col("l_partkey")).join(sup, F.col("s_suppkey") == F.col("l_suppkey")).where(rows)
     return rows.select((F.col("s_nationkey") % 4).alias("site"), F.explode(F.split(F.lower("p_type"), " ")).alias("keyword"), (F.col("p_size") % 3 == 0).alias("in_title"))
 
 
 @query(f"WITH {KW} SELECT site, keyword, count(*) AS pages, bool_or(in_title) AS in_title FROM k GROUP BY 1, 2")
-def a_keyword_map(spark, sf_dir):
-    return reports.keyword_map(_keywords(spark, sf_dir))
+def a_keyword_map(spark, sf_dir, rows=SOME):
+    return reports.keyword_map(_keywords(spark, sf_dir, rows))
+
+
+@query()
+def a_keyword_map_whole(spark, sf_dir):
+    return a_keyword_map(spark, sf_dir, "true")
 
 
 GAP = f"""{KW}, m AS (SELECT keyword, coalesce(sum(1) FILTER (WHERE site = 0), 0) AS base, coalesce(bool_or(in_title) FILTER (WHERE site = 0), false) AS base_title, count(DISTINCT site) FILTER (WHERE site <> 0) AS covering, coalesce(bool_or(in_title) FILTER (WHERE site <> 0), false) AS their_title FROM k GROUP BY 1)"""
 
 
 @query(f"WITH {GAP} SELECT keyword, CASE WHEN base = 0 THEN CASE WHEN covering = 3 THEN 'Missing' ELSE 'Untapped' END WHEN NOT base_title AND their_title THEN 'Weak' WHEN base_title AND NOT their_title THEN 'Strong' ELSE 'Shared' END AS status, covering FROM m")
-def a_content_gap(spark, sf_dir):
-    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir)), base=0, rivals=3).select("keyword", "status", "covering")
+def a_content_gap(spark, sf_dir, rows=SOME):
+    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir, rows)), base=0, rivals=3).select("keyword", "status", "covering")
+
+
+@query()
+def a_content_gap_whole(spark, sf_dir):
+    return a_content_gap(spark, sf_dir, "true")
 
 
 @query(f"WITH {GAP} SELECT keyword, CAST(base AS BIGINT) AS base, covering FROM m")
-def j_content_gap(spark, sf_dir):
-    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir)), base=0, rivals=3).select("keyword", "base", "covering")
+def j_content_gap(spark, sf_dir, rows=SOME):
+    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir, rows)), base=0, rivals=3).select("keyword", "base", "covering")
+
+
+@query()
+def j_content_gap_whole(spark, sf_dir):
+    return j_content_gap(spark, sf_dir, "true")
 
 
 @query(f"WITH {KW} SELECT keyword, count(*) AS n FROM k WHERE site <> 0 AND keyword NOT IN (SELECT keyword FROM k WHERE site = 0 AND in_title) GROUP BY 1 HAVING count(*) >= 2")
-def a_keyword_topic_gaps(spark, sf_dir):
-    k = _keywords(spark, sf_dir)
+def a_keyword_topic_gaps(spark, sf_dir, rows=SOME):
+    k = _keywords(spark, sf_dir, rows)
     return k.where("site <> 0").join(k.where("site = 0 and in_title").select("keyword").distinct(), "keyword", "left_anti").groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 2")
 
 
+@query()
+def a_keyword_topic_gaps_whole(spark, sf_dir):
+    return a_keyword_topic_gaps(spark, sf_dir, "true")
+
+
 BL = "bl AS (SELECT l_partkey % 200 AS domain, s_nationkey % 5 AS site FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45)"
 
 

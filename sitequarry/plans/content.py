@@ -97,14 +97,19 @@ tg AS (SELECT * FROM (VALUES (1000, 'of the', 20, 0), (1001, 'and that', 80, 5),
 h AS (SELECT source, target, min(keyword) AS keyword, any_value(te) AS te, any_value(ni) AS ni FROM s JOIN tg ON list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), keyword) AND source <> target AND (source + target) % 3 <> 0 GROUP BY 1, 2),
 c AS (SELECT *, least(100, CAST(floor((source % 100) / 100.0::DOUBLE * 40 + 0.5) AS BIGINT) + CASE WHEN ni <= 1 THEN 25 WHEN ni <= 3 THEN 15 ELSE 5 END + CAST(floor((100 - te) / 100.0::DOUBLE * 25 + 0.5) AS BIGINT) + 10) AS score FROM h)
 SELECT CAST(target AS BIGINT) AS target, source, keyword, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS r FROM c WHERE score >= 20) WHERE r <= 4""")
-def j_link_opps(spark, sf_dir):
-    d = site.table(spark, sf_dir, "documents").where("doc_id < 300")
+def j_link_opps(spark, sf_dir, rows="doc_id < 300"):
+    d = site.table(spark, sf_dir, "documents").where(rows)
     sources = d.select(F.col("doc_id").alias("source"), "text", (F.col("doc_id") % 100).alias("equity"))
     targets = spark.createDataFrame([(1000, "of the", 20, 0), (1001, "and that", 80, 5), (5, "with the", 50, 2)], "target long, keyword string, equity int, n_incoming int")
     links = d.select(F.col("doc_id").alias("source"), F.explode(F.array(*[F.lit(x).cast("long") for x in (1000, 1001, 5)])).alias("target")).where("(source + target) % 3 = 0")
     return content.link_opportunities(targets, sources, links).select("target", "source", "keyword", F.col("score").cast("long").alias("score"))
 
 
+@query()
+def j_link_opps_whole(spark, sf_dir):
+    return j_link_opps(spark, sf_dir, "true")
+
+
 @query(f"WITH n AS (SELECT doc_id, string_split({NORM}, ' ') AS ws FROM documents WHERE len(string_split({NORM}, ' ')) >= 40), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' ')))) AS h FROM n) SELECT doc_id, list_min(h) AS least, list_max(h) AS most FROM s")
 def a_minhash(spark, sf_dir):
     """Extremes of a hash of the shingles, in functions that other engines have: the building stone of a signature."""

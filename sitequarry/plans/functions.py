@@ -329,11 +329,16 @@ def date_add_days(spark, sf_dir):
 
 
 @query("SELECT o_orderkey, CAST(h AS INTEGER) AS h, strftime(CAST(o_orderdate AS DATE) + CAST(7 * h AS INTEGER), '%Y-%m-%d') AS due FROM (SELECT o_orderkey, o_orderdate, unnest(range(1, 4)) AS h FROM orders WHERE o_orderkey % 50 = 0)")
-def date_project(spark, sf_dir):
-    o = site.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("h"))
+def date_project(spark, sf_dir, rows="o_orderkey % 50 = 0"):
+    o = site.table(spark, sf_dir, "orders").where(rows).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("h"))
     return o.select("o_orderkey", "h", F.date_format(F.date_add("day", F.col("h") * 7), "yyyy-MM-dd").alias("due"))
 
 
+@query()
+def date_project_whole(spark, sf_dir):
+    return date_project(spark, sf_dir, "true")
+
+
 @query("SELECT 'daily' AS freq, 7 AS period UNION ALL SELECT 'weekly', 4 UNION ALL SELECT 'monthly', 12 UNION ALL SELECT 'crawl', 1")
 def t_freq(spark, sf_dir):
     from sitequarry.operators.forecast import PERIODS
