@@ -1,16 +1,18 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
-
-A window is as many words of a document as a benchmark item has.  Windows and items
-get SimHash fingerprints of 60 bits over their words.  RADIUS + 1 blocks of the
-fingerprint are indexed: fingerprints within RADIUS bits agree in one block at least,
-so joining on (size, block, value) finds all of them.  Candidates are verified by
-the exact weighted Jaccard similarity of their word shingles.
-
-Windows are only cut where one can pass: at a similarity of t, a window holds
-shingles of more than t of the item's weight, hence one of any set of its shingles that
-weighs more than 1 - t.  Such a set is chosen for each item by its rarest words,
-and a window is cut wherever a document has one of these shingles, so that both
-stand at the same place in it.
+"""Benchmark decontamination by item-sized windows, in DataFrame functions only.
+
+A window is as many words of a document as a benchmark item has.  Windows are only
+cut where one can pass: at a similarity of t, a window holds shingles of more than t
+of the item's weight, hence one of any set of its shingles that weighs more than
+1 - t.  Such a set is chosen for each item by its rarest words, and a window is cut
+wherever a document has one of these shingles, so that both stand at the same place
+in it.  Every window cut is compared with the item it was cut for, exactly, by the
+Jaccard similarity of their word shingles, weighted and plain.
+
+What stays out: a passage with words put in or left out that, at the places of all its
+anchors, is under t, though at another start it would pass.
+
+SimHash fingerprints (`simhash`, `blocks`) no longer choose the windows to compare, as a
+radius loses some of similar ones.
 """
 
 from __future__ import annotations
@@ -63,40 +65,40 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).alias("value")) for b in range(RADIUS + 1)])
 
 
-def prepared_items(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, n, words, fingerprint, sh, weights): distinct shingles and their weights, 1 over the number of items that have them.  Items without a word are left out."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").withColumn("n", F.size("words"))
+def prepared_items(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (text_id, n, words, sh, weights) and names (text_id, item_id): distinct shingles and their weights, 1 over the number of items that have them.  Items without a word are left out."""
+    items = benchmark.select(F.col("item_id").alias("text_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0").withColumn("n", F.size("words"))
     items = items.withColumn("sh", F.array_distinct(shingles(F.col("words"), size)))
-    df = items.select("item_id", F.explode("sh").alias("s")).groupBy("s").agg((1 / F.count("*")).alias("w"))
-    weights = items.select("item_id", F.explode("sh").alias("s")).join(df, "s").groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("weights"))
-    return items.join(weights, "item_id").withColumn("fingerprint", simhash(F.col("words")))
+    df = items.select("text_id", F.explode("sh").alias("s")).groupBy("s").agg((1 / F.count("*")).alias("w"))
+    weights = items.select("text_id", F.explode("sh").alias("s")).join(df, "s").groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("weights"))
+    return items.join(weights, "text_id"), items.select("text_id", F.col("text_id").alias("item_id"))
 
 
 def anchors(items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(word, at, offset, n, shingle): per item shingles of more than 1 - threshold of its weight, each with its rarest word.
+    """(word, at, offset, n, shingle, text_id): per text shingles of more than 1 - threshold of its weight, each with its rarest word; also more than 1 - threshold of their number, for the plain similarity.
 
     at: the place of the word in the shingle; offset: that of the shingle in the item.  Rare: in few items, then long.
     """
-    df = items.select("item_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    placed = items.select("item_id", "n", "weights", F.posexplode(shingles(F.col("words"), size)).alias("offset", "shingle")).dropDuplicates(["item_id", "shingle"])
-    words = placed.select("item_id", "n", "offset", "shingle", F.element_at("weights", F.col("shingle")).alias("w"), F.posexplode(F.split("shingle", " ")).alias("at", "word")).join(df, "word")
-    best = words.groupBy("item_id", "n", "offset", "shingle", "w").agg(F.min(F.struct("df", (-F.length("word")).alias("len"), "at", "word")).alias("b"))
-    order = W.partitionBy("item_id").orderBy("b.df", "b.len", "offset")
-    whole = W.partitionBy("item_id")
-    # Taken until the weight before it exceeds what may be missing.
-    chosen = best.withColumns({"before": F.sum("w").over(order) - F.col("w"), "all": F.sum("w").over(whole)}).where(F.col("before") <= (1 - threshold) * F.col("all") + 1e-9)
-    return chosen.select(F.col("b.word").alias("word"), F.col("b.at").alias("at"), "offset", "n", "shingle").distinct()
+    df = items.select("text_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    placed = items.select("text_id", "n", "weights", F.posexplode(shingles(F.col("words"), size)).alias("offset", "shingle")).dropDuplicates(["text_id", "shingle"])
+    words = placed.select("text_id", "n", "offset", "shingle", F.element_at("weights", F.col("shingle")).alias("w"), F.posexplode(F.split("shingle", " ")).alias("at", "word")).join(df, "word")
+    best = words.groupBy("text_id", "n", "offset", "shingle", "w").agg(F.min(F.struct("df", (-F.length("word")).alias("len"), "at", "word")).alias("b"))
+    order = W.partitionBy("text_id").orderBy("b.df", "b.len", "offset")
+    whole = W.partitionBy("text_id")
+    # Taken until the weight, and the number, before it exceed what may be missing.
+    chosen = best.withColumns({"before": F.sum("w").over(order) - F.col("w"), "all": F.sum("w").over(whole), "nth": F.row_number().over(order) - 1, "many": F.count("*").over(whole)}).where((F.col("before") <= (1 - threshold) * F.col("all") + 1e-9) | (F.col("nth") <= (1 - threshold) * F.col("many") + 1e-9))
+    return chosen.select(F.col("b.word").alias("word"), F.col("b.at").alias("at"), "offset", "n", "shingle", "text_id").distinct()
 
 
 def _cut(docs: DataFrame, looked_for: DataFrame) -> DataFrame:
-    """(doc_id, start, n, window) of the windows around anchors; looked_for is broadcast, so explode and join run in one pass and no word list is copied."""
+    """(doc_id, start, text_id, window) of the windows around anchors; looked_for is broadcast, so explode and join run in one pass and no word list is copied."""
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # posexplode_outer: the plain one would have the words split twice, to filter empty ones first.
     hit = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "word")).join(looked_for, "word")
     from_ = F.col("pos") - F.col("at")
     hit = hit.where((from_ >= 0) & (F.array_join(F.slice("words", F.greatest(from_, F.lit(0)) + 1, F.size(F.split("shingle", " "))), " ") == F.col("shingle")))
     start = F.greatest(from_ - F.col("offset"), F.lit(0))
-    return hit.select("doc_id", start.alias("start"), "n", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
+    return hit.select("doc_id", start.alias("start"), "text_id", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "start", "text_id").agg(F.first("window").alias("window"))
 
 
 def _cut_joined(docs: DataFrame, looked_for: DataFrame, size: int) -> DataFrame:
@@ -105,40 +107,47 @@ def _cut_joined(docs: DataFrame, looked_for: DataFrame, size: int) -> DataFrame:
     whole = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.array_join(F.slice(w, i + 1, k), " ")).alias("runs")))
     bound = F.get(F.transform(F.array("words"), whole), F.lit(0))
     each = words.where("size(words) > 0").select("doc_id", F.explode(bound).alias("e")).select("doc_id", "e.pos", F.explode(F.array_distinct("e.runs")).alias("shingle"))
-    hit = each.join(looked_for, "shingle").select("doc_id", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"), "n").distinct()
-    by_doc = hit.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    hit = each.join(looked_for, "shingle").select("doc_id", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"), "n", "text_id").distinct()
+    by_doc = hit.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "n", "text_id")).alias("cuts"))
     both = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "words", F.explode("cuts").alias("c"))
-    return both.select("doc_id", "c.start", "c.n", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window")).groupBy("doc_id", "start", "n").agg(F.first("window").alias("window"))
+    return both.select("doc_id", "c.start", "c.text_id", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window")).groupBy("doc_id", "start", "text_id").agg(F.first("window").alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, similarity, n_windows, first_word): the items that a document repeats and the best similarity.
 
-    Similarity: weight of the common shingles over that of the shingles in either; an item's shingle weighs 1 over the
-    number of items that have it, any other 1.  A null or empty text, or item, matches nothing; ties count as one;
-    repeated rows of a doc_id count as one document.  No items: no rows.
+    Similarity: the larger of two.  Weighted: weight of the common shingles over that of the shingles in either; an item's
+    shingle weighs 1 over the number of items, of different words, that have it, any other 1.  Plain: their numbers.
+    A null or empty text, or item, matches nothing; ties count as one; repeated rows of a doc_id count as one document, and
+    repeated rows of an item_id as one item; a null item_id is reported as null.  No items: no rows.
     """
-    items = stored(prepared_items(benchmark, size), "items")
+    texts, names = prepared_items(benchmark, size)
+    items, names = stored(texts, "items"), stored(names, "names")
     looked_for = stored(anchors(items, size, threshold), "anchors")
     small = small_enough(looked_for, most_broadcast)
     cut = _cut(docs, F.broadcast(looked_for)) if small else _cut_joined(docs, looked_for, size)
-    indexed = cut.withColumn("print", simhash(F.col("window"))).select("*", F.explode(blocks(F.col("print"))).alias("b")).select("doc_id", "start", "n", "window", "print", "b.block", "b.value")
-    index = items.select("item_id", "n", F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"))).alias("b")).select("item_id", "n", "item_print", "b.block", "b.value")
-    near = indexed.join(F.broadcast(index) if small else index, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.groupBy("doc_id", "start", "n", "item_id").agg(F.first("window").alias("window"))
-    weighed = near.join(F.broadcast(items.select("item_id", "sh", "weights")) if small else items.select("item_id", "sh", "weights"), "item_id").withColumn("own", F.array_distinct(shingles(F.col("window"), size)))
+    known = items.select("text_id", "sh", "weights")
+    weighed = cut.join(F.broadcast(known) if small else known, "text_id").withColumn("own", F.array_distinct(shingles(F.col("window"), size)))
     weighed = weighed.withColumn("common", F.array_intersect("own", "sh"))
 
     def weight(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.element_at("weights", x))
 
-    similarity = weight(F.col("common")) / (weight(F.col("sh")) + F.size("own") - F.size("common"))
-    return (
-        weighed.withColumn("similarity", F.round(similarity, 6))
+    def over_either(worth) -> Column:
+        return worth(F.col("common")) / (worth(F.col("sh")) + F.size("own") - F.size("common"))
+
+    found = (
+        weighed.withColumn("similarity", F.round(F.greatest(over_either(weight), over_either(F.size)), 6))
         .where(F.col("similarity") >= threshold - 1e-9)
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "text_id")
         .agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_windows"), F.min("start").cast("long").alias("first_word"))
     )
+    # Names come last, so that items of the same words are compared once.
+    return (
+        found.join(F.broadcast(names) if small and small_enough(names, most_broadcast) else names, "text_id")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("similarity").alias("similarity"), F.sum("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"))
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:

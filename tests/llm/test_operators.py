@@ -299,6 +299,26 @@ def test_leaks_are_those_of_all_windows(spark, odd, empty, most):
     assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_leaks_of_items_with_a_shared_template(spark, most):
+    rng = random.Random(6)
+    shared = text_of(rng, 49).split()
+    items = [(i, " ".join([*shared, f"own{i}"])) for i in range(12)]
+    docs = [(i, " ".join([*shared[:25], "changed", *shared[26:], f"own{i}"])) for i in range(12)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_broadcast=most).collect()}
+    assert got == {(i, i): round(41 / 51, 6) for i in range(12)}
+
+
+def test_no_leak_near_the_threshold_is_lost(spark):
+    """The last 6 of 60 words are changed: similarity 50/62."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(1000)]
+    docs = [(i, " ".join([*x.split()[:54], *(f"v{rng.randrange(10**6)}" for _ in range(6))])) for i, x in items]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.item_id for r in got.where("doc_id = item_id").collect()) == list(range(1000))
+
+
 def test_all_prints_within_the_radius_share_a_block(spark):
     rng = random.Random(4)
     rows = []
