@@ -66,12 +66,18 @@ def blocks(fingerprint: Column) -> Column:
 
 
 def prepared_items(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (text_id, n, words, sh, weights) and names (text_id, item_id): distinct shingles and their weights, 1 over the number of items that have them.  Items without a word are left out."""
-    items = benchmark.select(F.col("item_id").alias("text_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0").withColumn("n", F.size("words"))
+    """Texts (text_id, n, words, sh, weights) and names (text_id, item_id).
+
+    Items of the same words are one text, whose text_id is a hash of them, so an item_id may be null, repeated, or have
+    several texts.  sh and weights: distinct shingles and their weights, 1 over the number of texts that have them.
+    Items without a word are left out.
+    """
+    each = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").withColumn("text_id", F.sha2(F.array_join("words", " "), 256))
+    items = each.groupBy("text_id").agg(F.first("words").alias("words")).withColumn("n", F.size("words"))
     items = items.withColumn("sh", F.array_distinct(shingles(F.col("words"), size)))
     df = items.select("text_id", F.explode("sh").alias("s")).groupBy("s").agg((1 / F.count("*")).alias("w"))
     weights = items.select("text_id", F.explode("sh").alias("s")).join(df, "s").groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("weights"))
-    return items.join(weights, "text_id"), items.select("text_id", F.col("text_id").alias("item_id"))
+    return items.join(weights, "text_id"), each.select("text_id", "item_id").distinct()
 
 
 def anchors(items: DataFrame, size: int, threshold: float) -> DataFrame:

@@ -319,6 +319,18 @@ def test_no_leak_near_the_threshold_is_lost(spark):
     assert sorted(r.item_id for r in got.where("doc_id = item_id").collect()) == list(range(1000))
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_leaks_of_items_with_repeated_and_null_ids(spark, most):
+    rng = random.Random(8)
+    x, y, z = (text_of(rng, 30) for _ in range(3))
+    near = x.rsplit(" ", 1)[0] + " end"
+    b = spark.createDataFrame([(1, x), (1, x), (1, near), (2, x.upper()), (None, y), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, x), (11, y), (12, z), (13, near)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, b, most_broadcast=most).collect()}
+    assert got == {(10, 1): 1.0, (10, 2): 1.0, (11, None): 1.0, (13, 1): 1.0, (13, 2): round(25 / 27, 6)}
+    assert [r.doc_id for r in decontaminate.clean(docs, b, most_broadcast=most).collect()] == [12]
+
+
 def test_all_prints_within_the_radius_share_a_block(spark):
     rng = random.Random(4)
     rows = []
