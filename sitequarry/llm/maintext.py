@@ -4,8 +4,8 @@ The page is parsed to a tree that forgives broken markup.  Each paragraph gives
 points (one at most for being there, one for each comma, up to three for its
 length) to its parent, half of them to the grandparent, and ever less further up.
 An element's points are multiplied by one minus the share of its text that lies
-in links.  The element with most points is kept, with those siblings that score
-well by themselves.  What is no part of an article wherever it stands (menus,
+in links.  The element with most points is kept; of an element in an article or main,
+that article or main; else with all its siblings that aren't mostly links.  What is no part of an article wherever it stands (menus,
 page headers and footers, sidebars, notices, adverts, forms, reader comments,
 scripts, styles) gives no points and no text.
 """
@@ -162,7 +162,7 @@ def _measure(root: Node) -> list[tuple[Node, int, int]]:
 
 
 def best(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to it, in page order."""
+    """The best container, or the article around it, and those of its siblings that belong to it, in page order."""
     measured = _measure(root)
     sizes = {id(node): (n, linked) for node, n, linked in measured}
     scored: set[int] = set()
@@ -190,23 +190,36 @@ def best(root: Node) -> list[Node]:
             top, most = node, score
     if top is None:
         return [root]
-    if top.parent is None or top.tag in ("body", "html", "article", "main"):
-        if top.tag not in ("article", "main") or top.parent is None:
-            return [top]
-    kept = []
+    if top.parent is None or top.tag in ("body", "html"):
+        return [top]
+    if top.tag not in ("article", "main"):
+        up = top.parent
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        if up is not None:
+            return [up]
+    # Text and inline elements that follow one another are one sibling.
+    groups: list[list] = []
     for c in top.parent.children:
-        if c is top:
-            kept.append(c)
-        elif isinstance(c, Node) and not c.dropped:
-            n, linked = sizes[id(c)]
-            density = linked / n if n else 0
-            if c.tag == top.tag and id(c) in scored and c.points * (1 - density) >= max(10, 0.2 * most):
-                kept.append(c)
-            elif c.tag in ("p", "h1", "h2", "h3") and n and density < 0.25:
-                kept.append(c)
+        if groups and not _is_block(c) and not _is_block(groups[-1][-1]):
+            groups[-1].append(c)
+        else:
+            groups.append([c])
+    kept = []
+    for group in groups:
+        measures = [(len(c.strip()), 0) if isinstance(c, str) else sizes.get(id(c), (0, 0)) for c in group]
+        n, linked = (sum(x) for x in zip(*measures, strict=True))
+        density = linked / n if n else 0
+        well = any(isinstance(c, Node) and c.tag == top.tag and id(c) in scored and c.points * (1 - density) >= max(10, 0.2 * most) for c in group)
+        if any(c is top for c in group) or well or n and density < 0.25:
+            kept += group
     return kept
 
 
+def _is_block(c) -> bool:
+    return isinstance(c, Node) and c.tag in BLOCK
+
+
 def _inline(node: Node) -> str:
     out, stack = [], [node]
     while stack:

@@ -356,6 +356,16 @@ def test_main_text():
     assert maintext.main_text("<article><p>" + "long, text " * 30000 + "</p></article>") == ("long, text " * 30000).strip()
 
 
+def test_main_text_keeps_what_stands_beside_the_best_container():
+    para = "<p>A paragraph with words, more words, and still more of them, so that it counts for the container.</p>" * 10
+    beside = "<blockquote>Quoted.</blockquote><ul><li>one<li>two</ul><table><tr><td>cell</table><pre>code</pre><figure><figcaption>Caption</figcaption></figure><h4>Head</h4><div>Closing line.</div>"
+    want = ["Quoted.", "one", "two", "cell", "code", "Caption", "Head", "Closing line."]
+    for page in (f"<article><div class=text>{para}</div>{beside}</article>", f"<main><div><div class=text>{para}</div></div>{beside}</main>", f"<body><div class=text>{para}</div>{beside}<ul><li><a href=/>Away</a></ul></body>"):
+        assert maintext.main_text(page).split("\n")[10:] == want
+    loose = maintext.main_text(f"<div>Before <a href=/>a link</a> and after, loose.<div class=text>{para}</div>End<br>of it.</div>").split("\n")
+    assert (loose[0], loose[-1]) == ("Before a link and after, loose.", "End of it.")
+
+
 def test_pages_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = maintext.extract(pages).collect()
