@@ -146,6 +146,23 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert private.pseudonymised(docs, "other").where("doc_id = 1").head().text != new
 
 
+def iban_is_valid(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_pseudonyms_of_ibans_before_other_words(spark):
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874", "HU42 1177 3016 1111 1018 0000 0000", "NO9386011117947", "DE89 3704 0044 0532 0130 00"]
+    after = [" BIC CAIX", " 2024-01-01", " AND", " BIC1 23", ".", " IBAN1234", " OK", " ABCD"]
+    assert all(map(iban_is_valid, ibans))
+    docs = spark.createDataFrame([(i, f"to {x}{y}") for i, (x, y) in enumerate(zip(ibans, after, strict=True))], "doc_id long, text string")
+    for r in private.pseudonymised(docs, "k", counts=True).collect():
+        x, y = ibans[r.doc_id], after[r.doc_id]
+        new, rest = r.text[3 : 3 + len(x)], r.text[3 + len(x) :]
+        assert new != x and new[:2] == x[:2] and iban_is_valid(new), r
+        assert (rest != y and re.fullmatch(r" \d{4}-\d\d-\d\d", rest)) if "-" in y else rest == y, r
+
+
 def test_pseudonyms_are_a_permutation(spark):
     rows = [(i, f"{i // 256}.{i % 256}.7.9") for i in range(0, 65536, 13)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
