@@ -354,14 +354,19 @@ def txt_interpolate(spark, sf_dir):
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '\"') OR contains(text, ',') OR contains(text, chr(10)) THEN '\"' || replace(left(text, 200), '\"', '\"\"') || '\"' ELSE left(text, 200) END AS cell, replace(replace(left(text, 200), '|', '\\|'), chr(10), ' ') AS md, replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
-def txt_csv_escape(spark, sf_dir):
-    c, h = F.col("text"), F.substring("text", 1, 200)
+def txt_csv_escape(spark, sf_dir, most=200):
+    c, h = F.col("text"), F.substring("text", 1, most) if most else F.col("text")
     quoted = F.when(c.contains('"') | c.contains(",") | c.contains("\n"), F.concat(F.lit('"'), F.replace(h, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(h)
     md = F.replace(F.replace(h, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     html = F.replace(F.replace(F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return _docs(spark, sf_dir).select("doc_id", quoted.alias("cell"), md.alias("md"), html.alias("html"))
 
 
+@query()
+def txt_csv_escape_whole(spark, sf_dir):
+    return txt_csv_escape(spark, sf_dir, None)
+
+
 @query("SELECT doc_id, CASE WHEN i = 0 THEN '' ELSE (CASE WHEN i > 51 THEN '…' ELSE '' END) || trim(regexp_replace(substr(text, CAST(greatest(1, i - 50) AS BIGINT), CAST(least(50, i - 1) + 3 + 50 AS BIGINT)), '\\s+', ' ', 'g')) || (CASE WHEN i + 52 < length(text) THEN '…' ELSE '' END) END AS snippet FROM (SELECT doc_id, text, instr(text, 'the') AS i FROM documents)")
 def txt_snippet(spark, sf_dir):
     i = F.instr("text", "the")

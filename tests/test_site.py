@@ -231,3 +231,11 @@ def test_whole_tables(spark, name):
     # On these tables every keyword is shared, in the part as in the whole.
     if name not in ("a_content_gap", "a_keyword_topic_gaps"):
         assert want != rows_of(registry.QUERIES[name](spark, larger).toPandas())
+
+
+def test_whole_texts_are_escaped(spark, duck):
+    sql = registry.ORACLES["txt_csv_escape"]
+    assert "left(text, 200)" in sql
+    got = rows_of(registry.QUERIES["txt_csv_escape_whole"](spark, SMALL).toPandas())
+    assert got == rows_of(duck.execute(sql.replace("left(text, 200)", "text")).df())
+    assert got != rows_of(registry.QUERIES["txt_csv_escape"](spark, SMALL).toPandas())
