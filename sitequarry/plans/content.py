@@ -118,24 +118,51 @@ def a_minhash(spark, sf_dir):
     return h.select("doc_id", F.array_min("h").alias("least"), F.array_max("h").alias("most"))
 
 
-@query()
-def hash_minhash(spark, sf_dir):
-    """32 minima a text, each of one hash under another seed: the share that agrees estimates the likeness."""
+#: The number of multiply-shift hashes; their coefficients are the reference's, from its generator.
+MINIMA = 128
+
+
+def _coefficients() -> list[tuple[int, int]]:
+    seed, out = 0x9E3779B9, []
+    for _ in range(2 * MINIMA):
+        seed = (seed * 1664525 + 1013904223) % 2**32
+        out.append(seed)
+    return [(a | 1, b) for a, b in zip(out[::2], out[1::2], strict=True)]
+
+
+def _signatures(spark, sf_dir):
+    """(doc_id, same, signature) of texts of 40 words or more; same: a hash of the normal text."""
     d = site.table(spark, sf_dir, "documents").select("doc_id", F.split(t.normalise_duplicate(F.col("text")), " ").alias("w")).where("size(w) >= 40")
-    h = cut(d.select("doc_id", F.transform(t.shingles(F.col("w")), lambda s: F.xxhash64(s)).alias("h")))
-    return h.select("doc_id", F.array(*[_least(k) for k in range(32)]).alias("signature"))
+    low = F.lit(2**32 - 1).cast("long")
+    h = cut(d.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("same"), F.transform(t.shingles(F.col("w")), lambda s: F.xxhash64(s).bitwiseAND(low)).alias("h")))
+    made = F.array(*[F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in _coefficients()])
+
+    def least(c):
+        # a * x + b modulo 2**32 by halves of a, as the whole product doesn't fit a number.
+        return F.array_min(F.transform("h", lambda x: (F.shiftleft((c["high"] * x).bitwiseAND(F.lit(0xFFFF).cast("long")), 16) + c["low"] * x + c["b"]).bitwiseAND(low)))
+
+    return h.select("doc_id", "same", F.transform(made, least).alias("signature"))
 
 
-def _least(k: int):
-    return F.array_min(F.transform(F.col("h"), lambda x: F.xxhash64(F.lit(k), x)))
+@query()
+def hash_minhash(spark, sf_dir):
+    """128 minima a text, each of one multiply-shift hash: the share that agrees estimates the likeness."""
+    return _signatures(spark, sf_dir).select("doc_id", "signature")
 
 
 @query()
 def j_lsh_candidates(spark, sf_dir):
-    sig = cut(hash_minhash(spark, sf_dir))
-    bands = sig.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("signature", 4 * b + 1, 4)).alias("v")) for b in range(8)])).alias("k")).select("doc_id", "k.b", "k.v")
+    """Pairs of texts that agree in one of 32 bands of 4 minima, hence all that agree in one of the reference's 16 of 8.
+
+    Of equal texts the one of least id is compared; the others make a pair with it.
+    """
+    sig = cut(_signatures(spark, sf_dir))
+    first = sig.groupBy("same").agg(F.min("doc_id").alias("a"))
+    copies = sig.select("doc_id", "same").join(first, "same").where("a < doc_id").select("a", F.col("doc_id").alias("other"))
+    one = sig.groupBy("same").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("doc_id"))
+    bands = one.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("signature", 4 * b + 1, 4)).alias("v")) for b in range(MINIMA // 4)])).alias("k")).select("doc_id", "k.b", "k.v")
     a, b = bands.toDF("a", "b", "v"), bands.toDF("c", "b", "v")
-    return a.join(b, ["b", "v"]).where("a < c").select("a", F.col("c").alias("other")).distinct()
+    return a.join(b, ["b", "v"]).where("a < c").select("a", F.col("c").alias("other")).distinct().unionByName(copies)
 
 
 @query()

@@ -239,3 +239,28 @@ def test_whole_texts_are_escaped(spark, duck):
     got = rows_of(registry.QUERIES["txt_csv_escape_whole"](spark, SMALL).toPandas())
     assert got == rows_of(duck.execute(sql.replace("left(text, 200)", "text")).df())
     assert got != rows_of(registry.QUERIES["txt_csv_escape"](spark, SMALL).toPandas())
+
+
+def test_minima_and_candidates(spark):
+    from sitequarry.plans import content as plans
+
+    larger = SMALL.replace("0.001", "0.01")
+    d = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", F.split(t.normalise_duplicate(F.col("text")), " ").alias("w")).where("size(w) >= 40")
+    rows = d.select("doc_id", F.array_join("w", " ").alias("text"), F.transform(t.shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("h")).collect()
+    signature = {r.doc_id: r.signature for r in registry.QUERIES["hash_minhash"](spark, larger).collect()}
+    for r in rows[:20]:
+        assert signature[r.doc_id] == [min((a * (x % 2**32) + b) % 2**32 for x in r.h) for a, b in plans._coefficients()]
+    pairs = {(r.a, r.other) for r in registry.QUERIES["j_lsh_candidates"](spark, larger).collect()}
+    least = {}
+    for r in sorted(rows):
+        if r.text in least:
+            assert (least[r.text], r.doc_id) in pairs
+        least.setdefault(r.text, r.doc_id)
+    own = [(r.doc_id, set(r.h)) for r in sorted(rows) if least[r.text] == r.doc_id]
+    near = {(i, k) for n, (i, x) in enumerate(own) for k, y in own[n + 1 :] if 0.8 * len(x) <= len(y) <= len(x) / 0.8 and len(x & y) >= 0.8 * len(x | y)}
+    assert near and near <= pairs
+    bands = {}
+    for i, _ in own:
+        for b in range(16):
+            bands.setdefault((b, *signature[i][8 * b : 8 * b + 8]), []).append(i)
+    assert {(i, k) for g in bands.values() for i in g for k in g if i < k} <= pairs
