@@ -14,14 +14,16 @@ from sitequarry.llm.common import load, stored
 
 #: A text is rejected whose best language is hardly likelier than any other of four, or that has no letter.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Nor one of which less than half of the words are known to any language, however many languages there are.
+LEAST_KNOWN = 0.5
 #: In production a secret from the caller's vault.
 KEY = "corpus-pipeline"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the texts and their languages; texts without a letter, and those that fit no language, go."""
-    scored = langid.predict(docs, langid.fit(docs))
-    return scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    scored = langid.predict(docs, langid.fit(docs), known=True)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE) & (F.col("lang_known") >= LEAST_KNOWN)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,8 +118,14 @@ def word_scores(model: dict, word: str) -> tuple[float, ...]:
     return (-math.log(len(model["langs"])),) * len(model["langs"])
 
 
+def is_known(model: dict, word: str) -> bool:
+    """Whether some language has the word, or a run of 4 or 5 of its letters, blanks around it among them."""
+    table = model["table"]
+    return word in table[0] or any(g in table[n] for n in (5, 4) for g in _grams(word, n))
+
+
 class Scorer:
-    """Scores texts; remembers the scores of at most `most` words."""
+    """Scores texts: best language and its score, by `all` also the share of words that are known; remembers at most `most` words."""
 
     def __init__(self, model: dict, most: int = 200_000):
         self.model, self.most = model, most
@@ -128,11 +134,15 @@ class Scorer:
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.scores = np.zeros((4096, max(1, len(self.model["langs"]))), np.float32)
+        self.known = np.zeros(4096, bool)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.all(text)[:2]
+
+    def all(self, text: str | None) -> tuple[str, float, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model["langs"]:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         counts = Counter(words)
         if len(self.row) + len(counts) > max(self.most, len(counts)):
             self.clear()
@@ -142,21 +152,25 @@ class Scorer:
                 i = self.row[w] = len(self.row)
                 if i >= len(self.scores):
                     self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                    self.known = np.concatenate([self.known, np.zeros_like(self.known)])
                 self.scores[i] = word_scores(self.model, w)
+                self.known[i] = is_known(self.model, w)
             rows.append(i)
-        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.scores[rows].astype(np.float64)
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        total = times @ self.scores[rows].astype(np.float64)
         best = int(np.argmax(total))
-        return self.model["langs"][best], float(np.exp(total[best] - np.logaddexp.reduce(total)))
+        return self.model["langs"][best], float(np.exp(total[best] - np.logaddexp.reduce(total))), float(times @ self.known[rows] / times.sum())
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score added.
+def predict(docs: DataFrame, model: dict, text: str = "text", known: bool = False) -> DataFrame:
+    """docs with lang_pred and lang_score added; with known, also lang_known: the share of words that some language knows.
 
     A null text or one without a letter: `und` and 0.  Columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    added = [("lang_pred", T.StringType(), pa.string()), ("lang_score", T.DoubleType(), pa.float64()), ("lang_known", T.DoubleType(), pa.float64())][: 3 if known else 2]
+    kept = docs.drop(*[name for name, *_ in added])
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(name, kind) for name, kind, _ in added]])
     place = kept.columns.index(text)
 
     def run(batches):
@@ -165,7 +179,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 piece = b.slice(at, 1024)
-                got = [score(t) for t in piece.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*piece.schema.names, "lang_pred", "lang_score"])
+                got = [score.all(t) for t in piece.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array([x[k] for x in got], kind) for k, (_, _, kind) in enumerate(added)]], [*piece.schema.names, *[name for name, *_ in added]])
 
     return kept.mapInArrow(run, schema)

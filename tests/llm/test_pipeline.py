@@ -30,6 +30,17 @@ def test_stages(spark):
     assert out.where(F.col("text").contains("@mail")).where(F.col("text").rlike(r"[a-z]+\.\d\d@mail")).count() == 0
 
 
+def test_texts_of_no_learned_language_go_with_any_number_of_languages(spark):
+    docs = load(spark, SMALL, "documents")
+    schema = docs.schema
+    other = spark.createDataFrame([(900001, "Это совсем другой язык", None, "src1", 1), (900002, "hyvää huomenta ystävä kiitos", None, "src1", 1), (900003, "完全に別の言語です", None, "src1", 1)], schema)
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    for n in (2, 3, 4):
+        own = docs.where(F.col("lang").isin(langs[:n]))
+        kept = {r.doc_id for r in corpus_pipeline.language(spark, own.union(other), SMALL).select("doc_id").collect()}
+        assert kept == {r.doc_id for r in own.select("doc_id").collect()}, n
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
