@@ -1,31 +1,31 @@
-"""Hashes of all words or windows of a text at once, in numpy.
+"""Hashes of the words and of the windows of texts.
 
-A polynomial hash modulo 2**64 with an odd base has inverse powers, so the hash
-of any stretch of bytes is a difference of prefix sums times a power.  Two bases
-are mixed, since either alone has known collisions.
+Words are hashed by blake2b to 64 bits, so nothing about the bytes of a text makes two words or
+shingles equal; what decides equality rests on these.  Windows have a rolling hash modulo
+2**64.  It is quick, but structured bytes (Thue-Morse words) collide in it for any base: it may choose
+places, never decide that bytes are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for base in _BASES:
-        have = _POWERS.get(base)
-        if have is None or len(have[0]) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
-            up[0] = down[0] = 1
-            have = _POWERS[base] = (np.cumprod(up, dtype=U), np.cumprod(down, dtype=U))
-        out.append(have)
-    return out
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, _BASE, U), np.full(size, pow(_BASE, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,73 +37,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts[i]:ends[i]] (bytes as uint8)."""
-    out = []
-    for up, down in _powers(len(data) + 1):
-        sums = np.empty(len(data) + 1, U)
-        sums[0] = 0
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * down[starts])
-    a, b = out
-    return mix(a ^ mix(b + U(0x632BE59BD9B4E019)))
-
-
 def windows(data: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all stretches of that width."""
+    """Rolling hashes of all stretches of that width: equal bytes have equal ones, and nothing more."""
     n = len(data) - width + 1
-    out = []
-    for up, down in _powers(len(data) + 1):
-        sums = np.empty(len(data) + 1, U)
-        sums[0] = 0
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-        out.append((sums[width:] - sums[:n]) * down[:n])
-    a, b = out
-    return mix(a ^ mix(b + U(0x632BE59BD9B4E019)))
+    up, down = _powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, U)
+    sums[0] = 0
+    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[width:] - sums[:n]) * down[:n])
+
 
+class _Words(dict):
+    """Word -> 64 bits of blake2b; remembers at most `most` words, none of them long."""
 
-#: A-Z in lower case, all other bytes as they are; white space is 0x20 and 0x09 to 0x0D.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+    most = 1 << 17
+
+    def __reduce__(self):
+        return _Words, ()  # sent to executors empty
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 48:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+#: Bytes of a text whose words are held at once, and what stands between words.
+PIECE = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text in order; A-Z count as lower case, white space is 0x20 and 0x09 to 0x0D."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if at + PIECE < end and (gap := GAP.search(text, at + PIECE)):
+            end = gap.start()
+        words = text[at:end].lower().split()  # of bytes: ASCII only, both
+        out.append(np.fromiter(map(_WORDS.__getitem__, words), U, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, U)
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its word shingles (fewer words: the whole sequence; none: empty)."""
-    joined = b" ".join(t or b"" for t in texts)
-    sizes = np.array([len(t or b"") for t in texts], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-    if not joined:
-        return [np.empty(0, U) for _ in texts]
-    data = LOWER[np.frombuffer(joined, np.uint8)]
-    gap = SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    h = stretches(data, starts, ends)
-    at = np.searchsorted(starts, bounds)
+    own = [word_hashes(t or b"") for t in texts]
+    h = np.concatenate(own) if own else np.empty(0, U)
+    ends = np.cumsum([len(x) for x in own])
     k = len(h) - words + 1
     if k > 0:
         run = np.zeros(k, U)
         for i in range(words):
             run = mix(run * U(0x9FB21C651E98DF25) + h[i : i + k] + U(i + 1))
     out = []
-    for i in range(len(texts)):
-        a, b = int(at[i]), int(at[i + 1])
-        if b - a >= words:
-            out.append(np.unique(run[a : b - words + 1]))
-        elif b > a:
-            x = np.array([b - a], U)
-            for w in h[a:b]:
-                x = mix(x * U(0xC2B2AE3D27D4EB4F) + w)
-            out.append(x)
+    for x, b in zip(own, ends.tolist(), strict=True):
+        n = len(x)
+        if n >= words:
+            out.append(np.unique(run[b - n : b - words + 1]))
+        elif n:
+            short = np.array([n], U)
+            for w in x:
+                short = mix(short * U(0xC2B2AE3D27D4EB4F) + w)
+            out.append(short)
         else:
-            out.append(np.empty(0, U))
+            out.append(x)
     return out
 
 
 def slices(binary, most: int = 1 << 18):
-    """(first, last) row ranges of an Arrow binary or string column with about `most` bytes each: the arrays above take up to 100 times the bytes."""
+    """(first, last) ranges of rows of these sizes with about `most` bytes each: the arrays above take up to 100 times the bytes."""
     at = total = 0
     for i, n in enumerate(binary):
         n = n or 0

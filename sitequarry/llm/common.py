@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sitequarry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,7 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     # Spark drops the shuffle files of a finished job when the driver's references to it are collected; waiting for that fills disks.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that `stored` has written and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id, mod: int, rest: int):
@@ -41,22 +54,6 @@ def held_out(doc_id, mod: int, rest: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod) == rest, F.lit(False))
 
 
-def in_arrow(df: DataFrame, kernel: Callable[[list], Iterable], schema: str, rows: int = 256) -> DataFrame:
-    """mapInArrow with kernel(columns of at most `rows` rows) -> columns of the result, or None.
-
-    Batches are cut to a few rows, so that memory stays bounded however long the texts are.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                out = kernel([c.to_pylist() for c in whole.slice(at, rows).columns])
-                if out is not None:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def as_batch(columns: list, types: list, names: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -64,3 +61,8 @@ def as_batch(columns: list, types: list, names: list) -> pa.RecordBatch:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows: the check before a broadcast.  It counts no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def light_enough(df: DataFrame, size: Column, most: int) -> bool:
+    """Whether the sizes, in bytes, of the rows of df add up to `most` at most: the check before a broadcast of rows of any width."""
+    return (df.agg(F.sum(size.cast("long"))).head()[0] or 0) <= most

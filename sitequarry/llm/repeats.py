@@ -1,4 +1,4 @@
-"""Repeated strings removed, exactly, by prefix-free parsing.
+"""Repeated strings removed, exactly, by prefix-free parsing and suffix arrays.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in
 this document or another.
@@ -7,16 +7,19 @@ Parse.  A rolling hash of WIDTH bytes picks triggers, so that any LENGTH bytes h
 least one and equal bytes hold the same.  Triggers cut each text into phrases; a
 phrase is the stretch in which all strings of LENGTH bytes have one trigger, so it
 overlaps its neighbours by LENGTH - 1 bytes and no string is split.
-Dictionary.  The distinct phrases.  A phrase that occurs twice is repeated throughout and never
-looked at again: in highly repetitive text nearly all are.  A phrase whose trigger occurs nowhere
-else holds no repeated string.
-Order.  Only strings of one trigger can be equal.  The suffixes of the remaining phrases of each trigger
-are put in order, to the depth of LENGTH bytes that the question needs, and equal neighbours are
-repeated.  Beyond GROUP phrases of one trigger, the suffixes are dealt out one by one instead, so a
-frequent line or passage never meets in one task.
+Dictionary.  The distinct phrases, told apart by 128 bits of blake2b.  As a phrase holds its strings
+whole, the parse needs ordering to a depth of one phrase only: occurrences of equal phrases are
+neighbours there, and all their strings are repeated.  In highly repetitive text these are nearly all, and
+they are never looked at again.  A phrase whose trigger occurs nowhere else holds no repeated string.
+Suffix arrays.  Equal strings have equal triggers.  The phrases that remain are gathered by trigger, and the
+suffix array of the dictionary's part that a task holds is made by prefix doubling on its bytes, to
+the depth of LENGTH that the question needs.  Together with the order of triggers that is an order of the corpus:
+suffixes by trigger, then by their bytes.  Neighbours in it that agree to that depth are repeated.
+Beyond GROUP bytes of phrases of one trigger, the strings are dealt out one by one instead, by 128 bits of blake2b,
+so a frequent line or passage never meets in one task.
 
 Nothing is sampled, capped or dropped: triggers and phrases are counted over all documents, and all strings
-that could be equal are compared.  Comparison is by 128 bits of hashes (trigger and string).
+that could be equal are compared.  The rolling hash only chooses places; bytes or blake2b decide.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.bytescan import U, mix, slices, stretches, windows
-from sitequarry.llm.common import as_batch, stored
+from sitequarry.llm.bytescan import U, slices, windows
+from sitequarry.llm.common import as_batch, discard, stored
 
-#: Phrases of one trigger that one row may hold: about 6 MB.
-GROUP = 16_384
-#: Bytes of text whose hashes are held at once.
+#: Bytes of phrases of one trigger that one row may hold.
+GROUP = 4 << 20
+#: Bytes of text whose hashes, or ranks, are held at once.
 SLICE = 1 << 19
 
 #: Strings of that many bytes are looked for; triggers are hashes of WIDTH bytes.
@@ -56,18 +59,18 @@ def _sliding(values: np.ndarray, span: int, least: bool) -> np.ndarray:
 
 
 def phrases(texts: list[bytes]):
-    """The parse of texts: (text, first start, last start, trigger, content, again), one entry for each phrase.
+    """The parse of texts: (text, first start, last start, trigger, again), one entry for each phrase.
 
     A phrase holds the strings that start at consecutive places and have the same trigger, which is the least
     hash of WIDTH bytes in them.  Equal strings have the same trigger at the same place, whatever stands around
-    them.  content stands for all bytes of the phrase.  again: two strings of the phrase may be equal.
+    them.  again: two strings of the phrase may be equal.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.empty(0, np.int64)
     if len(data) < LENGTH or not (sizes >= LENGTH).any():
-        return empty, empty, empty, empty.view(U), empty.view(U), np.empty(0, bool)
+        return empty, empty, empty, empty.view(U), np.empty(0, bool)
     h = windows(data, WIDTH)
     m = _sliding(h, SPAN, True)  # trigger of the string at each start
     start = np.arange(len(m))
@@ -88,9 +91,13 @@ def phrases(texts: list[bytes]):
     value, place = h[places][order], places[order]
     tied = np.unique(value[1:][(value[1:] == value[:-1]) & (place[1:] - place[:-1] < 2 * LENGTH)])
     again = np.isin(trigger, tied)
-    content = mix(stretches(data, first, last + LENGTH) + (last - first).astype(U))
     owner = text[first]
-    return owner, first - bounds[owner], last - bounds[owner], trigger, content, again
+    return owner, first - bounds[owner], last - bounds[owner], trigger, again
+
+
+def digest(data: bytes) -> bytes:
+    """What stands for bytes where they would take too much room."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _slices(column: pa.Array):
@@ -103,7 +110,7 @@ def _count(batches):
     """(trigger, n, again) of texts, summed by slice."""
     for batch in batches:
         for _, texts in _slices(batch.column(0)):
-            _, _, _, trigger, _, again = phrases(texts)
+            _, _, _, trigger, again = phrases(texts)
             found, back, n = np.unique(trigger, return_inverse=True, return_counts=True)
             marked = np.zeros(len(found), bool)
             marked[back[again]] = True
@@ -113,21 +120,22 @@ def _count(batches):
 def _parse(batches):
     """(trigger, content, doc, tag, first, last, again) of (doc, tag, text)."""
     names = ["trigger", "content", "doc", "tag", "first", "last", "again"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
     for batch in batches:
         doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for at, texts in _slices(batch.column(2)):
-            owner, first, last, trigger, content, again = phrases(texts)
+            owner, first, last, trigger, again = phrases(texts)
             for a in range(0, len(owner), 50_000):
                 x = slice(a, a + 50_000)
                 rows = owner[x] + at
-                yield as_batch([trigger[x].view(np.int64), content[x].view(np.int64), doc[rows], tag[rows], first[x].astype(np.int32), last[x].astype(np.int32), again[x]], types, names)
+                content = [digest(texts[i][f : l + LENGTH]) for i, f, l in zip(owner[x].tolist(), first[x].tolist(), last[x].tolist(), strict=True)]
+                yield as_batch([trigger[x].view(np.int64), content, doc[rows], tag[rows], first[x].astype(np.int32), last[x].astype(np.int32), again[x]], types, names)
 
 
 def _cut(batches):
     """The bytes of the phrases wanted of each document: (doc, tag, text, wanted) -> one row for each."""
     names = ["trigger", "many", "doc", "tag", "first", "single", "bytes"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
         docs, tags, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
         texts = batch.column(2).cast(pa.binary())
@@ -136,17 +144,50 @@ def _cut(batches):
             yield as_batch([[w["trigger"] for w in want], [w["many"] for w in want], [docs[i]] * len(want), [tags[i]] * len(want), [w["first"] for w in want], [w["single"] for w in want], [text[w["first"] : w["last"] + LENGTH] for w in want]], types, names)
 
 
+def ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """The place of each suffix of data (bytes as uint8) in their order to that depth, 8 at least; equal suffixes have equal places.
+
+    Prefix doubling: suffixes in the order of their first d bytes are put in that of 2 d by the places of the suffixes d further on.  Only those
+    that are still equal to another move.  Bytes after the end count as the least.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    head = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
+    key = np.ascontiguousarray(head).view(">u8").ravel().astype(U)
+    place = np.zeros(n + 1, np.int64)
+    place[n] = -1  # what follows the last byte
+    active, base, reached = np.arange(n), np.zeros(n, np.int64), 8
+    while True:
+        # active: suffixes to sort, `base` the place of the first that is equal so far; both in the order of base.
+        order = np.argsort(key)
+        active, base, key = active[order], base[order], key[order]
+        m = np.arange(len(active))
+        new_base = np.ones(len(active), bool)
+        new_base[1:] = base[1:] != base[:-1]
+        new = new_base.copy()
+        new[1:] |= key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new, m, 0))
+        base = base + first - np.maximum.accumulate(np.where(new_base, m, 0))
+        place[active] = base
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        active, base = active[~alone], base[~alone]
+        if reached >= depth or not len(active):
+            return place[:n]
+        step = min(reached, depth - reached)
+        key = (base << 32) + place[np.minimum(active + step, n)] + 1
+        reached += step
+
+
 def _suffixes(cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of phrases: the phrase, the start in it, and the hash of each string of LENGTH bytes."""
-    out = []
-    for a, b in slices([len(c) for c in cut], SLICE):
-        bounds = np.concatenate([[0], np.cumsum(np.array([len(c) for c in cut[a:b]], np.int64))])
-        h = windows(np.frombuffer(b"".join(cut[a:b]), np.uint8), LENGTH)
-        starts = np.arange(len(h))
-        owner = np.searchsorted(bounds, starts, side="right") - 1
-        inside = starts + LENGTH <= bounds[owner + 1]
-        out.append(((owner + a)[inside], (starts - bounds[owner])[inside], h[inside]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    """Of phrases: the phrase, the start in it, and the place in the order of all, of each string of LENGTH bytes."""
+    sizes = np.array([len(c) for c in cut], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    place = ranks(np.frombuffer(b"".join(cut), np.uint8), LENGTH)
+    starts = np.arange(len(place))
+    owner = np.repeat(np.arange(len(cut)), sizes)
+    inside = starts + LENGTH <= bounds[owner + 1]
+    return owner[inside], (starts - bounds[owner])[inside], place[inside]
 
 
 def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,37 +202,38 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 MARK = ["doc", "tag", "from", "until"]
-MARK_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+MARK_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _ordered(batches):
     """Marks of the repeated strings in phrases grouped by trigger: suffixes in order, equal neighbours marked."""
     for batch in batches:
-        groups = batch.column(0).to_pylist()
-        for a, b in slices([sum(len(p["bytes"]) for p in g) for g in groups], SLICE):
-            rows = [(i, p) for i, g in enumerate(groups[a:b]) for p in g]
-            owner, place, h = _suffixes([p["bytes"] for _, p in rows])
-            h = mix(h + mix(np.array([i for i, _ in rows], U) + U(1))[owner])
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            equal = np.zeros(len(h), bool)
-            equal[order[1:][same]] = equal[order[:-1][same]] = True
-            equal &= np.array([p["single"] for _, p in rows], bool)[owner]
-            owner, first, last = _runs(owner[equal], place[equal])
-            start = np.array([p["first"] for _, p in rows], np.int64)[owner]
-            yield as_batch([np.array([p["doc"] for _, p in rows], np.int64)[owner], np.array([p["tag"] for _, p in rows], np.int32)[owner], (start + first).astype(np.int32), (start + last + LENGTH).astype(np.int32)], MARK_TYPES, MARK)
+        column = batch.column(0)
+        for at in range(0, batch.num_rows, 256):
+            groups = column.slice(at, 256).to_pylist()
+            for a, b in slices([sum(len(p["bytes"]) for p in g) for g in groups], SLICE):
+                rows = [p for g in groups[a:b] for p in g]
+                owner, place, rank = _suffixes([p["bytes"] for p in rows])
+                order = np.argsort(rank, kind="stable")
+                same = rank[order][1:] == rank[order][:-1]
+                equal = np.zeros(len(rank), bool)
+                equal[order[1:][same]] = equal[order[:-1][same]] = True
+                equal &= np.array([p["single"] for p in rows], bool)[owner]
+                owner, first, last = _runs(owner[equal], place[equal])
+                start = np.array([p["first"] for p in rows], np.int64)[owner]
+                yield as_batch([np.array([p["doc"] for p in rows], np.int64)[owner], np.array([p["tag"] for p in rows], np.int64)[owner], (start + first).astype(np.int32), (start + last + LENGTH).astype(np.int32)], MARK_TYPES, MARK)
 
 
 def _dealt(batches):
-    """(trigger, hash, doc, tag, start, single) of each string of (trigger, doc, tag, first, single, bytes)."""
-    names = ["trigger", "hash", "doc", "tag", "start", "single"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    """(trigger, string, doc, tag, start, single) of each string of (trigger, doc, tag, first, single, bytes)."""
+    names = ["trigger", "string", "doc", "tag", "start", "single"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            piece = batch.slice(at, 512)
-            trigger, doc, tag, first, single = (piece.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            owner, place, h = _suffixes(piece.column(5).to_pylist())
-            yield as_batch([trigger[owner], h.view(np.int64), doc[owner], tag[owner], (first[owner] + place).astype(np.int32), single[owner]], types, names)
+        for trigger, doc, tag, first, single, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(0, len(phrase) - LENGTH + 1, 50_000):
+                starts = range(at, min(at + 50_000, len(phrase) - LENGTH + 1))
+                n = len(starts)
+                yield as_batch([np.full(n, trigger), [digest(phrase[i : i + LENGTH]) for i in starts], np.full(n, doc), np.full(n, tag), np.arange(first + at, first + at + n, dtype=np.int32), np.full(n, single)], types, names)
 
 
 def _kept(batches):
@@ -223,21 +265,23 @@ def marks(docs: DataFrame) -> DataFrame:
     """(doc, tag, from, until): byte ranges that go, overlapping or not, of documents (doc, tag, text)."""
     counted = docs.select("text").mapInArrow(_count, "trigger long, n long, again boolean")
     triggers = stored(counted.groupBy("trigger").agg(F.sum("n").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("trigger"), "triggers")
-    parsed = docs.select("doc", "tag", "text").mapInArrow(_parse, "trigger long, content long, doc long, tag int, first int, last int, again boolean")
+    parsed = docs.select("doc", "tag", "text").mapInArrow(_parse, "trigger long, content binary, doc long, tag long, first int, last int, again boolean")
     found = stored(parsed.join(triggers, "trigger", "left_semi"), "phrases")
+    discard(triggers)
     dictionary = found.groupBy("trigger", "content").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("doc", "tag", "first", "last")).alias("at"))
     dictionary = stored(dictionary, "dictionary")
     whole = found.join(dictionary.where("n > 1").select("trigger", "content"), ["trigger", "content"], "left_semi").selectExpr("doc", "tag", "first as from", f"last + {LENGTH} as until")
-    open_ = dictionary.groupBy("trigger").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("again").alias("again")).where("least = 1 and (k > 1 or again)")
-    wanted = dictionary.join(open_.select("trigger", (F.col("k") > GROUP).alias("many")), "trigger").select("at.*", F.struct("trigger", "many", F.col("at.first").alias("first"), F.col("at.last").alias("last"), (F.col("n") == 1).alias("single")).alias("w"))
+    size = F.sum((F.col("at.last") - F.col("at.first") + LENGTH).cast("long"))
+    open_ = dictionary.groupBy("trigger").agg(F.count("*").alias("k"), size.alias("bytes"), F.min("n").alias("least"), F.max("again").alias("again")).where("least = 1 and (k > 1 or again)")
+    wanted = dictionary.join(open_.select("trigger", (F.col("bytes") > GROUP).alias("many")), "trigger").select("at.*", F.struct("trigger", "many", F.col("at.first").alias("first"), F.col("at.last").alias("last"), (F.col("n") == 1).alias("single")).alias("w"))
     wanted = wanted.groupBy("doc", "tag").agg(F.collect_list("w").alias("wanted"))
-    cut = docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(_cut, "trigger long, many boolean, doc long, tag int, first int, single boolean, bytes binary")
+    cut = docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(_cut, "trigger long, many boolean, doc long, tag long, first int, single boolean, bytes binary")
     cut = stored(cut, "cut")
     few = cut.where("not many").groupBy("trigger").agg(F.collect_list(F.struct("doc", "tag", "first", "single", "bytes")).alias("g"))
-    by_group = few.select("g").mapInArrow(_ordered, "doc long, tag int, from int, until int")
-    dealt = cut.where("many").select("trigger", "doc", "tag", "first", "single", "bytes").mapInArrow(_dealt, "trigger long, hash long, doc long, tag int, start int, single boolean")
-    twice = dealt.groupBy("trigger", "hash").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "hash")
-    one_by_one = dealt.where("single").join(twice, ["trigger", "hash"], "left_semi").selectExpr("doc", "tag", "start as from", f"start + {LENGTH} as until")
+    by_group = few.select("g").mapInArrow(_ordered, "doc long, tag long, from int, until int")
+    dealt = cut.where("many").select("trigger", "doc", "tag", "first", "single", "bytes").mapInArrow(_dealt, "trigger long, string binary, doc long, tag long, start int, single boolean")
+    twice = dealt.groupBy("trigger", "string").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "string")
+    one_by_one = dealt.where("single").join(twice, ["trigger", "string"], "left_semi").selectExpr("doc", "tag", "start as from", f"start + {LENGTH} as until")
     return whole.unionByName(by_group).unionByName(one_by_one)
 
 
@@ -245,10 +289,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """Per document doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes (cuts may fall within a character).
 
     A null text counts as empty; a text under LENGTH bytes loses nothing; repeated rows are documents of their own, so each loses
-    what it shares with the other.  Rows of one doc_id and different texts are told apart by a hash of the text.
+    what it shares with the other.  Rows of one doc_id, or of none, and different texts are told apart by hashes of the text: 64 bits
+    beside an id, 128 without.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("tag"), "text")
-    found = stored(marks(own.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct("from", "until")).alias("marks")), "marks")
+    own = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("doc"), F.xxhash64("text").alias("tag"), "text")
+    # A set, as equal rows bring equal marks.
+    found = stored(marks(own.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_set(F.struct("from", "until")).alias("marks")), "marks")
     joined = own.join(found, ["doc", "tag"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
