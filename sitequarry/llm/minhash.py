@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitequarry.llm.bytescan import U, mix, shingle_sets, slices
-from sitequarry.llm.common import as_batch, small_enough, stored
+from sitequarry.llm.common import as_batch, discard, light_enough, small_enough, stored
 from sitequarry.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -31,6 +31,10 @@ BANDS, ROWS = 32, 4
 MARGIN = 0.22
 #: Buckets of more sets than that are searched by differences.
 SMALL = 12
+#: Of each centre so many of its most frequent differences are put last in the order of all; the others stand in the order of their hashes.
+FREQUENT = 999
+#: Bytes of centres' sets, or of their frequent differences, that are broadcast at most.
+MOST_BYTES = 64 << 20
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +150,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, m
     return pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _differences(batches):
+    """(centre, doc_id, added, lost, n, n_c) of (centre, doc_id, set, set of the centre): shingles, sorted, that only the one or the other has."""
+    names, types = ["centre", "doc_id", "added", "lost", "n", "n_c"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            p, out = batch.slice(at, 64), []
+            for c_id, doc_id, x, c in zip(*(p.column(i).to_pylist() for i in range(4)), strict=True):
+                x, c = np.frombuffer(x, U), np.frombuffer(c, U)
+                out.append((c_id, doc_id, np.setdiff1d(x, c, assume_unique=True).tobytes(), np.setdiff1d(c, x, assume_unique=True).tobytes(), len(x), len(c)))
+            yield as_batch([list(x) for x in zip(*out, strict=True)], types, names)
+
+
+def _occurrences(batches):
+    """(centre, element, n) of (centre, added, lost), summed over some rows of a centre before they are dealt."""
+
+    def told(centre, held):
+        element, n = np.unique(np.concatenate(held), return_counts=True)
+        return as_batch([np.full(len(element), centre), element.view(np.int64), n], [pa.int64(), pa.int64(), pa.int64()], ["centre", "element", "n"])
+
+    for batch in batches:
+        sums: dict[int, list] = {}
+        size = 0
+        for centre, added, lost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums.setdefault(centre, []).append(np.concatenate([np.frombuffer(added, U), np.frombuffer(lost, U)]))
+            size += len(added) + len(lost)
+            if size > 8 << 20:
+                yield from (told(c, held) for c, held in sums.items())
+                sums, size = {}, 0
+        yield from (told(c, held) for c, held in sums.items())
+
+
 def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
     """Of large buckets (band, doc_id, low): the links to the centres of their clusters, and the pairs that remain to be verified.
 
@@ -153,7 +188,10 @@ def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most
     q = (1 - t) / (1 + t).  x and y are linked if and only if |x D y| <= q (|x| + |y|), and |x D y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.
     If x isn't linked to c, so that e = |D(x)| - q (|x| + |c|) > 0, it follows that D(x) and D(y) have more than
     (1 - q) / 2 |D(y)| and at least e / (1 + q) shingles in common.  Two sets that have k elements in common have the first of
-    them, in any order, among their first |set| - k + 1.  Here A comes before R, and within them the rarest first.
+    them, in any order, among their first |set| - k + 1.  Here A comes before R; within them come the shingles that are not in the
+    centre's table of frequent ones, by hash, and then those of the table, the rarest first.  The table is bounded
+    (FREQUENT), which costs work where it doesn't reach and never a pair: any order will do that is the same for all of a centre.
+    Where the table has all that occur twice, what isn't in it is only counted, as one document alone has it.
     If none of A is in common, x and y meet in what is left of c, at most in |x & c|, which is too little unless y is smaller than
     c by g = |x| + |c| - (1 + t) / t |x & c| > 0 at least.  So pairs come from a common element of A or, for such y, of R.
     If both are linked to c, they are in one component anyway.
@@ -167,35 +205,52 @@ def _apart(large: DataFrame, docs: DataFrame, words: int, threshold: float, most
     member = stored(large.select("band", "doc_id").join(centre, "band").select("centre", "doc_id").distinct(), "clusters")
     full = _sets(docs, member.select("doc_id"), words, most_broadcast)
     middle = member.select("centre").distinct().join(full.toDF("centre", "c"), "centre").select("centre", "c")
-    middle = F.broadcast(middle) if small_enough(middle, 1000) else middle
-
-    def differ(batches):
-        names = ["centre", "doc_id", "element", "added", "gained", "n", "size", "excess", "gap", "smaller", "linked"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+    middle = F.broadcast(middle) if most_broadcast and light_enough(middle, F.octet_length("c"), MOST_BYTES) else middle
+    own = member.join(full, "doc_id").join(middle, "centre").select("centre", "doc_id", "shingles", "c")
+    d = stored(own.mapInArrow(_differences, "centre long, doc_id long, added binary, lost binary, n long, n_c long"), "differences")
+    discard(member, full)
+    excess = (F.octet_length("added") + F.octet_length("lost")) / 8 - q * (F.col("n") + F.col("n_c"))
+    central = d.where((excess <= 1e-9) & (F.col("doc_id") != F.col("centre"))).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    times = d.select("centre", "added", "lost").mapInArrow(_occurrences, "centre long, element long, n long").groupBy("centre", "element").agg(F.sum("n").alias("n")).where("n > 1")
+    turn = F.row_number().over(W.partitionBy("centre").orderBy(F.col("n").desc(), "element"))
+    table = times.withColumn("turn", turn).where(F.col("turn") <= FREQUENT + 1).groupBy("centre").agg(F.collect_list(F.struct("turn", "element")).alias("frequent"))
+    # Of a centre at most FREQUENT + 1 numbers; a table of so many isn't complete.
+    table = stored(table.select("centre", F.expr(f"transform(array_sort(filter(frequent, x -> x.turn <= {FREQUENT})), x -> x.element)").alias("frequent"), (F.size("frequent") <= FREQUENT).alias("complete")), "frequent")
+    table = F.broadcast(table) if most_broadcast and light_enough(table, 8 * F.size("frequent"), MOST_BYTES) else table
+
+    def prefixes(batches):
+        names = ["centre", "element", "added", "doc_id", "n", "size", "place", "linked", "gap", "smaller", "short"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.bool_()]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                p = batch.slice(at, 64)
-                for c_id, doc_id, x, c in zip(*(p.column(i).to_pylist() for i in range(4)), strict=True):
-                    x, c = np.frombuffer(x, U), np.frombuffer(c, U)
-                    more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-                    d = len(more) + len(less)
-                    excess, gap = d - q * (len(x) + len(c)), len(x) + len(c) - (1 + threshold) / threshold * (len(x) - len(more))
-                    n = max(1, d)
-                    # A copy of the centre has no difference: one row with a null element carries it.
-                    element, added = (np.concatenate([more, less]).view(np.int64), [True] * len(more) + [False] * len(less)) if d else ([None], [None])
-                    yield as_batch([[c_id] * n, [doc_id] * n, element, added, [len(more)] * n, [len(x)] * n, [d] * n, [excess] * n, [gap] * n, [len(c) - len(x)] * n, [excess <= 1e-9] * n], types, names)
-
-    own = member.join(full, "doc_id").join(middle, "centre").select("centre", "doc_id", "shingles", "c")
-    d = stored(own.mapInArrow(differ, "centre long, doc_id long, element long, added boolean, gained long, n long, size long, excess double, gap double, smaller long, linked boolean"), "differences")
-    central = d.where("linked and doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    # Only what several documents have in common can bring them together; what one alone has comes first in its order and is only counted.
-    df = d.where("element is not null").groupBy("centre", "element").agg(F.count("*").alias("df")).where("df > 1")
-    kind = W.partitionBy("centre", "doc_id", "added")  # of one document: it has few differences
-    before = F.when(F.col("added"), F.col("gained")).otherwise(F.col("size")) - F.count("*").over(kind)
-    ranked = d.join(df, ["centre", "element"]).withColumn("place", before + F.row_number().over(kind.orderBy("df", "element")))
-    short = F.col("place") <= F.col("size") - F.floor((1 - q) / 2 * F.col("size") + 1e-9)
-    long_ = ~F.col("linked") & (F.col("place") <= F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("excess") / (1 + q) - 1e-9)) + 1)
-    ranked = stored(ranked.where(short | long_).select("centre", "element", "added", "doc_id", "n", "size", "place", "linked", "gap", "smaller", short.alias("short")), "prefixes")
+                out = []
+                for c_id, doc_id, added, lost, n, n_c, frequent, complete in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    known = np.array(frequent or [], np.int64).view(U)  # the most frequent first
+                    by_hash = np.argsort(known)
+                    size, gained = (len(added) + len(lost)) // 8, len(added) // 8
+                    over = size - q * (n + n_c)
+                    gap, common = n + n_c - (1 + threshold) / threshold * (n - gained), max(1, int(np.ceil(over / (1 + q) - 1e-9)))
+                    low, linked = size - int((1 - q) / 2 * size + 1e-9), over <= 1e-9
+                    far = low if linked else max(low, size - common + 1)
+                    before = 0
+                    for part, is_added in ((added, True), (lost, False)):
+                        x = np.frombuffer(part, U)
+                        turn = np.full(len(x), len(known) + 1)
+                        if len(known):
+                            hit = np.minimum(np.searchsorted(known, x, sorter=by_hash), len(known) - 1)
+                            same = known[by_hash[hit]] == x
+                            turn[same] = by_hash[hit[same]]
+                        order = np.lexsort((x, -turn))
+                        place = np.arange(before + 1, before + len(x) + 1)
+                        before += len(x)
+                        keep = (place <= far) & ~(complete & (turn[order] > len(known)))
+                        element, place = x[order][keep], place[keep]
+                        m = len(element)
+                        out.append((np.full(m, c_id), element.view(np.int64), np.full(m, is_added), np.full(m, doc_id), np.full(m, n), np.full(m, size), place, np.full(m, linked), np.full(m, gap), np.full(m, n_c - n), place <= low))
+                yield as_batch([np.concatenate(x) for x in zip(*out, strict=True)], types, names)
+
+    ranked = d.join(table, "centre", "left").select("centre", "doc_id", "added", "lost", "n", "n_c", "frequent", F.coalesce("complete", F.lit(True)).alias("complete"))
+    ranked = stored(ranked.mapInArrow(prefixes, "centre long, element long, added boolean, doc_id long, n long, size long, place long, linked boolean, gap double, smaller long, short boolean"), "prefixes")
     x, y = (ranked.select("centre", "element", "added", *[F.col(n).alias(f"{n}_{k}") for n in ("doc_id", "n", "size", "place", "linked", "gap", "smaller", "short")]) for k in "xy")
     # Sizes alone rule out most: those of the sets, and those of the differences, of which no more than the smaller is in common.
     # So does the place of the first common element: from there on, either set must hold as many as a link needs in common.
@@ -229,7 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mos
     members = stored(banded.join(buckets, "band"), "members")
     ends = members.selectExpr("explode(array(struct(low as a, doc_id as b), struct(doc_id as a, high as b))) as p").select("p.*").where("a < b").distinct()
     links = stored(_verified(_alike(ends, reps, threshold), docs, words, threshold, most_broadcast), "links")
-    found = components(links)
+    first = found = components(links)
     # Buckets that still hold sets of different components.
     placed = members.select("band", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min("doc_id").alias("low")).where("x < y").select("band", "n", "low")
@@ -244,6 +299,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mos
     more = stored(more, "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
+        discard(first)
+    discard(members, links, placed, more)
     label = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     joined = all_.drop("sig").join(label, ["h1", "h2", "n_shingles"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
