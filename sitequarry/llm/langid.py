@@ -2,18 +2,26 @@
 
 Known words are scored by their log frequency per language; a word that no
 language knows falls back to its character n-grams, longest order first, down to
-single letters.  Counts cover every training document.  A word or n-gram enters
-the model if its share of a language's words (of the n-grams of that order) is at
-least a floor, so a model holds at most 1/floor entries per language and order
-whatever the corpus size.
+single letters.  Counts cover every training document, and every word and n-gram that
+was counted is in the model: there is no floor.
+
+A language's score of a word or n-gram that occurs n times among its N is log(1 + n M / (A N)), where M is the
+largest N of any language: the log of its frequency over that of what was never seen, A / M, which is the
+same for all languages and so cancels.  A word scores 0 in languages that lack it.
+
+The model is a table of words and one of n-grams.  Its most frequent words, as many as a documented bound
+allows, travel to the executors; texts are scored with these in one pass, which also gives the words that are left.
+Those are looked up, once each, by joins with the whole tables, and their scores come back by text.  The bound
+affects the way only: results are the same with no word sent at all.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import struct
+import sys
 from collections import Counter, defaultdict
+from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +29,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitequarry.llm.common import as_batch, stored
+from sitequarry.llm.common import as_batch, discard, small_enough, stored
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: \w without digits, _ and the numerals that are neither digits nor letters.
+WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())}]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 200_000
+#: Occurrences that a word or n-gram which was never seen is taken to have in the largest language.
+A = 0.5
+#: Words sent to the executors, and numbers in their table (words times languages), at most.
+MOST_WORDS, MOST_CELLS = 200_000, 2_000_000
 
 
-def _grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> list[str]:
+    """The n-grams of a word with a blank on either side; single letters without."""
     w = f" {word} " if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+@dataclass
+class Model:
+    """langs; words and grams: (gram, n, entries (l, s): the place and score of each language that has it); the words sent and their scores."""
+
+    langs: list[str]
+    words: DataFrame
+    grams: DataFrame
+    row: dict[str, int]
+    table: np.ndarray
+
+
 def _count_words(batches):
     held: dict = defaultdict(Counter)
 
@@ -65,121 +90,154 @@ def _count_grams(batches):
         for lang, word, n in zip(b["lang"].to_pylist(), b["gram"].to_pylist(), b["n"].to_pylist(), strict=True):
             for k in ORDERS:
                 c = held[lang, k]
-                for g in _grams(word, k):
+                for g in grams(word, k):
                     c[g] += n
         if sum(map(len, held.values())) > FLUSH:
             yield from flush()
     yield from flush()
 
 
-def fit(training: DataFrame, word_floor: float = 2e-5, gram_floor: float = 1e-4) -> dict:
+def _scored(counts: DataFrame, langs: list[str], name: str) -> DataFrame:
+    """(gram, n, entries) of (lang, size, gram, n)."""
+    totals = {(r.lang, r.size): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
+    most = {size: max(n for (_, k), n in totals.items() if k == size) for _, size in totals}
+    scale = counts.sparkSession.createDataFrame([(lang, size, langs.index(lang), most[size] / (A * n)) for (lang, size), n in totals.items()], "lang string, size int, l int, scale double")
+    each = counts.join(F.broadcast(scale), ["lang", "size"])  # a row for each language and order
+    return stored(each.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", F.log1p(F.col("n") * F.col("scale")).alias("s"))).alias("entries")), name)
+
+
+def fit(training: DataFrame, most_words: int = MOST_WORDS) -> Model:
     """A model from (text, lang) rows; rows with a null in either are left out.  No rows: a model without languages.
 
-    The driver receives at most 1/floor entries per language and order.
+    The driver receives the totals of languages and orders and, of words, most_words at most.
     """
     rows = training.select("text", "lang").where("text is not null and lang is not null")
     words = stored(rows.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-words")
-    grams = words.mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    grams = stored(grams, "langid-grams")
-    counts = words.select("lang", F.lit(0).alias("size"), "gram", "n").unionByName(grams)
-    total = {(r.lang, r.size): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
-    langs = sorted({k for k, _ in total})
-    floors = F.lit(None).cast("double")
-    for (lang, size), n in total.items():
-        floors = F.when((F.col("lang") == lang) & (F.col("size") == size), n * (gram_floor if size else word_floor)).otherwise(floors)
-    table: dict[int, dict[str, list[float]]] = {n: {} for n in (0, *ORDERS)}
-    at = {lang: i for i, lang in enumerate(langs)}
-    for r in counts.where(F.col("n") >= floors).toLocalIterator():
-        own = table[r.size].setdefault(r.gram, [0.0] * len(langs))
-        own[at[r.lang]] = r.n / total[r.lang, r.size]
-    out = {}
-    for size, entries in table.items():
-        low = (gram_floor if size else word_floor) / 4
-        out[size] = {}
-        for g, shares in entries.items():
-            logs = np.log(np.maximum(np.array(shares), low))
-            out[size][g] = (logs - np.logaddexp.reduce(logs)).astype("<f4").tobytes()  # a third of a tuple's memory
-    return {"langs": langs, "table": out}
-
-
-def word_scores(model: dict, word: str) -> tuple[float, ...]:
-    """Log probability of each language given one word."""
-    table, unpack = model["table"], struct.Struct(f"<{len(model['langs'])}f").unpack
-    if (known := table[0].get(word)) is not None:
-        return unpack(known)
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    counted = stored(words.mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    by_word, by_gram = _scored(words.withColumn("size", F.lit(0)), langs, "langid-word-scores"), _scored(counted, langs, "langid-gram-scores")
+    discard(words, counted)
+    # The count from which on words fit: eight steps to each doubling of it.
+    step = F.floor(F.log2("n") * 8)
+    most, from_ = min(most_words, MOST_CELLS // max(1, len(langs))), None
+    for r in by_word.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        most -= r.k
+        if most < 0:
+            break
+        from_ = r.step
+    row: dict[str, int] = {}
+    table = np.zeros((0, len(langs)), np.float32)
+    if from_ is not None:
+        got = by_word.where(step >= from_).select("gram", F.transform("entries", lambda e: e["l"]).alias("l"), F.transform("entries", lambda e: e["s"]).alias("s")).toArrow()
+        row = {w: i for i, w in enumerate(got["gram"].to_pylist())}
+        table = np.zeros((len(row), len(langs)), np.float32)
+        l, s = (got[x].combine_chunks() for x in "ls")
+        table[np.repeat(np.arange(len(row)), l.value_lengths().to_numpy(zero_copy_only=False)), l.flatten().to_numpy()] = s.flatten().to_numpy()
+    return Model(langs, by_word, by_gram, row, table)
+
+
+def _left(asked: DataFrame, model: Model) -> DataFrame:
+    """(word, known, entries) of words: known if a language has the word, or a run of 4 or 5 of its letters, blanks around it among them."""
+    found = stored(asked.join(model.words.select(F.col("gram").alias("word"), "entries"), "word", "left"), "langid-asked")
+    out = found.where("entries is not null").select("word", F.lit(True).alias("known"), "entries")
+    unseen = found.where("entries is null").select("word")
     for n in ORDERS:
-        own = table[n]
-        found = [unpack(own[g]) for g in _grams(word, n) if g in own]
-        if found:
-            mean = [sum(c) / len(found) for c in zip(*found, strict=True)]
-            top = max(mean)
-            shift = top + math.log(sum(math.exp(x - top) for x in mean))
-            return tuple(x - shift for x in mean)
-    return (-math.log(len(model["langs"])),) * len(model["langs"])
-
-
-def is_known(model: dict, word: str) -> bool:
-    """Whether some language has the word, or a run of 4 or 5 of its letters, blanks around it among them."""
-    table = model["table"]
-    return word in table[0] or any(g in table[n] for n in (5, 4) for g in _grams(word, n))
-
-
-class Scorer:
-    """Scores texts: best language and its score, by `all` also the share of words that are known; remembers at most `most` words."""
-
-    def __init__(self, model: dict, most: int = 200_000):
-        self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.scores = np.zeros((4096, max(1, len(self.model["langs"]))), np.float32)
-        self.known = np.zeros(4096, bool)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        return self.all(text)[:2]
-
-    def all(self, text: str | None) -> tuple[str, float, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.model["langs"]:
-            return "und", 0.0, 0.0
-        counts = Counter(words)
-        if len(self.row) + len(counts) > max(self.most, len(counts)):
-            self.clear()
-        rows = []
-        for w in counts:
-            if (i := self.row.get(w)) is None:
-                i = self.row[w] = len(self.row)
-                if i >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-                self.scores[i] = word_scores(self.model, w)
-                self.known[i] = is_known(self.model, w)
-            rows.append(i)
-        times = np.fromiter(counts.values(), np.float64, len(counts))
-        total = times @ self.scores[rows].astype(np.float64)
-        best = int(np.argmax(total))
-        return self.model["langs"][best], float(np.exp(total[best] - np.logaddexp.reduce(total))), float(times @ self.known[rows] / times.sum())
-
-
-def predict(docs: DataFrame, model: dict, text: str = "text", known: bool = False) -> DataFrame:
-    """docs with lang_pred and lang_score added; with known, also lang_known: the share of words that some language knows.
-
-    A null text or one without a letter: `und` and 0.  Columns of docs with these names are replaced.
+        if unseen.isEmpty():
+            break
+
+        def split(batches, n=n):
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    own = [(w, g) for w in b.column(0).slice(at, 4096).to_pylist() for g in grams(w, n)]
+                    for i in range(0, len(own), 50_000):
+                        yield as_batch([list(x) for x in zip(*own[i : i + 50_000], strict=True)], [pa.string(), pa.string()], ["word", "gram"])
+
+        hit = unseen.mapInArrow(split, "word string, gram string").join(model.grams.where(F.length("gram") == n).select("gram", "entries"), "gram")
+        # The mean over the n-grams found.
+        k = hit.select("word", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.lit(1.0).alias("s"))))).alias("e"))
+        sums = k.groupBy("word", "e.l").agg(F.sum("e.s").alias("s"))
+        scored = sums.groupBy("word").agg(F.max(F.when(F.col("l") < 0, F.col("s"))).alias("k"), F.collect_list(F.when(F.col("l") >= 0, F.struct("l", "s"))).alias("entries"))
+        scored = stored(scored.select("word", F.transform("entries", lambda e: F.struct(e["l"].alias("l"), (e["s"] / F.col("k")).alias("s"))).alias("entries")), "langid-backoff")
+        out = out.unionByName(scored.select("word", F.lit(n >= 4).alias("known"), "entries"))
+        unseen = unseen.join(scored, "word", "left_anti")
+    return out
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the text, with text_key (SHA-256 of the text), lang_pred, lang_score and lang_known, the share of words that some language knows.
+
+    A null text or one without a letter: `und` and 0.  Columns of docs with these names are replaced.  Rows are scored by their
+    texts, so equal texts have equal scores, whatever the other columns are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = [("lang_pred", T.StringType(), pa.string()), ("lang_score", T.DoubleType(), pa.float64()), ("lang_known", T.DoubleType(), pa.float64())][: 3 if known else 2]
-    kept = docs.drop(*[name for name, *_ in added])
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(name, kind) for name, kind, _ in added]])
-    place = kept.columns.index(text)
+    added = {"text_key", "lang_pred", "lang_score", "lang_known"}
+    others = [c for c in docs.columns if c != text and c not in added]
+    renamed = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(others)], F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("key"), F.col(text).alias("text"))
+    fields = renamed.schema.fields[:-1]
+    shared = docs.sparkSession.sparkContext.broadcast((model.row, model.table))
+    own = [("sums", T.BinaryType(), pa.binary()), ("n", T.LongType(), pa.int64()), ("known", T.LongType(), pa.int64()), ("words", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("times", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
 
     def run(batches):
-        model = shared.value
-        score = model["scorer"] = model.get("scorer") or Scorer(model)  # lives as long as the worker has the broadcast
+        row, table = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                piece = b.slice(at, 1024)
-                got = [score.all(t) for t in piece.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array([x[k] for x in got], kind) for k, (_, _, kind) in enumerate(added)]], [*piece.schema.names, *[name for name, *_ in added]])
-
-    return kept.mapInArrow(run, schema)
+            for at in range(0, b.num_rows, 256):
+                piece = b.slice(at, 256)
+                out = []
+                for x in piece.column(piece.num_columns - 1).to_pylist():
+                    words = WORD.findall(x.lower()) if x else []
+                    place = np.fromiter(map(row.get, words, repeat(-1)), np.int32, len(words))
+                    inside = place >= 0
+                    rest = {} if inside.all() else Counter(compress(words, ~inside))
+                    out.append((table[place[inside]].sum(0, dtype=np.float64).tobytes(), len(words), int(inside.sum()), list(rest) or None, list(rest.values()) or None))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(c, t) for c, (_, _, t) in zip(zip(*out, strict=True), own, strict=True)]], [*piece.schema.names[:-1], *[name for name, *_ in own]])
+
+    first = stored(renamed.mapInArrow(run, T.StructType([*fields, *[T.StructField(name, t) for name, t, _ in own]])), "langid-first")
+    # Words that are left, once for each text however often that is repeated.
+    pairs = first.where("words is not null").groupBy("key").agg(F.first(F.arrays_zip("words", "times")).alias("w")).select("key", F.explode("w").alias("w"))
+    pairs = stored(pairs.select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times")), "langid-rest")
+    looked_up = _left(pairs.select("word").distinct(), model)
+    told = pairs.join(looked_up, "word").select("key", "times", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.col("known").cast("double").alias("s"))))).alias("e"))
+    sums = told.groupBy("key", "e.l").agg(F.sum(F.col("times") * F.col("e.s")).alias("s"))
+    rest = sums.groupBy("key").agg(F.collect_list("l").alias("l"), F.collect_list("s").alias("s"))
+    langs = model.langs
+    result = [("lang_pred", T.StringType(), pa.string()), ("lang_score", T.DoubleType(), pa.float64()), ("lang_known", T.DoubleType(), pa.float64())]
+
+    def decide(batches):
+        for b in batches:
+            k = b.num_columns - 5
+            out = []
+            for total, n, known, l, s in zip(*(b.column(i).to_pylist() for i in range(k, k + 5)), strict=True):
+                if not n or not langs:
+                    out.append(("und", 0.0, 0.0))
+                    continue
+                total = np.frombuffer(total, np.float64).copy()
+                for i, x in zip(l or (), s or (), strict=True):
+                    if i < 0:
+                        known += x
+                    else:
+                        total[i] += x
+                best = int(np.argmax(total))
+                out.append((langs[best], float(1 / np.exp(total - total[best]).sum()), known / n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *[pa.array(c, t) for c, (_, _, t) in zip(zip(*out, strict=True), result, strict=True)]], [*b.schema.names[:k], *[name for name, *_ in result]])
+
+    kept = [f.name for f in fields]
+    whole = first.where("words is null").select(*kept, "sums", "n", "known", F.lit(None).cast("array<int>").alias("l"), F.lit(None).cast("array<double>").alias("s"))
+    partly = first.where("words is not null").join(rest, "key", "left").select(*kept, "sums", "n", "known", "l", "s")
+    done = whole.unionByName(partly).mapInArrow(decide, T.StructType([*fields, *[T.StructField(name, t) for name, t, _ in result]]))
+    return done.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(others)], F.col("key").alias("text_key"), "lang_pred", "lang_score", "lang_known")
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred, lang_score and lang_known added, as `scored` has them; texts are dealt by their hash once."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_known")
+    by_text = scored(docs.select(F.col(text).alias("text")).where("text is not null"), model).groupBy("text_key").agg(F.first("lang_pred").alias("lang_pred"), F.first("lang_score").alias("lang_score"), F.first("lang_known").alias("lang_known"))
+    key = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+    return docs.join(by_text, key == by_text["text_key"], "left").select(*docs.columns, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("lang_score", F.lit(0.0)).alias("lang_score"), F.coalesce("lang_known", F.lit(0.0)).alias("lang_known"))
+
+
+def accepted(docs: DataFrame, model: Model, least_score: float, least_known: float, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs without those whose text is null, has no letter, or is under either of the two; columns and texts as they were."""
+    judged = scored(docs.select("text").where("text is not null"), model)
+    bad = stored(judged.where((F.col("lang_pred") == "und") | (F.col("lang_score") < least_score) | (F.col("lang_known") < least_known)).select("text_key").distinct(), "rejected")
+    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    bad_ = F.broadcast(bad) if small_enough(bad, most_broadcast) else bad
+    return docs.where("text is not null").join(bad_, key == bad_["text_key"], "left_anti").select(docs.columns)

@@ -81,7 +81,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 3, 1)
     model = langid.fit(docs.where(~out))
-    scored = langid.predict(docs.select("doc_id", "text"), model)
+    scored = langid.scored(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

@@ -1,14 +1,19 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import html
+import math
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitequarry.llm import components, decontaminate, fingerprint, langid, maintext, minhash, mixing, private, repeats, toxicity, urlfilter
+from sitequarry.llm import components, decontaminate, fingerprint, langid, maintext, minhash, mixing, private, queries, repeats, toxicity, urlfilter
+from sitequarry.llm.common import load
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -79,9 +84,10 @@ def brute_components(rows, k=2, t=0.8):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [0, 12])
-def test_near_duplicates_are_those_of_all_pairs(spark, corpus, monkeypatch, small):
+@pytest.mark.parametrize(("small", "frequent"), [(0, 999), (0, 2), (12, 999)])
+def test_near_duplicates_are_those_of_all_pairs(spark, corpus, monkeypatch, small, frequent):
     monkeypatch.setattr(minhash, "SMALL", small)  # 0: all open buckets are searched by differences
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
     docs = spark.createDataFrame(corpus, SCHEMA).withColumns({"sig": F.lit(1), "component": F.lit(2), "band": F.lit(3)})
     got = {r.doc_id: r for r in minhash.near_duplicates(docs, words=2).collect()}
     want = brute_components([(r[0], r[1]) for r in corpus])
@@ -251,19 +257,88 @@ def test_toxicity_learns_and_shares_subwords(spark, odd, empty):
     assert toxicity.predict(empty, model).count() == 0
 
 
-def test_language_backoff(spark, odd, empty):
-    rows = [(i, x, lang) for i, (x, lang) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr")] * 20)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    score = langid.Scorer(model)
-    assert score("the garden")[0] == "en" and score("das haus")[0] == "de" and score("la maison")[0] == "fr"
-    assert score("gardening")[0] == "en" and score("jardins maisons")[0] == "fr"  # no word is known
-    got = {r.doc_id: r for r in langid.predict(odd.withColumn("lang_pred", F.lit(1)), model).collect()}
-    assert {i for i, r in got.items() if r.lang_pred == "und"} == {1, 2, 3, 8}
-    assert all(r.lang_score == 0 for r in got.values() if r.lang_pred == "und")
-    assert all(0 <= r.lang_score <= 1 for r in got.values())
-    assert langid.predict(empty, model).count() == 0
+def brute_language(rows, text):
+    """(language, score, share of known words) by plain counting, as the contract of langid has it; rows: (text, language)."""
+    counts = {}
+    for x, lang in rows:
+        if x is None or lang is None:
+            continue
+        for w in plain_words(x):
+            counts.setdefault(0, Counter())[lang, w] += 1
+            for n in langid.ORDERS:
+                padded = f" {w} " if n > 1 else w
+                counts.setdefault(n, Counter()).update((lang, padded[i : i + n]) for i in range(len(padded) - n + 1))
+    langs = sorted({lang for lang, _ in counts.get(0, ())})
+    totals = {n: {lang: sum(k for (own, _), k in c.items() if own == lang) for lang in langs} for n, c in counts.items()}
+
+    def score(n, gram, lang):
+        return math.log(1 + counts[n][lang, gram] * max(totals[n].values()) / (langid.A * totals[n][lang]))
+
+    words = plain_words(text or "")
+    if not words or not langs:
+        return "und", 0.0, 0.0
+    sums, known = dict.fromkeys(langs, 0.0), 0
+    for w in words:
+        if any(counts[0][lang, w] for lang in langs):
+            known += 1
+            for lang in langs:
+                sums[lang] += score(0, w, lang)
+            continue
+        for n in langid.ORDERS:
+            padded = f" {w} " if n > 1 else w
+            found = [g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if any(counts[n][lang, g] for lang in langs)]
+            if found:
+                known += n >= 4
+                for lang in langs:
+                    sums[lang] += sum(score(n, g, lang) for g in found) / len(found)
+                break
+    best = max(langs, key=lambda x: sums[x])
+    return best, 1 / sum(math.exp(v - sums[best]) for v in sums.values()), known / len(words)
+
+
+def plain_words(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+@pytest.mark.parametrize("most_words", [0, 5, 200_000])
+def test_language_is_that_of_plain_counting(spark, odd, empty, most_words):
+    rng = random.Random(8)
+    learnt = {"en": "the house and garden of rare words gardens", "de": "das haus und der garten seltener worte", "fr": "la maison et le jardin de mots rares"}
+    rows = [(" ".join(rng.choices(x.split(), k=rng.randint(1, 9))) + rng.choice(["", " 12 ½ x²", " " + "".join(rng.choices("abcdefgh", k=5))]), lang) for lang, x in learnt.items() for _ in range(12)]
+    rows += [(None, "en"), ("nobody", None)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), most_words)
+    assert len(model.row) <= most_words
+    texts = [x for x, _ in rows] + ["gardening", "jardins maisons", "zzz yyy", "½ ²³ Ⅷ", "_ 12", "漢字", "hausgarten the the", ODD[7][1], "x" * 2000, "", "The HOUSE"]
+    docs = spark.createDataFrame([(i, x, "old") for i, x in enumerate(texts)], "d0 long, text string, lang_pred string")
+    want = {i: brute_language(rows, x) for i, x in enumerate(texts)}
+    for got in (langid.scored(docs, model), langid.predict(docs, model)):
+        got = {r.d0: (r.lang_pred, r.lang_score, r.lang_known) for r in got.collect()}
+        assert got.keys() == want.keys()
+        for i, (lang, score, known) in want.items():
+            assert got[i][0] == lang or abs(score - 1 / 3) < 1e-6, texts[i]
+            assert got[i][1:] == pytest.approx((score, known), abs=1e-5), texts[i]
+    assert want[texts.index("½ ²³ Ⅷ")][0] == "und" and want[texts.index("gardening")][0] == "en"
+
+
+def test_language_on_odd_rows(spark, odd, empty):
+    rows = [("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr")] * 20
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    got = langid.predict(odd.withColumn("lang_pred", F.lit(1)).withColumn("key", F.lit("clash")).withColumn("words", F.lit(2)), model)
+    assert got.columns == [*odd.columns, "key", "words", "lang_pred", "lang_score", "lang_known"] and got.count() == len(ODD)
+    assert {r.doc_id for r in got.collect() if r.lang_pred == "und"} == {1, 2, 3, 8}
+    assert all(r.lang_score == 0 for r in got.collect() if r.lang_pred == "und")
+    assert langid.predict(empty, model).count() == 0 and langid.scored(empty, model).count() == 0
     nothing = langid.fit(empty)
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+    kept = langid.accepted(odd, model, 0.3, 0.0)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {4, 5, 7, None} and kept.count() == 5
+    assert langid.accepted(odd, nothing, 0.3, 0.5).count() == 0
+
+
+def test_language_of_held_out_texts(spark):
+    docs = load(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "lang")
+    got = queries.op6_language_id(spark, "/root/testdata/sf0.001").join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
 
 
 def brute_leaks(docs, items, size=5, t=0.8):
@@ -383,6 +458,41 @@ def test_main_text_keeps_what_stands_beside_the_best_container():
     assert (loose[0], loose[-1]) == ("Before a link and after, loose.", "End of it.")
 
 
+def test_main_text_keeps_what_only_sounds_like_no_article():
+    page = (
+        '<body><nav><a href="/">Home</a></nav><div class="share-buttons"><a href=x>Share</a></div><article><p>First, a long paragraph, with commas.</p><h2>Two</h2>'
+        '<div class="search-results-explained"><p>How results are found.</p></div><section class="related"><p>A sentence about related work.</p></section>'
+        '<div class="related"><a href=x>One more.</a> <a href=y>Another one.</a></div><p class="legal">The law says so.</p><div class="comment-list"><p>I like it, I do.</p></div>'
+        '<aside>Aside.</aside><div id="ad_box">Buy it now.</div><span class="share">Share</span></article><footer>Foot.</footer></body>'
+    )
+    assert maintext.main_text(page) == "First, a long paragraph, with commas.\nTwo\nHow results are found.\nA sentence about related work.\nThe law says so."
+
+
+@pytest.mark.parametrize("part", ["<a b='", "<![CDATA[", "<!x", "</ ", "<a b='>' ", "<div>", "<p><b>", "<li><b>", "<b></i>", "<a href=x><div>", "<div class=related>", "<svg>", "<td>"])
+def test_broken_markup_costs_time_by_its_length(part):
+    def took(n):
+        start = time.process_time()
+        maintext.main_text(part * (n // len(part)) + "x")
+        return time.process_time() - start
+
+    assert took(1_000_000) < max(5, 30 * took(100_000))  # a quadratic way would take a hundred times
+
+
+def plain_main_text(page):
+    """What stands in the article, told by tags and class alone: right for pages that have one article and close their tags."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", re.sub(r"(?is)<!--.*?-->|<(script|style|nav|aside|form|footer|header)\b.*?</\1>|<div class=\"?ad\"?>.*?</div>", "", page or ""), re.S)
+    lines = re.split(r"</?(?:p|h[1-6]|div|li|ul|ol|blockquote|section)\b[^>]*>", inside[1]) if inside else []
+    texts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x)))).strip() for x in lines]
+    return "\n".join(x for x in texts if x)
+
+
+def test_main_text_of_all_pages_is_the_article(spark):
+    pages = {r.page_id: r.html for r in load(spark, "/root/testdata/sf0.01", "pages").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op8_main_text(spark, "/root/testdata/sf0.01").collect()}
+    want = {i: plain_main_text(page) for i, page in pages.items()}
+    assert got == {i: (x, len(x)) for i, x in want.items()}
+
+
 def test_pages_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = maintext.extract(pages).collect()
@@ -407,7 +517,40 @@ def brute_repeats(docs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [1, 16384])
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_rolling_hashes_are_told_apart(spark):
+    """Thue-Morse words and their complements collide in any polynomial hash modulo 2**64."""
+    docs = []
+    for n in (1024, 2048):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        docs += [word, other, f"some words before {word} and after", f"some words before {other} and after", f"{word} {word}", f"{word} {other}", "x" * 300 + word + "y" * 50, "z" * 300 + other + "w" * 50]
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()} == brute_components(rows)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect())
+    assert got == brute_repeats(rows, repeats.LENGTH)
+
+
+def test_suffixes_are_in_the_order_of_their_bytes():
+    rng = np.random.default_rng(0)
+    for n, letters, depth in [(300, 2, 8), (500, 2, 20), (800, 3, 200), (400, 1, 200), (1000, 2, 37)]:
+        data = rng.integers(1, letters + 1, n).astype(np.uint8)
+        data[100:200] = data[:100]
+        suffixes = [data.tobytes()[i : i + depth] for i in range(n)]
+        assert repeats.ranks(data, depth).tolist() == [sum(x < y for x in suffixes) for y in suffixes]
+
+
+def test_a_long_run_is_one_phrase_and_fits(spark):
+    docs = [(1, "-" * 30_000), (2, "ab" * 5_000 + "-" * 500), (3, " " * 20_000), (4, "-" * 30_000 + "+")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (30_000, 30_000), 2: (10_500, 10_500), 3: (20_000, 20_000), 4: (30_001, 30_000)}
+
+
+@pytest.mark.parametrize("group", [1, 1 << 22])
 def test_repeats_are_those_of_all_strings(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)  # 1: all strings of shared triggers are dealt out one by one
     rng = random.Random(6)
