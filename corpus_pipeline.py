@@ -22,8 +22,7 @@ KEY = "corpus-pipeline"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the texts and their languages; texts without a letter, and those that fit no language, go."""
-    scored = langid.predict(docs, langid.fit(docs), known=True)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE) & (F.col("lang_known") >= LEAST_KNOWN)).select(docs.columns)
+    return langid.accepted(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE, LEAST_KNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
