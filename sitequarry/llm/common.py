@@ -54,6 +54,11 @@ def held_out(doc_id, mod: int, rest: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod) == rest, F.lit(False))
 
 
+def text_key(text) -> Column:
+    """SHA-256 of a text: what rows are told apart by where doc_id may be null or repeated; null for a null text."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def as_batch(columns: list, types: list, names: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 

@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitequarry.llm.common import small_enough, stored
+from sitequarry.llm.common import light_enough, stored, text_key
 
 BITS, LANES = 60, 3
 PLANES = BITS // LANES
 RADIUS = 14
 BLOCK_BITS = BITS // (RADIUS + 1)
 _MASK = sum(1 << (PLANES * i) for i in range(LANES))
+#: Bytes of anchors, items or texts found that are broadcast at most.
+MOST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -97,43 +99,39 @@ def anchors(items: DataFrame, size: int, threshold: float) -> DataFrame:
 
 
 def _cut(docs: DataFrame, looked_for: DataFrame) -> DataFrame:
-    """(doc_id, start, text_id, window) of the windows around anchors; looked_for is broadcast, so explode and join run in one pass and no word list is copied."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    """(doc_id, key, start, text_id, window) of the windows around anchors; looked_for is broadcast, so explode and join run in one pass and no word list is copied."""
+    words = docs.select("doc_id", text_key("text").alias("key"), words_of(F.col("text")).alias("words"))
     # posexplode_outer: the plain one would have the words split twice, to filter empty ones first.
-    hit = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "word")).join(looked_for, "word")
+    hit = words.select("doc_id", "key", "words", F.posexplode_outer("words").alias("pos", "word")).join(looked_for, "word")
     from_ = F.col("pos") - F.col("at")
     hit = hit.where((from_ >= 0) & (F.array_join(F.slice("words", F.greatest(from_, F.lit(0)) + 1, F.size(F.split("shingle", " "))), " ") == F.col("shingle")))
     start = F.greatest(from_ - F.col("offset"), F.lit(0))
-    return hit.select("doc_id", start.alias("start"), "text_id", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "start", "text_id").agg(F.first("window").alias("window"))
+    return hit.select("doc_id", "key", start.alias("start"), "text_id", F.slice("words", start + 1, F.col("n")).alias("window")).groupBy("doc_id", "key", "start", "text_id").agg(F.first("window").alias("window"))
 
 
 def _cut_joined(docs: DataFrame, looked_for: DataFrame, size: int) -> DataFrame:
-    """The same where anchors are too many to broadcast: runs of up to `size` words are dealt by run, and windows are cut from the documents afterwards."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    """The same where anchors are too many to broadcast: runs of up to `size` words are dealt by run, and windows are cut from the documents afterwards, which are found again by their texts."""
+    words = docs.select("doc_id", text_key("text").alias("key"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
     whole = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.array_join(F.slice(w, i + 1, k), " ")).alias("runs")))
     bound = F.get(F.transform(F.array("words"), whole), F.lit(0))
-    each = words.where("size(words) > 0").select("doc_id", F.explode(bound).alias("e")).select("doc_id", "e.pos", F.explode(F.array_distinct("e.runs")).alias("shingle"))
-    hit = each.join(looked_for, "shingle").select("doc_id", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"), "n", "text_id").distinct()
-    by_doc = hit.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "n", "text_id")).alias("cuts"))
-    both = words.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "words", F.explode("cuts").alias("c"))
-    return both.select("doc_id", "c.start", "c.text_id", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window")).groupBy("doc_id", "start", "text_id").agg(F.first("window").alias("window"))
+    each = words.select("key", F.explode(bound).alias("e")).select("key", "e.pos", F.explode(F.array_distinct("e.runs")).alias("shingle"))
+    hit = each.join(looked_for, "shingle").select("key", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"), "n", "text_id").distinct()
+    by_text = hit.groupBy("key").agg(F.collect_list(F.struct("start", "n", "text_id")).alias("cuts"))
+    both = words.join(by_text, "key").select("doc_id", "key", "words", F.explode("cuts").alias("c"))
+    return both.select("doc_id", "key", "c.start", "c.text_id", F.slice("words", F.col("c.start") + 1, F.col("c.n")).alias("window")).groupBy("doc_id", "key", "start", "text_id").agg(F.first("window").alias("window"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, similarity, n_windows, first_word): the items that a document repeats and the best similarity.
-
-    Similarity: the larger of two.  Weighted: weight of the common shingles over that of the shingles in either; an item's
-    shingle weighs 1 over the number of items, of different words, that have it, any other 1.  Plain: their numbers.
-    A null or empty text, or item, matches nothing; ties count as one; repeated rows of a doc_id count as one document, and
-    repeated rows of an item_id as one item; a null item_id is reported as null.  No items: no rows.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, size: int, threshold: float, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, text_id, similarity, n_windows, first_word) of documents and the texts of items they repeat, by the key of the document's text; names of items."""
     texts, names = prepared_items(benchmark, size)
     items, names = stored(texts, "items"), stored(names, "names")
     looked_for = stored(anchors(items, size, threshold), "anchors")
-    small = small_enough(looked_for, most_broadcast)
+    small = most_bytes and light_enough(looked_for, 96 + F.octet_length("shingle") + F.octet_length("word"), most_bytes)
     cut = _cut(docs, F.broadcast(looked_for)) if small else _cut_joined(docs, looked_for, size)
     known = items.select("text_id", "sh", "weights")
-    weighed = cut.join(F.broadcast(known) if small else known, "text_id").withColumn("own", F.array_distinct(shingles(F.col("window"), size)))
+    # Shingles stand in it twice, in the list and in the map.
+    light = most_bytes and light_enough(known, 128 + 2 * F.aggregate("sh", F.lit(0), lambda n, x: n + 24 + F.octet_length(x)), most_bytes)
+    weighed = cut.join(F.broadcast(known) if light else known, "text_id").withColumn("own", F.array_distinct(shingles(F.col("window"), size)))
     weighed = weighed.withColumn("common", F.array_intersect("own", "sh"))
 
     def weight(a: Column) -> Column:
@@ -145,18 +143,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     found = (
         weighed.withColumn("similarity", F.round(F.greatest(over_either(weight), over_either(F.size)), 6))
         .where(F.col("similarity") >= threshold - 1e-9)
-        .groupBy("doc_id", "text_id")
+        .groupBy("doc_id", "key", "text_id")
         .agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_windows"), F.min("start").cast("long").alias("first_word"))
     )
+    return found, names
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, item_id, similarity, n_windows, first_word): the items that a document repeats and the best similarity.
+
+    Similarity: the larger of two.  Weighted: weight of the common shingles over that of the shingles in either; an item's
+    shingle weighs 1 over the number of items, of different words, that have it, any other 1.  Plain: their numbers.
+    A null or empty text, or item, matches nothing; ties count as one.  Repeated rows of a doc_id count as one document, which has
+    the windows of each of its different texts, and rows without an id as one under null; repeated rows of an item_id
+    count as one item; a null item_id is reported as null.  No items: no rows.  Other columns are not read.
+    """
+    found, names = _leaks(docs, benchmark, size, threshold, most_bytes)
     # Names come last, so that items of the same words are compared once.
+    small = most_bytes and light_enough(names, 96 + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)), most_bytes)
     return (
-        found.join(F.broadcast(names) if small and small_enough(names, most_broadcast) else names, "text_id")
+        found.join(F.broadcast(names) if small else names, "text_id")
         .groupBy("doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), F.sum("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"))
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
-    """The documents that repeat no item, whole and as they were; a null doc_id stays."""
-    found = stored(contaminated(docs, benchmark, size, threshold, most_broadcast).select("doc_id").distinct(), "leaks")
-    return docs.join(F.broadcast(found) if small_enough(found, most_broadcast) else found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The documents whose text repeats no item, whole and as they were, whatever their doc_id is; repeated rows stay or go together."""
+    found, _ = _leaks(docs, benchmark, size, threshold, most_bytes)
+    found = stored(found.select(F.col("key").alias("leak")).distinct(), "leaks")
+    small = most_bytes and light_enough(found, F.lit(48), most_bytes)
+    found = F.broadcast(found) if small else found
+    return docs.join(found, text_key("text") == found["leak"], "left_anti").select(docs.columns)

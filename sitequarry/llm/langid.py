@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitequarry.llm.common import as_batch, discard, small_enough, stored
+from sitequarry.llm.common import as_batch, discard, small_enough, stored, text_key
 
 #: Runs of letters: \w without digits, _ and the numerals that are neither digits nor letters.
 WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())}]+")
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     added = {"text_key", "lang_pred", "lang_score", "lang_known"}
     others = [c for c in docs.columns if c != text and c not in added]
-    renamed = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(others)], F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("key"), F.col(text).alias("text"))
+    renamed = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(others)], text_key(text).alias("key"), F.col(text).alias("text"))
     fields = renamed.schema.fields[:-1]
     shared = docs.sparkSession.sparkContext.broadcast((model.row, model.table))
     own = [("sums", T.BinaryType(), pa.binary()), ("n", T.LongType(), pa.int64()), ("known", T.LongType(), pa.int64()), ("words", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("times", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
@@ -230,14 +230,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score and lang_known added, as `scored` has them; texts are dealt by their hash once."""
     docs = docs.drop("lang_pred", "lang_score", "lang_known")
     by_text = scored(docs.select(F.col(text).alias("text")).where("text is not null"), model).groupBy("text_key").agg(F.first("lang_pred").alias("lang_pred"), F.first("lang_score").alias("lang_score"), F.first("lang_known").alias("lang_known"))
-    key = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
-    return docs.join(by_text, key == by_text["text_key"], "left").select(*docs.columns, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("lang_score", F.lit(0.0)).alias("lang_score"), F.coalesce("lang_known", F.lit(0.0)).alias("lang_known"))
+    key = text_key(text)
+    joined = docs.join(by_text, key == by_text["text_key"], "left")
+    return joined.select(*[docs[c] for c in docs.columns], *[F.coalesce(by_text[c], F.lit(v)).alias(c) for c, v in (("lang_pred", "und"), ("lang_score", 0.0), ("lang_known", 0.0))])
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float, least_known: float, most_broadcast: int = 1_000_000) -> DataFrame:
     """docs without those whose text is null, has no letter, or is under either of the two; columns and texts as they were."""
     judged = scored(docs.select("text").where("text is not null"), model)
     bad = stored(judged.where((F.col("lang_pred") == "und") | (F.col("lang_score") < least_score) | (F.col("lang_known") < least_known)).select("text_key").distinct(), "rejected")
-    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    key = text_key("text")
     bad_ = F.broadcast(bad) if small_enough(bad, most_broadcast) else bad
     return docs.where("text is not null").join(bad_, key == bad_["text_key"], "left_anti").select(docs.columns)

@@ -362,7 +362,7 @@ def brute_leaks(docs, items, size=5, t=0.8):
     return out
 
 
-@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("most", [0, 1 << 26])
 def test_leaks_are_those_of_all_windows(spark, odd, empty, most):
     rng = random.Random(5)
     items = [(i, text_of(rng, n)) for i, n in enumerate([3, 8, 16, 30, 45, 60, 60])] + [(50, None), (51, ""), (52, "one two three four five six seven")]
@@ -379,26 +379,26 @@ def test_leaks_are_those_of_all_windows(spark, odd, empty, most):
             w[a:a] = [x.upper() + "," for x in it]
         docs.append((i, " ".join(w)))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_broadcast=most).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_bytes=most).collect()}
     want = brute_leaks(docs, items)
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    leaks = decontaminate.contaminated(odd, b, most_broadcast=most).collect()
+    leaks = decontaminate.contaminated(odd, b, most_bytes=most).collect()
     assert [(r.doc_id, r.item_id) for r in leaks] == [(None, 52)]
-    kept = decontaminate.clean(odd, b)
-    assert kept.columns == odd.columns and kept.count() == len(ODD)
+    kept = decontaminate.clean(odd.withColumn("leak", F.lit(1)), b, most_bytes=most)
+    assert kept.columns == [*odd.columns, "leak"] and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 5, 7, 8]
     assert decontaminate.contaminated(empty, b).count() == 0
     assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("most", [0, 1 << 26])
 def test_leaks_of_items_with_a_shared_template(spark, most):
     rng = random.Random(6)
     shared = text_of(rng, 49).split()
     items = [(i, " ".join([*shared, f"own{i}"])) for i in range(12)]
     docs = [(i, " ".join([*shared[:25], "changed", *shared[26:], f"own{i}"])) for i in range(12)]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_broadcast=most).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, most_bytes=most).collect()}
     assert got == {(i, i): round(41 / 51, 6) for i in range(12)}
 
 
@@ -411,16 +411,28 @@ def test_no_leak_near_the_threshold_is_lost(spark):
     assert sorted(r.item_id for r in got.where("doc_id = item_id").collect()) == list(range(1000))
 
 
-@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("most", [0, 1 << 26])
 def test_leaks_of_items_with_repeated_and_null_ids(spark, most):
     rng = random.Random(8)
     x, y, z = (text_of(rng, 30) for _ in range(3))
     near = x.rsplit(" ", 1)[0] + " end"
     b = spark.createDataFrame([(1, x), (1, x), (1, near), (2, x.upper()), (None, y), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(10, x), (11, y), (12, z), (13, near)], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, b, most_broadcast=most).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, b, most_bytes=most).collect()}
     assert got == {(10, 1): 1.0, (10, 2): 1.0, (11, None): 1.0, (13, 1): 1.0, (13, 2): round(25 / 27, 6)}
-    assert [r.doc_id for r in decontaminate.clean(docs, b, most_broadcast=most).collect()] == [12]
+    assert [r.doc_id for r in decontaminate.clean(docs, b, most_bytes=most).collect()] == [12]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_leaks_of_documents_with_repeated_and_null_ids(spark, most):
+    rng = random.Random(9)
+    x, y, z = (text_of(rng, 30) for _ in range(3))
+    b = spark.createDataFrame([(1, x), (2, y)], "item_id long, text string")
+    rows = [(None, x), (None, "so " + y), (None, z), (5, z + " " + y), (5, x), (5, x), (6, z)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "window": F.lit(2), "start": F.lit(3)})
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_windows) for r in decontaminate.contaminated(docs, b, most_bytes=most).collect()}
+    assert got == {(None, 1): (1.0, got[None, 1][1]), (None, 2): (1.0, got[None, 2][1]), (5, 1): (1.0, got[5, 1][1]), (5, 2): (1.0, got[5, 2][1])}
+    assert {r.text for r in decontaminate.clean(docs, b, most_bytes=most).collect()} == {z}
 
 
 def test_all_prints_within_the_radius_share_a_block(spark):
