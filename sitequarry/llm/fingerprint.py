@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -90,42 +91,69 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range_of(order, cuts: list[int]):
+    """How many of the cuts, in rising order, are smaller: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    table = F.array(*[F.lit(c).cast("long") for c in cuts])
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda n, s: n + F.when((n + s <= len(cuts)) & (F.get(table, n + s - 1) < order), s).otherwise(0))
+
+
 def fingerprints(docs: DataFrame, parts: int = 0) -> DataFrame:
     """One row per document: its fingerprint and that of its edited text, whose end comes from the next document.
 
     The next document is the one before it by doc_id (descending order); after the last comes the first.  A null
-    text counts as empty; rows of one doc_id follow one another by text; rows whose doc_id is null come last.
-    An only document is followed by itself.  An empty table gives no rows.
+    text counts as empty; rows of one doc_id follow one another by a hash of the text, then the text; rows whose doc_id is null come
+    last, in that order.  An only document is followed by itself.  An empty table gives no rows.  Other columns are not read.
 
-    The order is made by ranges: quantiles of the ids, found on the driver, cut the ids into ranges, every range is
-    sorted in one task, and the first document of a range is sent to the range before it as well.
+    The order is made by ranges: quantiles of the ids, found on the driver, cut the ids into ranges (of some 64 MB of text,
+    several for a task, 20,000 at most), every range is sorted in one task, and the first document of a range is sent to the
+    range before it as well.  An id that fills several ranges, or null, is cut by the hash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Evenly spaced quantiles: at most `parts` numbers reach the driver.
-    cuts = rows.select(F.expr(f"percentile_approx(doc_id, array({', '.join(str((i + 1) / parts) for i in range(parts - 1))}), 20000) c")).head().c if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    low = F.lit(-(2**63)).cast("long")
-    order = F.coalesce(F.col("doc_id"), low)
-    array = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    # Ids above the highest cut are range 0; a null id is in the last.
-    place = F.lit(0) if array is None else F.lit(len(cuts)) - F.aggregate(array, F.lit(0), lambda n, c: n + F.when(c < order, 1).otherwise(0))
-    placed = rows.withColumn("place", place.cast("int"))
-    # The highest id of each range: one number for each.
-    first = {r.place: r.id for r in placed.groupBy("place").agg(F.max(order).alias("id")).collect()}
-    if not first:
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).head()
+    if not size.n:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    parts = parts or min(20_000, max(16 * tasks, size.bytes >> 26))
+    # Evenly spaced quantiles: at most `parts` numbers reach the driver.
+    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000).alias("c")).head().c if parts > 1 else None
+    times = Counter(found or [])
+    cuts = sorted(times)
+    # Ids above the highest cut are range 0; ids from above the cut before to a cut are one range, or, where the cut itself fills
+    # ranges, as many for it alone and one for the others.  A null id is in the last ranges.
+    widths = [1] + [times[c] + 1 if times[c] > 1 else 1 for c in reversed(cuts)]
+    starts = [sum(widths[:i]) for i in range(len(widths) + 1)]
+    hash_ = F.shiftrightunsigned(F.xxhash64("text"), 33)
+
+    def share(n):
+        """0 to n - 1, falling with the hash."""
+        return n - 1 - F.floor(hash_ * n / F.lit(1 << 31)).cast("int")
+
+    at = F.lit(len(cuts)) - _range_of(F.col("doc_id"), cuts)
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    own = F.get(literal([0, *[times[c] for c in reversed(cuts)]]), at)
+    cut = F.get(F.array(F.lit(None).cast("long"), *[F.lit(c).cast("long") for c in reversed(cuts)]), at)
+    place = F.get(literal(starts), at) + F.when(own > 1, F.when(F.col("doc_id") == cut, share(own)).otherwise(own)).otherwise(0)
+    nulls = max(1, round(parts * (size.n - size.ids) / size.n))
+    place = F.when(F.col("doc_id").isNull(), F.lit(starts[-1]) + share(F.lit(nulls))).otherwise(place)
+    placed = rows.withColumn("place", place.cast("int")).withColumn("hash", F.xxhash64("text"))
+    # In a range rows fall by doc_id, then by the hash without its sign, as `share` does, then by the text.
+    rank = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.shiftrightunsigned("hash", 1).alias("h"), F.col("hash"))
+    # The first of each range: one row for each.
+    first = {r.place: r.top for r in placed.groupBy("place").agg(F.max(rank).alias("top")).collect()}
     here = sorted(first)
     before = {p: here[i - 1] for i, p in enumerate(here)}
-    tops = F.array(*[F.lit(first.get(p)).cast("long") for p in range(here[-1] + 1)])
+    tops = F.array(*[F.lit(first[p].doc_id if p in first else None).cast("long") for p in range(here[-1] + 1)])
+    hashes = F.array(*[F.lit(first[p].hash if p in first else None).cast("long") for p in range(here[-1] + 1)])
     homes = F.array(*[F.lit(before.get(p)).cast("int") for p in range(here[-1] + 1)])
-    sent_to = F.when(order == F.get(tops, F.col("place")), F.get(homes, F.col("place")))
-    # Of rows that tie for first, only the smallest text is needed, but all ties go: they are few, and the reader stops at the first.
-    copies = placed.withColumn("sent", sent_to).withColumn("guest", F.explode(F.expr("case when sent is null then array(false) else array(false, true) end")))
-    moved = copies.select(F.expr("case when guest then sent else place end").alias("place"), "guest", "doc_id", "text")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = moved.repartition(n, "place").sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    is_first = F.col("doc_id").eqNullSafe(F.get(tops, F.col("place"))) & (F.col("hash") == F.get(hashes, F.col("place")))
+    # Rows that tie for first are equal, up to the hash; all go, and the reader stops at the first.
+    copies = placed.withColumn("sent", F.when(is_first, F.get(homes, F.col("place")))).withColumn("guest", F.explode(F.expr("case when sent is null then array(false) else array(false, true) end")))
+    moved = copies.select(F.expr("case when guest then sent else place end").alias("place"), "guest", "doc_id", "hash", "text")
+    ordered = moved.repartition(tasks, "place").sortWithinPartitions("place", "guest", F.col("doc_id").desc_nulls_last(), F.shiftrightunsigned("hash", 1).desc(), F.col("hash").desc(), "text")
     return ordered.select("place", "guest", "doc_id", "text").mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

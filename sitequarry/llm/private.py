@@ -53,12 +53,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _noise(key: str, tweak: str, i: int, half: Column, modulus: Column) -> Column:
-    """A number under modulus (10**9 at most) from the key, the format, the round and the other half."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), F.lit(str(i)), half.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
-
-
 def feistel(key: str, tweak: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
     """A keyed permutation of structs (l, r), 0 <= l < left_size, 0 <= r < right_size (alternating unbalanced network).
 
@@ -175,8 +169,9 @@ def _date(key: str, value: Column) -> Column:
             d = F.date_add(F.lit("2001-01-01").cast("date"), p["r"].cast("int"))
             return F.make_date((p["l"] + 1900).cast("int"), F.month(d), F.dayofmonth(d))
 
-        # The 49 leap days of those years, numbered: a turn by a keyed number of places.
-        turned = (((F.year(day) - 1904) / 4).cast("long") + _noise(key, "leap", 0, F.lit(0), F.lit(49))) % 49
+        # The 49 leap days of those years, numbered, in seven times seven.
+        nth = ((F.year(day) - 1904) / 4).cast("long")
+        turned = _let(feistel(key, "leap", (nth / 7).cast("long"), nth % 7, F.lit(7), F.lit(7)), lambda p: p["l"] * 7 + p["r"])
         return F.when(leap, F.make_date((turned * 4 + 1904).cast("int"), F.lit(2), F.lit(29))).otherwise(_let(feistel(key, "date", F.year(day) - 1900, plain, F.lit(200), F.lit(365)), common))
 
     def written(new: Column) -> Column:
