@@ -21,28 +21,48 @@ KEY = "corpus-pipeline"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the texts and their languages; texts without a letter, and those that fit no language, go."""
+    """Learns from the texts and their languages; texts without a letter, and those that fit no language, go.
+
+    A text is judged by itself: equal ones stay or go together, whatever their other columns are.  A null or empty text goes; a null
+    lang teaches nothing and stays.  Nulls elsewhere, repeated rows and further columns are kept as they are.  No rows with a language:
+    nothing can be told, and no row stays.
+    """
     return langid.accepted(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE, LEAST_KNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (shingles of five words, 0.8) the document of least id stays."""
+    """Of each group of near duplicates (shingles of five words, 0.8) the document of least id stays.
+
+    A null text, and one without words, is like no other and stays, also beside others of its kind.  Of rows with one doc_id one stays; rows
+    with a null doc_id all stay.  Further columns are kept as they are; no rows give no rows.
+    """
     return minhash.deduplicated(docs, words=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat an item of the benchmark go."""
+    """Documents that repeat an item of the benchmark go.
+
+    A text is judged by itself, so null and repeated ids don't matter; null and empty texts and items match nothing; repeated rows stay or
+    go together.  Further columns are kept as they are; no rows, or no items, change nothing.
+    """
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the text."""
+    """Personal data become pseudonyms; n_chars follows the text, and stays as it was for a null text.
+
+    Every row stays; equal texts stay equal.  Further columns are kept as they are; no rows give no rows.
+    """
     out = private.pseudonymised(docs, KEY)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, with the position in the shuffled stream."""
+    """Documents as often as their source's weight asks for, with n_tokens, pass, block and position in the shuffled stream.
+
+    A null source is a source of its own; a null or empty text has no tokens and goes with its block; repeated rows are used as
+    often each.  Columns with the added names are replaced, others kept as they are; no rows give no rows.
+    """
     return mixing.mixed(docs)
 
 
