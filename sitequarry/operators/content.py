@@ -58,7 +58,7 @@ def content_score(rows: DataFrame, keyword: str, target: int = 1000) -> DataFram
     key = keyword.strip().lower()
     body, low = F.col("body"), F.lower("body")
     rows = rows.withColumns(live_readability(body))
-    heads = lambda n: F.regexp_extract_all(body, F.lit(rf"(?m)^{'#' * n}\s+(.+)$"), 1)
+    heads = lambda n: F.regexp_extract_all(body, F.lit(rf"(?md)^{'#' * n}\s+(.+)$"), 1)
     rows = rows.withColumns({"h1s": heads(1), "h2s": heads(2), "h3s": heads(3), "hits": F.regexp_count(low, F.lit(rf"\b{key}\b")), "ease": live_ease(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables"))})
     n = F.col("n_words")
     density = F.when(n > 0, half_up(F.col("hits") * len(key.split()) / n * 100, 1)).otherwise(0.0)

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of the shared folder (spark.checkpoint.dir), so that loops don't grow the plan and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sitequarry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sitequarry.operators.shared import cut, discard
 
 
 def edges_between(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,11 +34,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         return nodes.select("node", F.lit(0.0).alias("rank"), F.lit(0).cast("long").alias("score"))
     carried = cut(edges.join(out_degree(edges), "source").select("source", "target", "degree"))
     rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    kept = None
     for i in range(1, rounds + 1):
         given = carried.join(rank.withColumnRenamed("node", "source"), "source").groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         rank = nodes.select("node").join(given.withColumnRenamed("target", "node"), "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
         if i % every == 0:
             rank = cut(rank)
+            if kept is not None:
+                discard(kept)
+            kept = rank
     top = rank.agg(F.max("rank").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("node", "rank", F.floor(F.col("rank") / F.greatest("top", F.lit(1e-9)) * 100 + 0.5).cast("long").alias("score"))
 
@@ -86,3 +77,44 @@ def link_issues(links: DataFrame) -> DataFrame:
     one = first_per_key(links, ["source", "target"], [F.col("page_id"), F.col("pos")])
     kind = F.when(F.col("target_status") >= 400, "broken_internal_link").when(F.col("target_status").between(300, 399), "redirecting_internal_link")
     return one.withColumn("issue_id", kind).where("issue_id is not null")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges (a, b): the least node that can be reached, by alternating large and small stars.
+
+    Rounds grow with the logarithm of the nodes, not with the length of a chain; each goes through the shared folder.
+    """
+    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(down, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select("m", "b")).where("a <> b").distinct()
+        last, now = now, cut(small)
+        discard(last)
+        before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        if mark == before:
+            return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a")).distinct()
+
+
+def stars(pairs: DataFrame) -> DataFrame:
+    """(node, centre) of the nodes of pairs (a, b): greedy clusters in the order of nodes.
+
+    The least node is a centre and takes its neighbours, then the least that is left, and so on: a node is a centre if and only if no
+    smaller neighbour is one, and belongs to its least centre.  Each round decides all nodes whose smaller neighbours are decided.
+    """
+    down = cut(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).where("node <> low").distinct())
+    nodes = down.select("node").union(down.select("low")).distinct()
+    done = cut(nodes.join(down, "node", "left_anti").select("node", F.col("node").alias("centre")))
+    while True:
+        left = nodes.join(done, "node", "left_anti")
+        if left.isEmpty():
+            return done
+        told = down.join(left, "node", "left_semi").join(done.select(F.col("node").alias("low"), "centre"), "low", "left")
+        each = told.groupBy("node").agg(F.min(F.when(F.col("centre") == F.col("low"), F.col("low"))).alias("c"), F.min(F.when(F.col("centre").isNull(), F.col("low"))).alias("open"))
+        # Taken by its least centre once no smaller neighbour that is still open could become one; a centre once none is open and none is one.
+        new = each.where("open is null or c < open").select("node", F.coalesce("c", "node").alias("centre"))
+        last, done = done, cut(done.unionByName(new))
+        discard(last)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as t
 from sitequarry.functions.common import half_up, half_up_int
-from sitequarry.operators.graph import cut
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -126,16 +125,3 @@ def reputation(rows: DataFrame, key: str) -> DataFrame:
 def search_plan(spark: SparkSession, base: str, query: str, pages: int) -> DataFrame:
     return spark.range(pages).select(F.col("id").cast("int").alias("page"), F.concat(F.lit(f"{base}?q={query}&start="), (F.col("id") * 10).cast("string")).alias("url"))
 
-
-def labelled(pairs: DataFrame, most: int = 30) -> DataFrame:
-    """(node, cluster) of the nodes of pairs (a, b): the least node that can be reached, by labels that pass over edges."""
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("cluster")))
-    for _ in range(most):
-        heard = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("h"))
-        new = cut(label.join(heard, "node").select("node", F.least("cluster", "h").alias("cluster")))
-        changed = not new.exceptAll(label).isEmpty()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError(f"labels did not settle in {most} rounds")

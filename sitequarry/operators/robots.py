@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions.common import let
+from sitequarry.operators.shared import small_enough
 
 # Crawlers of answer engines whose access is reported.
 AI_BOTS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-SearchBot", "Claude-User", "PerplexityBot", "Perplexity-User", "Google-Extended", "Applebot-Extended", "CCBot", "Bytespider", "Amazonbot"]
@@ -44,6 +45,6 @@ def verdicts(found: DataFrame, key: str, paths: DataFrame, agent: str) -> DataFr
     """(key, path, allowed, pattern): the longest matching rule of the agent's group (that of * if it has none) decides; allow wins ties."""
     own = found.where(F.col("agent") == agent.lower()).select(key).distinct()
     used = found.where(F.col("agent") == agent.lower()).unionByName(found.where("agent = '*'").join(own, key, "left_anti"))
-    hit = paths.join(F.broadcast(used), key).where(F.expr("path rlike regex"))
+    hit = paths.join(F.broadcast(used) if small_enough(used, 100_000) else used, key).where(F.expr("path rlike regex"))
     best = hit.groupBy(key, "path").agg(F.max_by(F.struct("allow", "pattern"), F.struct(F.length("pattern").alias("n"), "allow", (-F.col("line")).alias("l"))).alias("r"))
     return paths.join(best, [key, "path"], "left").select(key, "path", F.coalesce("r.allow", F.lit(True)).alias("allowed"), F.coalesce("r.pattern", F.lit("")).alias("pattern"))

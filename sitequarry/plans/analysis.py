@@ -9,6 +9,7 @@ from sitequarry.functions import url as u
 from sitequarry.functions.common import half_up, half_up_int
 from sitequarry.operators import forecast, graph, logs, reports, similarity
 from sitequarry.operators import store as s
+from sitequarry.operators.shared import cut
 from sitequarry.plans.registry import SITE, query
 from sitequarry.plans.store import ISSUES, issues_of, links_of, pages_of
 from sitequarry.sources import site
@@ -134,21 +135,29 @@ def hash_simhash(spark, sf_dir):
     return docs.select("doc_id", similarity.simhash(F.col("text")).alias("print"))
 
 
+@query()
+def hash_fnv1a64(spark, sf_dir):
+    return site.table(spark, sf_dir, "pages").select("page_id", similarity.hash_text(F.col("url")).alias("hash"))
+
+
+def _prints(spark, sf_dir):
+    one = site.table(spark, sf_dir, "documents").where(F.length("text") >= 50).groupBy("text").agg(F.min("doc_id").alias("k"))
+    return cut(one.select("k", similarity.simhash(F.col("text")).alias("print")))
+
+
 @query()
 def j_simhash_pairs(spark, sf_dir):
-    prints = site.table(spark, sf_dir, "documents").where(F.length("text") >= 50).groupBy("text").agg(F.min("doc_id").alias("k")).select("k", similarity.simhash(F.col("text")).alias("print"))
-    return similarity.simhash_pairs(graph.cut(prints))
+    return similarity.simhash_pairs(_prints(spark, sf_dir))
 
 
 @query()
 def d_simhash_clusters(spark, sf_dir):
-    """Connected groups of pairs by breadth-first labels: clusters don't depend on the order of pages, unlike greedy stars."""
-    pairs = j_simhash_pairs(spark, sf_dir).select("a", "b")
-    return reports.labelled(graph.cut(pairs))
+    return similarity.simhash_clusters(_prints(spark, sf_dir))
 
 
 @query(f"""WITH {SITE}, tk AS (SELECT page_id, lower(trim(title)) AS title, lower(trim(h1)) AS h1, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(title || ' ' || h1 || ' ' || string_split(url, '/')[-1]), '[^a-z0-9\\s-]', ' ', 'g'), '[-_]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{w}'" for w in t.INTENT_STOP_WORDS)}))) AS w FROM p WHERE status = 200),
-pr AS (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS ratio, (a.title <> '' AND a.title = b.title) OR (a.h1 <> '' AND a.h1 = b.h1) AS same FROM tk a JOIN tk b ON a.page_id < b.page_id AND len(a.w) > 0 AND len(b.w) > 0 WHERE len(list_intersect(a.w, b.w)) > 0),
+cl AS (SELECT min(page_id) AS page_id, title, h1, list_sort(w) AS w FROM tk WHERE len(w) > 0 GROUP BY ALL),
+pr AS (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS ratio, (a.title <> '' AND a.title = b.title) OR (a.h1 <> '' AND a.h1 = b.h1) AS same FROM cl a JOIN cl b ON a.page_id < b.page_id WHERE len(list_intersect(a.w, b.w)) > 0 UNION ALL SELECT cl.page_id, tk.page_id, len(cl.w), 1.0, cl.title <> '' OR cl.h1 <> '' FROM cl JOIN tk ON cl.title = tk.title AND cl.h1 = tk.h1 AND cl.w = list_sort(tk.w) WHERE cl.page_id < tk.page_id),
 sv AS (SELECT a, b, shared, floor(ratio * 100 + 0.5) / 100.0 AS similarity, CASE WHEN same THEN 'Critical' WHEN ratio >= 0.7 OR (ratio >= 0.5 AND shared >= 3) THEN 'High' WHEN ratio >= 0.4 AND shared >= 2 THEN 'Medium' END AS severity FROM pr) SELECT * FROM sv WHERE severity IS NOT NULL""")
 def j_cannibal_pairs(spark, sf_dir):
     return similarity.competing(pages_of(spark, sf_dir))
@@ -214,18 +223,13 @@ def a_log_waste(spark, sf_dir):
     return logs.waste(_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, k AS (SELECT c_custkey, 'https://x/u/' || c_custkey AS url, '/u/' || c_custkey AS path FROM customer WHERE c_custkey < 100) SELECT url FROM k WHERE path NOT IN (SELECT string_split(url, '?')[1] FROM g WHERE bot <> 'Human')")
-def j_log_never_crawled(spark, sf_dir, rows="c_custkey < 100"):
-    c = site.table(spark, sf_dir, "customer").where(rows)
+@query(f"WITH {LOG}, k AS (SELECT c_custkey, 'https://x/u/' || c_custkey AS url, '/u/' || c_custkey AS path FROM customer) SELECT url FROM k WHERE path NOT IN (SELECT string_split(url, '?')[1] FROM g WHERE bot <> 'Human')")
+def j_log_never_crawled(spark, sf_dir):
+    c = site.table(spark, sf_dir, "customer")
     known = c.select(F.concat(F.lit("https://x/u/"), F.col("c_custkey").cast("string")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("/u/"), F.col("c_custkey").cast("string")).alias("path"))
     return logs.never_crawled(known, _log(spark, sf_dir)).select("url")
 
 
-@query()
-def j_log_never_crawled_whole(spark, sf_dir):
-    return j_log_never_crawled(spark, sf_dir, "true")
-
-
 TWO = f"{SITE}, b AS (SELECT norm, min(page_id) AS id, min(status) AS status, min(title) AS title FROM p WHERE page_id % 10 <> 0 GROUP BY 1), c AS (SELECT norm, min(page_id) AS id, min(CASE WHEN page_id % 7 = 0 THEN 500 ELSE status END) AS status, min(title) AS title FROM p WHERE page_id % 10 <> 1 GROUP BY 1)"
 
 
@@ -255,66 +259,42 @@ def j_prev_counts(spark, sf_dir):
     return rules.summary(i.where("page_id % 2 = 1 and issue_id <> 'high_latency'"), before).select("name", "affected_pages", "change")
 
 
-KW = "k AS (SELECT s_nationkey % 4 AS site, unnest(string_split(lower(p_type), ' ')) AS keyword, p_size % 3 = 0 AS in_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND (p_partkey + s_nationkey) % 5 < 2)"
-
+KW = "k AS (SELECT s_nationkey % 4 AS site, unnest(string_split(lower(p_type), ' ')) AS keyword, p_size % 3 = 0 AS in_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"
 
-#: The part of the join of lineitem, part and supplier that KW has.
-SOME = "l_linenumber = 1 AND (p_partkey + s_nationkey) % 5 < 2"
 
-
-def _keywords(spark, sf_dir, rows):
-    li = site.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+def _keywords(spark, sf_dir):
+    li = site.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     part = site.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     sup = site.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = li.join(part, F.col("p_partkey") == F.col("l_partkey")).join(sup, F.col("s_suppkey") == F.col("l_suppkey")).where(rows)
+    rows = li.join(part, F.col("p_partkey") == F.col("l_partkey")).join(sup, F.col("s_suppkey") == F.col("l_suppkey"))
     return rows.select((F.col("s_nationkey") % 4).alias("site"), F.explode(F.split(F.lower("p_type"), " ")).alias("keyword"), (F.col("p_size") % 3 == 0).alias("in_title"))
 
 
 @query(f"WITH {KW} SELECT site, keyword, count(*) AS pages, bool_or(in_title) AS in_title FROM k GROUP BY 1, 2")
-def a_keyword_map(spark, sf_dir, rows=SOME):
-    return reports.keyword_map(_keywords(spark, sf_dir, rows))
-
-
-@query()
-def a_keyword_map_whole(spark, sf_dir):
-    return a_keyword_map(spark, sf_dir, "true")
+def a_keyword_map(spark, sf_dir):
+    return reports.keyword_map(_keywords(spark, sf_dir))
 
 
 GAP = f"""{KW}, m AS (SELECT keyword, coalesce(sum(1) FILTER (WHERE site = 0), 0) AS base, coalesce(bool_or(in_title) FILTER (WHERE site = 0), false) AS base_title, count(DISTINCT site) FILTER (WHERE site <> 0) AS covering, coalesce(bool_or(in_title) FILTER (WHERE site <> 0), false) AS their_title FROM k GROUP BY 1)"""
 
 
 @query(f"WITH {GAP} SELECT keyword, CASE WHEN base = 0 THEN CASE WHEN covering = 3 THEN 'Missing' ELSE 'Untapped' END WHEN NOT base_title AND their_title THEN 'Weak' WHEN base_title AND NOT their_title THEN 'Strong' ELSE 'Shared' END AS status, covering FROM m")
-def a_content_gap(spark, sf_dir, rows=SOME):
-    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir, rows)), base=0, rivals=3).select("keyword", "status", "covering")
-
-
-@query()
-def a_content_gap_whole(spark, sf_dir):
-    return a_content_gap(spark, sf_dir, "true")
+def a_content_gap(spark, sf_dir):
+    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir)), base=0, rivals=3).select("keyword", "status", "covering")
 
 
 @query(f"WITH {GAP} SELECT keyword, CAST(base AS BIGINT) AS base, covering FROM m")
-def j_content_gap(spark, sf_dir, rows=SOME):
-    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir, rows)), base=0, rivals=3).select("keyword", "base", "covering")
-
-
-@query()
-def j_content_gap_whole(spark, sf_dir):
-    return j_content_gap(spark, sf_dir, "true")
+def j_content_gap(spark, sf_dir):
+    return reports.content_gap(reports.keyword_map(_keywords(spark, sf_dir)), base=0, rivals=3).select("keyword", "base", "covering")
 
 
 @query(f"WITH {KW} SELECT keyword, count(*) AS n FROM k WHERE site <> 0 AND keyword NOT IN (SELECT keyword FROM k WHERE site = 0 AND in_title) GROUP BY 1 HAVING count(*) >= 2")
-def a_keyword_topic_gaps(spark, sf_dir, rows=SOME):
-    k = _keywords(spark, sf_dir, rows)
+def a_keyword_topic_gaps(spark, sf_dir):
+    k = _keywords(spark, sf_dir)
     return k.where("site <> 0").join(k.where("site = 0 and in_title").select("keyword").distinct(), "keyword", "left_anti").groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query()
-def a_keyword_topic_gaps_whole(spark, sf_dir):
-    return a_keyword_topic_gaps(spark, sf_dir, "true")
-
-
-BL = "bl AS (SELECT l_partkey % 200 AS domain, s_nationkey % 5 AS site FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45)"
+BL = "bl AS (SELECT l_partkey % 200 AS domain, s_nationkey % 5 AS site FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
 
 
 @query(f"WITH {BL}, g AS (SELECT domain, count(DISTINCT site) FILTER (WHERE site <> 0) AS competitors, bool_or(site = 0) AS has_target FROM bl GROUP BY 1) SELECT domain, competitors, has_target, CASE WHEN has_target THEN 'Low' WHEN competitors = 4 THEN 'Critical' WHEN competitors >= 2 THEN 'High' ELSE 'Medium' END AS priority FROM g WHERE competitors > 0")
@@ -324,7 +304,7 @@ def a_link_intersect(spark, sf_dir):
 
 def _backlinks(spark, sf_dir):
     sup = site.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    li = site.table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    li = site.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     return li.join(sup, F.col("s_suppkey") == F.col("l_suppkey")).select((F.col("l_partkey") % 200).alias("domain"), (F.col("s_nationkey") % 5).alias("site"))
 
 

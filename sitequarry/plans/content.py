@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions import text as t
 from sitequarry.functions.common import half_up_int
 from sitequarry.operators import content, similarity
-from sitequarry.operators.graph import cut
+from sitequarry.operators.shared import cut
 from sitequarry.plans.functions import INTENT, NORM, _keywords
 from sitequarry.plans.registry import SITE, query
 from sitequarry.plans.store import ISSUES, issues_of, pages_of
@@ -25,12 +25,12 @@ def txt_readability_live(spark, sf_dir):
     return d.withColumn("ease", content.live_ease(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")))
 
 
-@query(f"""WITH {LIVE}, k AS (SELECT doc_id, text, n, ease, len(regexp_extract_all(lower(text), '\\bthat\\b')) AS hits, contains(array_to_string(ws[1:100], ' '), 'that') AS intro FROM r),
+@query(f"""WITH {LIVE}, k AS (SELECT doc_id, text, n, ease, regexp_extract_all(text, '(?m)^#\\s+(.+)$', 1) AS h1, regexp_extract_all(text, '(?m)^##\\s+(.+)$', 1) AS h2, regexp_extract_all(text, '(?m)^###\\s+(.+)$', 1) AS h3, len(regexp_extract_all(lower(text), '\\bthat\\b')) AS hits, contains(array_to_string(ws[1:100], ' '), 'that') AS intro FROM r),
 d AS (SELECT *, CASE WHEN n > 0 THEN floor(hits::DOUBLE / n * 100 * 10 + 0.5) / 10.0 ELSE 0 END AS density FROM k)
-SELECT doc_id, CAST(least(100, CASE WHEN intro THEN 7 ELSE 0 END + CASE WHEN density >= 0.5 AND hits > 0 AND density <= 2.8 THEN 8 WHEN hits > 0 AND density <= 2.8 THEN 4 ELSE 0 END + 15 + CASE WHEN n / 1000.0 >= 0.9 THEN 20 ELSE floor(n / 1000.0::DOUBLE * 20 + 0.5) END + CASE WHEN ease BETWEEN 50 AND 80 THEN 10 ELSE 5 END
- + CASE WHEN regexp_matches(text, '(?m)^(\\s*[-*]|\\s*\\d+\\.)\\s+.+') OR regexp_matches(text, '\\|(.+)\\|') THEN 5 ELSE 0 END) AS BIGINT) AS score FROM d WHERE NOT regexp_matches(text, '(?m)^#+\\s')""")
+SELECT doc_id, CAST(least(100, CASE WHEN intro THEN 7 ELSE 0 END + CASE WHEN list_bool_or(list_transform(h1, lambda x: contains(lower(x), 'that'))) THEN 8 ELSE 0 END + CASE WHEN list_bool_or(list_transform(h1 || h2 || h3, lambda x: contains(lower(x), 'that'))) THEN 4 ELSE 0 END + CASE WHEN len(h1) = 1 AND (len(h3) = 0 OR len(h2) > 0) THEN 10 WHEN len(h1) = 0 THEN 0 ELSE 5 END + CASE WHEN density >= 0.5 AND hits > 0 AND density <= 2.8 THEN 8 WHEN hits > 0 AND density <= 2.8 THEN 4 ELSE 0 END + 15 + CASE WHEN n / 1000.0 >= 0.9 THEN 20 ELSE floor(n / 1000.0::DOUBLE * 20 + 0.5) END + CASE WHEN ease BETWEEN 50 AND 80 THEN 10 ELSE 5 END
+ + CASE WHEN regexp_matches(text, '(?m)^(\\s*[-*]|\\s*\\d+\\.)\\s+.+') OR regexp_matches(text, '\\|(.+)\\|') THEN 5 ELSE 0 END) AS BIGINT) AS score FROM d""")
 def txt_content_score(spark, sf_dir):
-    d = site.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?m)^#+\s")).select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    d = site.table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
     return content.content_score(d, "that").select("doc_id", "score")
 
 
@@ -92,24 +92,19 @@ def math_estimate_volumes(spark, sf_dir):
     return content.volumes(keys, console, rel)
 
 
-@query("""WITH s AS (SELECT doc_id AS source, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s''-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id < 300),
+@query("""WITH s AS (SELECT doc_id AS source, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s''-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents),
 tg AS (SELECT * FROM (VALUES (1000, 'of the', 20, 0), (1001, 'and that', 80, 5), (5, 'with the', 50, 2)) v(target, keyword, te, ni)),
 h AS (SELECT source, target, min(keyword) AS keyword, any_value(te) AS te, any_value(ni) AS ni FROM s JOIN tg ON list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), keyword) AND source <> target AND (source + target) % 3 <> 0 GROUP BY 1, 2),
 c AS (SELECT *, least(100, CAST(floor((source % 100) / 100.0::DOUBLE * 40 + 0.5) AS BIGINT) + CASE WHEN ni <= 1 THEN 25 WHEN ni <= 3 THEN 15 ELSE 5 END + CAST(floor((100 - te) / 100.0::DOUBLE * 25 + 0.5) AS BIGINT) + 10) AS score FROM h)
 SELECT CAST(target AS BIGINT) AS target, source, keyword, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS r FROM c WHERE score >= 20) WHERE r <= 4""")
-def j_link_opps(spark, sf_dir, rows="doc_id < 300"):
-    d = site.table(spark, sf_dir, "documents").where(rows)
+def j_link_opps(spark, sf_dir):
+    d = site.table(spark, sf_dir, "documents")
     sources = d.select(F.col("doc_id").alias("source"), "text", (F.col("doc_id") % 100).alias("equity"))
     targets = spark.createDataFrame([(1000, "of the", 20, 0), (1001, "and that", 80, 5), (5, "with the", 50, 2)], "target long, keyword string, equity int, n_incoming int")
     links = d.select(F.col("doc_id").alias("source"), F.explode(F.array(*[F.lit(x).cast("long") for x in (1000, 1001, 5)])).alias("target")).where("(source + target) % 3 = 0")
     return content.link_opportunities(targets, sources, links).select("target", "source", "keyword", F.col("score").cast("long").alias("score"))
 
 
-@query()
-def j_link_opps_whole(spark, sf_dir):
-    return j_link_opps(spark, sf_dir, "true")
-
-
 @query(f"WITH n AS (SELECT doc_id, string_split({NORM}, ' ') AS ws FROM documents WHERE len(string_split({NORM}, ' ')) >= 40), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' ')))) AS h FROM n) SELECT doc_id, list_min(h) AS least, list_max(h) AS most FROM s")
 def a_minhash(spark, sf_dir):
     """Extremes of a hash of the shingles, in functions that other engines have: the building stone of a signature."""
@@ -167,7 +162,7 @@ def j_lsh_candidates(spark, sf_dir):
 
 @query()
 def a_simhash_bits(spark, sf_dir):
-    return site.table(spark, sf_dir, "documents").select("doc_id", F.bit_count(similarity.simhash(F.col("text"))).alias("bits"))
+    return site.table(spark, sf_dir, "documents").select("doc_id", similarity.votes(F.col("text")).alias("votes"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 3 = 0 AS repeats FROM orders")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions.common import half_up
 from sitequarry.operators import html, logs, robots
 from sitequarry.operators import store as s
-from sitequarry.operators.graph import cut
+from sitequarry.operators.shared import cut, fresh
 from sitequarry.plans.registry import SITE, query
 from sitequarry.plans.store import ISSUES, issues_of, links_of, pages_of
 from sitequarry.sources import readers, site
@@ -18,62 +17,41 @@ from sitequarry.streaming import events as ev
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sitequarry-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return fresh(spark, "files")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 50 = 0")
-def src_log_text(spark, sf_dir, rows="event_id % 50 = 0"):
+@query("SELECT event_id FROM events")
+def src_log_text(spark, sf_dir):
     path = _folder(spark)
-    site.table(spark, sf_dir, "events").where(rows).select(F.col("event_id").cast("string").alias("value")).write.text(path)
+    site.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("value")).write.text(path)
     return readers.log_lines(spark, path).select(F.col("value").cast("long").alias("event_id"))
 
 
-@query()
-def src_log_text_whole(spark, sf_dir):
-    return src_log_text(spark, sf_dir, "true")
-
-
-@query("SELECT url FROM pages WHERE page_id < 100")
-def src_seed_file(spark, sf_dir, rows="page_id < 100"):
+@query("SELECT url FROM pages")
+def src_seed_file(spark, sf_dir):
     path = _folder(spark)
-    p = site.table(spark, sf_dir, "pages").where(rows)
+    p = site.table(spark, sf_dir, "pages")
     p.select(F.explode(F.array(F.lit("# note"), F.lit(""), F.concat(F.lit("  "), "url"))).alias("value")).write.text(path)
     return readers.seeds(spark, path)
 
 
-@query()
-def src_seed_file_whole(spark, sf_dir):
-    return src_seed_file(spark, sf_dir, "true")
-
-
-@query("SELECT url FROM pages WHERE page_id < 100")
-def src_source_list(spark, sf_dir, rows="page_id < 100"):
+@query("SELECT url FROM pages")
+def src_source_list(spark, sf_dir):
     path = _folder(spark) + ".csv"
-    site.table(spark, sf_dir, "pages").where(rows).select(F.lit('a "quoted", one').alias("note"), "url").write.csv(path, header=True, quote='"', escape='"')
+    site.table(spark, sf_dir, "pages").select(F.lit('a "quoted", one').alias("note"), "url").write.csv(path, header=True, quote='"', escape='"')
     return readers.source_list(spark, path)
 
 
-@query()
-def src_source_list_whole(spark, sf_dir):
-    return src_source_list(spark, sf_dir, "true")
-
-
-@query("SELECT CAST(page_id % 3 AS VARCHAR) AS id, url, page_id AS title FROM pages WHERE page_id < 60 AND page_id % 3 <> 1")
-def src_legacy_json(spark, sf_dir, rows="page_id < 60"):
+@query("SELECT CAST(page_id % 3 AS VARCHAR) AS id, url, page_id AS title FROM pages WHERE page_id % 3 <> 1")
+def src_legacy_json(spark, sf_dir):
     path = _folder(spark)
-    p = site.table(spark, sf_dir, "pages").where(rows).select(F.floor(F.col("page_id") / 60).alias("part"), (F.col("page_id") % 3).cast("string").alias("id"), "url", F.struct(F.col("page_id").cast("string").alias("title"), F.lit(200).alias("status")).alias("v"))
+    p = site.table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 60).alias("part"), (F.col("page_id") % 3).cast("string").alias("id"), "url", F.struct(F.col("page_id").cast("string").alias("title"), F.lit(200).alias("status")).alias("v"))
     # A snapshot of many pages takes several lines of 20 pages, so that no row grows with the table.
     p.groupBy("id", "part").agg(F.map_from_entries(F.collect_list(F.struct("url", "v"))).alias("pages")).drop("part").write.json(path)
     known = spark.createDataFrame([("1",)], "id string")
     return readers.snapshots(spark, path, known).select("id", "url", F.col("title").cast("long").alias("title"))
 
 
-@query()
-def src_legacy_json_whole(spark, sf_dir):
-    return src_legacy_json(spark, sf_dir, "true")
-
-
 @query("SELECT page_id, url AS loc, '2026-01-01' AS lastmod FROM pages")
 def src_sitemap(spark, sf_dir):
     files = site.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<?xml version='1.0'?><urlset><url>\n<loc> <![CDATA["), "url", F.lit("]]> </loc><lastmod>2026-01-01</lastmod></url></urlset>")).alias("xml"))

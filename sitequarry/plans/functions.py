@@ -328,17 +328,12 @@ def date_add_days(spark, sf_dir):
     return site.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_add(day, 7), "yyyy-MM-dd").alias("later"), gap.cast("long").alias("days"), gap.between(0, 90).alias("fresh"))
 
 
-@query("SELECT o_orderkey, CAST(h AS INTEGER) AS h, strftime(CAST(o_orderdate AS DATE) + CAST(7 * h AS INTEGER), '%Y-%m-%d') AS due FROM (SELECT o_orderkey, o_orderdate, unnest(range(1, 4)) AS h FROM orders WHERE o_orderkey % 50 = 0)")
-def date_project(spark, sf_dir, rows="o_orderkey % 50 = 0"):
-    o = site.table(spark, sf_dir, "orders").where(rows).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("h"))
+@query("SELECT o_orderkey, CAST(h AS INTEGER) AS h, strftime(CAST(o_orderdate AS DATE) + CAST(7 * h AS INTEGER), '%Y-%m-%d') AS due FROM (SELECT o_orderkey, o_orderdate, unnest(range(1, 4)) AS h FROM orders)")
+def date_project(spark, sf_dir):
+    o = site.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("h"))
     return o.select("o_orderkey", "h", F.date_format(F.date_add("day", F.col("h") * 7), "yyyy-MM-dd").alias("due"))
 
 
-@query()
-def date_project_whole(spark, sf_dir):
-    return date_project(spark, sf_dir, "true")
-
-
 @query("SELECT 'daily' AS freq, 7 AS period UNION ALL SELECT 'weekly', 4 UNION ALL SELECT 'monthly', 12 UNION ALL SELECT 'crawl', 1")
 def t_freq(spark, sf_dir):
     from sitequarry.operators.forecast import PERIODS
@@ -353,20 +348,15 @@ def txt_interpolate(spark, sf_dir):
     return site.table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '\"') OR contains(text, ',') OR contains(text, chr(10)) THEN '\"' || replace(left(text, 200), '\"', '\"\"') || '\"' ELSE left(text, 200) END AS cell, replace(replace(left(text, 200), '|', '\\|'), chr(10), ' ') AS md, replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
-def txt_csv_escape(spark, sf_dir, most=200):
-    c, h = F.col("text"), F.substring("text", 1, most) if most else F.col("text")
+@query("SELECT doc_id, CASE WHEN contains(text, '\"') OR contains(text, ',') OR contains(text, chr(10)) THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell, replace(replace(text, '|', '\\|'), chr(10), ' ') AS md, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+def txt_csv_escape(spark, sf_dir):
+    c = h = F.col("text")
     quoted = F.when(c.contains('"') | c.contains(",") | c.contains("\n"), F.concat(F.lit('"'), F.replace(h, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(h)
     md = F.replace(F.replace(h, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     html = F.replace(F.replace(F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return _docs(spark, sf_dir).select("doc_id", quoted.alias("cell"), md.alias("md"), html.alias("html"))
 
 
-@query()
-def txt_csv_escape_whole(spark, sf_dir):
-    return txt_csv_escape(spark, sf_dir, None)
-
-
 @query("SELECT doc_id, CASE WHEN i = 0 THEN '' ELSE (CASE WHEN i > 51 THEN '…' ELSE '' END) || trim(regexp_replace(substr(text, CAST(greatest(1, i - 50) AS BIGINT), CAST(least(50, i - 1) + 3 + 50 AS BIGINT)), '\\s+', ' ', 'g')) || (CASE WHEN i + 52 < length(text) THEN '…' ELSE '' END) END AS snippet FROM (SELECT doc_id, text, instr(text, 'the') AS i FROM documents)")
 def txt_snippet(spark, sf_dir):
     i = F.instr("text", "the")

@@ -247,10 +247,10 @@ def w_topk_per_group(spark, sf_dir):
     return s.top_per_key(site.table(spark, sf_dir, "events"), ["event_type"], [F.desc("value"), F.col("event_id")], 4).select("event_type", "event_id", "place")
 
 
-@query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part WHERE p_size > 45)
+@query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(2 + i // 3 AS INTEGER) AS week, strftime(DATE '2026-09-22' + CAST(7 + i // 3 * 7 + i % 3 * (7 // 3) AS INTEGER), '%Y-%m-%d') AS due, CAST(i % 4 AS INTEGER) AS page FROM r""")
 def w_position_schedule(spark, sf_dir):
-    sites = site.table(spark, sf_dir, "part").where("p_size > 45")
+    sites = site.table(spark, sf_dir, "part")
     return s.schedule(sites, [F.desc("p_retailprice"), F.col("p_partkey")], "2026-09-22", per_week=3, pages=4).select("p_partkey", "i", "week", "due", "page")
 
 

@@ -1,5 +1,8 @@
 """Operators on literals, and every registered query against its SQL."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +159,102 @@ def test_near_pairs_and_simhash(spark):
     assert prints.where("k = 3").head().print != prints.where("k = 1").head().print
 
 
+def plain_fnv(data, units=None):
+    h = 0xCBF29CE484222325
+    for x in data:
+        h = (h ^ x) * 0x100000001B3 % 2**64
+    return h - (h >> 63 << 64)
+
+
+def plain_votes(text):
+    words = [w for w in re.sub(r"[^a-z0-9_\s]", " ", (text or "").lower()).split() if len(w) > 2]
+    out = [0] * 64
+    for g in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
+        h = plain_fnv(g.encode()) % 2**64
+        out = [v + (1 if h >> i & 1 else -1) for i, v in enumerate(out)]
+    return out
+
+
+def plain_print(text):
+    h = sum(1 << i for i, v in enumerate(plain_votes(text)) if v > 0)
+    return h - (h >> 63 << 64)
+
+
+def bits_apart(a, b):
+    return bin((a ^ b) % 2**64).count("1")
+
+
+def test_prints_are_weighted_votes_of_fnv(spark):
+    texts = ["", None, "ab cd", "the cat the cat sat", "Ünï çödé wörds here", "x" * 5000 + " tail of it", " ".join(f"word{i}" for i in range(700))]
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, x string").repartition(2)
+    got = {r.k: r for r in d.select("k", similarity.simhash(F.col("x")).alias("print"), similarity.votes(F.col("x")).alias("votes"), similarity.hash_text(F.col("x")).alias("h")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i].votes == plain_votes(x) and got[i].print == plain_print(x), x
+        assert got[i].h == (None if x is None else plain_fnv(x.encode("utf-16-le")[j] | x.encode("utf-16-le")[j + 1] << 8 for j in range(0, 2 * len(x), 2)))
+    assert plain_fnv(b"hello") % 2**64 == 0xA430D84680AABD0B
+
+
+def test_near_prints_and_clusters_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    prints = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(12):
+            x = base
+            for bit in rng.sample(range(64), rng.choice([0, 0, 1, 3, 6, 7])):
+                x ^= 1 << bit
+            prints.append(x - (x >> 63 << 64))
+    rng.shuffle(prints)
+    d = spark.createDataFrame(list(enumerate(prints)), "k long, print long")
+    least = {x: prints.index(x) for x in prints}
+    want = {(least[x], i, 0) for i, x in enumerate(prints) if least[x] != i}
+    one = sorted(least.values())
+    want |= {(i, j, n) for i in one for j in one if i < j and (n := bits_apart(prints[i], prints[j])) <= 6}
+    assert {(r.a, r.b, r.distance) for r in similarity.simhash_pairs(d).collect()} == want
+    left, clusters = list(range(len(prints))), set()
+    while left:
+        centre, *rest = left
+        own = [i for i in rest if bits_apart(prints[centre], prints[i]) <= 6]
+        clusters |= {(centre, i) for i in own}
+        left = [i for i in rest if i not in own]
+    got = {(r.centre, r.k): r for r in similarity.simhash_clusters(d).collect()}
+    assert set(got) == clusters
+    assert all(r.distance == bits_apart(prints[c], prints[k]) and r.similarity == int((64 - r.distance) / 64 * 100 + 0.5) for (c, k), r in got.items())
+
+
+def test_components_and_stars_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in graph.components(e).collect()} == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 130), 100)}
+    chain = spark.createDataFrame(edges[:7] + edges[60:], "a long, b long")
+    assert {r.node: r.centre for r in graph.stars(chain).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, **dict.fromkeys(range(100, 130), 100)}
+    assert graph.components(e.limit(0)).count() == graph.stars(e.limit(0)).count() == 0
+
+
+def test_competing_pages_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        title = " ".join(["common", "shared", *rng.sample(words, rng.randint(0, 4))]) if i % 4 else rng.choice(["", "red shoes", "common shared", "blue"])
+        rows.append((i, title, rng.choice(["", "", "Head One", title]), f"https://x.org/{rng.choice(words)}" if i % 3 else "https://x.org/", 200 if i % 10 else 404))
+    pages = spark.createDataFrame(rows, "page_id long, title string, h1 string, url string, status int")
+    own = {r.page_id: (r.title.lower().strip(), r.h1.lower().strip(), frozenset(r.w)) for r in pages.where("status = 200").select("page_id", "title", "h1", t.intent_tokens(F.col("title"), F.col("h1"), F.col("url")).alias("w")).collect() if r.w}
+    least = {}
+    for i in sorted(own):
+        least.setdefault(own[i], i)
+    want = {}
+    for x, a in least.items():
+        for i, y in own.items():
+            if a < i and (x == y or least[y] == i):
+                shared, same = len(x[2] & y[2]), any(x[k] and x[k] == y[k] for k in (0, 1))
+                ratio = shared / min(len(x[2]), len(y[2]))
+                kind = "Critical" if same else "High" if ratio >= 0.7 or ratio >= 0.5 and shared >= 3 else "Medium" if ratio >= 0.4 and shared >= 2 else None
+                if shared and kind:
+                    want[a, i] = (shared, kind)
+    assert {(r.a, r.b): (r.shared, r.severity) for r in similarity.competing(pages).collect()} == want
+
+
 def test_rules_can_be_added(spark):
     rules.register("x_even", "Even", "Notice", "Custom", lambda: F.col("page_id") % 2 == 0)
     try:
@@ -204,43 +303,6 @@ def test_streams_end_as_batches(spark, tmp_path):
     assert seen.groupBy("user_id").count().count() == spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
 
 
-#: The filter in each SQL that runs over a part of its table.
-PARTS = {
-    "j_link_opps": " WHERE doc_id < 300",
-    "src_seed_file": " WHERE page_id < 100",
-    "src_source_list": " WHERE page_id < 100",
-    "src_legacy_json": "page_id < 60 AND ",
-    "src_log_text": " WHERE event_id % 50 = 0",
-    "date_project": " WHERE o_orderkey % 50 = 0",
-    "j_log_never_crawled": " WHERE c_custkey < 100",
-    **dict.fromkeys(["a_keyword_map", "a_content_gap", "j_content_gap", "a_keyword_topic_gaps"], " WHERE l_linenumber = 1 AND (p_partkey + s_nationkey) % 5 < 2"),
-}
-
-
-@pytest.mark.parametrize("name", sorted(PARTS))
-def test_whole_tables(spark, name):
-    """Against the SQL without its filter, on tables larger than the filters let through."""
-    larger = SMALL.replace("0.001", "0.01")
-    c = duckdb.connect()
-    for table in TABLES:
-        c.execute(f"create view {table} as select * from read_parquet('{larger}/{table}.parquet')")
-    sql = registry.ORACLES[name]
-    assert sql.count(PARTS[name]) == 1
-    want = rows_of(c.execute(sql.replace(PARTS[name], "")).df())
-    assert rows_of(registry.QUERIES[f"{name}_whole"](spark, larger).toPandas()) == want
-    # On these tables every keyword is shared, in the part as in the whole.
-    if name not in ("a_content_gap", "a_keyword_topic_gaps"):
-        assert want != rows_of(registry.QUERIES[name](spark, larger).toPandas())
-
-
-def test_whole_texts_are_escaped(spark, duck):
-    sql = registry.ORACLES["txt_csv_escape"]
-    assert "left(text, 200)" in sql
-    got = rows_of(registry.QUERIES["txt_csv_escape_whole"](spark, SMALL).toPandas())
-    assert got == rows_of(duck.execute(sql.replace("left(text, 200)", "text")).df())
-    assert got != rows_of(registry.QUERIES["txt_csv_escape"](spark, SMALL).toPandas())
-
-
 def test_minima_and_candidates(spark):
     from sitequarry.plans import content as plans
 
