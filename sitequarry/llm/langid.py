@@ -18,7 +18,6 @@ affects the way only: results are the same with no word sent at all.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import compress, repeat
@@ -31,8 +30,8 @@ from pyspark.sql import types as T
 
 from sitequarry.llm.common import as_batch, discard, small_enough, stored, text_key
 
-#: Runs of letters: \w without digits, _ and the numerals that are neither digits nor letters.
-WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())}]+")
+#: Runs of letters and of numerals that are neither digits nor letters, which are taken out afterwards: few texts have any.
+RUN = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 FLUSH = 200_000
 #: Occurrences that a word or n-gram which was never seen is taken to have in the largest language.
@@ -41,6 +40,15 @@ A = 0.5
 MOST_WORDS, MOST_CELLS = 200_000, 2_000_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, as isalpha has them, in lower case."""
+    low = text.lower()
+    words = RUN.findall(low)
+    if not words or "".join(words).isalpha():
+        return words
+    return "".join(c if c.isalpha() else " " for c in low).split()
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word with a blank on either side; single letters without."""
     w = f" {word} " if n > 1 else word
@@ -71,7 +79,7 @@ def _count_words(batches):
         for at in range(0, b.num_rows, 128):
             piece = b.slice(at, 128)
             for text, lang in zip(piece["text"].to_pylist(), piece["lang"].to_pylist(), strict=True):
-                held[lang].update(WORD.findall(text.lower()))
+                held[lang].update(words_of(text))
             if sum(map(len, held.values())) > FLUSH:
                 yield from flush()
     yield from flush()
@@ -183,7 +191,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 piece = b.slice(at, 256)
                 out = []
                 for x in piece.column(piece.num_columns - 1).to_pylist():
-                    words = WORD.findall(x.lower()) if x else []
+                    words = words_of(x) if x else []
                     place = np.fromiter(map(row.get, words, repeat(-1)), np.int32, len(words))
                     inside = place >= 0
                     rest = {} if inside.all() else Counter(compress(words, ~inside))
