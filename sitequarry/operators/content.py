@@ -80,6 +80,35 @@ def content_score(rows: DataFrame, keyword: str, target: int = 1000) -> DataFram
     return rows.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long"))
 
 
+def analysed(pages: DataFrame, text: str = "clean", keyword: str = "") -> DataFrame:
+    """pages with n_words, n_sentences, n_syllables, ease, grade, level and phrases (phrase, n, density, stuffing): those of one to three words, those of most first; with a keyword, keyword_n and keyword_density.
+
+    An empty text has zeros and no phrases.
+    """
+    out = pages.withColumns(t.readability(F.col(text)))
+    n = [F.col(x) for x in ("n_words", "n_sentences", "n_syllables")]
+    out = out.withColumns({"ease": t.reading_ease(*n), "grade": t.grade(*n)}).withColumn("level", t.reading_level(F.col("ease"), F.col("n_words")))
+    start = F.array().cast("array<struct<phrase:string,n:int>>")
+
+    def counted(tokens: Column, k: int) -> Column:
+        """Runs of equal phrases once they are sorted."""
+
+        def step(s: Column, x: Column) -> Column:
+            last = F.try_element_at(s, F.lit(-1))
+            one = F.struct(x.alias("phrase"), F.lit(1).alias("n"))
+            return F.when(last["phrase"] == x, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(x.alias("phrase"), (last["n"] + 1).alias("n"))))).otherwise(F.concat(s, F.array(one)))
+
+        runs = F.aggregate(F.array_sort(t.ngrams(tokens, k)), start, step)
+        return F.transform(runs, lambda r: F.struct(r["phrase"].alias("phrase"), r["n"].alias("n"), half_up(r["n"] * k / F.size(tokens) * 100, 2).alias("density"), F.lit(k).alias("words")))
+
+    phrases = let(t.keyword_tokens(F.col(text)), lambda w: F.flatten(F.array(*[counted(w, k) for k in (1, 2, 3)])))
+    out = out.withColumn("phrases", F.transform(F.array_sort(F.transform(phrases, lambda p: F.struct((-p["n"]).alias("m"), p["words"].alias("words"), p["phrase"].alias("phrase"), p["density"].alias("density")))), lambda p: F.struct(p["phrase"].alias("phrase"), (-p["m"]).alias("n"), p["density"].alias("density"), ((p["density"] > 3.5) & (-p["m"] >= 4)).alias("stuffing"))))
+    if keyword:
+        hits = F.regexp_count(F.lower(text), F.lit(rf"\b{keyword.lower()}\b"))
+        out = out.withColumns({"keyword_n": hits.cast("long"), "keyword_density": half_up(hits * len(keyword.split()) / F.greatest(F.lit(1), F.col("n_words")) * 100, 2)})
+    return out
+
+
 def alignment(intent: Column, n_words: Column, table: Column, faq: Column, pricing: Column) -> Column:
     """How a page fits the intent of its keyword, 10 to 100; 70 and more is aligned."""
     minus = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as t
 from sitequarry.functions.common import half_up_int
-from sitequarry.operators import content, similarity
+from sitequarry.operators import content, html, similarity
 from sitequarry.operators.shared import cut
 from sitequarry.plans.functions import INTENT, NORM, _keywords
 from sitequarry.plans.registry import SITE, query
@@ -176,8 +176,6 @@ def w_repeated_ngram(spark, sf_dir):
 
 @query("SELECT page_id, 'WebPage,Organization' AS types FROM pages")
 def json_parse_ld(spark, sf_dir):
-    from sitequarry.operators import html
-
     page = F.concat(F.lit('<head><script type="application/ld+json">{"@graph":[{"@type":"WebPage","url":"'), F.col("url"), F.lit('"},{"@type":["Organization"]}]}</script></head>'))
     p = site.table(spark, sf_dir, "pages").select("page_id", "url", page.alias("html"))
     return html.extract(p).select("page_id", F.array_join(F.sort_array("types", False), ",").alias("types"))
@@ -212,11 +210,11 @@ def html_security(spark, sf_dir):
     return site.table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(content.security_findings(headers, F.col("url"))), ",").alias("findings"))
 
 
-@query("SELECT page_id, CAST(2 AS BIGINT) AS n FROM pages")
+@query("SELECT page_id, q.question, q.answer FROM (SELECT page_id, unnest([{'question': 'What is it?', 'answer': 'It is ' || page_id || '.'}, {'question': 'Why?', 'answer': 'Because.'}]) AS q FROM pages)")
 def html_faq(spark, sf_dir):
-    page = F.concat(F.lit("<details><summary>What?</summary>This.</details><details><summary>Why?</summary>"), F.col("url"), F.lit("</details>"))
-    found = F.regexp_extract_all(page, F.lit(r"(?s)<details>\s*<summary>(.*?)</summary>(.*?)</details>"), 1)
-    return site.table(spark, sf_dir, "pages").select("page_id", F.size(F.slice(found, 1, 10)).cast("long").alias("n"))
+    from sitequarry.plans.crawl import made_pages
+
+    return html.details(made_pages(spark, sf_dir)).select("page_id", F.explode("questions").alias("q")).select("page_id", "q.question", "q.answer")
 
 
 @query("""SELECT page_id, '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[' || array_to_string(list_prepend('{"@type":"ListItem","position":1,"name":"Home"}', list_transform(s, lambda x, i: '{"@type":"ListItem","position":' || (i + 1) || ',"name":"' || x || '"}')), ',') || ']}' AS ld FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages)""")

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitequarry.functions.common import half_up
-from sitequarry.operators import html, logs, robots
+from sitequarry.functions import text as t
+from sitequarry.operators import audit, content, html, logs, robots, rules
 from sitequarry.operators import store as s
 from sitequarry.operators.shared import cut, fresh
 from sitequarry.plans.registry import SITE, query
@@ -142,37 +143,73 @@ def html_audit(spark, sf_dir):
     return html.extract(site.table(spark, sf_dir, "pages"))
 
 
-@query(f"WITH {SITE} SELECT page_id, lang FROM p")
+@query("SELECT page_id, 'Page ' || page_id AS title, 'About ' || page_id AS description, url AS canonical, 'en' AS lang, ['en,de', 'en,x-default', 'en,de_DE', 'en,de'][page_id % 4 + 1] AS languages FROM pages")
 def html_meta(spark, sf_dir):
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", "lang")
+    return html.extract(made_pages(spark, sf_dir)).select("page_id", "title", "description", "canonical", "lang", F.array_join("languages", ",").alias("languages"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n FROM pages")
+#: Pages made from the table's ids and URLs: what the raw ones lack, each kind on every fourth page or on all.
+LONG_ANSWER = "A page is a document that a site serves to its readers and that names what it is about in words which a reader can check against what the rest of it says."
+LINKED = [
+    '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Why?","acceptedAnswer":{"@type":"Answer","text":"So."}}]}',
+    '{"@context":"https://schema.org","@type":"Article","headline":"H","datePublished":"2026-01-01"}',
+    '{"@context":"https://schema.org","@type":',
+    '{"@graph":[{"@type":["Product","Offer"],"name":"P","offers":"cheap","price":0,"priceCurrency":"EUR"}]}',
+]
+
+
+def made_pages(spark, sf_dir, url="url"):
+    """(page_id, url, html), with the table's URLs or another expression: a head with description, canonical, alternate, files and structured data; a body with headings, an answer, images, links, questions, fields and buttons."""
+    i, url = F.col("page_id"), F.expr(url)
+    n = i.cast("string")
+    by4 = lambda values: F.get(F.array(*[F.lit(x) for x in values]), (i % 4).cast("int"))
+    parts = [
+        F.lit('<!doctype html><html lang="en"><head><title>Page '), n, F.lit('</title><meta name="description" content="About '), n, F.lit('"><link rel="canonical" href="'), url, F.lit('">'),
+        F.lit('<link rel="alternate" hreflang="en" href="'), url, F.lit('"><link rel="alternate" hreflang="'), by4(["de", "x-default", "de_DE", "de"]), F.lit('" href="/de'), (i - i % 2).cast("string"), F.lit('">'),
+        F.lit('<link rel="stylesheet" href="/s.css"><script src="https://cdn.other.org/x.js"></script><script type="application/ld+json">'), by4(LINKED), F.lit("</script></head><body><nav><a href='/home'>Home</a></nav><h1>Page "), n, F.lit("</h1><div><p>"),
+        F.when(i % 2 == 0, LONG_ANSWER).otherwise("Too short an answer."), F.lit("</p></div><h3>What is it?</h3><p>It is "), n, F.lit('.</p><img src="/i'), n, F.lit('.png" alt="a" width="10" height="20"><img data-src="b.jpg">'),
+        F.lit("<a href='/t"), n, F.lit("' rel='nofollow sponsored'> target <b>"), n, F.lit("</b></a><a href='mailto:x@y.z'>mail</a><a href='#top'>top</a><a href='https://other.org/p'><img src='/c.webp' alt='c'></a>"),
+        F.lit("<details><summary>Why?</summary>Because.</details>"), F.when(i % 4 == 1, "<table><tr><td>x</table><button></button><input name=q><label>ok <input name=r></label>").otherwise("<button>Go</button>"), F.lit("<footer>Foot</footer></body></html>"),
+    ]
+    return site.table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.concat(*parts).alias("html"))
+
+
+ORIGIN = "regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]*)', 1)"
+
+
+@query(f"SELECT page_id, CAST(l.pos AS INTEGER) AS pos, l.target, l.anchor, l.nofollow, l.internal FROM (SELECT page_id, unnest([{{'pos': 0, 'target': {ORIGIN} || '/home', 'anchor': 'Home', 'nofollow': false, 'internal': true}}, {{'pos': 1, 'target': {ORIGIN} || '/t' || page_id, 'anchor': 'target ' || page_id, 'nofollow': true, 'internal': true}}, {{'pos': 4, 'target': 'https://other.org/p', 'anchor': '', 'nofollow': false, 'internal': false}}]) AS l FROM pages)")
 def html_links(spark, sf_dir):
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", F.col("counts")["link"].alias("n"))
+    return html.links(html.details(made_pages(spark, sf_dir))).select("page_id", "pos", "target", "anchor", "nofollow", "internal")
 
 
-@query("SELECT page_id, CAST(0 AS BIGINT) AS n FROM pages")
+@query(f"""SELECT page_id, i.src, i.alt, i.sized, i.in_link FROM (SELECT page_id, unnest([{{'src': '/i' || page_id || '.png', 'alt': 'a', 'sized': true, 'in_link': false}}, {{'src': 'b.jpg', 'alt': '(none)', 'sized': false, 'in_link': false}}, {{'src': '/c.webp', 'alt': 'c', 'sized': false, 'in_link': true}}]) AS i FROM pages)""")
 def html_images(spark, sf_dir):
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", F.col("counts")["img"].alias("n"))
+    return html.images(html.details(made_pages(spark, sf_dir))).select("page_id", "src", F.coalesce("alt", F.lit("(none)")).alias("alt"), "sized", "in_link")
 
 
-@query()
+@query("SELECT page_id, 15 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 10 END + CASE WHEN page_id % 4 = 1 THEN 20 ELSE 5 END + CASE WHEN page_id % 4 = 0 THEN 25 ELSE 0 END AS aeo, page_id % 2 = 0 AS answered FROM pages")
 def html_aeo(spark, sf_dir):
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", "aeo")
+    return html.extract(made_pages(spark, sf_dir)).select("page_id", F.col("aeo").cast("int").alias("aeo"), (F.col("answer") != "").alias("answered"))
 
 
-@query("SELECT page_id, CAST(0 AS BIGINT) AS n FROM pages")
+@query("SELECT page_id, ['FAQPage', 'Article', '', 'Product,Offer'][page_id % 4 + 1] AS types, ['', 'rich', 'malformed', 'schema,schema'][page_id % 4 + 1] AS kinds, ['', 'Article lacks author', '', 'Product.offers is a plain text,context is None, not schema.org'][page_id % 4 + 1] AS messages FROM pages")
 def html_schema(spark, sf_dir):
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", F.size("types").cast("long").alias("n"))
+    found = F.transform("schema_findings", lambda x: x["kind"])
+    said = F.transform(F.filter("schema_findings", lambda x: x["kind"] != "malformed"), lambda x: x["message"])
+    return html.extract(made_pages(spark, sf_dir)).select("page_id", F.array_join("schema_types", ",").alias("types"), F.array_join(found, ",").alias("kinds"), F.array_join(F.array_sort(said), ",").alias("messages"))
 
 
-@query()
+@query("SELECT page_id, unnest(CASE WHEN page_id % 4 = 1 THEN ['a11y_image_alt', 'a11y_heading_order', 'a11y_link_name', 'mobile_viewport_missing', 'a11y_button_name', 'a11y_input_label'] ELSE ['a11y_image_alt', 'a11y_heading_order', 'a11y_link_name', 'mobile_viewport_missing'] END) AS issue_id FROM pages")
 def html_a11y(spark, sf_dir):
-    c = html.extract(site.table(spark, sf_dir, "pages"))
-    k = F.col("counts")
-    found = F.array_compact(F.array(*[F.when(test, name) for name, test in [("a11y_image_alt", k["img_no_alt"] > 0), ("a11y_html_lang_missing", F.col("lang") == ""), ("a11y_link_name", k["empty_anchor"] > 0), ("a11y_duplicate_id", F.col("duplicate_ids") > 0), ("a11y_tabindex_positive", k["tabindex"] > 0)]]))
-    return c.select("page_id", F.explode(found).alias("issue_id"))
+    return _parsed_issues(made_pages(spark, sf_dir)).where("category = 'Accessibility'").select("page_id", "issue_id")
+
+
+def _parsed_issues(raw):
+    """Findings of all rules, on pages as they would have been fetched."""
+    fetched = raw.select("page_id", F.length("html").cast("long").alias("html_chars"), F.lit(200).alias("status"), (F.col("page_id") * 53 % 1500).alias("ttfb_ms"), (F.col("page_id") * 131 % 3000).alias("response_ms"), F.create_map().cast("map<string,string>").alias("headers"))
+    pages = html.extract(raw).join(fetched, "page_id")
+    pages = pages.withColumns({f"ease_{k}": v for k, v in t.readability(F.col("clean")).items()}).withColumn("ease", t.reading_ease(F.col("ease_n_words"), F.col("ease_n_sentences"), F.col("ease_n_syllables")))
+    return rules.issues(pages)
 
 
 @query()
@@ -186,9 +223,28 @@ def html_visible_text(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {SITE} SELECT DISTINCT target FROM l")
+@query(f"SELECT page_id, {ORIGIN} || a.path AS url, a.kind, CASE WHEN a.path = '/s.css' THEN 200 WHEN a.path = '/c.webp' THEN 404 ELSE 0 END AS status, a.path <> '/s.css' AS broken FROM (SELECT page_id, url, unnest([{{'path': '/s.css', 'kind': 'stylesheet'}}, {{'path': '/i' || page_id || '.png', 'kind': 'image'}}, {{'path': '/c.webp', 'kind': 'image'}}]) AS a FROM pages)")
 def html_assets(spark, sf_dir):
-    return links_of(spark, sf_dir).select("target").distinct()
+    found = html.assets(html.details(made_pages(spark, sf_dir)))
+    fetched = found.where("url like '%/s.css' or url like '%/c.webp'").select("url", F.when(F.col("url").endswith(".css"), 200).otherwise(404).alias("status")).distinct()
+    return html.verified_assets(found, fetched).select("page_id", "url", "kind", "status", "broken")
+
+
+@query("SELECT page_id, 'Page ' || page_id || ' ' || CASE WHEN page_id % 2 = 0 THEN '" + LONG_ANSWER + "' ELSE 'Too short an answer.' END || ' What is it? It is ' || page_id || '. target ' || page_id || ' mail top Why? Because.' || CASE WHEN page_id % 4 = 1 THEN ' x ok' ELSE ' Go' END AS clean FROM pages")
+def html_clean_text(spark, sf_dir):
+    return html.details(made_pages(spark, sf_dir)).select("page_id", "clean")
+
+
+@query("SELECT page_id, CAST(h.pos AS INTEGER) AS pos, h.level, h.text, h.skips FROM (SELECT page_id, unnest([{'pos': 0, 'level': 1, 'text': 'Page ' || page_id, 'skips': false}, {'pos': 1, 'level': 3, 'text': 'What is it?', 'skips': true}]) AS h FROM pages)")
+def html_outline(spark, sf_dir):
+    return html.outline(html.details(made_pages(spark, sf_dir)))
+
+
+@query("SELECT page_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(w, lambda x: x = 'reader' OR x = 'readers')) AS BIGINT) AS about_readers FROM (SELECT page_id, list_filter(string_split_regex(regexp_replace('Page ' || page_id || ' ' || CASE WHEN page_id % 2 = 0 THEN '" + LONG_ANSWER + "' ELSE 'Too short an answer.' END || ' What is it? It is ' || page_id || '. target ' || page_id || ' mail top Why? Because.' || CASE WHEN page_id % 4 = 1 THEN ' x ok' ELSE ' Go' END, '[^a-zA-Z0-9'' -]', '', 'g'), ' +'), lambda x: x <> '') AS w FROM pages)")
+def html_content(spark, sf_dir):
+    """Words, reading ease, grade and level, the phrases of one to three words, and the outline, of each page."""
+    found = content.analysed(html.details(made_pages(spark, sf_dir)))
+    return found.select("page_id", "n_words", F.size(F.filter("phrases", lambda x: x["phrase"].isin("reader", "readers"))).cast("long").alias("about_readers"))
 
 
 @query(f"WITH {SITE} SELECT DISTINCT page_id, target, anchor FROM l WHERE contains(target, 'example.com')")
@@ -211,8 +267,6 @@ def udf_custom_extract(spark, sf_dir):
 
 @query("SELECT page_id, 'my_rule' AS issue_id FROM pages WHERE page_id % 2 = 0")
 def udf_register_check(spark, sf_dir):
-    from sitequarry.operators import rules
-
     rules.register("my_rule", "Even page", "Notice", "Custom", lambda: F.col("page_id") % 2 == 0)
     try:
         return rules.issues(pages_of(spark, sf_dir), ["my_rule"]).select("page_id", "issue_id")
@@ -278,8 +332,14 @@ def audit_parsed(spark, sf_dir):
 
 @query()
 def html_audit_issues(spark, sf_dir):
-    from sitequarry.operators import audit
+    return _parsed_issues(site.table(spark, sf_dir, "pages"))
 
-    raw = site.table(spark, sf_dir, "pages")
-    fetched = raw.select("page_id", F.length("html").cast("long").alias("html_chars"), F.lit(200).alias("status"), (F.col("page_id") * 53 % 1500).alias("ttfb_ms"), (F.col("page_id") * 131 % 3000).alias("response_ms"), F.create_map().cast("map<string,string>").alias("headers"))
-    return audit.issues(html.extract(raw).join(fetched, "page_id"))
+
+@query("""WITH p AS (SELECT page_id, url, ['de', 'x-default', 'de_DE', 'de'][page_id % 4 + 1] AS lang, 'https://s.org/de' || (page_id - page_id % 2) AS target FROM pages)
+SELECT page_id, 'hreflang_unlinked_target' AS issue_id FROM p UNION ALL SELECT page_id, 'hreflang_relative_url' FROM p UNION ALL SELECT page_id, 'hreflang_missing_x_default' FROM p WHERE lang <> 'x-default' UNION ALL SELECT page_id, 'hreflang_invalid_code' FROM p WHERE lang = 'de_DE'
+UNION ALL SELECT page_id, 'hreflang_target_non_200' FROM p WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'hreflang_target_noindex' FROM p WHERE page_id % 5 = 1""")
+def audit_hreflang(spark, sf_dir):
+    """Every page names itself and a German page that doesn't exist; every fifth page is missing, every fifth not for indexing."""
+    made = made_pages(spark, sf_dir, "concat('https://s.org/p', page_id)")
+    pages = made.select("page_id", "url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), (F.col("page_id") % 5 != 1).alias("indexable"))
+    return audit.hreflang_issues(html.alternates(html.details(made)), pages).join(pages.select("page_id", "url"), "url").select("page_id", "issue_id")

@@ -32,7 +32,7 @@ SITE = rf"""p AS (
          CASE page_id % 25 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 302 ELSE 200 END AS status,
          CAST(page_id % 5 AS INTEGER) AS depth, CAST(page_id * 37 % 101 AS INTEGER) AS aeo, CAST(page_id * 53 % 1500 AS INTEGER) AS ttfb_ms, CAST(page_id * 131 % 3000 AS INTEGER) AS response_ms
   FROM pages),
-w AS (SELECT *, CAST(len(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM p),
+w AS (SELECT *, CAST(len(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, list_filter(string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS segments FROM p),
 a AS (SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS m FROM pages)),
 h AS (SELECT page_id, url, CAST(pos AS INTEGER) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(a, '>([^<]*)<', 1)) AS anchor FROM a),
 l AS (SELECT page_id, pos, {norm_sql('url')} AS source, {norm_sql("regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]*)', 1) || href")} AS target, href, anchor FROM h WHERE starts_with(href, '/'))"""

@@ -14,15 +14,18 @@ from sitequarry.plans.registry import SITE, query
 from sitequarry.sources import site
 
 RULE_SQL = {
-    "client_error_4xx": "status >= 400 AND status < 500", "server_error_5xx": "status >= 500", "redirect_301_permanent": "status IN (301, 308)", "redirect_302_temporary": "status IN (302, 303, 307)",
+    "broken_link_404": "status = 404", "page_unreachable": "status = 0", "client_error_4xx": "status >= 400 AND status < 500 AND status <> 404", "server_error_5xx": "status >= 500", "redirect_301_permanent": "status IN (301, 308)", "redirect_302_temporary": "status IN (302, 303, 307)",
     "insecure_http_page": "starts_with(url, 'http://')", "title_missing": "trim(title) = ''", "title_too_long": "length(title) > 60", "title_too_short": "trim(title) <> '' AND length(title) < 30",
-    "title_same_as_h1": "trim(title) <> '' AND lower(trim(title)) = lower(trim(h1))", "h1_missing": "trim(h1) = ''", "h1_too_long_chars": "length(h1) > 70", "low_word_count": "status < 300 AND n_words < 100",
-    "thin_content": "status < 300 AND n_words >= 100 AND n_words < 250", "slow_ttfb": "ttfb_ms > 800", "high_latency": "response_ms > 2000", "page_too_large": "html_chars > 2097152", "html_lang_missing": "lang = ''",
+    "title_same_as_h1": "trim(title) <> '' AND lower(trim(title)) = lower(trim(h1))", "h1_missing": "trim(h1) = ''", "h1_too_long_chars": "length(h1) > 70", "low_word_count": "status < 300 AND n_words < 250",
+    "slow_ttfb": "ttfb_ms > 800", "high_latency": "response_ms > 2000", "page_too_large": "html_chars > 2097152", "html_lang_missing": "lang = ''",
     "url_over_length": "length(url) > 115", "url_non_ascii": "regexp_matches(url, '[^\\x00-\\x7F]')", "url_has_parameters": "regexp_matches(url, '\\?[^#]')",
     "url_session_id": "regexp_matches(url, '(?i)[?&](?:sid|sessionid|session_id|phpsessid|jsessionid|aspsessionid|sessid|sid_?[a-z]*)[=:][^&]+') OR regexp_matches(url, '(?i)[?&](?:utm_[a-z]+|gclid|fbclid|msclkid|yclid|dclid|wbraid|gbraid)=[^&]*')",
     "url_uppercase": "regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[A-Z]')", "url_underscores": "contains(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '_')", "low_aeo_score": "aeo < 70",
+    "url_duplicate_path": "coalesce(list_bool_or(list_transform(range(1, len(segments)), lambda i: segments[i] = segments[i + 1])), false)", "url_double_slash": "contains(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '//')",
 }
-ISSUES = SITE + ",\ni AS (" + "\nUNION ALL ".join(f"SELECT page_id, url, '{r.id}' AS issue_id, '{r.name}' AS name, '{r.severity}' AS severity, '{r.category}' AS category FROM w WHERE {RULE_SQL[r.id]}" for r in rules.REGISTRY.values()) + ")"
+#: Of rules whose severity depends on the page.
+SEVERITY_SQL = {"low_word_count": "CASE WHEN n_words < 100 THEN 'Warning' ELSE 'Notice' END"}
+ISSUES = SITE + ",\ni AS (" + "\nUNION ALL ".join(f"SELECT page_id, url, '{r.id}' AS issue_id, '{r.name}' AS name, {SEVERITY_SQL.get(r.id) or repr(r.severity)} AS severity, '{r.category}' AS category FROM w WHERE {RULE_SQL[r.id]}" for r in rules.REGISTRY.values() if r.id in RULE_SQL) + ")"
 WEIGHT = "CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END"
 
 
