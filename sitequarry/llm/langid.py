@@ -199,13 +199,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(c, t) for c, (_, _, t) in zip(zip(*out, strict=True), own, strict=True)]], [*piece.schema.names[:-1], *[name for name, *_ in own]])
 
     first = stored(renamed.mapInArrow(run, T.StructType([*fields, *[T.StructField(name, t) for name, t, _ in own]])), "langid-first")
-    # Words that are left, once for each text however often that is repeated.
-    pairs = first.where("words is not null").groupBy("key").agg(F.first(F.arrays_zip("words", "times")).alias("w")).select("key", F.explode("w").alias("w"))
-    pairs = stored(pairs.select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times")), "langid-rest")
+    # Words that are left, once for each text however often that is repeated.  Texts get numbers, as their hashes would fill disks.
+    left = first.where("words is not null").groupBy("key").agg(F.first(F.arrays_zip("words", "times")).alias("w"))
+    left = stored(left.withColumn("t", F.monotonically_increasing_id()), "langid-rest")
+    pairs = left.select("t", F.explode("w").alias("w")).select("t", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     looked_up = _left(pairs.select("word").distinct(), model)
-    told = pairs.join(looked_up, "word").select("key", "times", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.col("known").cast("double").alias("s"))))).alias("e"))
-    sums = told.groupBy("key", "e.l").agg(F.sum(F.col("times") * F.col("e.s")).alias("s"))
-    rest = sums.groupBy("key").agg(F.collect_list("l").alias("l"), F.collect_list("s").alias("s"))
+    told = pairs.join(looked_up, "word").select("t", "times", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.col("known").cast("double").alias("s"))))).alias("e"))
+    sums = told.groupBy("t", "e.l").agg(F.sum(F.col("times") * F.col("e.s")).alias("s"))
+    rest = sums.groupBy("t").agg(F.collect_list("l").alias("l"), F.collect_list("s").alias("s")).join(left.select("t", "key"), "t").drop("t")
     langs = model.langs
     result = [("lang_pred", T.StringType(), pa.string()), ("lang_score", T.DoubleType(), pa.float64()), ("lang_known", T.DoubleType(), pa.float64())]
 
