@@ -37,7 +37,7 @@ FLUSH = 200_000
 #: Occurrences that a word or n-gram which was never seen is taken to have in the largest language.
 A = 0.5
 #: Words sent to the executors, and numbers in their table (words times languages), at most.
-MOST_WORDS, MOST_CELLS = 200_000, 2_000_000
+MOST_WORDS, MOST_CELLS = 400_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
