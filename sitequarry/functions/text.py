@@ -173,6 +173,23 @@ def variations(seed: Column) -> Column:
     return F.array(*[F.struct(F.lit(kind).alias("kind"), F.format_string(t, clean).alias("keyword")) for kind, ts in templates.items() for t in ts])
 
 
+def target_keywords(explicit: Column, h1: Column, title: Column, phrases: Column) -> Column:
+    """What a page seems to be written for, without repeats: a keyword that is given, a short H1, the head of a short title, and its first three phrases."""
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-zA-Z0-9\s]", " "), r"\s+", " ")))
+    n = lambda x: F.size(F.split(x, " "))
+    given = F.lower(F.trim(F.coalesce(explicit, F.lit(""))))
+    head = plain(F.regexp_replace(F.coalesce(h1, F.lit("")), r"^[#0-9.:\s]+", ""))
+    chunk = plain(F.get(F.split(F.coalesce(title, F.lit("")), r"[|\-–:]"), F.lit(0)))
+    usual = lambda x: ~x.isin(STOP_WORDS)
+    found = F.concat(
+        F.when(F.length(given) >= 3, F.array(given)).otherwise(F.array()),
+        F.when((F.length(head) >= 4) & (n(head) <= 5), F.array(head)).otherwise(F.array()),
+        F.when((F.length(chunk) >= 4) & (n(chunk) <= 4), F.array(chunk)).otherwise(F.array()),
+        F.transform(F.filter(F.slice(F.coalesce(phrases, F.array().cast("array<string>")), 1, 3), lambda x: F.length(x) >= 4), lambda x: F.lower(x)),
+    )
+    return F.array_distinct(F.filter(found, usual))
+
+
 def anchor_class(anchor: Column, brand: str = "", keywords: list[str] = ()) -> Column:
     a = F.lower(F.trim(anchor))
     partial = [w for k in keywords for w in k.lower().split() if len(w) >= 4]

@@ -205,10 +205,12 @@ def security_findings(headers: Column, url: Column) -> Column:
     return F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
 
 
-def llms_findings(status: Column, body: Column) -> Column:
+def llms_findings(status: Column, body: Column, content_type: Column | None = None) -> Column:
+    """Array of finding ids of an llms.txt; an unknown type is taken as right."""
+    kind = F.lower(F.coalesce(content_type, F.lit(""))) if content_type is not None else F.lit("")
     lines = F.split(body, r"\r?\n")
     h1 = F.size(F.filter(lines, lambda x: x.rlike(r"^#\s+\S")))
-    rules = [("llms_txt_no_h1", h1 == 0), ("llms_txt_multi_h1", h1 > 1), ("llms_txt_no_summary", ~F.exists(lines, lambda x: x.startswith(">"))), ("llms_txt_no_links", ~body.rlike(r"\[[^\]]+\]\([^)]+\)")), ("llms_txt_too_large", F.octet_length(body) > 200 * 1024)]
+    rules = [("llms_txt_no_h1", h1 == 0), ("llms_txt_multi_h1", h1 > 1), ("llms_txt_no_summary", ~F.exists(lines, lambda x: x.startswith(">"))), ("llms_txt_no_links", ~body.rlike(r"\[[^\]]+\]\([^)]+\)")), ("llms_txt_too_large", F.octet_length(body) > 200 * 1024), ("llms_txt_content_type", (kind != "") & ~kind.contains("text/markdown") & ~kind.contains("text/plain"))]
     absent = (status != 200) | (F.coalesce(body, F.lit("")) == "")
     return F.when(absent, F.array(F.lit("llms_txt_missing"))).otherwise(F.array_compact(F.array(*[F.when(test, name) for name, test in rules])))
 

@@ -64,6 +64,12 @@ def orphans(pages: DataFrame, links: DataFrame, root: str = "") -> DataFrame:
     return pages.where((F.col("status") == 200) & (F.col("norm") != root)).join(links.where("source <> target").select(F.col("target").alias("norm")), "norm", "left_anti")
 
 
+def lonely(pages: DataFrame, links: DataFrame, root: str = "") -> DataFrame:
+    """Served pages that exactly one other page links to, but for the root, with the finding's id."""
+    few = incoming(links).where("n_sources = 1").select(F.col("target").alias("norm"))
+    return pages.where((F.col("status") == 200) & (F.col("norm") != root)).join(few, "norm", "left_semi").withColumn("issue_id", F.lit("single_incoming_link"))
+
+
 def with_status(links: DataFrame, pages: DataFrame) -> DataFrame:
     """links with the status of their target: null where it wasn't crawled."""
     status = pages.groupBy(F.col("norm").alias("target")).agg(F.min("status").alias("target_status"))
@@ -75,7 +81,8 @@ def link_issues(links: DataFrame) -> DataFrame:
     from sitequarry.operators.store import first_per_key
 
     one = first_per_key(links, ["source", "target"], [F.col("page_id"), F.col("pos")])
-    kind = F.when(F.col("target_status") >= 400, "broken_internal_link").when(F.col("target_status").between(300, 399), "redirecting_internal_link")
+    inside = F.col("internal") if "internal" in links.columns else F.lit(True)
+    kind = F.when((F.col("target_status") >= 400) & ~inside, "broken_external_link").when(~inside, None).when(F.col("target_status") >= 400, "broken_internal_link").when(F.col("target_status").between(300, 399), "redirecting_internal_link")
     return one.withColumn("issue_id", kind).where("issue_id is not null")
 
 

@@ -22,6 +22,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HIDDEN = set("script style noscript svg template".split())
 
 
+# Elements that an opening one ends, where they are the innermost.
+_BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+ENDED = {"li": {"li"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, **dict.fromkeys(_BLOCKS, {"p"})}
 # Link texts that say nothing.
 GENERIC = {"click here", "read more", "learn more", "here", "more", "this page", "link", "continue reading", "details", "view more", "go here"}
 
@@ -32,7 +35,7 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title = self.h1 = self.description = self.canonical = self.robots = self.lang = ""
-        self.n = dict.fromkeys("title h1 h2 img img_no_alt img_no_size iframe form input_no_label link nofollow empty_anchor table list title_outside description description_outside button_no_name deprecated inline_event blocking tabindex dom max_depth twitter favicon charset refresh iframe_no_title legacy_img long_alt active_http passive_http form_http generic_anchor skip_link zoom_blocked doctype input link_img_no_text".split(), 0)
+        self.n = dict.fromkeys("title h1 h2 img img_no_alt img_no_size iframe form input_no_label link nofollow empty_anchor table list title_outside description description_outside button_no_name unsized deprecated inline_event blocking tabindex dom max_depth twitter favicon charset refresh iframe_no_title legacy_img long_alt active_http passive_http form_http generic_anchor skip_link zoom_blocked doctype input link_img_no_text".split(), 0)
         self.levels: list[int] = []
         self.ld: list[str] = []
         self.text: list[str] = []
@@ -59,6 +62,9 @@ class Reader(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         n = self.n
         self._resources(tag, a)
+        while self._in and self._in[-1] in ENDED.get(tag, ()):
+            self._in.pop()
+            self._node = self._node.parent
         node = Node(tag, a, self._node)
         self._node.children.append(node)
         if tag not in VOID:
@@ -81,6 +87,7 @@ class Reader(HTMLParser):
             n["img"] += 1
             n["img_no_alt"] += "alt" not in a
             n["img_no_size"] += not (a.get("width") and a.get("height"))
+            n["unsized"] += not (a.get("width") and a.get("height")) and "aspect-ratio" not in a.get("style", "")
             n["long_alt"] += len(a.get("alt", "").split()) > 12
             n["legacy_img"] += bool(re.search(r"\.(?:png|jpe?g|gif|bmp)(?:$|[?#])", a.get("src", ""), re.I))
             n["link_img_no_text"] += self._anchor is not None and not a.get("alt")
@@ -111,14 +118,15 @@ class Reader(HTMLParser):
             if "hreflang" in a:
                 self.languages.append(a["hreflang"].strip())
             n["favicon"] += "icon" in rel.split()
-            n["blocking"] += rel == "stylesheet" and a.get("media", "all") in ("all", "")
+            n["blocking"] += rel == "stylesheet" and a.get("media", "") in ("all", "screen", "") and "head" in self._in and bool(a.get("href"))
         elif tag == "script":
-            n["blocking"] += bool(a.get("src")) and "async" not in a and "defer" not in a and "head" in self._in
+            n["blocking"] += bool(a.get("src")) and "async" not in a and "defer" not in a and a.get("type") != "module" and "head" in self._in
             if a.get("type") == "application/ld+json":
                 self.ld.append("")
         elif tag in ("iframe", "form", "table", "input"):
             n[tag] += 1
             n["iframe_no_title"] += tag == "iframe" and not a.get("title")
+            n["unsized"] += tag == "iframe" and not (a.get("width") and a.get("height"))
         elif tag in ("ul", "ol"):
             n["list"] += 1
         elif tag in ("font", "center", "marquee", "blink", "strike", "big", "tt"):
@@ -215,6 +223,19 @@ def answer_score(r: Reader) -> int:
     )
 
 
+def speed_score(counts, ttfb_ms):
+    """10 to 100, less for a late first byte, many or deep elements, files that block the first paint, and images and frames without a size."""
+    n = lambda name: counts[name]
+    minus = (
+        F.when(ttfb_ms > 800, 20).when(ttfb_ms > 400, 10).otherwise(0)
+        + F.when(n("dom") > 1400, 25).when(n("dom") > 800, 15).otherwise(0)
+        + F.when(n("max_depth") > 32, 10).otherwise(0)
+        + F.least(F.lit(30), n("blocking") * 8)
+        + F.least(F.lit(20), n("unsized") * 4)
+    )
+    return F.greatest(F.lit(10), F.least(F.lit(100), 100 - minus))
+
+
 def unlabelled(root: Node) -> tuple[int, int]:
     """Buttons without a name, and fields without a label."""
     said = lambda x: bool(x.attributes.get("aria-label", "").strip() or x.attributes.get("title", "").strip() or x.attributes.get("aria-labelledby"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.functions.common import half_up
+from sitequarry.functions.common import half_up, let
 
 # Bots by a part of their user agent, in the order that they are tried, and their kind.
 BOTS = [
@@ -21,30 +21,31 @@ LINE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+HTTP/[\d.]+"\s+
 
 
 def bot(agent: Column) -> Column:
+    """The first bot whose part the agent has; one lookup in a literal list, however long that is."""
     low = F.lower(F.coalesce(agent, F.lit("")))
-    out = F.when(F.coalesce(agent, F.lit("")).rlike(OTHER), "Other bot").otherwise("Human")
-    for name, _, token in reversed(BOTS):
-        out = F.when(low.contains(token), name).otherwise(out)
-    return out
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(token).alias("token")) for name, _, token in BOTS])
+    found = let(low, lambda x: F.get(F.filter(known, lambda b: F.contains(x, b["token"])), F.lit(0))["name"])
+    return F.coalesce(found, F.when(F.coalesce(agent, F.lit("")).rlike(OTHER), "Other bot").otherwise("Human"))
 
 
 def kind(name: Column) -> Column:
-    out = F.lit("other-bot")
-    for known, k, _ in BOTS:
-        out = F.when(name == known, k).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for n, k, _ in BOTS for x in (n, k)])
+    return F.coalesce(F.try_element_at(known, name), F.lit("other-bot"))
 
 
 def entries(lines: DataFrame, column: str = "value") -> DataFrame:
     """Entries of lines in common log format or JSON; others are left out.  The time zone of a line is ignored."""
     v = F.trim(column)
-    json = v.startswith("{")
-    j = F.try_parse_json(v)
+    # One match of the pattern: its groups, joined by a character that a line must not hold, become an array.
+    groups = "\u0001".join(f"${i}" for i in range(1, 9))
+    parts = F.split(F.regexp_replace(v, LINE + ".*$", groups), "\u0001")
+    read = lines.select(v.alias("v"), F.when(~v.startswith("{") & ~F.contains(v, F.lit("\u0001")), parts).alias("g"), F.when(v.startswith("{"), F.try_parse_json(v)).alias("j"))
+    j, json = F.col("j"), F.col("v").startswith("{")
     get = lambda *names: F.coalesce(*[F.try_variant_get(j, f"$.{n}", "string") for n in names], F.lit(""))
-    g = lambda i: F.regexp_extract(v, LINE, i)
+    g = lambda i: F.get("g", F.lit(i - 1))
     at = F.try_to_timestamp(F.substring(g(2), 1, 20), F.lit("dd/MMM/yyyy:HH:mm:ss"))
     number = F.try_variant_get(j, "$.timestamp", "double")
-    out = lines.select(
+    out = read.where(j.isNotNull() | (F.size("g") == 8)).select(
         F.when(json, get("clientIp", "ip", "remoteAddr")).otherwise(g(1)).alias("ip"),
         F.when(json, F.coalesce(F.timestamp_millis((number * 1000).cast("long")), F.try_to_timestamp(get("timestamp", "time", "datetime")))).otherwise(at).alias("at"),
         F.when(json, F.coalesce(F.nullif(get("method"), F.lit("")), F.lit("GET"))).otherwise(g(3)).alias("method"),
@@ -52,9 +53,8 @@ def entries(lines: DataFrame, column: str = "value") -> DataFrame:
         F.coalesce(F.when(json, get("status", "statusCode")).otherwise(g(5)).try_cast("int"), F.lit(0)).alias("status"),
         F.coalesce(F.when(json, get("bytes", "size", "bytesSent")).otherwise(g(6)).try_cast("long"), F.lit(0)).alias("bytes"),
         F.when(json, get("userAgent", "user_agent", "ua")).otherwise(g(8)).alias("agent"),
-        (F.when(json, j.isNotNull()).otherwise(g(1) != "")).alias("ok"),
     )
-    return out.where("ok").drop("ok").withColumn("bot", bot(F.col("agent")))
+    return out.withColumn("bot", bot(F.col("agent")))
 
 
 def bot_hits(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as t
+from sitequarry.functions import url as u
 from sitequarry.functions.common import half_up, half_up_int
 
 
@@ -122,6 +123,24 @@ def reputation(rows: DataFrame, key: str) -> DataFrame:
     return n.crossJoin(F.broadcast(top)).select(half_up(25 * F.least(F.col("n") / 5, F.lit(1.0)), 1).alias("breadth"), half_up(0.6 * F.col("l"), 1).alias("low"), half_up(0.6 * F.col("h"), 1).alias("high"))
 
 
-def search_plan(spark: SparkSession, base: str, query: str, pages: int) -> DataFrame:
-    return spark.range(pages).select(F.col("id").cast("int").alias("page"), F.concat(F.lit(f"{base}?q={query}&start="), (F.col("id") * 10).cast("string")).alias("url"))
 
+def diff_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: pages added, removed, of another status, and those that broke (under 400 before, 400 and up now); clean if none broke.  A status on one side only is no change."""
+    both = before.select(key, F.col("status").alias("b"), F.lit(True).alias("in_b")).join(after.select(key, F.col("status").alias("a"), F.lit(True).alias("in_a")), key, "full_outer")
+    broke = F.count_if((F.col("b") < 400) & (F.col("a") >= 400))
+    return both.agg(F.count_if(F.col("in_b").isNull()).alias("added"), F.count_if(F.col("in_a").isNull()).alias("removed"), F.count_if(F.col("b") != F.col("a")).alias("status_changes"), broke.alias("regressions"), (broke == 0).alias("clean"))
+
+
+def domain_rollup(issues: DataFrame) -> DataFrame:
+    """Findings of several sites by name: sites, distinct pages, and the sum of the sites' pages."""
+    by_site = issues.select("name", u.hostname(F.col("url")).alias("host"), "url").distinct().groupBy("name", "host").agg(F.count("*").alias("n"))
+    return by_site.groupBy("name").agg(F.count("*").alias("sites"), F.sum("n").alias("affected_pages"), F.sum("n").alias("total"))
+
+
+def verified(pages: DataFrame, links: DataFrame, host: str) -> DataFrame:
+    """(page_id, verification, n) of pages (page_id, status): whether what was captured links to the host or one below it."""
+    target = u.hostname(F.col("target"))
+    found = links.where((target == host) | target.endswith(f".{host}")).groupBy("page_id").agg(F.count("*").alias("n"))
+    out = pages.join(found, "page_id", "left").withColumn("n", F.when(F.col("status").between(200, 299), F.coalesce("n", F.lit(0))).otherwise(0).cast("long"))
+    kind = F.when(~F.col("status").between(200, 299), "unverified_access").when(F.col("n") > 0, "link_observed").otherwise("no_link_in_captured_content")
+    return out.select("page_id", kind.alias("verification"), "n")

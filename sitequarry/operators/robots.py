@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from sitequarry.functions.common import let
 from sitequarry.operators.shared import small_enough
 
-# Crawlers of answer engines whose access is reported.
-AI_BOTS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-SearchBot", "Claude-User", "PerplexityBot", "Perplexity-User", "Google-Extended", "Applebot-Extended", "CCBot", "Bytespider", "Amazonbot"]
+# Crawlers of answer engines, by what they fetch for.
+AI_ROLES = {
+    "ai-search": "OAI-SearchBot PerplexityBot Claude-SearchBot DuckAssistBot Amazonbot YouBot".split(),
+    "ai-training": "GPTBot ClaudeBot CCBot Bytespider".split(),
+    "user-fetcher": "ChatGPT-User Claude-User Perplexity-User MistralAI-User".split(),
+    "robots-token": "Google-Extended Applebot-Extended".split(),
+}
+AI_BOTS = [b for bots in AI_ROLES.values() for b in bots]
 
 
 def rules(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,3 +54,19 @@ def verdicts(found: DataFrame, key: str, paths: DataFrame, agent: str) -> DataFr
     hit = paths.join(F.broadcast(used) if small_enough(used, 100_000) else used, key).where(F.expr("path rlike regex"))
     best = hit.groupBy(key, "path").agg(F.max_by(F.struct("allow", "pattern"), F.struct(F.length("pattern").alias("n"), "allow", (-F.col("line")).alias("l"))).alias("r"))
     return paths.join(best, [key, "path"], "left").select(key, "path", F.coalesce("r.allow", F.lit(True)).alias("allowed"), F.coalesce("r.pattern", F.lit("")).alias("pattern"))
+
+
+def posture(found: DataFrame, key: str, files: DataFrame) -> DataFrame:
+    """(key, bot, role, blocked, issue_id): whether a file's rules shut each AI crawler out of the whole site.
+
+    A bot's own group decides if it says anything of the root, else that of *.  A group shuts out by `/` or `/*` disallowed, unless it allows `/`;
+    issue_id names the finding for search crawlers and fetchers that are shut out.
+    """
+    root = found.where(F.col("pattern").isin("/", "/*")).groupBy(key, "agent").agg(F.bool_or(F.col("allow") & (F.col("pattern") == "/")).alias("open"), F.bool_or(~F.col("allow")).alias("shut"))
+    bots = F.array(*[F.struct(F.lit(b).alias("bot"), F.lit(r).alias("role")) for r, bs in AI_ROLES.items() for b in bs])
+    each = files.select(key, F.explode(bots).alias("b")).select(key, "b.bot", "b.role", F.lower("b.bot").alias("agent"))
+    own = each.join(root, [key, "agent"], "left").join(root.where("agent = '*'").select(key, F.col("open").alias("all_open"), F.col("shut").alias("all_shut")), key, "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    shut = (no(F.col("shut")) & ~no(F.col("open"))) | (~no(F.col("open")) & no(F.col("all_shut")) & ~no(F.col("all_open")))
+    issue = F.when(shut & (F.col("role") == "ai-search"), "ai_search_bot_blocked").when(shut & (F.col("role") == "user-fetcher"), "ai_fetcher_blocked")
+    return own.select(key, "bot", "role", shut.alias("blocked"), issue.alias("issue_id"))

@@ -51,6 +51,16 @@ def g_orphans(spark, sf_dir):
     return graph.orphans(pages_of(spark, sf_dir), links_of(spark, sf_dir)).select("page_id", "norm")
 
 
+@query("SELECT c_custkey AS page_id, 'single_incoming_link' AS issue_id FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer) AND NOT (c_custkey % 3 = 0 AND c_custkey + 5 IN (SELECT c_custkey FROM customer))")
+def j_single_incoming(spark, sf_dir):
+    """Pages in a row, each linked to by the one before it, every third by a later one as well; every fourth is missing."""
+    k = F.col("c_custkey")
+    c = site.table(spark, sf_dir, "customer").select("c_custkey")
+    pages = c.select(k.alias("page_id"), k.cast("string").alias("norm"), F.when(k % 4 == 0, 404).otherwise(200).alias("status"))
+    links = c.select(k.alias("source"), (k + 1).cast("string").alias("target")).union(c.where((k - 5) % 3 == 0).select(k, (k - 5).cast("string")))
+    return graph.lonely(pages, links).select("page_id", "issue_id")
+
+
 @query(f"WITH {SITE} SELECT page_id, norm FROM p WHERE norm NOT IN (SELECT target FROM l WHERE source <> target)")
 def j_orphan_anti(spark, sf_dir):
     found = links_of(spark, sf_dir).where("source <> target").select(F.col("target").alias("norm"))
@@ -341,11 +351,19 @@ def a_anchor_profile(spark, sf_dir):
     return reports.anchor_profile(links_of(spark, sf_dir))
 
 
-@query(f"WITH {SITE}, x AS (SELECT DISTINCT source, target FROM l) SELECT x.source, x.target FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.source = x.target AND y.target = x.source)")
+@query("SELECT page_id FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0 AND page_id + 1 IN (SELECT page_id FROM pages)")
 def j_hreflang_return(spark, sf_dir):
-    e = links_of(spark, sf_dir).select("source", "target").distinct()
-    back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return e.join(back, ["source", "target"], "left_anti")
+    """Pages whose alternative doesn't name them: of pairs of neighbours both name each other, but where the first is divisible by three."""
+    from sitequarry.operators import audit
+
+    i = F.col("page_id")
+    url = lambda n: F.concat(F.lit("https://s.org/p"), n.cast("string"))
+    p = site.table(spark, sf_dir, "pages").select("page_id", url(i).alias("url"))
+    other = F.when(i % 2 == 0, i + 1).otherwise(i - 1)
+    own = p.select("url", F.lit("en").alias("lang"), F.col("url").alias("href"), F.col("url").alias("target"))
+    pair = p.where(~((i % 2 == 1) & ((i - 1) % 3 == 0))).select("url", F.lit("de").alias("lang"), url(other).alias("href"), url(other).alias("target"))
+    found = audit.hreflang_issues(own.unionByName(pair), p.select("url", F.lit(200).alias("status"), F.lit(True).alias("indexable")))
+    return found.where("issue_id = 'hreflang_missing_return'").join(p, "url").select("page_id")
 
 
 @query("WITH a AS (SELECT c_custkey, lower(c_mktsegment) AS kw FROM customer), g AS (SELECT lower(c_mktsegment) AS kw, round(avg(c_acctbal), 4) AS monthly FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING' GROUP BY 1) SELECT c_custkey, coalesce(g.monthly, -1.0) AS monthly FROM a LEFT JOIN g USING (kw)")
@@ -371,8 +389,10 @@ def t_forecast_store(spark, sf_dir):
 
 @query()
 def w_ts_residual_stats(spark, sf_dir):
+    """Days that stand out; every eleventh day is made ten times as strong."""
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    daily = site.table(spark, sf_dir, "events").groupBy("event_type", day).agg(F.sum("value").alias("n"))
+    odd = F.when(F.dayofyear("ts") % 11 == 0, F.col("value") * 10).otherwise(F.col("value"))
+    daily = site.table(spark, sf_dir, "events").groupBy("event_type", day).agg(F.sum(odd).alias("n"))
     return forecast.anomalies(daily, "event_type", "day", "n")
 
 
@@ -423,8 +443,3 @@ def a_reputation(spark, sf_dir):
 @query(f"WITH {SC}, q AS (SELECT c_custkey, ev + coalesce(rel, 0) + coalesce(own, 0) + coalesce(ctx, 0) AS low FROM sc) SELECT c_custkey, low FROM q ORDER BY low DESC, c_custkey LIMIT 25")
 def s_reputation(spark, sf_dir):
     return _scored(spark, sf_dir).orderBy(F.desc("low"), "c_custkey").limit(25).select("c_custkey", "low")
-
-
-@query("SELECT CAST(i AS INTEGER) AS page, 'https://search.example/?q=a+b&start=' || (10 * i) AS url FROM (SELECT unnest(range(0, 5)) AS i)")
-def x_search_plan(spark, sf_dir):
-    return reports.search_plan(spark, "https://search.example/", "a+b", 5)

@@ -41,10 +41,13 @@ def txt_intent_alignment(spark, sf_dir):
     return q.select("p_partkey", content.alignment(F.col("i"), k % 1000, F.lit(False), k % 2 == 0, F.lit(False)).cast("int").alias("score"))
 
 
-@query(f"WITH {SITE} SELECT page_id, lower(trim(string_split_regex(title, '[|:–-]')[1])) AS head, len(string_split_regex(trim(h1), '\\s+')) <= 5 AS short_h1 FROM p")
+@query(f"""WITH {SITE}, k AS (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(h1, '^[#0-9.:\\s]+', ''), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS h, lower(trim(regexp_replace(regexp_replace(string_split_regex(title, '[|:–-]')[1], '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM p)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN page_id % 3 = 0 THEN 'given word' END, CASE WHEN length(h) >= 4 AND len(string_split(h, ' ')) <= 5 THEN h END, CASE WHEN length(t) >= 4 AND len(string_split(t, ' ')) <= 4 THEN t END, 'phrase one'], lambda x: x IS NOT NULL AND length(x) >= 4))), ',') AS keywords FROM k""")
 def txt_target_keywords(spark, sf_dir):
     p = pages_of(spark, sf_dir)
-    return p.select("page_id", F.lower(F.trim(F.get(F.split("title", "[|:–-]"), F.lit(0)))).alias("head"), (F.size(F.split(F.trim("h1"), r"\s+")) <= 5).alias("short_h1"))
+    phrases = F.array(F.lit("Phrase one"), F.lit("two"), F.lit("of"), F.lit("late phrase"))
+    found = t.target_keywords(F.when(F.col("page_id") % 3 == 0, " Given word "), F.col("h1"), F.col("title"), phrases)
+    return p.select("page_id", F.array_join(F.array_sort(found), ",").alias("keywords"))
 
 
 @query("""SELECT event_id, coalesce(CASE event_id % 9 WHEN 0 THEN 'connection_timeout' WHEN 1 THEN 'dns_failure' WHEN 2 THEN 'connection_failure' WHEN 3 THEN 'provider_rate_limited' WHEN 4 THEN 'http_access_denied' WHEN 5 THEN 'http_error' WHEN 6 THEN 'robots_unavailable' WHEN 7 THEN 'unknown' END, '') AS class FROM events""")
@@ -67,29 +70,32 @@ def math_severity_weight(spark, sf_dir):
     return site.table(spark, sf_dir, "orders").select("o_orderkey", t.severity_weight(F.when(k == 0, "Error").when(k == 1, "Warning").otherwise("Notice")).alias("weight"))
 
 
-DEMAND = {"big": 10000, "mid": 800, "small": 60, "tiny": 25, "anchor a": 40, "anchor b": 100, "ghost": 0}
-
-
-def _fetch(words: list[str]) -> list[float]:
-    top = max(DEMAND[w] for w in words)
-    return [round(100 * DEMAND[w] / top) if top else 0.0 for w in words]
-
-
 @query()
 def math_trends_ladder(spark, sf_dir):
-    found = content.ladder(list(DEMAND), "big", _fetch)
+    """Interest of parts, relative to the most wanted one, from comparisons of five at a time that give whole percents only."""
+    demand = {r.k: float(r.n) for r in site.table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("k"), F.pow(F.lit(1.25), F.col("p_partkey")).alias("n")).collect()}
+
+    def fetch(words: list[str]) -> list[float]:
+        top = max(demand[w] for w in words)
+        return [round(100 * demand[w] / top) for w in words]
+
+    found = content.ladder(list(demand), max(demand, key=demand.get), fetch)
     return spark.createDataFrame(sorted(found.items()), "keyword string, relative double")
 
 
-@query("""WITH k(keyword, rel) AS (VALUES ('a', 1.0), ('b', 0.5), ('c', NULL), ('d', NULL)), g(keyword, impressions, position, days) AS (VALUES ('a', 60, 2, 30), ('c', 90, 25, 30)),
-s AS (SELECT median(impressions * 30.0 / days / rel) AS scale FROM g JOIN k USING (keyword) WHERE position <= 3)
-SELECT k.keyword, CASE WHEN position <= 5 THEN CAST(floor(impressions * 30.0 / days + 0.5) AS BIGINT) WHEN rel IS NOT NULL THEN CAST(floor(rel * scale + 0.5) AS BIGINT) ELSE -1 END AS monthly,
- CASE WHEN position <= 5 THEN 'gsc' WHEN rel IS NOT NULL THEN 'trends' WHEN impressions > 0 THEN 'gsc-floor' ELSE 'below-trends-floor' END AS method FROM k LEFT JOIN g USING (keyword) CROSS JOIN s""")
+@query("""WITH k AS (SELECT c_custkey, c_name AS keyword FROM customer), g AS (SELECT c_name AS keyword, c_custkey AS impressions, c_custkey % 12 + 1 AS position, 28 AS days FROM customer WHERE c_custkey % 3 = 0), rel AS (SELECT c_name AS keyword, (c_custkey % 7 + 1) / 4.0::DOUBLE AS rel FROM customer WHERE c_custkey % 2 = 0),
+m AS (SELECT *, CASE WHEN position > 10 THEN NULL ELSE impressions::DOUBLE / CASE WHEN position <= 3 THEN 1.0 WHEN position <= 5 THEN 0.95 ELSE 0.85 END * 30 / days END AS m FROM g),
+s AS (SELECT median(m / rel) AS scale FROM m JOIN rel USING (keyword) WHERE position <= 5 AND m >= 3),
+j AS (SELECT k.c_custkey, position, m, rel, scale, coalesce(floor(impressions * 30.0::DOUBLE / days + 0.5), 0) AS low FROM k LEFT JOIN m USING (keyword) LEFT JOIN rel USING (keyword) CROSS JOIN s)
+SELECT c_custkey, CASE WHEN position <= 5 THEN 'gsc' WHEN rel IS NULL THEN CASE WHEN low > 0 THEN 'gsc-floor' ELSE 'below-trends-floor' END ELSE 'trends' END AS method,
+ CAST(CASE WHEN position <= 5 THEN floor(m + 0.5) WHEN rel IS NOT NULL THEN floor(greatest(rel * scale, low) + 0.5) ELSE -1 END AS BIGINT) AS monthly FROM j""")
 def math_estimate_volumes(spark, sf_dir):
-    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "keyword string")
-    console = spark.createDataFrame([("a", 60, 2, 30), ("c", 90, 25, 30)], "query string, impressions long, position int, days int")
-    rel = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "keyword string, rel double")
-    return content.volumes(keys, console, rel)
+    c = site.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    keys = c.select(F.col("c_name").alias("keyword"))
+    console = c.where(k % 3 == 0).select(F.col("c_name").alias("query"), k.alias("impressions"), (k % 12 + 1).cast("int").alias("position"), F.lit(28).alias("days"))
+    relative = c.where(k % 2 == 0).select(F.col("c_name").alias("keyword"), ((k % 7 + 1) / 4.0).alias("rel"))
+    return content.volumes(keys, console, relative).join(c.select(F.col("c_name").alias("keyword"), "c_custkey"), "keyword").select("c_custkey", "method", "monthly")
 
 
 @query("""WITH s AS (SELECT doc_id AS source, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s''-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -193,11 +199,11 @@ def code_redirect_rules(spark, sf_dir):
     return site.table(spark, sf_dir, "pages").select("page_id", content.redirect_rule(F.col("url"), F.lit("https://new.example/"), "nginx").alias("rule"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'llms_txt_missing' WHEN 1 THEN '' WHEN 2 THEN 'llms_txt_no_h1,llms_txt_no_links,llms_txt_no_summary' ELSE 'llms_txt_multi_h1,llms_txt_no_summary' END AS findings FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'llms_txt_missing' WHEN 1 THEN '' WHEN 2 THEN 'llms_txt_no_h1,llms_txt_no_links,llms_txt_no_summary' ELSE 'llms_txt_content_type,llms_txt_multi_h1,llms_txt_no_summary' END AS findings FROM documents")
 def html_llms_txt(spark, sf_dir):
     i = F.col("doc_id") % 4
     body = F.when(i == 1, "# T\n> sum\n[a](b)").when(i == 2, "text").otherwise("# A\n# B\n[a](b)")
-    found = content.llms_findings(F.when(i == 0, 404).otherwise(200), body)
+    found = content.llms_findings(F.when(i == 0, 404).otherwise(200), body, F.when(i == 3, "text/html").when(i == 1, "text/markdown; charset=utf-8"))
     return site.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("findings"))
 
 
@@ -222,33 +228,6 @@ def gen_schema(spark, sf_dir):
     return site.table(spark, sf_dir, "pages").select("page_id", content.breadcrumb(F.col("url"), "Home").alias("ld"))
 
 
-@query(f"WITH {ISSUES}, g AS (SELECT issue_id, min(name) AS name, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT issue_id, '## ' || name || chr(10) || 'Affects ' || pages || ' pages.' AS doc FROM g")
-def gen_fix_docs(spark, sf_dir):
-    g = issues_of(spark, sf_dir).groupBy("issue_id").agg(F.min("name").alias("name"), F.count_distinct("url").alias("pages"))
-    return g.select("issue_id", F.format_string("## %s\nAffects %d pages.", "name", "pages").alias("doc"))
-
-
-@query("SELECT p_partkey, p_name || ' is a ' || lower(p_type) || ' by ' || p_brand || '.' AS snippet FROM part")
-def gen_aeo_snippet(spark, sf_dir):
-    return site.table(spark, sf_dir, "part").select("p_partkey", F.format_string("%s is a %s by %s.", "p_name", F.lower("p_type"), "p_brand").alias("snippet"))
-
-
-@query("SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'claim,proof,link' WHEN 1 THEN 'question,answer' ELSE 'profile' END AS outline FROM supplier")
-def p_outline(spark, sf_dir):
-    k = F.col("s_nationkey") % 3
-    parts = F.when(k == 0, F.array(*map(F.lit, ["claim", "proof", "link"]))).when(k == 1, F.array(*map(F.lit, ["question", "answer"]))).otherwise(F.array(F.lit("profile")))
-    return site.table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(parts, ",").alias("outline"))
-
-
-@query("WITH c AS (SELECT doc_id % 50 AS k, source, doc_id % 3 AS channel FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY channel, source) AS r FROM c) SELECT k, channel FROM r WHERE r = 1")
-def x_discover(spark, sf_dir):
-    """Of candidates from several channels the one of the first channel counts."""
-    from sitequarry.operators.store import first_per_key
-
-    c = site.table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("k"), "source", (F.col("doc_id") % 3).alias("channel"))
-    return first_per_key(c, ["k"], [F.col("channel"), F.col("source")]).select("k", "channel")
-
-
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) > 1 AS limited FROM events")
 def st_rate_limit(spark, sf_dir):
     from pyspark.sql import Window as W

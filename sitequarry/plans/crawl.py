@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sitequarry.functions.common import half_up
 from sitequarry.functions import text as t
 from sitequarry.operators import audit, content, html, logs, robots, rules
 from sitequarry.operators import store as s
-from sitequarry.operators.shared import cut, fresh
+from sitequarry.operators.shared import fresh
 from sitequarry.plans.registry import SITE, query
 from sitequarry.plans.store import ISSUES, issues_of, links_of, pages_of
 from sitequarry.sources import readers, site
@@ -59,11 +57,6 @@ def src_sitemap(spark, sf_dir):
     return readers.sitemap(files, "page_id", "xml").select("page_id", "loc", "lastmod")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 2) AND contains(lower(s_name), '1')")
-def src_catalog(spark, sf_dir):
-    return site.table(spark, sf_dir, "supplier").where(F.col("s_nationkey").isin(1, 2) & F.lower("s_name").contains("1")).select("s_suppkey", "s_name")
-
-
 @query("SELECT page_id, url FROM pages WHERE page_id % 4 = 2")
 def src_store_scan(spark, sf_dir):
     path = _folder(spark)
@@ -91,11 +84,6 @@ def sink_csv(spark, sf_dir):
     return spark.read.csv(path, header=True, quote='"', escape='"')
 
 
-@query("SELECT 'pages' AS line, count(*) AS n FROM pages")
-def sink_markdown(spark, sf_dir):
-    return site.table(spark, sf_dir, "pages").agg(F.lit("pages").alias("line"), F.count("*").alias("n"))
-
-
 ROBOTS = "User-agent: *\nDisallow: /admin/\nDisallow: /api/\nAllow: /api/public/\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow: /private/\nDisallow: /*.pdf$\n"
 PATHS = ["/", "/admin/x", "/api/x", "/api/public/x", "/private/a", "/a.pdf", "/a.pdfx"]
 
@@ -119,23 +107,28 @@ def src_robots(spark, sf_dir):
     return robots.verdicts(_rules(spark, sf_dir), "s_suppkey", _paths(spark, sf_dir), "SomeBot").select("s_suppkey", "path", "allowed")
 
 
-@query(f"SELECT b AS bot, CASE WHEN b IN ('GPTBot', 'CCBot') THEN 7 ELSE 2 END AS blocked FROM (SELECT unnest([{', '.join(repr(b) for b in robots.AI_BOTS)}]) AS b)")
-def a_robots_bots(spark, sf_dir):
-    files = spark.createDataFrame([(1, ROBOTS)], "s_suppkey long, txt string")
-    found = cut(robots.rules(files, "s_suppkey", "txt"))
-    paths = spark.createDataFrame([(1, p) for p in PATHS], "s_suppkey long, path string")
-    out = None
-    for b in robots.AI_BOTS:
-        one = robots.verdicts(found, "s_suppkey", paths, b).agg(F.lit(b).alias("bot"), F.count_if(~F.col("allowed")).cast("int").alias("blocked"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _ai_files(spark, sf_dir):
+    """robots.txt of each supplier's site: some shut out all, some a few crawlers, some let one back in."""
+    k = F.col("s_suppkey") % 4
+    some = "User-agent: GPTBot\nUser-agent: OAI-SearchBot\nDisallow: /\n\nUser-agent: ChatGPT-User\nDisallow: /*\n"
+    text = F.when(k == 0, "User-agent: *\nDisallow: /\n\nUser-agent: YouBot\nAllow: /\n").when(k == 1, some).when(k == 2, "User-agent: *\nDisallow: /private/\n").otherwise("")
+    return site.table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("txt"))
+
 
+AI_SQL = ", ".join(f"('{b}', '{r}')" for r, bs in robots.AI_ROLES.items() for b in bs)
 
-@query(f"SELECT b AS bot, CASE WHEN b IN ('GPTBot', 'CCBot') THEN 'Blocked' ELSE 'Partially' END AS posture FROM (SELECT unnest([{', '.join(repr(b) for b in robots.AI_BOTS)}]) AS b)")
+
+@query(f"""WITH b(bot, role) AS (VALUES {AI_SQL}), r AS (SELECT s_suppkey, bot, role, CASE s_suppkey % 4 WHEN 0 THEN bot <> 'YouBot' WHEN 1 THEN bot IN ('GPTBot', 'OAI-SearchBot', 'ChatGPT-User') ELSE false END AS blocked FROM supplier, b)
+SELECT s_suppkey, bot, blocked, CASE WHEN blocked AND role = 'ai-search' THEN 'ai_search_bot_blocked' WHEN blocked AND role = 'user-fetcher' THEN 'ai_fetcher_blocked' ELSE '' END AS issue_id FROM r""")
 def html_robots_ai(spark, sf_dir):
-    n = len(PATHS)
-    b = F.col("blocked")
-    return a_robots_bots(spark, sf_dir).select("bot", F.when(b == n, "Blocked").when(b == 0, "Accessible").otherwise("Partially").alias("posture"))
+    files = _ai_files(spark, sf_dir)
+    return robots.posture(robots.rules(files, "s_suppkey", "txt"), "s_suppkey", files).select("s_suppkey", "bot", "blocked", F.coalesce("issue_id", F.lit("")).alias("issue_id"))
+
+
+@query(f"""WITH b(bot, role) AS (VALUES {AI_SQL}) SELECT role, count(*) AS n, CAST(count(*) FILTER (WHERE CASE s_suppkey % 4 WHEN 0 THEN bot <> 'YouBot' WHEN 1 THEN bot IN ('GPTBot', 'OAI-SearchBot', 'ChatGPT-User') ELSE false END) AS BIGINT) AS blocked FROM supplier, b GROUP BY 1""")
+def a_robots_bots(spark, sf_dir):
+    files = _ai_files(spark, sf_dir)
+    return robots.posture(robots.rules(files, "s_suppkey", "txt"), "s_suppkey", files).groupBy("role").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"))
 
 
 @query()
@@ -212,10 +205,11 @@ def _parsed_issues(raw):
     return rules.issues(pages)
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id * 53 % 1500 > 800 THEN 60 WHEN page_id * 53 % 1500 > 400 THEN 70 ELSE 80 END AS score, CAST(2 AS BIGINT) AS blocking, CAST(1 AS BIGINT) AS unsized FROM pages")
 def html_pagespeed(spark, sf_dir):
-    k = F.col("counts")
-    return html.extract(site.table(spark, sf_dir, "pages")).select("page_id", F.greatest(F.lit(10), 100 - 5 * k["blocking"] - 5 * k["img_no_size"] - F.when(k["dom"] > 1500, 20).otherwise(0)).alias("score"))
+    made = made_pages(spark, sf_dir)
+    timed = html.extract(made.withColumn("html", F.replace("html", F.lit("<img src='/c.webp'"), F.lit("<img width=1 height=1 src='/c.webp'")))).withColumn("ttfb_ms", F.col("page_id") * 53 % 1500)
+    return timed.select("page_id", html.speed_score(F.col("counts"), F.col("ttfb_ms")).cast("int").alias("score"), F.col("counts")["blocking"].alias("blocking"), F.col("counts")["unsized"].alias("unsized"))
 
 
 @query(f"WITH {SITE} SELECT page_id, md5(body) AS digest FROM p")
@@ -252,17 +246,16 @@ def html_target_links(spark, sf_dir):
     return links_of(spark, sf_dir).where(F.col("target").contains("example.com")).select("page_id", "target", "anchor").distinct()
 
 
-@query(f"WITH {SITE} SELECT p.page_id, CASE WHEN status >= 400 THEN 'unverified_access' WHEN EXISTS (SELECT 1 FROM l WHERE l.page_id = p.page_id) THEN 'link_observed' ELSE 'no_link_in_captured_content' END AS verification FROM p")
-def html_verify_source(spark, sf_dir):
-    n = links_of(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
-    kind = F.when(F.col("status") >= 400, "unverified_access").when(F.col("n") > 0, "link_observed").otherwise("no_link_in_captured_content")
-    return pages_of(spark, sf_dir).join(n, "page_id", "left").select("page_id", kind.alias("verification"))
-
-
-@query("SELECT page_id, array_to_string(regexp_extract_all(html, 'track\\((\\d+)\\)', 1), ',') AS ids, CAST(0 AS BIGINT) AS broken FROM pages")
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, 'track\\((\\d+)\\)', 1), ',') AS ids, CAST(0 AS BIGINT) AS broken, regexp_extract(html, '<li><a href="([^"]*)"', 1) AS first_link, trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages""")
 def udf_custom_extract(spark, sf_dir):
-    found = html.custom_fields(site.table(spark, sf_dir, "pages"), {"ids": r"track\((\d+)\)", "broken": "(["})
-    return found.select("page_id", F.array_join("ids", ",").alias("ids"), F.size("broken").cast("long").alias("broken"))
+    """By pattern, CSS selector and path; the first match or all; a rule that cannot be read gives nothing."""
+    rules_ = {
+        "ids": r"track\((\d+)\)", "broken": "([", "first_link": {"type": "css", "selector": "nav ul > li a[href]", "attribute": "href", "all": False},
+        "title": {"type": "xpath", "selector": "//head/title/text()"}, "items": {"type": "css", "selector": "li"}, "bad": {"type": "css", "selector": "li >"},
+    }
+    found = html.custom_fields(site.table(spark, sf_dir, "pages"), rules_)
+    one = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias(c)
+    return found.select("page_id", F.array_join("ids", ",").alias("ids"), (F.size("broken") + F.size("bad")).cast("long").alias("broken"), one("first_link"), one("title"), F.size("items").cast("long").alias("items"))
 
 
 @query("SELECT page_id, 'my_rule' AS issue_id FROM pages WHERE page_id % 2 = 0")
@@ -281,18 +274,19 @@ def _stream(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS count FROM events GROUP BY 1")
 def st_event_feed(spark, sf_dir):
-    return ev.drained(ev.running_counts(_stream(spark, sf_dir), "event_type"), f"feed_{uuid.uuid4().hex}", checkpoint=_folder(spark))
+    return ev.drained(ev.running_counts(_stream(spark, sf_dir), "event_type"), "complete", _folder(spark))
 
 
 @query("SELECT count(DISTINCT user_id) AS n FROM events")
 def st_dedup_state(spark, sf_dir):
-    seen = _stream(spark, sf_dir).dropDuplicates(["user_id"]).select("user_id")
-    return ev.drained(seen, f"seen_{uuid.uuid4().hex}", "append", _folder(spark)).agg(F.count("*").alias("n"))
+    """First sightings within a watermark, so that state is dropped; what comes back after it is counted once at the end."""
+    seen = ev.first_seen(_stream(spark, sf_dir), "user_id").select("user_id")
+    return ev.drained(seen, "append", _folder(spark)).select("user_id").distinct().agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def st_out_of_order_logs(spark, sf_dir):
-    out = ev.drained(ev.windows(_stream(spark, sf_dir), "event_type"), f"windows_{uuid.uuid4().hex}", "complete", _folder(spark))
+    out = ev.drained(ev.windows(_stream(spark, sf_dir), "event_type"), "complete", _folder(spark))
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
@@ -302,16 +296,20 @@ def st_sessions(spark, sf_dir):
     return ev.sessions(e, "user_id").agg(F.count("*").alias("n"), F.sum("n").alias("events"))
 
 
-@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY) WHERE r = 1")
 def st_cache_ttl(spark, sf_dir):
-    e = site.table(spark, sf_dir, "events").select("event_id", "ts")
-    last = e.agg(F.max("ts").alias("last"))
-    return e.crossJoin(F.broadcast(last)).where(F.col("ts") > F.col("last") - F.expr("INTERVAL 7 DAYS")).select("event_id")
+    """What a cache still holds: the latest success of each key within its time to live."""
+    e = site.table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts")).head()[0]
+    return ev.cached(e, "user_id", "ts", "event_id", F.col("event_type") != "error", F.lit(now), 7 * 86_400).select("user_id", "event_id")
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+@query("WITH r AS (SELECT event_id, event_type, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER () AS now FROM events) SELECT event_id, r <= 20 AS remembered, event_type <> 'purchase' OR ts > now - INTERVAL 60 SECOND AS listed FROM r WHERE r <= 20 OR (event_type <> 'purchase' OR ts > now - INTERVAL 60 SECOND)")
 def st_job_retention(spark, sf_dir):
-    return site.table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id")
+    """The last 20 results are remembered; jobs stay listed until 60 seconds after they are done (here: purchases)."""
+    e = site.table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts")).head()[0]
+    return ev.retained(e, "event_id", "ts", F.col("event_type") == "purchase", F.lit(now), 20, 60).select("event_id", "remembered", "listed")
 
 
 @query("SELECT event_id, least(8000, 1000 * CAST(pow(2, event_id % 5) AS BIGINT)) AS wait_ms, event_id % 5 < 2 AS again FROM events WHERE event_type = 'error'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitequarry.functions import dates
 from sitequarry.functions import text as t
 from sitequarry.functions import url as u
 from sitequarry.functions.common import half_up
@@ -324,14 +325,14 @@ def math_tiers(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS later, date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01') AS days, date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01') BETWEEN 0 AND 90 AS fresh FROM orders")
 def date_add_days(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
-    gap = F.datediff(F.lit("1996-01-01").cast("date"), day)
-    return site.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_add(day, 7), "yyyy-MM-dd").alias("later"), gap.cast("long").alias("days"), gap.between(0, 90).alias("fresh"))
+    today = F.lit("1996-01-01").cast("date")
+    return site.table(spark, sf_dir, "orders").select("o_orderkey", dates.add_days(day, 7).alias("later"), dates.days_between(day, today).alias("days"), dates.fresh(day, today).alias("fresh"))
 
 
 @query("SELECT o_orderkey, CAST(h AS INTEGER) AS h, strftime(CAST(o_orderdate AS DATE) + CAST(7 * h AS INTEGER), '%Y-%m-%d') AS due FROM (SELECT o_orderkey, o_orderdate, unnest(range(1, 4)) AS h FROM orders)")
 def date_project(spark, sf_dir):
     o = site.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("h"))
-    return o.select("o_orderkey", "h", F.date_format(F.date_add("day", F.col("h") * 7), "yyyy-MM-dd").alias("due"))
+    return o.select("o_orderkey", "h", dates.add_days(F.col("day"), F.col("h") * 7).alias("due"))
 
 
 @query("SELECT 'daily' AS freq, 7 AS period UNION ALL SELECT 'weekly', 4 UNION ALL SELECT 'monthly', 12 UNION ALL SELECT 'crawl', 1")

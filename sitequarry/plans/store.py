@@ -100,9 +100,14 @@ def j_issues_recs(spark, sf_dir):
     return found.join(F.broadcast(recs), "issue_id", "left").groupBy("name", "priority").agg(F.count_distinct("url").alias("pages"))
 
 
-@query("SELECT url, page_id FROM pages WHERE starts_with(url, 'https') ORDER BY url, page_id LIMIT 200")
+@query("SELECT page_id, url AS loc, '2026-01-0' || (1 + page_id % 9) AS lastmod FROM pages ORDER BY url, page_id LIMIT 200")
 def q_sitemap_urls(spark, sf_dir):
-    return site.table(spark, sf_dir, "pages").where(F.col("url").startswith("https")).orderBy("url", "page_id").limit(200).select("url", "page_id")
+    """Entries of sitemaps, in order of address."""
+    from sitequarry.sources.readers import sitemap
+
+    day = (F.col("page_id") % 9 + 1).cast("string")
+    files = site.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<urlset><url><loc><![CDATA["), "url", F.lit("]]></loc><lastmod>2026-01-0"), day, F.lit("</lastmod></url></urlset>")).alias("xml"))
+    return sitemap(files, "page_id", "xml").orderBy("loc", "page_id").limit(200).select("page_id", "loc", "lastmod")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -116,11 +121,6 @@ def p_safe_parse(spark, sf_dir):
     return s.with_details(docs, "j", "$.k", "int", "k").select("doc_id", F.coalesce("k", F.lit(-1)).alias("k"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn LIMIT 40")
-def q_list_aux(spark, sf_dir):
-    return site.table(spark, sf_dir, "conversations").where("role = 'user'").orderBy(F.desc("conv_id"), "turn").limit(40).select("conv_id", "turn", "text")
-
-
 @query(f"WITH {ISSUES} SELECT page_id, norm FROM p WHERE lower(url) = (SELECT lower(url) FROM pages WHERE page_id = 11) OR norm = (SELECT norm FROM p WHERE page_id = 11)")
 def q_get_page(spark, sf_dir):
     pages = pages_of(spark, sf_dir)
@@ -139,14 +139,28 @@ def q_llms_probe(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", (F.col("status") == 200).alias("found"), F.length("body").cast("long").alias("n"), F.substring("body", 1, 400).alias("preview"))
 
 
-@query(f"WITH {ISSUES} SELECT page_id, status = 200 AS found FROM p", name="src_probe")
+HOSTS = "hs AS (SELECT DISTINCT regexp_extract(lower(trim(url)), '^[a-z]+://(?:[^@/?#]*@)?([^/?#:]*)', 1) AS host FROM pages)"
+
+
+@query(f"WITH {HOSTS} SELECT host, length(host) % 3 = 0 AS llms_txt, length(host) % 3 <> 2 AS sitemap_xml FROM hs")
 def src_probe(spark, sf_dir):
-    return pages_of(spark, sf_dir).select("page_id", (F.col("status") == 200).alias("found"))
+    """Which of the well-known files each host serves: with 200, at that path."""
+    from sitequarry.functions.url import hostname
+    from sitequarry.sources.readers import probed
 
+    hosts = site.table(spark, sf_dir, "pages").select(hostname(F.col("url")).alias("host")).distinct()
+    n = F.length("host") % 3
+    tried = F.array(F.struct(F.lit("/llms.txt").alias("path"), F.when(n == 0, 200).otherwise(404).alias("status")), F.struct(F.lit("/sitemap.xml").alias("path"), F.when(n == 2, 301).otherwise(200).alias("status")))
+    fetched = hosts.select(F.explode(tried).alias("f"), "host").select(F.concat(F.lit("https://"), "host", "f.path").alias("url"), "f.status")
+    return probed(fetched, {"llms_txt": "/llms.txt", "sitemap_xml": "/sitemap.xml"})
 
-@query(f"WITH {ISSUES} SELECT page_id, url FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.page_id = p.page_id AND i.issue_id = 'slow_ttfb')")
+
+@query(f"WITH {ISSUES} SELECT page_id, url FROM p WHERE (status = 200 AND norm NOT IN (SELECT norm FROM p WHERE page_id % 3 = 0)) OR (norm IN (SELECT norm FROM p WHERE page_id % 3 = 0) AND norm NOT IN (SELECT target FROM l))")
 def q_sitemap_report(spark, sf_dir):
-    return pages_of(spark, sf_dir).join(issues_of(spark, sf_dir).where("issue_id = 'slow_ttfb'"), "page_id", "left_semi").select("page_id", "url")
+    """Pages that the sitemap lacks, and pages that nothing but the sitemap leads to."""
+    from sitequarry.plans.analysis import j_sitemap_anti
+
+    return pages_of(spark, sf_dir).join(j_sitemap_anti(spark, sf_dir), "page_id", "left_semi").select("page_id", "url")
 
 
 @query(f"WITH {ISSUES} SELECT page_id, url FROM p WHERE regexp_matches(url, '/en/\\d+') OR contains(lower(url), '[blog')")
@@ -209,25 +223,12 @@ def a_trend(spark, sf_dir):
     return site.table(spark, sf_dir, "orders").groupBy(day).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy("day").limit(30)
 
 
-@query("SELECT n_regionkey, count(*) AS sites, CAST(count(DISTINCT s_suppkey) AS BIGINT) AS suppliers, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
-def a_domain_rollup(spark, sf_dir):
-    nation = site.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    sup = site.table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    return sup.groupBy("n_regionkey").agg(F.count("*").alias("sites"), F.count_distinct("s_suppkey").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("total"))
-
-
 @query(f"WITH {ISSUES} SELECT target, array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources, array_to_string(list_sort(list(DISTINCT anchor)), ' ') AS anchors, count(*) AS n FROM l GROUP BY 1")
 def a_link_target_agg(spark, sf_dir):
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " ")
     return links_of(spark, sf_dir).groupBy("target").agg(join("source").alias("sources"), join("anchor").alias("anchors"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) FILTER (WHERE l_returnflag = 'R') > 0 AS dirty, count(*) FILTER (WHERE l_returnflag = 'A') AS added, count(*) FILTER (WHERE l_returnflag = 'R') AS removed, count(*) FILTER (WHERE l_discount > 0.05) AS changed FROM lineitem")
-def a_diff_summary(spark, sf_dir):
-    li = site.table(spark, sf_dir, "lineitem")
-    return li.agg((F.count_if(F.col("l_returnflag") == "R") > 0).alias("dirty"), F.count_if(F.col("l_returnflag") == "A").alias("added"), F.count_if(F.col("l_returnflag") == "R").alias("removed"), F.count_if(F.col("l_discount") > 0.05).alias("changed"))
-
-
 @query(f"""WITH {ISSUES}, t AS (SELECT (SELECT sum(n) FROM (SELECT count(DISTINCT url) AS n FROM i WHERE severity = 'Error' GROUP BY name)) AS errors, (SELECT sum(n) FROM (SELECT count(DISTINCT url) AS n FROM i WHERE severity = 'Warning' GROUP BY name)) AS warnings,
   (SELECT floor(avg(aeo) + 0.5) FROM p) AS aeo, (SELECT count(*) FROM p WHERE status >= 400) AS broken)
 SELECT 'errors' AS rule, CAST(errors AS DOUBLE) AS value, errors > 0 AS violated FROM t UNION ALL SELECT 'warnings', CAST(warnings AS DOUBLE), warnings > 10 FROM t UNION ALL SELECT 'aeo', CAST(aeo AS DOUBLE), aeo < 70 FROM t UNION ALL SELECT 'broken', CAST(broken AS DOUBLE), broken > 0 FROM t""")
@@ -308,9 +309,13 @@ def s_sample(spark, sf_dir):
     return s.sample(site.table(spark, sf_dir, "pages"), "page_id", 5, seed=7).select("page_id")
 
 
-@query("SELECT page_id, CAST(dense_rank() OVER (ORDER BY page_id % 5) - 1 AS INTEGER) AS level FROM pages")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS source, l_partkey % 97 AS target FROM lineitem WHERE l_suppkey <> l_partkey % 97), b(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT e.target, level + 1 FROM b JOIN e ON e.source = b.node WHERE level < 4), m AS (SELECT node, min(level) AS level FROM b GROUP BY 1) SELECT node, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (PARTITION BY level ORDER BY node) AS INTEGER) AS turn FROM m")
 def s_fifo(spark, sf_dir):
-    return pages_of(spark, sf_dir).select("page_id", F.col("depth").alias("level"))
+    """The order in which a breadth-first queue gives out pages: by level, within a level by its turn."""
+    from sitequarry.operators import graph
+
+    levels = graph.levels(spark.createDataFrame([(1,)], "node long"), site.internal_graph(spark, sf_dir), 4)
+    return levels.withColumn("turn", F.row_number().over(W.partitionBy("level").orderBy("node")))
 
 
 @query(f"WITH {ISSUES} SELECT anchor FROM l UNION SELECT h1 FROM p WHERE h1 <> ''")
@@ -368,9 +373,12 @@ def a_patch_stats(spark, sf_dir):
     return site.table(spark, sf_dir, "events").groupBy("event_type", patch).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("deviation"))
 
 
-@query("SELECT l_returnflag AS reason, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN s_acctbal < 0 THEN 'not_reviewed' WHEN s_suppkey % 7 = 0 THEN 'no_route' WHEN s_suppkey % 5 = 0 THEN 'not_free' WHEN s_nationkey % 3 = 0 THEN 'topic_mismatch' END AS reason FROM supplier) WHERE reason IS NOT NULL GROUP BY 1")
 def a_excluded_summary(spark, sf_dir):
-    return site.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("reason")).agg(F.count("*").alias("n"))
+    """Sites that a plan leaves out, by the first reason."""
+    from sitequarry.plans.analysis import _sites
+
+    return _sites(spark, sf_dir).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ISSUES} SELECT norm, array_to_string(list_sort(list(page_id)), ',') AS provenance FROM p GROUP BY 1")
@@ -378,37 +386,19 @@ def a_consolidate(spark, sf_dir):
     return pages_of(spark, sf_dir).groupBy("norm").agg(F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("provenance"))
 
 
-@query("SELECT count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS neither FROM labels")
-def a_check_sources(spark, sf_dir):
-    return site.table(spark, sf_dir, "labels").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("toxic") == 0) & (F.col("quality") == 0)).alias("neither"))
-
-
 @query(f"WITH {ISSUES} SELECT norm, min(page_id) AS first_id, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM p GROUP BY 1")
 def a_source_rows(spark, sf_dir):
     return pages_of(spark, sf_dir).groupBy("norm").agg(F.min("page_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("SELECT severity, count(*) AS n FROM (SELECT CASE WHEN l_discount >= 0.08 THEN 'Critical' WHEN l_discount >= 0.04 THEN 'High' ELSE 'Medium' END AS severity FROM lineitem) GROUP BY 1")
+@query("WITH g AS (SELECT l_partkey % 200 AS domain, count(DISTINCT s_nationkey % 5) FILTER (WHERE s_nationkey % 5 <> 0) AS competitors, bool_or(s_nationkey % 5 = 0) AS has_target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT CASE WHEN has_target THEN 'Low' WHEN competitors = 4 THEN 'Critical' WHEN competitors >= 2 THEN 'High' ELSE 'Medium' END AS priority, count(*) AS n FROM g WHERE competitors > 0 GROUP BY 1")
 def a_gap_counts(spark, sf_dir):
-    severity = F.when(F.col("l_discount") >= 0.08, "Critical").when(F.col("l_discount") >= 0.04, "High").otherwise("Medium").alias("severity")
-    return site.table(spark, sf_dir, "lineitem").groupBy(severity).agg(F.count("*").alias("n"))
+    """Referring domains by the priority of asking them."""
+    from sitequarry.plans.analysis import a_link_intersect
+
+    return a_link_intersect(spark, sf_dir).groupBy("priority").agg(F.count("*").alias("n"))
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def j_page_lookup(spark, sf_dir):
     return site.table(spark, sf_dir, "documents").select("doc_id").join(site.table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-
-
-@query("SELECT n_nationkey, r_name, CASE WHEN r_name IS NULL THEN 'other' ELSE lower(r_name) END AS advice FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
-def j_recommendation_lib(spark, sf_dir):
-    library = site.table(spark, sf_dir, "region").where("r_regionkey < 3")
-    joined = site.table(spark, sf_dir, "nation").join(F.broadcast(library), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.select("n_nationkey", "r_name", F.coalesce(F.lower("r_name"), F.lit("other")).alias("advice"))
-
-
-@query("""WITH k AS (SELECT DISTINCT lang, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS source FROM documents), r AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS source FROM documents WHERE doc_id % 3 = 0)
-SELECT r.doc_id, k.lang FROM r JOIN k ON r.lang IS NOT DISTINCT FROM k.lang AND r.source IS NOT DISTINCT FROM k.source""")
-def j_host_records(spark, sf_dir):
-    d = site.table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source")).alias("source"))
-    k, r = d.select("lang", "source").distinct().alias("k"), d.where("doc_id % 3 = 0").alias("r")
-    return r.join(k, F.col("r.lang").eqNullSafe(F.col("k.lang")) & F.col("r.source").eqNullSafe(F.col("k.source"))).select("r.doc_id", "k.lang")

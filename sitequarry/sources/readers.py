@@ -47,6 +47,14 @@ def sitemap(files: DataFrame, key: str, text: str) -> DataFrame:
     return e.select(key, tag("loc").alias("loc"), tag("lastmod").alias("lastmod"), "kind").where("loc <> ''")
 
 
+def probed(fetched: DataFrame, files: dict[str, str]) -> DataFrame:
+    """(host, a column for each name) of fetched (url, status): whether the host serves that path with 200; never asked counts as no."""
+    from sitequarry.functions.url import hostname, path
+
+    host, at = hostname(F.col("url")), path(F.col("url"))
+    return fetched.where(host != "").groupBy(host.alias("host")).agg(*[F.coalesce(F.bool_or((at == p) & (F.col("status") == 200)), F.lit(False)).alias(n) for n, p in files.items()])
+
+
 def guarded(df: DataFrame) -> DataFrame:
     """Texts that a spreadsheet would run as a formula get an apostrophe in front."""
     return df.select(*[F.when(F.col(n).rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), F.col(n))).otherwise(F.col(n)).alias(n) if kind == "string" else F.col(n) for n, kind in df.dtypes])
