@@ -24,24 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.unionByName(rest).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge; component is the smallest node reachable.
 
     edges has columns a and b, in either order, repeated or not; loops and nulls are left out.  Every round is written to
-    the shared folder, so lineage stays short.  the round before is removed.  It ends when edges form stars, after O(log^2) rounds;
-    the limit on rounds only stops a fault, as 2**50 nodes settle in far fewer.
+    the shared folder, so lineage stays short, and the round before is removed.  It ends when edges form stars, after O(log^2) rounds.
     """
     now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         last, now = now, stored(_small_star(_large_star(now)), "edges")
         discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = stored(now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct(), "components")
     discard(now)
     return found

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -345,6 +346,44 @@ def test_exponent_keeps_the_limit_on_passes():
     assert mixing.exponent_for({"a": 5}, 1.0, 4.0, 5) == 1.0
 
 
+def test_mixing_of_many_sources_is_the_same(spark):
+    rng = random.Random(10)
+    rows = [(i, f"s{min(int(rng.expovariate(0.4)), 20)}", "w " * rng.randint(0, 30)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    few, many = (mixing.mixed(docs, target_entropy=0.9, most_passes=3.0, most_sources=n) for n in (100_000, 2))
+    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0 and few.count() > 600
+
+
+def test_toxicity_scores_are_those_of_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, 40) + (" vile vile awful" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+    def plain(text):
+        total = weight = 0.0
+        for w, n in Counter(re.findall(r"[^\W\d_]+", (text or "").lower())).items():
+            padded = f"<{w}>"
+            grams = {padded} | {padded[i : i + k] for k in (3, 4, 5) for i in range(len(padded) - k + 1)}
+            buckets = {zlib.crc32(g.encode()) % len(model["bucket"]) for g in grams}
+            share = min(4.0, math.sqrt(n)) * model["rarity"].get(w, 1.0)
+            total, weight = total + share * sum(float(model["bucket"][b]) for b in buckets) / len(buckets), weight + share
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, model["bias"] + total / (toxicity.PAD + weight)))))
+
+    texts = [None, "", "vile", "an awful vi1e text", *(r[1] for r in rows[:20]), "unseen words only"]
+    got = {r.i: r.toxicity for r in toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    assert got == pytest.approx({i: plain(x) for i, x in enumerate(texts)}, abs=1e-5)
+
+
+def test_toxicity_of_held_out_texts(spark):
+    """On 10,000 documents; with a few hundred it is hardly better than chance, as the README says."""
+    folder = "/root/testdata/sf0.1"
+    labels = load(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = queries.op5_toxicity(spark, folder).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert len(rows) > 500 and hit >= 0.75 * sum(r.toxic for r in rows) and hit >= 0.8 * sum(r.predicted for r in rows)
+    assert all(r.predicted == (r.score >= 0.3) for r in rows)
+
+
 def test_toxicity_learns_and_shares_subwords(spark, odd, empty):
     rng = random.Random(2)
     rows = []
