@@ -16,8 +16,13 @@ STOP_WORDS = (
     "through to too under until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's will with won't would "
     "wouldn't you you'd you'll you're you've your yours yourself yourselves"
 ).split()
-# Those left out of intents: the above without the contracted forms and a few others.
-INTENT_STOP_WORDS = [w for w in STOP_WORDS if "'" not in w and w not in ("can", "cannot", "get", "will", "yourselves")]
+# Words that say nothing about an intent.
+INTENT_STOP_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down during each few for from "
+    "further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not of off on once only or other "
+    "ought our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up "
+    "very was we were what when where which while who whom why with would you your yours yourself"
+).split()
 # What hints at an intent.
 INFORMATIONAL = ["how", "what", "why", "who", "when", "where", "guide", "tutorial", "tips", "steps", "ideas", "learn", "example", "definition", "overview", "explained", "meaning", "difference between", "diy", "history"]
 COMMERCIAL = ["best", "top", "review", "reviews", "vs", "versus", "comparison", "alternative", "alternatives", "pros and cons", "worth it", "benchmark", "cheapest", "ratings", "ranking"]
@@ -31,6 +36,25 @@ GENERIC_ANCHORS = [
 # Signs of a page that is missing although it was served.
 TITLE_404 = [r"^\s*404\b", r"\b404\b\s*[-:|–—]?\s*(error|not found|page)", r"\b(error|page)\s*[-:]?\s*404\b", r"\bpage not found\b", r"\bnot found\b", r"\barticle not found\b", r"\bproduct not found\b", r"\bitem unavailable\b", r"\boops!?\s*page", r"\bdoesn['’]t exist\b", r"\bpage has been removed\b"]
 H1_404 = [r"^\s*404\b", r"\b404\b\s*[-:|–—]?\s*(error|not found|page)", r"\b(error|page)\s*[-:]?\s*404\b", r"\bnot found\b", r"\bpage cannot be found\b", r"\blooking for doesn['’]t exist\b", r"\bwe couldn['’]t find\b", r"\bpage missing\b"]
+# What the body, the address and the canonical of such a page hold.
+THIN_404 = ["not found", "removed", "error", "expired"]
+SEARCHES = ["search", "query", "q="]
+NO_RESULTS = ["0 results", "no results found", "did not match any"]
+CANONICAL_404 = ["/404", "/not-found", "/error"]
+# The least reading ease of each level, and its name.
+READING_LEVELS = [
+    (90, "5th grade (Very Easy)"), (80, "6th grade (Easy)"), (70, "7th grade (Fairly Easy)"), (60, "8th & 9th grade (Plain English - Recommended)"), (50, "10th to 12th grade (Fairly Difficult)"),
+    (30, "College level (Difficult)"),
+]
+HARDEST_LEVEL = "College Graduate (Very Confusing)"
+# Endings that are no syllable.
+SILENT = "(?:[^laeiouy]|ed|es|e)$"
+# Longer keywords made of a short one.
+VARIATIONS = {
+    "question": ["How to use %s effectively", "What is %s and how does it work", "Why is %s important for SEO", "When should you implement %s", "Is %s worth the investment"],
+    "commercial": ["Best %s tools and software", "%s vs alternatives comparison", "Top rated %s platforms", "Free vs paid %s options"],
+    "long_tail": ["%s complete guide for beginners", "%s best practices and checklist", "Automated %s workflow", "%s step by step tutorial"],
+}
 
 
 def words(text: Column) -> Column:
@@ -66,7 +90,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    cut = F.regexp_replace(w, "(?:[^laeiouy]|ed|es|e)$", "")
+    cut = F.regexp_replace(w, SILENT, "")
     base = F.when(cut == "", w).otherwise(cut)
     return F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(base, F.lit("[aeiouy]+"))))
 
@@ -91,16 +115,10 @@ def grade(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
 
 
 def reading_level(ease: Column, n_words: Column) -> Column:
-    return (
-        F.when(n_words == 0, "No content")
-        .when(ease >= 90, "5th grade (Very Easy)")
-        .when(ease >= 80, "6th grade (Easy)")
-        .when(ease >= 70, "7th grade (Fairly Easy)")
-        .when(ease >= 60, "8th & 9th grade (Plain English - Recommended)")
-        .when(ease >= 50, "10th to 12th grade (Fairly Difficult)")
-        .when(ease >= 30, "College level (Difficult)")
-        .otherwise("College Graduate (Very Confusing)")
-    )
+    out = F.lit(HARDEST_LEVEL)
+    for least, name in reversed(READING_LEVELS):
+        out = F.when(ease >= least, name).otherwise(out)
+    return F.when(n_words == 0, "No content").otherwise(out)
 
 
 def keyword_tokens(text: Column) -> Column:
@@ -165,12 +183,7 @@ def referring_domains(score: Column) -> Column:
 def variations(seed: Column) -> Column:
     """array of struct(kind, keyword)."""
     clean = F.regexp_replace(F.trim(seed), r"^[#0-9.:\s]+", "")
-    templates = {
-        "question": ["How to use %s effectively", "What is %s and how does it work", "Why is %s important for SEO", "When should you implement %s", "Is %s worth the investment"],
-        "commercial": ["Best %s tools and software", "%s vs alternatives comparison", "Top rated %s platforms", "Free vs paid %s options"],
-        "long_tail": ["%s complete guide for beginners", "%s best practices and checklist", "Automated %s workflow", "%s step by step tutorial"],
-    }
-    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.format_string(t, clean).alias("keyword")) for kind, ts in templates.items() for t in ts])
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.format_string(t, clean).alias("keyword")) for kind, ts in VARIATIONS.items() for t in ts])
 
 
 def target_keywords(explicit: Column, h1: Column, title: Column, phrases: Column) -> Column:
@@ -206,12 +219,12 @@ def anchor_class(anchor: Column, brand: str = "", keywords: list[str] = ()) -> C
 def soft404_score(status: Column, url: Column, title: Column, h1: Column, body: Column, n_words: Column, canonical: Column) -> Column:
     """0 to 100; 45 and more is a soft 404.  Only pages served with 200 score."""
     t, h, b, c = (F.coalesce(x, F.lit("")) for x in (F.trim(title), F.trim(h1), F.lower(body), F.lower(canonical)))
-    thin = (n_words < 60) & any_of(lambda w: F.contains(b, F.lit(w)), ["not found", "removed", "error", "expired"])
-    empty_search = any_of(lambda w: F.contains(url, F.lit(w)), ["search", "query", "q="]) & any_of(lambda w: F.contains(b, F.lit(w)), ["0 results", "no results found", "did not match any"])
+    thin = (n_words < 60) & any_of(lambda w: F.contains(b, F.lit(w)), THIN_404)
+    empty_search = any_of(lambda w: F.contains(url, F.lit(w)), SEARCHES) & any_of(lambda w: F.contains(b, F.lit(w)), NO_RESULTS)
     score = (
         F.when(any_of(lambda p: t.rlike(f"(?i){p}"), TITLE_404), 45).otherwise(0)
         + F.when(any_of(lambda p: h.rlike(f"(?i){p}"), H1_404), 40).otherwise(0)
-        + F.when(any_of(lambda w: F.contains(c, F.lit(w)), ["/404", "/not-found", "/error"]), 50).otherwise(0)
+        + F.when(any_of(lambda w: F.contains(c, F.lit(w)), CANONICAL_404), 50).otherwise(0)
         + F.when(thin, 30).when((n_words < 20) & (n_words < 60) & (t == "") & (h == ""), 25).otherwise(0)
         + F.when(empty_search, 35).otherwise(0)
     )

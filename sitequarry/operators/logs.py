@@ -18,6 +18,8 @@ BOTS = [
 # What else a bot calls itself, and the common log format.
 OTHER = "(?i)bot|crawl|spider|slurp|mediapartners|adsbot|scanner|headless|python-requests|curl|wget"
 LINE = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+HTTP/[\d.]+"\s+(\d{3})\s+(\S+)(?:\s+"([^"]*)"\s+"([^"]*)")?'
+# Names of what hits are wasted on.
+WASTE = {"dead": "Bot hits to %s dead URLs", "failing": "Bot hits to 5xx error URLs", "moved": "Bot hits to redirecting URLs", "tagged": "Bot hits to parameterised / ad-tagged URLs"}
 
 
 def bot(agent: Column) -> Column:
@@ -77,8 +79,8 @@ def status_by_bot(log: DataFrame) -> DataFrame:
 def waste(log: DataFrame) -> DataFrame:
     """(kind, hits, urls): hits on dead, failing or moved URLs and on those with advertising parameters; one hit can be two kinds."""
     s = F.col("status")
-    first = F.when(s.isin(404, 410), F.concat(F.lit("Bot hits to "), s.cast("string"), F.lit(" dead URLs"))).when(s >= 500, "Bot hits to 5xx error URLs").when(s.between(300, 399), "Bot hits to redirecting URLs")
-    second = F.when(F.col("url").rlike("(?i)[?&](utm_|gclid|fbclid|msclkid)"), "Bot hits to parameterised / ad-tagged URLs")
+    first = F.when(s.isin(404, 410), F.replace(F.lit(WASTE["dead"]), F.lit("%s"), s.cast("string"))).when(s >= 500, WASTE["failing"]).when(s.between(300, 399), WASTE["moved"])
+    second = F.when(F.col("url").rlike("(?i)[?&](utm_|gclid|fbclid|msclkid)"), WASTE["tagged"])
     rows = log.where("bot <> 'Human'").select("url", F.explode(F.array_compact(F.array(first, second))).alias("kind"))
     return rows.groupBy("kind").agg(F.count("*").alias("hits"), F.count_distinct("url").alias("urls"))
 

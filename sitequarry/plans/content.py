@@ -111,38 +111,32 @@ def j_link_opps(spark, sf_dir):
     return content.link_opportunities(targets, sources, links).select("target", "source", "keyword", F.col("score").cast("long").alias("score"))
 
 
-@query(f"WITH n AS (SELECT doc_id, string_split({NORM}, ' ') AS ws FROM documents WHERE len(string_split({NORM}, ' ')) >= 40), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' ')))) AS h FROM n) SELECT doc_id, list_min(h) AS least, list_max(h) AS most FROM s")
-def a_minhash(spark, sf_dir):
-    """Extremes of a hash of the shingles, in functions that other engines have: the building stone of a signature."""
-    d = site.table(spark, sf_dir, "documents").select("doc_id", F.split(t.normalise_duplicate(F.col("text")), " ").alias("w")).where("size(w) >= 40")
-    h = d.select("doc_id", F.transform(t.shingles(F.col("w")), lambda s: F.md5(s.cast("binary"))).alias("h"))
-    return h.select("doc_id", F.array_min("h").alias("least"), F.array_max("h").alias("most"))
-
+def _long(spark, sf_dir):
+    """Normal words of texts of 40 words or more."""
+    return site.table(spark, sf_dir, "documents").select("doc_id", F.split(t.normalise_duplicate(F.col("text")), " ").alias("w")).where("size(w) >= 40")
 
-#: The number of multiply-shift hashes; their coefficients are the reference's, from its generator.
-MINIMA = 128
 
+PAIRS = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in similarity.coefficients())
 
-def _coefficients() -> list[tuple[int, int]]:
-    seed, out = 0x9E3779B9, []
-    for _ in range(2 * MINIMA):
-        seed = (seed * 1664525 + 1013904223) % 2**32
-        out.append(seed)
-    return [(a | 1, b) for a, b in zip(out[::2], out[1::2], strict=True)]
 
-
-def _signatures(spark, sf_dir):
-    """(doc_id, same, signature) of texts of 40 words or more; same: a hash of the normal text."""
-    d = site.table(spark, sf_dir, "documents").select("doc_id", F.split(t.normalise_duplicate(F.col("text")), " ").alias("w")).where("size(w) >= 40")
+@query(f"""WITH n AS (SELECT doc_id, string_split({NORM}, ' ') AS ws FROM documents WHERE len(string_split({NORM}, ' ')) >= 40), s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: CAST('0x' || substr(md5(array_to_string(ws[i:i+4], ' ')), 1, 8) AS HUGEINT))) AS h FROM n)
+SELECT doc_id, md5(array_to_string(list_transform([{PAIRS}], lambda c: list_min(list_transform(h, lambda x: (c.a * x + c.b) % 4294967296))), ',')) AS digest FROM s""")
+def a_minhash(spark, sf_dir):
+    """128 minima a text, over 32 bits of md5, which SQL has as well; hash_minhash has them over FNV-1a."""
     low = F.lit(2**32 - 1).cast("long")
-    h = cut(d.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("same"), F.transform(t.shingles(F.col("w")), lambda s: F.xxhash64(s).bitwiseAND(low)).alias("h")))
-    made = F.array(*[F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in _coefficients()])
+    h = cut(_long(spark, sf_dir).select("doc_id", F.transform(t.shingles(F.col("w")), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")).alias("h")))
+    made = F.array(*[F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in similarity.coefficients()])
 
     def least(c):
         # a * x + b modulo 2**32 by halves of a, as the whole product doesn't fit a number.
         return F.array_min(F.transform("h", lambda x: (F.shiftleft((c["high"] * x).bitwiseAND(F.lit(0xFFFF).cast("long")), 16) + c["low"] * x + c["b"]).bitwiseAND(low)))
 
-    return h.select("doc_id", "same", F.transform(made, least).alias("signature"))
+    return h.select("doc_id", F.md5(F.array_join(F.transform(made, least), ",").cast("binary")).alias("digest"))
+
+
+def _signatures(spark, sf_dir):
+    """(doc_id, same, signature); same: a hash of the normal text."""
+    return similarity.with_minima(_long(spark, sf_dir).select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("same"), t.shingles(F.col("w")).alias("h")), "h")
 
 
 @query()
@@ -161,7 +155,7 @@ def j_lsh_candidates(spark, sf_dir):
     first = sig.groupBy("same").agg(F.min("doc_id").alias("a"))
     copies = sig.select("doc_id", "same").join(first, "same").where("a < doc_id").select("a", F.col("doc_id").alias("other"))
     one = sig.groupBy("same").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("doc_id"))
-    bands = one.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("signature", 4 * b + 1, 4)).alias("v")) for b in range(MINIMA // 4)])).alias("k")).select("doc_id", "k.b", "k.v")
+    bands = one.select("doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("signature", 4 * b + 1, 4)).alias("v")) for b in range(similarity.MINIMA // 4)])).alias("k")).select("doc_id", "k.b", "k.v")
     a, b = bands.toDF("a", "b", "v"), bands.toDF("c", "b", "v")
     return a.join(b, ["b", "v"]).where("a < c").select("a", F.col("c").alias("other")).distinct().unionByName(copies)
 
