@@ -165,15 +165,18 @@ def d_simhash_clusters(spark, sf_dir):
     return similarity.simhash_clusters(_prints(spark, sf_dir))
 
 
-@query(f"""WITH {SITE}, tk AS (SELECT page_id, lower(trim(title)) AS title, lower(trim(h1)) AS h1, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(title || ' ' || h1 || ' ' || string_split(url, '/')[-1]), '[^a-z0-9\\s-]', ' ', 'g'), '[-_]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{w}'" for w in t.INTENT_STOP_WORDS)}))) AS w FROM p WHERE status = 200),
+CANNIBAL = f"""WITH {SITE}, tk AS (SELECT page_id, lower(trim(title)) AS title, lower(trim(h1)) AS h1, list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(title || ' ' || h1 || ' ' || string_split(url, '/')[-1]), '[^a-z0-9\\s-]', ' ', 'g'), '[-_]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{w}'" for w in t.INTENT_STOP_WORDS)}))) AS w FROM p WHERE status = 200),
 cl AS (SELECT min(page_id) AS page_id, title, h1, list_sort(w) AS w FROM tk WHERE len(w) > 0 GROUP BY ALL),
 pr AS (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS ratio, (a.title <> '' AND a.title = b.title) OR (a.h1 <> '' AND a.h1 = b.h1) AS same FROM cl a JOIN cl b ON a.page_id < b.page_id WHERE len(list_intersect(a.w, b.w)) > 0 UNION ALL SELECT cl.page_id, tk.page_id, len(cl.w), 1.0, cl.title <> '' OR cl.h1 <> '' FROM cl JOIN tk ON cl.title = tk.title AND cl.h1 = tk.h1 AND cl.w = list_sort(tk.w) WHERE cl.page_id < tk.page_id),
-sv AS (SELECT a, b, shared, floor(ratio * 100 + 0.5) / 100.0 AS similarity, CASE WHEN same THEN 'Critical' WHEN ratio >= 0.7 OR (ratio >= 0.5 AND shared >= 3) THEN 'High' WHEN ratio >= 0.4 AND shared >= 2 THEN 'Medium' END AS severity FROM pr) SELECT * FROM sv WHERE severity IS NOT NULL""")
+sv AS (SELECT a, b, shared, floor(ratio * 100 + 0.5) / 100.0 AS similarity, CASE WHEN same THEN 'Critical' WHEN ratio >= 0.7 OR (ratio >= 0.5 AND shared >= 3) THEN 'High' WHEN ratio >= 0.4 AND shared >= 2 THEN 'Medium' END AS severity FROM pr) SELECT * FROM sv WHERE severity IS NOT NULL"""
+
+
+@query(CANNIBAL)
 def j_cannibal_pairs(spark, sf_dir):
     return similarity.competing(pages_of(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT * FROM ({CANNIBAL}) ORDER BY CASE severity WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 ELSE 1 END DESC, similarity DESC, a, b LIMIT 50")
 def s_cannibal(spark, sf_dir):
     rank = F.when(F.col("severity") == "Critical", 3).when(F.col("severity") == "High", 2).otherwise(1)
     return similarity.competing(pages_of(spark, sf_dir)).orderBy(rank.desc(), F.desc("similarity"), "a", "b").limit(50)

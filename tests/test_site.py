@@ -1,5 +1,6 @@
 """Operators on literals, and every registered query against its SQL."""
 
+import math
 import random
 import re
 
@@ -140,6 +141,53 @@ def test_forecast_invariants():
     assert f.min().min() >= 0 and f.p90.max() <= 100
 
 
+def plain_forecast(values, horizon, default):
+    """(p10, p50, p90) by step, and the z score of each point, in plain sums."""
+    n = len(values)
+    w = [math.exp((i - n) / (0.75 * n)) for i in range(n)]
+    mx, my = sum(a * i for i, a in enumerate(w)) / sum(w), sum(a * v for a, v in zip(w, values, strict=True)) / sum(w)
+    slope = sum(a * (i - mx) * (v - my) for i, (a, v) in enumerate(zip(w, values, strict=True))) / sum(a * (i - mx) ** 2 for i, a in enumerate(w))
+    start = my - slope * mx
+    mean = sum(values) / n
+    c = [v - mean for v in values]
+    power = sum(x * x for x in c)
+    season = 1
+    if n >= 2 * default and power:
+        score = {k: sum(c[i] * c[i + k] for i in range(n - k)) / power for k in range(2, min(n // 2, 30) + 1)}
+        best = max(score, key=score.get)
+        season = best if score[best] > 0.35 else 1
+    rest = [v - start - slope * i for i, v in enumerate(values)]
+    parts = [sum(rest[k::season]) / len(rest[k::season]) for k in range(season)]
+    error = [r - parts[i % season] for i, r in enumerate(rest)]
+    sigma = math.sqrt(sum(e * e for e in error) / max(1, n - 1))
+    sigma = sigma if sigma >= 0.05 else max(0.05 * abs(values[-1]), 0.2)
+    middle = sorted(error)[n // 2]
+    mad = sorted(abs(e - middle) for e in error)[n // 2] or sigma
+    scale = max(1.4826 * mad, 0.5 * sigma, 0.1)
+    out, trend = [], start + slope * (n - 1)
+    for h in range(1, horizon + 1):
+        trend += slope * 0.96**h
+        point = trend + parts[(n - 1 + h) % season] + sum(error[-3:]) / len(error[-3:]) * math.exp(-0.25 * h)
+        width = 1.282 * sigma * math.sqrt(1 + 0.18 * (h - 1))
+        out.append((point - width, point, point + width))
+    return out, [e / scale for e in error]
+
+
+def test_forecasts_and_anomalies_are_those_of_plain_sums(spark):
+    rng = random.Random(3)
+    series = {"flat": [5.0 + rng.random() for _ in range(20)], "season": [10 + i + [0, 3, 6, 2, 1, 0, 8][i % 7] + rng.random() for i in range(42)], "spike": [100.0] * 9 + [300.0] + [100.0] * 8, "two": [1.0, 2.0]}
+    d = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, i int, v double")
+    got = {}
+    for r in forecast.forecast(d, "k", "i", "v", 9).collect():
+        got.setdefault(r.k, {})[r.step] = (r.p10, r.p50, r.p90)
+    odd = {(r.k, r.i): r.z for r in forecast.anomalies(d, "k", "i", "v").collect()}
+    for k, values in series.items():
+        want, z = plain_forecast(values, 9, 7)
+        assert [got[k][h] for h in range(1, 10)] == [pytest.approx(w, abs=0.011) for w in want], k
+        assert {i for name, i in odd if name == k} == {i for i, x in enumerate(z) if abs(x) >= 2}
+        assert all(odd[k, i] == pytest.approx(z[i], abs=0.011) for name, i in odd if name == k)
+
+
 def test_graph(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "node long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "source long, target long")
