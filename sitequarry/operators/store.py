@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as t
 from sitequarry.functions.common import any_of, half_up
+from sitequarry.operators.shared import cut
 
 
 def newest(df: DataFrame, time: str, key: str, most: int) -> DataFrame:
@@ -71,6 +72,15 @@ def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """place by order over all rows of any number: rows are dealt by ranges, numbered within each, and each range goes on where those before it end."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # of ranges: few
+    starts = dealt.groupBy("__range").agg(F.count("*").alias("n")).withColumn("start", before).select("__range", "start")
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "__range").withColumn("place", F.col("start") + own).drop("__range", "start")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """The first rows of each key; Spark prunes within partitions before the shuffle (WindowGroupLimit)."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
@@ -100,7 +110,7 @@ def ci_gate(pages: DataFrame, summary: DataFrame, errors: int = 0, warnings: int
 
 def schedule(sites: DataFrame, order: list[Column], start: str, per_week: int, pages: int) -> DataFrame:
     """Place in the plan, week, due date and the page in turn, from week two on."""
-    out = ranked(sites, order).withColumn("i", F.col("place") - 1)
+    out = numbered(sites, order).withColumn("i", F.col("place") - 1)
     week = F.floor(F.col("i") / per_week).cast("int")
     days = 7 + week * 7 + F.col("i") % per_week * (7 // per_week)
     return out.withColumns({"week": week + 2, "due": F.date_format(F.date_add(F.lit(start).cast("date"), days.cast("int")), "yyyy-MM-dd"), "page": F.col("i") % pages})

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sitequarry.operators import content, documents, html, publish, reports, search
+from sitequarry.operators import audit, documents, fetch, html, publish, reports, search
 from sitequarry.operators.shared import fresh
 from sitequarry.plans.analysis import TWO, _two
 from sitequarry.plans.crawl import made_pages
@@ -291,3 +291,49 @@ def a_diff_summary(spark, sf_dir):
 @query(f"WITH {ISSUES}, hs AS (SELECT *, regexp_extract(lower(trim(url)), '^[a-z]+://(?:[^@/?#]*@)?([^/?#:]*)', 1) AS host FROM i) SELECT name, count(DISTINCT host) AS sites, count(DISTINCT url) AS affected_pages, CAST(sum(n) AS BIGINT) AS total FROM (SELECT name, host, url, count(*) OVER (PARTITION BY name, host, url) / count(*) OVER (PARTITION BY name, host, url) AS n FROM (SELECT DISTINCT name, host, url FROM hs)) GROUP BY 1")
 def a_domain_rollup(spark, sf_dir):
     return reports.domain_rollup(issues_of(spark, sf_dir)).select("name", "sites", "affected_pages", "total")
+
+
+def _served(url: str):
+    """What the made-up hosts of src_http_fetch answer: by the number in the path."""
+    n = int(url.rsplit("/", 1)[1])
+    if n >= 10_000_000:
+        return 200, {"Content-Type": "text/html"}, b"arrived"
+    if n % 7 == 1:
+        return 301, {"Location": f"/{n + 10_000_000}"}, b""
+    if n % 7 == 2:
+        return 302, {"location": f"/{n}"}, b""
+    if n % 7 == 3:
+        raise OSError("timed out")
+    if n % 7 == 4:
+        return 404, {}, b"x" * 70_000
+    if n % 7 == 5:
+        return 200, {"CONTENT-TYPE": "image/png"}, b"bytes"
+    return 200, {"X-Kind": "page"}, b"ok"
+
+
+@query("""SELECT page_id, [200, 200, 311, 0, 404, 200, 200][page_id % 7 + 1] AS status, [2, 7, 0, 0, 65536, 0, 2][page_id % 7 + 1] AS n_chars, CASE WHEN page_id % 7 IN (1, 2) THEN 2 ELSE 1 END AS n_chain, CASE page_id % 7 WHEN 1 THEN 301 WHEN 2 THEN 302 ELSE 0 END AS redirect_code, page_id % 7 IN (0, 6) AS kind FROM pages""")
+def src_http_fetch(spark, sf_dir):
+    """Redirects, circles, failures, long errors and binary bodies, from a function in the place of the network."""
+    urls = site.table(spark, sf_dir, "pages").select(F.concat(F.lit("https://made.example/"), F.col("page_id").cast("string")).alias("url"))
+    f = fetch.fetched(urls, _served)
+    return f.select(F.substring_index("url", "/", -1).cast("long").alias("page_id"), "status", F.length("body").alias("n_chars"), F.size("chain").alias("n_chain"), F.coalesce("redirect_code", F.lit(0)).alias("redirect_code"), F.try_element_at("headers", F.lit("x-kind")).isNotNull().alias("kind"))
+
+
+@query("SELECT p_partkey, '<!doctype html><html><head><title>' || p_name || '</title></head><body><h1>' || p_name || '</h1><article><h2>' || p_brand || '</h2><a href=\"https://x.org/?a=1&amp;b=2\">https://x.org/?a=1&amp;b=2</a><p>&lt;' || p_type || '></p></article></body></html>' AS html FROM part")
+def src_agent_reach(spark, sf_dir):
+    items = F.array(F.struct(F.col("p_brand").alias("title"), F.lit("https://x.org/?a=1&b=2").alias("url"), F.concat(F.lit("<"), "p_type", F.lit(">")).alias("text")))
+    return site.table(spark, sf_dir, "part").select("p_partkey", fetch.synthesized(F.col("p_name"), items).alias("html"))
+
+
+@query("SELECT page_id, 'hreflang_missing_return' AS issue_id FROM pages WHERE page_id % 4 = 0")
+def udf_hreflang_seam(spark, sf_dir):
+    """The audit over alternates of a caller's own, here of a sitemap: each page has a German one, and every fourth German page doesn't lead back."""
+    i = F.col("page_id")
+    p = site.table(spark, sf_dir, "pages").select("page_id")
+    en, de = (F.concat(F.lit(f"https://s.org/{x}/"), i.cast("string")) for x in ("en", "de"))
+    row = lambda own, lang, to: F.struct(own.alias("url"), F.lit(lang).alias("lang"), to.alias("href"), to.alias("target"))
+    all_ = F.array(row(en, "en", en), row(en, "de", de), row(de, "de", de), row(de, "x-default", de), row(en, "x-default", en), F.when(i % 4 != 0, row(de, "en", en)))
+    alternates = p.select(F.explode(F.array_compact(all_)).alias("a")).select("a.*")
+    pages = p.select(F.explode(F.array(en, de)).alias("url")).select("url", F.lit(200).alias("status"), F.lit(True).alias("indexable"))
+    found = audit.hreflang_issues(alternates, pages).where("issue_id = 'hreflang_missing_return'")
+    return found.select(F.substring_index("url", "/", -1).cast("long").alias("page_id"), "issue_id")

@@ -255,7 +255,7 @@ def w_topk_per_group(spark, sf_dir):
 SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(2 + i // 3 AS INTEGER) AS week, strftime(DATE '2026-09-22' + CAST(7 + i // 3 * 7 + i % 3 * (7 // 3) AS INTEGER), '%Y-%m-%d') AS due, CAST(i % 4 AS INTEGER) AS page FROM r""")
 def w_position_schedule(spark, sf_dir):
     sites = site.table(spark, sf_dir, "part")
-    return s.schedule(sites, [F.desc("p_retailprice"), F.col("p_partkey")], "2026-09-22", per_week=3, pages=4).select("p_partkey", "i", "week", "due", "page")
+    return s.schedule(sites, [F.desc("p_retailprice"), F.col("p_partkey")], "2026-09-22", per_week=3, pages=4).select("p_partkey", F.col("i").cast("int").alias("i"), "week", "due", F.col("page").cast("int").alias("page"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 64")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sitequarry.functions import text as t
 from sitequarry.functions import url as u
-from sitequarry.operators import audit, content, documents, dom, forecast, graph, html, logs, publish, reports, robots, rules, search, similarity
+from sitequarry.operators import audit, content, documents, dom, fetch, forecast, graph, html, logs, publish, reports, robots, rules, search, similarity
 from sitequarry.operators import store as s
 from sitequarry.plans import registry
 from sitequarry.sources import config, readers
@@ -387,6 +387,34 @@ def test_budget():
         late.take()
 
 
+def test_fetching_walks_redirects():
+    pages = {"http://a/": (301, {"Location": "/b"}, b""), "http://a/b": (200, {"Content-Type": "text/html"}, "é".encode())}
+    got = fetch.walked("http://a/", lambda url: pages[url])
+    assert (got["status"], got["final"], got["chain"], got["redirect_code"], got["body"], got["headers"]) == (200, "http://a/b", ["http://a/", "http://a/b"], 301, "é", {"content-type": "text/html"})
+    endless = fetch.walked("http://a/0", lambda url: (302, {"location": f"/{int(url.rsplit('/', 1)[1]) + 1}"}, b""))
+    assert endless["status"] == fetch.TOO_MANY and len(endless["chain"]) == fetch.MOST_HOPS + 1
+    assert fetch.walked("http://a/", lambda url: (500, {}, b"x" * 10**6))["body"] == "x" * fetch.MOST_ERROR
+
+
+def test_look_ups_are_remembered():
+    now, asked = [0.0], []
+    r = fetch.Remembered(lambda x: asked.append(x) or x.upper(), 60, 2, clock=lambda: now[0])
+    assert [r("a"), r("a"), r("b")] == ["A", "A", "B"] and asked == ["a", "b"]
+    now[0] = 60
+    assert r("a") == "A" and asked == ["a", "b", "a"]
+    r("c"), r("b")
+    assert asked == ["a", "b", "a", "c", "b"]
+
+
+def test_numbers_over_all_rows(spark):
+    rng = random.Random(1)
+    values = [rng.randint(0, 50) for _ in range(500)]
+    d = spark.createDataFrame(list(enumerate(values)), "k int, v int").repartition(5)
+    got = {r.k: r.place for r in s.numbered(d, [F.desc("v"), F.col("k")]).collect()}
+    assert got == {k: i + 1 for i, (v, k) in enumerate(sorted((-v, k) for k, v in enumerate(values)))}
+    assert s.numbered(d.limit(0), [F.col("k")]).count() == 0
+
+
 def test_settings():
     assert config.load('{"crawl": {"most_pages": 7}, "domains": {"a": {"most_depth": 1, "delay_ms": null}}}', "a", {"most_pages": 9}) == config.Crawl(most_pages=9, most_depth=1)
     for bad in ({"most_pages": 0}, {"most_pages": True}, {"include": ["a", 1]}, {"lost": 1}, {"user_agent": 5}):
