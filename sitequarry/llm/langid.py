@@ -33,7 +33,7 @@ from sitequarry.llm.common import as_batch, discard, small_enough, stored, text_
 #: Runs of letters and of numerals that are neither digits nor letters, which are taken out afterwards: few texts have any.
 RUN = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-FLUSH = 200_000
+FLUSH = 300_000
 #: Occurrences that a word or n-gram which was never seen is taken to have in the largest language.
 A = 0.5
 #: Words sent to the executors, and numbers in their table (words times languages), at most.
@@ -66,43 +66,50 @@ class Model:
     table: np.ndarray
 
 
-def _count_words(batches):
-    held: dict = defaultdict(Counter)
+def _told(held: dict, names: list[str], types: list):
+    """Rows of counters by key, and the counters emptied: the parts of the key, the entry, its count."""
+    for key, counts in held.items():
+        entries, n = list(counts), list(counts.values())
+        for at in range(0, len(entries), 50_000):
+            some = entries[at : at + 50_000]
+            yield as_batch([*([part] * len(some) for part in key), some, n[at : at + 50_000]], types, names)
+    held.clear()
 
-    def flush():
-        rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-        held.clear()
-        for at in range(0, len(rows), 20_000):
-            yield as_batch([list(x) for x in zip(*rows[at : at + 20_000], strict=True)], [pa.string(), pa.string(), pa.int64()], ["lang", "gram", "n"])
 
+def _count_words(batches):
+    held: dict = defaultdict(Counter)
+    names, types = ["lang", "gram", "n"], [pa.string(), pa.string(), pa.int64()]
     for b in batches:
         for at in range(0, b.num_rows, 128):
             piece = b.slice(at, 128)
             for text, lang in zip(piece["text"].to_pylist(), piece["lang"].to_pylist(), strict=True):
-                held[lang].update(words_of(text))
+                held[lang,].update(words_of(text))
             if sum(map(len, held.values())) > FLUSH:
-                yield from flush()
-    yield from flush()
+                yield from _told(held, names, types)
+    yield from _told(held, names, types)
 
 
 def _count_grams(batches):
     held: dict = defaultdict(Counter)
-
-    def flush():
-        rows = [(lang, n, g, c) for (lang, n), counts in held.items() for g, c in counts.items()]
-        held.clear()
-        for at in range(0, len(rows), 20_000):
-            yield as_batch([list(x) for x in zip(*rows[at : at + 20_000], strict=True)], [pa.string(), pa.int32(), pa.string(), pa.int64()], ["lang", "size", "gram", "n"])
-
+    names, types = ["lang", "size", "gram", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
     for b in batches:
-        for lang, word, n in zip(b["lang"].to_pylist(), b["gram"].to_pylist(), b["n"].to_pylist(), strict=True):
-            for k in ORDERS:
-                c = held[lang, k]
-                for g in grams(word, k):
-                    c[g] += n
-        if sum(map(len, held.values())) > FLUSH:
-            yield from flush()
-    yield from flush()
+        for at in range(0, b.num_rows, 4096):
+            # Words that occur equally often, most of them once, are counted together.
+            alike: dict = defaultdict(list)
+            for lang, word, n in zip(*(b[c].slice(at, 4096).to_pylist() for c in ("lang", "gram", "n")), strict=True):
+                alike[lang, n].append(word)
+            for (lang, n), words in alike.items():
+                for k in ORDERS:
+                    found = [g for w in words for g in grams(w, k)]
+                    own = held[lang, k]
+                    if n == 1:
+                        own.update(found)
+                    else:
+                        for g, m in Counter(found).items():
+                            own[g] += m * n
+            if sum(map(len, held.values())) > FLUSH:
+                yield from _told(held, names, types)
+    yield from _told(held, names, types)
 
 
 def _scored(counts: DataFrame, langs: list[str], name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word is the bag of itself and its character n-grams, each hashed to a bucket
 with an embedding; a text is the average of its words, each weighted
-by the root of its count, 4 at most; a linear softmax over two
+by the root of its count, 4 at most, so that a word said without end doesn't decide; a linear softmax over two
 classes reads the average.  Embeddings and softmax are trained jointly in numpy.
 A misspelt word that training never saw still shares most n-gram vectors with
 the word it stands for.
@@ -27,20 +27,29 @@ from pyspark.sql import types as T
 from sitequarry.llm.common import as_batch
 
 WORD = re.compile(r"[^\W\d_]+")
+U = np.uint64
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word and its character n-grams."""
-    w = f"<{word}>"
-    found = {w} | {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
-    return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found})
-
-
-def weight(count: int) -> float:
-    """Weight in the average of a word that occurs so often: the root, 4 at most, so that a word said without end doesn't decide."""
-    return min(4.0, math.sqrt(count))
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words themselves and of their character n-grams, as often as they occur, and which word each is of; of all words at once."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    sizes = np.array([len(w) for w in marked], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    buckets = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in marked), np.int64, len(words))]
+    owners = [np.arange(len(words))]
+    for n in SIZES:
+        first = np.flatnonzero(np.arange(len(codes)) + n <= ends[owner])
+        h = np.full(len(first), n, U)
+        for j in range(n):
+            h = (h ^ codes[first + j]) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(32)
+        buckets.append((h % U(BUCKETS)).astype(np.int64))
+        owners.append(owner[first])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Sample:
@@ -113,7 +122,14 @@ def train(sample: Sample, dim: int = 4, epochs: int = 16, batches: int = 16, rat
     known = np.unique(sample.doc[sample.df[sample.word] >= least_docs])
     if not n or y.min() == y.max() or not len(known):
         return {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(4 if n and y.min() == 1 else -4), "rarity": {}}
-    parts = [np.array(subwords(w), np.int32) if k >= least_docs else None for w, k in zip(sample.words, sample.df, strict=True)]
+    taught = np.flatnonzero(sample.df >= least_docs)
+    parts: list = [None] * len(sample.words)
+    for at in range(0, len(taught), 4096):
+        some = taught[at : at + 4096]
+        buckets, owner = subwords([sample.words[i] for i in some])
+        order = np.argsort(owner, kind="stable")
+        for i, own in zip(some, np.split(buckets[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(some)))[:-1]), strict=True):
+            parts[i] = own
     rng = np.random.default_rng(seed)
     order = rng.permutation(known)
     batches = max(1, min(batches, len(order) // 32))
@@ -150,23 +166,41 @@ SCALE = 20.0
 PAD = 30.0
 
 
-class Scorer(dict):
-    """Word -> its share of the logit; remembers at most `most` words."""
+class Scorer:
+    """Scores texts; a word leads to its place in an array of values (its share of the logit) and rarities.  Remembers about `most` words beside those of one call."""
 
     def __init__(self, model: dict, most: int = 300_000):
-        self.bucket, self.bias, self.rarity, self.most = model["bucket"], model["bias"], model["rarity"], most
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[word] = float(self.bucket[subwords(word)].mean())
-        return v
+        self.bucket, self.bias, self.rarity, self.most = model["bucket"].astype(np.float64), model["bias"], model["rarity"], most
+        self.row: dict[str, int] = {}
+        self.values = np.zeros((0, 2))
+
+    def _learn(self, words: list[str]) -> None:
+        made = np.ones((len(words), 2))
+        for at in range(0, len(words), 4096):
+            buckets, owner = subwords(words[at : at + 4096])
+            made[at : at + 4096, 0] = np.bincount(owner, self.bucket[buckets]) / np.bincount(owner)
+        made[:, 1] = [self.rarity.get(w, 1.0) for w in words]
+        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
+        self.values = np.concatenate([self.values, made])
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        bags = [Counter(WORD.findall(x.lower())) if x else Counter() for x in texts]
+        if len(self.row) > self.most:
+            self.row, self.values = {}, np.zeros((0, 2))
+        if unseen := list(dict.fromkeys(w for bag in bags for w in bag if w not in self.row)):
+            self._learn(unseen)
+        out = []
+        for bag in bags:
+            z = self.bias
+            if n := len(bag):
+                value, rarity = self.values[np.fromiter(map(self.row.__getitem__, bag), np.int64, n)].T
+                weights = np.minimum(4.0, np.sqrt(np.fromiter(bag.values(), np.float64, n))) * rarity
+                z += float(weights @ value) / (PAD + float(weights.sum()))
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
+        return out
 
     def score(self, text: str | None) -> float:
-        words = Counter(WORD.findall(text.lower())) if text else {}
-        weights = [weight(n) * self.rarity.get(w, 1.0) for w, n in words.items()]
-        z = self.bias + sum(w * self[x] for x, w in zip(words, weights, strict=True)) / (PAD + sum(weights))
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+        return self.scores([text])[0]
 
 
 def fit(labelled: DataFrame, most_rows: int = 8_000) -> dict:
@@ -207,9 +241,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         scorer = model.setdefault("scorer", None) or Scorer(model)
         model["scorer"] = scorer  # lives as long as the worker has the broadcast
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                piece = b.slice(at, 1024)
-                got = [scorer.score(t) for t in piece.column(place).to_pylist()]
+            for at in range(0, b.num_rows, 128):
+                piece = b.slice(at, 128)
+                got = scorer.scores(piece.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(got, pa.float64())], [*piece.schema.names, "toxicity"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())]))

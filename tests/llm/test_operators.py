@@ -359,12 +359,18 @@ def test_toxicity_scores_are_those_of_a_plain_version(spark):
     rows = [(i, text_of(rng, 40) + (" vile vile awful" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
 
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 32
+        return h % toxicity.BUCKETS
+
     def plain(text):
         total = weight = 0.0
         for w, n in Counter(re.findall(r"[^\W\d_]+", (text or "").lower())).items():
             padded = f"<{w}>"
-            grams = {padded} | {padded[i : i + k] for k in (3, 4, 5) for i in range(len(padded) - k + 1)}
-            buckets = {zlib.crc32(g.encode()) % len(model["bucket"]) for g in grams}
+            buckets = [zlib.crc32(padded.encode()) % toxicity.BUCKETS, *(bucket(padded[i : i + k]) for k in (3, 4, 5) for i in range(len(padded) - k + 1))]
             share = min(4.0, math.sqrt(n)) * model["rarity"].get(w, 1.0)
             total, weight = total + share * sum(float(model["bucket"][b]) for b in buckets) / len(buckets), weight + share
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, model["bias"] + total / (toxicity.PAD + weight)))))
