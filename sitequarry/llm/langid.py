@@ -118,7 +118,7 @@ def _scored(counts: DataFrame, langs: list[str], name: str) -> DataFrame:
     most = {size: max(n for (_, k), n in totals.items() if k == size) for _, size in totals}
     scale = counts.sparkSession.createDataFrame([(lang, size, langs.index(lang), most[size] / (A * n)) for (lang, size), n in totals.items()], "lang string, size int, l int, scale double")
     each = counts.join(F.broadcast(scale), ["lang", "size"])  # a row for each language and order
-    return stored(each.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", F.log1p(F.col("n") * F.col("scale")).alias("s"))).alias("entries")), name)
+    return stored(each.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", F.log1p(F.col("n") * F.col("scale")).cast("float").alias("s"))).alias("entries")), name)
 
 
 def fit(training: DataFrame, most_words: int = MOST_WORDS) -> Model:
@@ -172,7 +172,7 @@ def _left(asked: DataFrame, model: Model) -> DataFrame:
         k = hit.select("word", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.lit(1.0).alias("s"))))).alias("e"))
         sums = k.groupBy("word", "e.l").agg(F.sum("e.s").alias("s"))
         scored = sums.groupBy("word").agg(F.max(F.when(F.col("l") < 0, F.col("s"))).alias("k"), F.collect_list(F.when(F.col("l") >= 0, F.struct("l", "s"))).alias("entries"))
-        scored = stored(scored.select("word", F.transform("entries", lambda e: F.struct(e["l"].alias("l"), (e["s"] / F.col("k")).alias("s"))).alias("entries")), "langid-backoff")
+        scored = stored(scored.select("word", F.transform("entries", lambda e: F.struct(e["l"].alias("l"), (e["s"] / F.col("k")).cast("float").alias("s"))).alias("entries")), "langid-backoff")
         out = out.unionByName(scored.select("word", F.lit(n >= 4).alias("known"), "entries"))
         unseen = unseen.join(scored, "word", "left_anti")
     return out
@@ -209,11 +209,16 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # Words that are left, once for each text however often that is repeated.  Texts get numbers, as their hashes would fill disks.
     left = first.where("words is not null").groupBy("key").agg(F.first(F.arrays_zip("words", "times")).alias("w"))
     left = stored(left.withColumn("t", F.monotonically_increasing_id()), "langid-rest")
+    # What is carried on has no words.
+    held, first = first, stored(first.select(*[f.name for f in fields], "sums", "n", "known", F.col("words").isNotNull().alias("partly")), "langid-first")
+    discard(held)
     pairs = left.select("t", F.explode("w").alias("w")).select("t", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     looked_up = _left(pairs.select("word").distinct(), model)
-    told = pairs.join(looked_up, "word").select("t", "times", F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.col("known").cast("double").alias("s"))))).alias("e"))
-    sums = told.groupBy("t", "e.l").agg(F.sum(F.col("times") * F.col("e.s")).alias("s"))
-    rest = sums.groupBy("t").agg(F.collect_list("l").alias("l"), F.collect_list("s").alias("s")).join(left.select("t", "key"), "t").drop("t")
+    each = F.explode(F.concat("entries", F.array(F.struct(F.lit(-1).alias("l"), F.col("known").cast("float").alias("s"))))).alias("e")
+    told = pairs.join(looked_up, "word").select("t", "times", each)
+    sums = told.groupBy("t", "e.l").agg(F.sum(F.col("times") * F.col("e.s").cast("double")).alias("s"))
+    rest = stored(sums.groupBy("t").agg(F.collect_list("l").alias("l"), F.collect_list("s").alias("s")).join(left.select("t", "key"), "t").drop("t"), "langid-sums")
+    discard(left)
     langs = model.langs
     result = [("lang_pred", T.StringType(), pa.string()), ("lang_score", T.DoubleType(), pa.float64()), ("lang_known", T.DoubleType(), pa.float64())]
 
@@ -236,8 +241,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *[pa.array(c, t) for c, (_, _, t) in zip(zip(*out, strict=True), result, strict=True)]], [*b.schema.names[:k], *[name for name, *_ in result]])
 
     kept = [f.name for f in fields]
-    whole = first.where("words is null").select(*kept, "sums", "n", "known", F.lit(None).cast("array<int>").alias("l"), F.lit(None).cast("array<double>").alias("s"))
-    partly = first.where("words is not null").join(rest, "key", "left").select(*kept, "sums", "n", "known", "l", "s")
+    whole = first.where("not partly").select(*kept, "sums", "n", "known", F.lit(None).cast("array<int>").alias("l"), F.lit(None).cast("array<double>").alias("s"))
+    partly = first.where("partly").join(rest, "key", "left").select(*kept, "sums", "n", "known", "l", "s")
     done = whole.unionByName(partly).mapInArrow(decide, T.StructType([*fields, *[T.StructField(name, t) for name, t, _ in result]]))
     return done.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(others)], F.col("key").alias("text_key"), "lang_pred", "lang_score", "lang_known")
 
