@@ -32,25 +32,26 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def suffixes(host: Column) -> Column:
-    """The host and the domains above it, of two labels at least."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(host == "", F.array().cast("array<string>")).when(n < 2, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+def suffixes(host: Column, labels: int) -> Column:
+    """The host and the domains above it, of two labels at least and `labels` at most."""
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    first = F.greatest(F.lit(1), n - labels + 1)
+    return F.when(host == "", F.array().cast("array<string>")).when(n < 2, F.array(host)).when(first > n - 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(first, n - 1), lambda i: F.array_join(F.slice(parts, i, n), ".")))
 
 
-def folders(path: Column) -> Column:
-    """`/`, `/a/`, `/a/b/` and the path itself."""
+def folders(path: Column, depth: int) -> Column:
+    """`/`, `/a/`, `/a/b/` and so on, of `depth` slashes at most, and the path itself."""
     parts = F.split(path, "/")
-    n = F.size(parts)
-    starts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    last = F.least(F.size(parts) - 1, F.lit(depth))
+    starts = F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
     return F.array_distinct(F.concat(starts, F.array(path)))
 
 
-def keys(url: Column) -> Column:
-    """All patterns that match the URL."""
-    ends = suffixes(host_of(url))
-    paths = folders(path_of(url))
+def keys(url: Column, labels: int = 127, depth: int = 64) -> Column:
+    """All patterns that match the URL, of that many labels and slashes at most."""
+    ends = suffixes(host_of(url), labels)
+    paths = folders(path_of(url), depth)
     return F.array_distinct(F.concat(ends, F.flatten(F.transform(ends, lambda h: F.transform(paths, lambda p: F.concat(h, p))))))
 
 
@@ -78,9 +79,12 @@ def evaluated(captures: DataFrame, valid: DataFrame, url: str = "url", at: str =
     captures = captures.drop("n_active", "blocked_by", "allowed_by", "verdict")
     valid = stored(valid, "intervals")
     small = small_enough(valid, most_broadcast)
+    # No longer patterns are tried than there are, so a URL costs no more for having a thousand folders.
+    size = valid.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))), F.max(F.size(F.split("pattern", "/")) - 1)).head()
+    labels, depth = size[0] or 0, size[1] or 0
     lists = (F.broadcast(valid) if small else valid).withColumnRenamed("pattern", "key").withColumnRenamed("from", "__from").withColumnRenamed("until", "__until").select("key", "action", "__from", "__until")
     tried = captures.select(F.col(url).alias("u"), F.col(at).alias("t")).where("u is not null and t is not null").distinct()
-    tried = tried.select("u", "t", F.explode(keys(F.col("u"))).alias("key"))
+    tried = tried.select("u", "t", F.explode(keys(F.col("u"), labels, depth)).alias("key"))
     active = tried.join(lists, "key").where("t >= __from and (__until is null or t < __until)")
     rank = F.struct(F.length("key").alias("n"), F.col("key").alias("k"))
     found = active.groupBy("u", "t").agg(F.count("*").alias("n_active"), F.max(F.when(F.col("action") == "block", rank)).alias("b"), F.max(F.when(F.col("action") == "allow", rank)).alias("a"))

@@ -751,5 +751,7 @@ def test_url_keys_and_as_of(spark):
         (1, 2, "allow", "example.com", "ads.example.com/a/"), (2, 0, "none", None, None), (3, 1, "block", "example.com", None), (3, 1, "block", "example.com", None),
         (4, 0, "none", None, None), (5, 0, "none", None, None), (6, 0, "none", None, None), (7, 2, "allow", "other.org", "other.org/ok/"),
     ]
+    long = spark.createDataFrame([(1, "https://" + "a." * 3000 + "example.com/" + "x/" * 50_000, 15), (2, "https://ads.example.com/a/" + "y/" * 50_000, 15)], "id int, url string, day int").withColumn("fetched_at", F.timestamp_seconds(F.col("day") * 86400))
+    assert {r.id: (r.verdict, r.n_active) for r in urlfilter.evaluated(long, urlfilter.intervals(entries)).collect()} == {1: ("block", 1), 2: ("allow", 2)}
     assert urlfilter.evaluated(captures.limit(0), urlfilter.intervals(entries)).count() == 0
     assert urlfilter.evaluated(captures, urlfilter.intervals(entries.limit(0))).where("verdict <> 'none'").count() == 0
