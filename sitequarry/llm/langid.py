@@ -206,6 +206,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(c, t) for c, (_, _, t) in zip(zip(*out, strict=True), own, strict=True)]], [*piece.schema.names[:-1], *[name for name, *_ in own]])
 
     first = stored(renamed.mapInArrow(run, T.StructType([*fields, *[T.StructField(name, t) for name, t, _ in own]])), "langid-first")
+    shared.destroy()  # workers let go of the words sent
     # Words that are left, once for each text however often that is repeated.  Texts get numbers, as their hashes would fill disks.
     left = first.where("words is not null").groupBy("key").agg(F.first(F.arrays_zip("words", "times")).alias("w"))
     left = stored(left.withColumn("t", F.monotonically_increasing_id()), "langid-rest")
