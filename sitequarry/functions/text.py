@@ -270,6 +270,11 @@ def severity_weight(severity: Column) -> Column:
     return F.when(severity == "Error", 3).when(severity == "Warning", 2).otherwise(1)
 
 
+def worst_severity(severity: Column) -> Column:
+    """The worst severity of a group."""
+    return F.max_by(severity, severity_weight(severity))
+
+
 def priority_rank(value: Column) -> Column:
     return F.when(value == "Critical", 4).when(value == "High", 3).when(value == "Medium", 2).otherwise(1)
 

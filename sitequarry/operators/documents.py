@@ -74,7 +74,7 @@ def fix_docs(issues: DataFrame, most_urls: int = 20) -> DataFrame:
     pages = issues.select("issue_id", "url").distinct()
     place = F.row_number().over(W.partitionBy("issue_id").orderBy("url"))
     shown = pages.withColumn("place", place).where(F.col("place") <= most_urls).groupBy("issue_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    g = ranked(issues).join(issues.groupBy("issue_id").agg(F.min("name").alias("name"), F.min("severity").alias("severity")), "issue_id").join(shown, "issue_id")
+    g = ranked(issues).join(issues.groupBy("issue_id").agg(F.min("name").alias("name"), t.worst_severity(F.col("severity")).alias("severity")), "issue_id").join(shown, "issue_id")
     g = advised(g)
     n = F.col("affected_pages")
     steps = F.array_join(F.transform("steps", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

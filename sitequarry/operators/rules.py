@@ -84,7 +84,7 @@ def issues(pages: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 def summary(found: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Per issue name the pages affected, the change against previous (name, pages), and the issues that are gone; ranked by severity and pages."""
-    now = found.groupBy("name").agg(F.min("issue_id").alias("issue_id"), F.min("severity").alias("severity"), F.min("category").alias("category"), F.count_distinct("url").alias("affected_pages"))
+    now = found.groupBy("name").agg(F.min("issue_id").alias("issue_id"), t.worst_severity(F.col("severity")).alias("severity"), F.min("category").alias("category"), F.count_distinct("url").alias("affected_pages"))
     if previous is not None:
         before = previous.select("name", F.col("pages").alias("before"))
         now = now.join(before, "name", "full_outer").withColumns({"affected_pages": F.coalesce("affected_pages", F.lit(0)), "change": F.coalesce("affected_pages", F.lit(0)) - F.coalesce("before", F.lit(0))})

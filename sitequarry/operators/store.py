@@ -63,7 +63,7 @@ def with_details(df: DataFrame, column: str, path: str, type_: str, name: str) -
 
 
 def recommendations(issues: DataFrame) -> DataFrame:
-    g = issues.groupBy("issue_id").agg(F.min("severity").alias("severity"), F.count_distinct("url").alias("affected_pages"))
+    g = issues.groupBy("issue_id").agg(t.worst_severity(F.col("severity")).alias("severity"), F.count_distinct("url").alias("affected_pages"))
     return g.select("issue_id", "affected_pages", t.priority(F.col("severity"), F.col("affected_pages")).alias("priority"))
 
 

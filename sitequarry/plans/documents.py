@@ -30,7 +30,7 @@ def j_recommendation_lib(spark, sf_dir):
     return documents.advised(found).select("issue_id", "severity", "effort", "why", F.size("steps").alias("n_steps"))
 
 
-@query(f"""WITH {ISSUES}, {RECS}, {_library_sql()}, g AS (SELECT issue_id, min(name) AS name, min(severity) AS severity, list_sort(list(DISTINCT url)) AS urls FROM i GROUP BY 1),
+@query(f"""WITH {ISSUES}, {RECS}, {_library_sql()}, g AS (SELECT issue_id, min(name) AS name, arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS severity, list_sort(list(DISTINCT url)) AS urls FROM i GROUP BY 1),
 adv AS (SELECT i.*, {STEPS}, coalesce(lib.steps, ['{documents.PLAN[0]}', '{documents.PLAN[1]}']) AS steps FROM g i LEFT JOIN lib USING (issue_id))
 SELECT issue_id, priority, effort, '## ' || name || chr(10) || chr(10) || why || chr(10) || chr(10) || '### What to do' || chr(10) || array_to_string(list_transform(steps, lambda x, k: k || '. ' || x), chr(10)) || chr(10) || chr(10) || '### Pages (' || len(urls) || ')' || chr(10)
  || array_to_string(list_transform(urls[1:20], lambda x: '- ' || x), chr(10)) || CASE WHEN len(urls) > 20 THEN chr(10) || 'and ' || (len(urls) - 20) || ' more' ELSE '' END AS doc FROM adv JOIN recs USING (issue_id)""")

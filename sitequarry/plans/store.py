@@ -46,7 +46,7 @@ def audit_issues(spark, sf_dir):
     return issues_of(spark, sf_dir)
 
 
-@query(f"WITH {ISSUES} SELECT name, min(issue_id) AS issue_id, min(severity) AS severity, min(category) AS category, count(DISTINCT url) AS affected_pages, {WEIGHT.replace('severity', 'min(severity)')} AS weight FROM i GROUP BY name")
+@query(f"WITH {ISSUES} SELECT name, min(issue_id) AS issue_id, arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS severity, min(category) AS category, count(DISTINCT url) AS affected_pages, max({WEIGHT}) AS weight FROM i GROUP BY name")
 def a_issue_summary(spark, sf_dir):
     return rules.summary(issues_of(spark, sf_dir))
 
@@ -85,7 +85,7 @@ def q_links_filter(spark, sf_dir):
 
 
 RECS = f"""recs AS (SELECT issue_id, count(DISTINCT url) AS affected_pages,
-  CASE min(severity) WHEN 'Error' THEN CASE WHEN count(DISTINCT url) >= 10 THEN 'Critical' ELSE 'High' END WHEN 'Warning' THEN CASE WHEN count(DISTINCT url) >= 10 THEN 'High' ELSE 'Medium' END ELSE 'Low' END AS priority FROM i GROUP BY 1)"""
+  CASE arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) WHEN 'Error' THEN CASE WHEN count(DISTINCT url) >= 10 THEN 'Critical' ELSE 'High' END WHEN 'Warning' THEN CASE WHEN count(DISTINCT url) >= 10 THEN 'High' ELSE 'Medium' END ELSE 'Low' END AS priority FROM i GROUP BY 1)"""
 
 
 @query(f"WITH {ISSUES}, {RECS} SELECT issue_id, affected_pages, priority, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, affected_pages DESC, issue_id) AS INTEGER) AS place FROM recs")
@@ -187,9 +187,9 @@ def a_count_total(spark, sf_dir):
     return issues_of(spark, sf_dir).groupBy("issue_id").agg(F.count("*").alias("n"), (F.count("*") * 100).alias("n100"))
 
 
-@query(f"WITH {ISSUES}, g AS (SELECT name, min(severity) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT name, severity, pages FROM g ORDER BY {WEIGHT} DESC, pages DESC, name LIMIT 5 OFFSET 5")
+@query(f"WITH {ISSUES}, g AS (SELECT name, arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT name, severity, pages FROM g ORDER BY {WEIGHT} DESC, pages DESC, name LIMIT 5 OFFSET 5")
 def a_issue_groups_sql(spark, sf_dir):
-    g = issues_of(spark, sf_dir).groupBy("name").agg(F.min("severity").alias("severity"), F.count_distinct("url").alias("pages"))
+    g = issues_of(spark, sf_dir).groupBy("name").agg(t.worst_severity(F.col("severity")).alias("severity"), F.count_distinct("url").alias("pages"))
     return s.page(g.orderBy(t.severity_weight(F.col("severity")).desc(), F.desc("pages"), "name"), 2, 5)
 
 
@@ -207,7 +207,7 @@ def w_second_newest(spark, sf_dir):
     return s.nth_per_key(site.table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
 
 
-@query(f"WITH {ISSUES}, g AS (SELECT name, min(severity) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT severity, CAST(sum(pages) AS BIGINT) AS total FROM g GROUP BY 1")
+@query(f"WITH {ISSUES}, g AS (SELECT name, arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT severity, CAST(sum(pages) AS BIGINT) AS total FROM g GROUP BY 1")
 def a_severity_totals(spark, sf_dir):
     return s.severity_totals(rules.summary(issues_of(spark, sf_dir)))
 
@@ -229,9 +229,9 @@ def a_link_target_agg(spark, sf_dir):
     return links_of(spark, sf_dir).groupBy("target").agg(join("source").alias("sources"), join("anchor").alias("anchors"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {ISSUES}, t AS (SELECT (SELECT sum(n) FROM (SELECT count(DISTINCT url) AS n FROM i WHERE severity = 'Error' GROUP BY name)) AS errors, (SELECT sum(n) FROM (SELECT count(DISTINCT url) AS n FROM i WHERE severity = 'Warning' GROUP BY name)) AS warnings,
+@query(f"""WITH {ISSUES}, g AS (SELECT name, arg_max(severity, {WEIGHT}) AS severity, count(DISTINCT url) AS n FROM i GROUP BY 1), gate AS (SELECT (SELECT coalesce(sum(n), 0) FROM g WHERE severity = 'Error') AS errors, (SELECT coalesce(sum(n), 0) FROM g WHERE severity = 'Warning') AS warnings,
   (SELECT floor(avg(aeo) + 0.5) FROM p) AS aeo, (SELECT count(*) FROM p WHERE status >= 400) AS broken)
-SELECT 'errors' AS rule, CAST(errors AS DOUBLE) AS value, errors > 0 AS violated FROM t UNION ALL SELECT 'warnings', CAST(warnings AS DOUBLE), warnings > 10 FROM t UNION ALL SELECT 'aeo', CAST(aeo AS DOUBLE), aeo < 70 FROM t UNION ALL SELECT 'broken', CAST(broken AS DOUBLE), broken > 0 FROM t""")
+SELECT 'errors' AS rule, CAST(errors AS DOUBLE) AS value, errors > 0 AS violated FROM gate UNION ALL SELECT 'warnings', CAST(warnings AS DOUBLE), warnings > 10 FROM gate UNION ALL SELECT 'aeo', CAST(aeo AS DOUBLE), aeo < 70 FROM gate UNION ALL SELECT 'broken', CAST(broken AS DOUBLE), broken > 0 FROM gate""")
 def a_ci_gate(spark, sf_dir):
     return s.ci_gate(pages_of(spark, sf_dir), rules.summary(issues_of(spark, sf_dir)))
 
@@ -282,9 +282,9 @@ def w_heading_skip(spark, sf_dir):
     return s.skipped_levels(h, ["conv_id"], "turn", "level").select("conv_id", "turn", "level")
 
 
-@query(f"WITH {ISSUES}, g AS (SELECT name, min(severity) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT name, CAST(row_number() OVER (ORDER BY {WEIGHT} DESC, pages DESC, name) AS INTEGER) AS place FROM g")
+@query(f"WITH {ISSUES}, g AS (SELECT name, arg_max(severity, CASE severity WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS severity, count(DISTINCT url) AS pages FROM i GROUP BY 1) SELECT name, CAST(row_number() OVER (ORDER BY {WEIGHT} DESC, pages DESC, name) AS INTEGER) AS place FROM g")
 def s_severity_rank(spark, sf_dir):
-    g = issues_of(spark, sf_dir).groupBy("name").agg(F.min("severity").alias("severity"), F.count_distinct("url").alias("pages"))
+    g = issues_of(spark, sf_dir).groupBy("name").agg(t.worst_severity(F.col("severity")).alias("severity"), F.count_distinct("url").alias("pages"))
     return s.ranked(g, [t.severity_weight(F.col("severity")).desc(), F.desc("pages"), F.col("name")]).select("name", "place")
 
 
