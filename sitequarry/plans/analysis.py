@@ -272,7 +272,8 @@ def j_prev_counts(spark, sf_dir):
     return rules.summary(i.where("page_id % 2 = 1 and issue_id <> 'high_latency'"), before).select("name", "affected_pages", "change")
 
 
-KW = "k AS (SELECT s_nationkey % 4 AS site, unnest(string_split(lower(p_type), ' ')) AS keyword, p_size % 3 = 0 AS in_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"
+#: Parts by the sites that offer them; the words of their types are keywords, of which site 0 has none of six letters.
+KW = "k AS (SELECT * FROM (SELECT s_nationkey % 4 AS site, unnest(string_split(lower(p_type), ' ')) AS keyword, p_size % 3 = 0 AS in_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey) WHERE site <> 0 OR length(keyword) <> 6)"
 
 
 def _keywords(spark, sf_dir):
@@ -280,7 +281,7 @@ def _keywords(spark, sf_dir):
     part = site.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     sup = site.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     rows = li.join(part, F.col("p_partkey") == F.col("l_partkey")).join(sup, F.col("s_suppkey") == F.col("l_suppkey"))
-    return rows.select((F.col("s_nationkey") % 4).alias("site"), F.explode(F.split(F.lower("p_type"), " ")).alias("keyword"), (F.col("p_size") % 3 == 0).alias("in_title"))
+    return rows.select((F.col("s_nationkey") % 4).alias("site"), F.explode(F.split(F.lower("p_type"), " ")).alias("keyword"), (F.col("p_size") % 3 == 0).alias("in_title")).where((F.col("site") != 0) | (F.length("keyword") != 6))
 
 
 @query(f"WITH {KW} SELECT site, keyword, count(*) AS pages, bool_or(in_title) AS in_title FROM k GROUP BY 1, 2")
@@ -307,7 +308,7 @@ def a_keyword_topic_gaps(spark, sf_dir):
     return k.where("site <> 0").join(k.where("site = 0 and in_title").select("keyword").distinct(), "keyword", "left_anti").groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-BL = "bl AS (SELECT l_partkey % 200 AS domain, s_nationkey % 5 AS site FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
+BL = "bl AS (SELECT l_orderkey AS domain, s_nationkey % 5 AS site FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
 
 
 @query(f"WITH {BL}, g AS (SELECT domain, count(DISTINCT site) FILTER (WHERE site <> 0) AS competitors, bool_or(site = 0) AS has_target FROM bl GROUP BY 1) SELECT domain, competitors, has_target, CASE WHEN has_target THEN 'Low' WHEN competitors = 4 THEN 'Critical' WHEN competitors >= 2 THEN 'High' ELSE 'Medium' END AS priority FROM g WHERE competitors > 0")
@@ -317,8 +318,8 @@ def a_link_intersect(spark, sf_dir):
 
 def _backlinks(spark, sf_dir):
     sup = site.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    li = site.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    return li.join(sup, F.col("s_suppkey") == F.col("l_suppkey")).select((F.col("l_partkey") % 200).alias("domain"), (F.col("s_nationkey") % 5).alias("site"))
+    li = site.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    return li.join(sup, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_orderkey").alias("domain"), (F.col("s_nationkey") % 5).alias("site"))
 
 
 @query(f"WITH {BL}, g AS (SELECT domain, count(DISTINCT site) FILTER (WHERE site <> 0) AS competitors, bool_or(site = 0) AS has_target FROM bl GROUP BY 1) SELECT g.domain, competitors, coalesce(p_name, '') AS catalog FROM g LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0) ON p_partkey = domain WHERE competitors > 0 AND NOT has_target")

@@ -391,7 +391,7 @@ def a_source_rows(spark, sf_dir):
     return pages_of(spark, sf_dir).groupBy("norm").agg(F.min("page_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("WITH g AS (SELECT l_partkey % 200 AS domain, count(DISTINCT s_nationkey % 5) FILTER (WHERE s_nationkey % 5 <> 0) AS competitors, bool_or(s_nationkey % 5 = 0) AS has_target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT CASE WHEN has_target THEN 'Low' WHEN competitors = 4 THEN 'Critical' WHEN competitors >= 2 THEN 'High' ELSE 'Medium' END AS priority, count(*) AS n FROM g WHERE competitors > 0 GROUP BY 1")
+@query("WITH g AS (SELECT l_orderkey AS domain, count(DISTINCT s_nationkey % 5) FILTER (WHERE s_nationkey % 5 <> 0) AS competitors, bool_or(s_nationkey % 5 = 0) AS has_target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT CASE WHEN has_target THEN 'Low' WHEN competitors = 4 THEN 'Critical' WHEN competitors >= 2 THEN 'High' ELSE 'Medium' END AS priority, count(*) AS n FROM g WHERE competitors > 0 GROUP BY 1")
 def a_gap_counts(spark, sf_dir):
     """Referring domains by the priority of asking them."""
     from sitequarry.plans.analysis import a_link_intersect
