@@ -63,6 +63,14 @@ def as_batch(columns: list, types: list, names: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def drained(batches):
+    """The batches, with Arrow's free memory given back after each: workers live on, and executors are small."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows: the check before a broadcast.  It counts no further than needed."""
     return df.limit(rows + 1).count() <= rows

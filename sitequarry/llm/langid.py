@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitequarry.llm.common import as_batch, discard, small_enough, stored, text_key
+from sitequarry.llm.common import as_batch, discard, drained, small_enough, stored, text_key
 
 #: Runs of letters and of numerals that are neither digits nor letters, which are taken out afterwards: few texts have any.
 RUN = re.compile(r"[^\W\d_]+")
@@ -37,7 +37,7 @@ FLUSH = 300_000
 #: Occurrences that a word or n-gram which was never seen is taken to have in the largest language.
 A = 0.5
 #: Words sent to the executors, and numbers in their table (words times languages), at most.
-MOST_WORDS, MOST_CELLS = 400_000, 2_000_000
+MOST_WORDS, MOST_CELLS = 250_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -79,7 +79,7 @@ def _told(held: dict, names: list[str], types: list):
 def _count_words(batches):
     held: dict = defaultdict(Counter)
     names, types = ["lang", "gram", "n"], [pa.string(), pa.string(), pa.int64()]
-    for b in batches:
+    for b in drained(batches):
         for at in range(0, b.num_rows, 128):
             piece = b.slice(at, 128)
             for text, lang in zip(piece["text"].to_pylist(), piece["lang"].to_pylist(), strict=True):
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         row, table = shared.value
-        for b in batches:
+        for b in drained(batches):
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
                 out = []

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitequarry.llm.bytescan import U, mix, shingle_sets, slices
-from sitequarry.llm.common import as_batch, discard, light_enough, small_enough, stored
+from sitequarry.llm.common import as_batch, discard, drained, light_enough, small_enough, stored
 from sitequarry.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -74,7 +74,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, sig) of each document; h1 and h2 together stand for the set; an empty set has a null sig."""
 
     def run(batches):
-        for batch in batches:
+        for batch in drained(batches):
             for at, texts in _texts(batch.column(1)):
                 n, h1, h2, sig = [], [], [], []
                 for s in shingle_sets(texts, words):
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, most_broadcast: int) -
     wanted = F.broadcast(wanted) if small_enough(wanted, most_broadcast) else wanted
 
     def sets(batches):
-        for batch in batches:
+        for batch in drained(batches):
             for at, texts in _texts(batch.column(1)):
                 found = shingle_sets(texts, words)
                 yield as_batch([batch.column(0).slice(at, len(found)), [s.tobytes() for s in found]], [pa.int64(), pa.binary()], ["doc_id", "shingles"])
