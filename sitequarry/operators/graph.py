@@ -113,15 +113,16 @@ def stars(pairs: DataFrame) -> DataFrame:
     smaller neighbour is one, and belongs to its least centre.  Each round decides all nodes whose smaller neighbours are decided.
     """
     down = cut(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).where("node <> low").distinct())
-    nodes = down.select("node").union(down.select("low")).distinct()
+    nodes = cut(down.select("node").union(down.select("low")).distinct())
+    total = nodes.count()
     done = cut(nodes.join(down, "node", "left_anti").select("node", F.col("node").alias("centre")))
-    while True:
+    while done.count() < total:
         left = nodes.join(done, "node", "left_anti")
-        if left.isEmpty():
-            return done
         told = down.join(left, "node", "left_semi").join(done.select(F.col("node").alias("low"), "centre"), "low", "left")
         each = told.groupBy("node").agg(F.min(F.when(F.col("centre") == F.col("low"), F.col("low"))).alias("c"), F.min(F.when(F.col("centre").isNull(), F.col("low"))).alias("open"))
         # Taken by its least centre once no smaller neighbour that is still open could become one; a centre once none is open and none is one.
         new = each.where("open is null or c < open").select("node", F.coalesce("c", "node").alias("centre"))
         last, done = done, cut(done.unionByName(new))
         discard(last)
+    discard(nodes, down)
+    return done

@@ -152,7 +152,9 @@ def hash_fnv1a64(spark, sf_dir):
 
 def _prints(spark, sf_dir):
     one = site.table(spark, sf_dir, "documents").where(F.length("text") >= 50).groupBy("text").agg(F.min("doc_id").alias("k"))
-    return cut(one.select("k", similarity.simhash(F.col("text")).alias("print")))
+    # As many parts as there are cores at least: what is few bytes to move may be long to hash.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut(one.repartition(parts).select("k", similarity.simhash(F.col("text")).alias("print")))
 
 
 @query()
