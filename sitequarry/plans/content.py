@@ -147,7 +147,7 @@ def hash_minhash(spark, sf_dir):
 
 @query()
 def j_lsh_candidates(spark, sf_dir):
-    """Pairs of texts that agree in one of 32 bands of 4 minima, hence all that agree in one of the reference's 16 of 8.
+    """Pairs of texts that agree in one of 32 bands of 4 minima, hence all that agree in one of 16 of 8.
 
     Of equal texts the one of least id is compared; the others make a pair with it.
     """
