@@ -20,6 +20,8 @@ from sitequarry.operators.dom import Node, by_path, compiled
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript svg template".split())
+#: Elements below this depth are read as part of the one there, as browsers do, so that no walk up costs more.
+DEEPEST = 512
 
 
 # Elements that an opening one ends, where they are the innermost.
@@ -67,10 +69,9 @@ class Reader(HTMLParser):
             self._node = self._node.parent
         node = Node(tag, a, self._node)
         self._node.children.append(node)
-        if tag not in VOID:
-            self._node = node
         n["dom"] += 1
-        if tag not in VOID:
+        if tag not in VOID and len(self._in) < DEEPEST:
+            self._node = node
             self._in.append(tag)
             n["max_depth"] = max(n["max_depth"], len(self._in))
         if "id" in a:
@@ -189,8 +190,25 @@ def read(html: str | None) -> Reader:
     return reader
 
 
+class _After:
+    """The elements after one, of the same parent; places among siblings are found once for each parent."""
+
+    def __init__(self):
+        self._held: dict[int, tuple[list[Node], dict[int, int]]] = {}
+
+    def __call__(self, node: Node, most: int) -> list[Node]:
+        parent = node.parent
+        if id(parent) not in self._held:
+            siblings = [c for c in parent.children if isinstance(c, Node)]
+            self._held[id(parent)] = siblings, {id(c): i for i, c in enumerate(siblings)}
+        siblings, places = self._held[id(parent)]
+        at = places[id(node)] + 1
+        return siblings[at : at + most]
+
+
 def answer(root: Node) -> str:
     """The first paragraph of 25 to 75 words that stands directly below an h1 or h2, past up to two wrappers; empty if there is none."""
+    after = _After()
     for heading in root.walk():
         if heading.tag not in ("h1", "h2"):
             continue
@@ -198,8 +216,7 @@ def answer(root: Node) -> str:
         for _ in range(3):
             if text or here.parent is None:
                 break
-            siblings = [c for c in here.parent.children if isinstance(c, Node)]
-            for c in siblings[next(i for i, x in enumerate(siblings) if x is here) + 1 :][:3]:
+            for c in after(here, 3):
                 if c.tag in ("h1", "h2", "h3"):
                     break
                 first = c if c.tag == "p" else next((x for x in c.walk() if x.tag == "p"), None)
@@ -363,15 +380,14 @@ def clean_text(root: Node) -> str:
 
 def questions(root: Node, most: int = 10) -> list[dict]:
     """Questions and answers: of details with a summary, and of headings that end in a question mark with the paragraph after them."""
-    out = []
+    out, after = [], _After()
     for x in root.walk():
         if x.tag == "details" and (head := next((c for c in x.walk() if c.tag == "summary"), None)) is not None:
             out.append({"question": head.text(), "answer": x.text(frozenset({"summary"}))})
         elif re.fullmatch("h[2-6]", x.tag) and x.text().endswith("?"):
-            after = [c for c in x.parent.children if isinstance(c, Node)]
-            after = after[next(i for i, c in enumerate(after) if c is x) + 1 :]
-            if after and after[0].tag == "p":
-                out.append({"question": x.text(), "answer": after[0].text()})
+            following = after(x, 1)
+            if following and following[0].tag == "p":
+                out.append({"question": x.text(), "answer": following[0].text()})
     return [q for q in out if q["question"] and q["answer"]][:most]
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -323,6 +324,14 @@ def test_details_of_pages():
     assert html.answer(html.read("<h1>x</h1><h2>y</h2><p>" + "w " * 80).root) == ""
 
 
+@pytest.mark.parametrize("part", ["<b>", "<div><p>x", "<li><input>", "<h2>a?", "</i><b>", "<a href=x><img src=y>"])
+def test_broken_pages_cost_time_by_their_length(part):
+    start = time.process_time()
+    r = html.read(part * (200_000 // len(part)))
+    html.unlabelled(r.root), html.answer(r.root), html.clean_text(r.root), html.questions(r.root)
+    assert time.process_time() - start < 20 and r.n["max_depth"] <= html.DEEPEST
+
+
 def test_selectors_and_paths():
     root = html.read(PAGE).root
     css = lambda s: [x.text() for x in root.walk() if dom.compiled(s)(x)]
