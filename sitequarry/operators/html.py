@@ -400,6 +400,7 @@ def _details(html: str | None) -> dict:
     root = read(html).root
     base = next((x.attributes.get("href", "") for x in root.walk() if x.tag == "base"), "")
     links, images, assets, alternates, headings = [], [], [], [], []
+    silent: dict[int, bool] = {}  # links without a text
     for x in root.walk():
         a = x.attributes
         if x.tag == "a" and a.get("href", "").strip():
@@ -407,7 +408,9 @@ def _details(html: str | None) -> dict:
             links.append({"href": a["href"].strip(), "anchor": x.text(), "rel": rel, "nofollow": any(k in rel for k in ("nofollow", "sponsored", "ugc"))})
         elif x.tag == "img" and (src := a.get("src", "").strip() or a.get("data-src", "").strip()):
             link = next((p for p in x.above() if p.tag == "a"), None)
-            images.append({"src": src, "alt": a.get("alt"), "width": _number(a.get("width")), "height": _number(a.get("height")), "in_link": link is not None and not link.text()})
+            if link is not None and id(link) not in silent:
+                silent[id(link)] = not link.text()
+            images.append({"src": src, "alt": a.get("alt"), "width": _number(a.get("width")), "height": _number(a.get("height")), "in_link": link is not None and silent[id(link)]})
         elif x.tag == "link" and a.get("hreflang", "").strip() and a.get("href", "").strip() and "alternate" in a.get("rel", "").lower().split():
             alternates.append({"lang": a["hreflang"].strip(), "href": a["href"].strip()})
         elif re.fullmatch("h[1-6]", x.tag):
