@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import reduce
 from itertools import compress, repeat
 
 import numpy as np
@@ -90,28 +91,35 @@ def _count_words(batches):
 
 
 def _count_grams(batches):
+    """Of words all n-grams of the longest order, and the last one of each shorter order: the others are the beginnings of longer ones."""
     held: dict = defaultdict(Counter)
     names, types = ["lang", "size", "gram", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
+    longest = ORDERS[0]
     for b in batches:
         for at in range(0, b.num_rows, 4096):
-            # Words that occur equally often, most of them once, are counted together.
-            alike: dict = defaultdict(list)
             for lang, word, n in zip(*(b[c].slice(at, 4096).to_pylist() for c in ("lang", "gram", "n")), strict=True):
-                alike[lang, n].append(word)
-            for (lang, n), words in alike.items():
-                for k in ORDERS:
-                    found = [g for w in words for g in grams(w, k)]
-                    own = held[lang, k]
-                    if n == 1:
-                        own.update(found)
-                    else:
-                        for g, m in Counter(found).items():
-                            own[g] += m * n
+                own = held[lang, longest]
+                for g in grams(word, longest):
+                    own[g] += n
+                w = f" {word} "
+                for k in range(min(len(w), longest - 1), 1, -1):
+                    held[lang, k][w[-k:]] += n
             if sum(map(len, held.values())) > FLUSH:
                 yield from _told(held, names, types)
     yield from _told(held, names, types)
 
 
+def _all_grams(words: DataFrame) -> DataFrame:
+    """(lang, size, gram, n) of (lang, gram, n): an n-gram of a word is the beginning of one that is a letter longer, or the word's last; letters begin pairs."""
+    counted = stored(words.mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    levels = [counted.where(F.col("size") == ORDERS[0])]
+    for k in ORDERS[1:]:
+        shorter = levels[-1].select("lang", F.substring("gram", 1, k).alias("gram"), "n").where("gram <> ' '")
+        last = counted.where(F.col("size") == k).select("lang", "gram", "n")
+        levels.append(stored(shorter.unionByName(last).groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", F.lit(k).alias("size"), "gram", "n"), "langid-grams"))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def _scored(counts: DataFrame, langs: list[str], name: str) -> DataFrame:
     """(gram, n, entries) of (lang, size, gram, n)."""
     totals = {(r.lang, r.size): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
@@ -129,9 +137,8 @@ def fit(training: DataFrame, most_words: int = MOST_WORDS) -> Model:
     rows = training.select("text", "lang").where("text is not null and lang is not null")
     words = stored(rows.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-    counted = stored(words.mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    by_word, by_gram = _scored(words.withColumn("size", F.lit(0)), langs, "langid-word-scores"), _scored(counted, langs, "langid-gram-scores")
-    discard(words, counted)
+    by_word, by_gram = _scored(words.withColumn("size", F.lit(0)), langs, "langid-word-scores"), _scored(_all_grams(words), langs, "langid-gram-scores")
+    discard(words)
     # The count from which on words fit: eight steps to each doubling of it.
     step = F.floor(F.log2("n") * 8)
     most, from_ = min(most_words, MOST_CELLS // max(1, len(langs))), None
