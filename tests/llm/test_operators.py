@@ -338,6 +338,13 @@ def test_mixing_meets_weights_and_budget(spark, odd, empty):
     assert mixing.mixed(blank).head()["pass"] == 0
 
 
+def test_mixing_by_shares_deals_no_block_for_a_rounding_error(spark):
+    # Sources are alike enough for exponent 1: each document once.  Shares that were summed gave 1,003 rows for 1,000.
+    docs = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "source", "text")
+    used = mixing.mixed(docs).groupBy("doc_id").count()
+    assert used.count() == 1000 and used.where("count > 1").count() == 0
+
+
 def test_exponent_keeps_the_limit_on_passes():
     tokens = {"a": 1_000_000, "b": 1000}
     e = mixing.exponent_for(tokens, 1.0, 4.0, sum(tokens.values()))
