@@ -124,7 +124,10 @@ def _scored(counts: DataFrame, langs: list[str], name: str) -> DataFrame:
     """(gram, n, entries) of (lang, size, gram, n)."""
     totals = {(r.lang, r.size): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
     most = {size: max(n for (_, k), n in totals.items() if k == size) for _, size in totals}
-    scale = counts.sparkSession.createDataFrame([(lang, size, langs.index(lang), most[size] / (A * n)) for (lang, size), n in totals.items()], "lang string, size int, l int, scale double")
+    rows = [(lang, size, langs.index(lang), most[size] / (A * n)) for (lang, size), n in totals.items()]
+    # As an Arrow table: rows of a list pass through Python workers, for which each executor starts a second daemon that stays.
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
+    scale = counts.sparkSession.createDataFrame(pa.Table.from_batches([as_batch(columns, [pa.string(), pa.int32(), pa.int32(), pa.float64()], ["lang", "size", "l", "scale"])]))
     each = counts.join(F.broadcast(scale), ["lang", "size"])  # a row for each language and order
     return stored(each.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", F.log1p(F.col("n") * F.col("scale")).cast("float").alias("s"))).alias("entries")), name)
 

@@ -11,11 +11,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.llm import components, decontaminate, fingerprint, langid, maintext, minhash, mixing, private, queries, repeats, toxicity, urlfilter
-from sitequarry.llm.common import load
+from sitequarry.llm.common import load, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -762,3 +763,30 @@ def test_url_keys_and_as_of(spark):
     assert {r.id: (r.verdict, r.n_active) for r in urlfilter.evaluated(long, urlfilter.intervals(entries)).collect()} == {1: ("block", 1), 2: ("allow", 2)}
     assert urlfilter.evaluated(captures.limit(0), urlfilter.intervals(entries)).count() == 0
     assert urlfilter.evaluated(captures, urlfilter.intervals(entries.limit(0))).where("verdict <> 'none'").count() == 0
+
+
+def test_kernels_get_batches_bounded_in_bytes(spark):
+    """By rows alone the ten texts of 1 MB are one batch, held in the executor's direct memory and in its worker."""
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(10, numPartitions=1).select(F.expr("repeat(chr(97 + id), 1000000)").alias("text"))
+    for before in (None, "64m"):
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        at_rest = spark.conf.get(key, None)
+        rows = stored(texts.mapInArrow(seen, "n long, size long"), "batches").collect()
+        assert sum(r.n for r in rows) == 10
+        assert max(r.size for r in rows) <= 4_000_000
+        assert spark.conf.get(key, None) == at_rest
+    spark.conf.unset(key)
+
+
+def test_no_rows_of_a_list_start_a_second_daemon(spark, monkeypatch):
+    """A frame made of a list is an RDD of Python, whose workers have a daemon of their own in each executor."""
+    plans = []
+    monkeypatch.setattr(langid, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), stored(df, name))[1])
+    langid.fit(spark.range(4).selectExpr("concat('ab cd', id) AS text", "if(id % 2 = 0, 'x', 'y') AS lang"))
+    assert plans
+    assert not [p for p in plans if "ExistingRDD" in p]
